@@ -1,131 +1,136 @@
-"""Scalar expressions over coded answers.
+"""Recodes, totals, bands and dates over coded answers.
 
-A NULL condition is never "false" here: an unknown answer has to stay unknown, so
-two-way recodes use two ``when`` branches and no ``otherwise``.
+Arguments called ``x`` are column names or SQL expressions. A NULL condition is never "false"
+here: an unknown answer has to stay unknown, so no recode has an ELSE branch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from headcount.functions.codes import SENTINELS, Bands
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def literal(value) -> str:
+    """A Python value as SQL text."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, float):
+        return f"({value!r}D)" if value < 0 else f"{value!r}D"
+    if isinstance(value, int):
+        return f"({value})" if value < 0 else str(value)
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def null_codes(c: Column | str, codes: Iterable[int] = SENTINELS) -> Column:
+def _list(values: Iterable) -> str:
+    return ", ".join(literal(v) for v in values)
+
+
+def name(column: str) -> str:
+    """A column name quoted for SQL text."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def with_exprs(df: DataFrame, exprs: Mapping[str, str]) -> DataFrame:
+    """Add or replace columns from SQL text, in one projection."""
+    replaced = [f"{exprs[c]} AS {name(c)}" if c in exprs else name(c) for c in df.columns]
+    added = [f"{text} AS {name(c)}" for c, text in exprs.items() if c not in df.columns]
+    return df.selectExpr(*replaced, *added)
+
+
+def is_in(x: str, values: Iterable) -> str:
+    return f"({x} IN ({_list(values)}))"
+
+
+def null_codes(x: str, codes: Iterable[int] = SENTINELS) -> str:
     """NULL where the value is exactly one of ``codes``; other negatives are kept."""
-    c = _col(c)
-    return F.when(~c.isin(list(codes)), c)
+    return f"CASE WHEN {x} NOT IN ({_list(codes)}) THEN {x} END"
 
 
-def row_total(*cols: Column | str) -> Column:
+def row_total(*xs: str) -> str:
     """Sum over columns that skips NULL; a row with no answer at all totals 0."""
-    total = F.lit(0).cast("bigint")
-    for c in cols:
-        total = total + F.coalesce(_col(c).cast("bigint"), F.lit(0).cast("bigint"))
-    return total
+    return "(" + " + ".join(f"coalesce(CAST({x} AS BIGINT), 0L)" for x in xs) + ")"
 
 
-def n_answered(*cols: Column | str) -> Column:
+def n_answered(*xs: str) -> str:
     """How many of the columns hold an answer, to tell a true 0 total from an empty row."""
-    answered = F.lit(0)
-    for c in cols:
-        answered = answered + _col(c).isNotNull().cast("int")
-    return answered
+    return "(" + " + ".join(f"CAST({x} IS NOT NULL AS INT)" for x in xs) + ")"
 
 
-def row_max(*cols: Column | str, skip_null: bool = False) -> Column:
+def row_max(*xs: str, skip_null: bool = False) -> str:
     """Largest of the columns; NULL if any of them is NULL unless ``skip_null``."""
-    cols = [_col(c) for c in cols]
-    largest = F.greatest(*cols)
+    largest = f"greatest({', '.join(xs)})"
     if skip_null:
         return largest
-    known = cols[0].isNotNull()
-    for c in cols[1:]:
-        known = known & c.isNotNull()
-    return F.when(known, largest)
+    known = " AND ".join(f"{x} IS NOT NULL" for x in xs)
+    return f"CASE WHEN {known} THEN {largest} END"
 
 
-def date_from_parts(year: Column | str, month: Column | str, day: Column | str) -> Column:
+def date_from_parts(year: str, month: str, day: str) -> str:
     """Date from three integer parts; parts that make no date, or any NULL part, give NULL."""
-    y, m, d = (_col(c).cast("string") for c in (year, month, day))
-    return F.try_to_date(F.concat(y, F.lit("-"), m, F.lit("-"), d), "yyyy-M-d")
+    return f"try_to_date(concat({year}, '-', {month}, '-', {day}), 'yyyy-M-d')"
 
 
-def weekday(date: Column | str) -> Column:
+def weekday(x: str) -> str:
     """Short English day name."""
-    return F.date_format(_col(date), "E")
+    return f"date_format({x}, 'E')"
 
 
-def if_else(cond: Column, yes, no) -> Column:
+def if_else(cond: str, yes, no) -> str:
     """Two-way recode that keeps NULL for an unknown condition."""
-    return F.when(cond, yes).when(~cond, no)
+    return f"CASE WHEN {cond} THEN {literal(yes)} WHEN NOT ({cond}) THEN {literal(no)} END"
 
 
-def classify(branches: Sequence[tuple[Column, str]]) -> Column:
+def classify(branches: Sequence[tuple[str, object]]) -> str:
     """First true branch wins; a NULL condition is not true; no branch gives NULL."""
-    out = None
-    for cond, label in branches:
-        out = F.when(cond, label) if out is None else out.when(cond, label)
-    return out
+    return "CASE " + " ".join(f"WHEN {cond} THEN {literal(label)}" for cond, label in branches) + " END"
 
 
-def _per_band(c: Column | str, bands: Bands, values: Sequence) -> Column:
-    c = _col(c)
-    out = F.when(c <= bands.edges[0], F.lit(None))
+def _per_band(x: str, bands: Bands, values: Iterable) -> str:
+    branches = [(f"{x} <= {bands.edges[0]}", None)]
     for upper, value in zip(bands.edges[1:], values):
-        cond = c.isNotNull() if upper is None else c <= upper
-        out = out.when(cond, F.lit(value))
-    return out
+        branches.append((f"{x} IS NOT NULL" if upper is None else f"{x} <= {upper}", value))
+    return classify(branches)
 
 
-def band(c: Column | str, bands: Bands) -> Column:
+def band(x: str, bands: Bands) -> str:
     """Label of the band (lo, hi] the value falls in; outside all bands gives NULL."""
-    return _per_band(c, bands, bands.labels)
+    return _per_band(x, bands, bands.labels)
 
 
-def band_ord(c: Column | str, bands: Bands) -> Column:
+def band_ord(x: str, bands: Bands) -> str:
     """1-based position of the band, for ordering output."""
-    return _per_band(c, bands, range(1, len(bands.labels) + 1))
+    return _per_band(x, bands, range(1, len(bands.labels) + 1))
 
 
-def recode(c: Column | str, mapping: Mapping) -> Column:
+def recode(x: str, mapping: Mapping) -> str:
     """Value to label by a short fixed mapping; anything unlisted, and NULL, gives NULL."""
-    c = _col(c)
     by_label: dict = {}
     for code, label in mapping.items():
         by_label.setdefault(label, []).append(code)
-    return classify([(c.isin(codes), label) for label, codes in by_label.items()])
+    return classify([(is_in(x, codes), label) for label, codes in by_label.items()])
 
 
-def level_ord(c: Column | str, levels: Sequence[str]) -> Column:
+def level_ord(x: str, levels: Sequence[str]) -> str:
     """1-based position in an ordered level list; a value outside the list gives NULL."""
-    c = _col(c)
-    out = None
-    for i, level in enumerate(levels, start=1):
-        out = F.when(c == level, F.lit(i)) if out is None else out.when(c == level, F.lit(i))
-    return out
+    return classify([(f"{x} = {literal(level)}", i) for i, level in enumerate(levels, start=1)])
 
 
-def code_prefix(c: Column | str, length: int) -> Column:
+def code_prefix(x: str, length: int) -> str:
     """Leading characters of a numeric code."""
-    return F.substring(_col(c).cast("string"), 1, length)
+    return f"substring(CAST({x} AS STRING), 1, {length})"
 
 
-def log_scale(c: Column | str, plus_one: bool = False) -> Column:
+def log_scale(x: str, plus_one: bool = False) -> str:
     """log10 as a log axis draws it: zero and below cannot be drawn and give NULL."""
-    c = _col(c)
-    if plus_one:
-        c = c + F.lit(1)
-    return F.when(c > 0, F.log10(c))
+    x = f"({x} + 1)" if plus_one else x
+    return f"CASE WHEN {x} > 0 THEN log10({x}) END"
 
 
-def round_half_even(c: Column | str, digits: int = 0) -> Column:
+def round_half_even(x: str, digits: int = 0) -> str:
     """Round with ties to the even neighbour."""
-    return F.bround(_col(c), digits)
+    return f"bround({x}, {digits})"

@@ -1,17 +1,14 @@
-"""Gamma-family functions and negative binomial terms as column expressions.
+"""Gamma-family functions and negative binomial terms as SQL text.
 
 Spark has no log-gamma or its derivatives. For a positive argument the recurrence moves it up by
-eight, where a short asymptotic series is good to about 1e-13. The cost does not depend on the
-argument and nothing leaves generated code.
+eight, where a short asymptotic series is good to about 1e-12. The cost does not depend on the
+argument and nothing leaves generated code. Arguments should be plain column names: they occur many
+times in a formula.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 _SHIFT = 8
 
@@ -21,74 +18,72 @@ _DIGAMMA = (1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132)
 _TRIGAMMA = (1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66)
 
 
-def _series(coefficients, r: Column) -> Column:
-    return reduce(lambda acc, c: acc * r + F.lit(c), reversed(coefficients[:-1]), F.lit(coefficients[-1]))
+def _series(coefficients, r: str) -> str:
+    text = f"({coefficients[-1]!r}D)"
+    for c in reversed(coefficients[:-1]):
+        text = f"(({c!r}D) + {r} * {text})"
+    return text
 
 
-def lgamma(x: Column) -> Column:
-    z = x + F.lit(float(_SHIFT))
-    below = reduce(lambda acc, i: acc * (x + F.lit(float(i))), range(1, _SHIFT), x)
-    stirling = (z - 0.5) * F.log(z) - z + F.lit(0.5 * math.log(2 * math.pi))
-    return stirling + _series(_LGAMMA, 1 / (z * z)) / z - F.log(below)
+def _steps(x: str) -> list[str]:
+    return [f"({x})"] + [f"({x} + {i}D)" for i in range(1, _SHIFT)]
 
 
-def digamma(x: Column) -> Column:
-    z = x + F.lit(float(_SHIFT))
-    below = reduce(lambda acc, i: acc + 1 / (x + F.lit(float(i))), range(1, _SHIFT), 1 / x)
-    r = 1 / (z * z)
-    return F.log(z) - 0.5 / z - r * _series(_DIGAMMA, r) - below
+def lgamma(x: str) -> str:
+    z = f"({x} + {_SHIFT}D)"
+    r = f"(1D / ({z} * {z}))"
+    below = " * ".join(_steps(x))
+    half_log_2pi = 0.5 * math.log(2 * math.pi)
+    return f"(({z} - 0.5D) * ln({z}) - {z} + {half_log_2pi!r}D + {_series(_LGAMMA, r)} / {z} - ln({below}))"
 
 
-def trigamma(x: Column) -> Column:
-    z = x + F.lit(float(_SHIFT))
+def digamma(x: str) -> str:
+    z = f"({x} + {_SHIFT}D)"
+    r = f"(1D / ({z} * {z}))"
+    below = " - ".join(f"1D / {s}" for s in _steps(x))
+    return f"(ln({z}) - 0.5D / {z} - {r} * {_series(_DIGAMMA, r)} - {below})"
 
-    def inverse_square(c: Column) -> Column:
-        return 1 / (c * c)
 
-    below = reduce(lambda acc, i: acc + inverse_square(x + F.lit(float(i))), range(1, _SHIFT), inverse_square(x))
-    r = 1 / (z * z)
-    return 1 / z + 0.5 * r + r * _series(_TRIGAMMA, r) / z + below
+def trigamma(x: str) -> str:
+    z = f"({x} + {_SHIFT}D)"
+    r = f"(1D / ({z} * {z}))"
+    below = " + ".join(f"1D / ({s} * {s})" for s in _steps(x))
+    return f"(1D / {z} + 0.5D * {r} + {r} * {_series(_TRIGAMMA, r)} / {z} + {below})"
 
 
-def nb_log_pmf(y: Column, mu: Column, theta: Column) -> Column:
+def nb_log_pmf(y: str, mu: str, theta: str) -> str:
     """log P(Y = y) for mean mu and variance mu + mu^2 / theta. A mean of 0 puts all mass on 0."""
     return (
-        lgamma(y + theta)
-        - lgamma(theta)
-        - lgamma(y + 1.0)
-        + theta * F.log(theta / (theta + mu))
-        + F.when(y > 0, y * F.log(mu / (theta + mu))).otherwise(0.0)
+        f"({lgamma(f'{y} + {theta}')} - {lgamma(theta)} - {lgamma(f'{y} + 1D')}"
+        f" + {theta} * ln({theta} / ({theta} + {mu}))"
+        f" + CASE WHEN {y} > 0 THEN {y} * ln({mu} / ({theta} + {mu})) ELSE 0D END)"
     )
 
 
-def nb_zero(mu: Column, theta: Column) -> Column:
+def nb_zero(mu: str, theta: str) -> str:
     """P(Y = 0)."""
-    return F.exp(theta * F.log(theta / (theta + mu)))
+    return f"exp({theta} * ln({theta} / ({theta} + {mu})))"
 
 
-def nb_unit_deviance(y: Column, mu: Column, theta: Column) -> Column:
+def nb_unit_deviance(y: str, mu: str, theta: str) -> str:
     """Twice the log-likelihood lost against a mean equal to the observation."""
-    own = F.when(y > 0, y * F.log(y / mu)).otherwise(0.0)
-    return 2 * (own - (y + theta) * F.log((y + theta) / (mu + theta)))
+    return (
+        f"(2D * (CASE WHEN {y} > 0 THEN {y} * ln({y} / {mu}) ELSE 0D END"
+        f" - ({y} + {theta}) * ln(({y} + {theta}) / ({mu} + {theta}))))"
+    )
 
 
-def nb_theta_score(y: Column, mu: Column, theta: Column) -> Column:
+def nb_theta_score(y: str, mu: str, theta: str) -> str:
     """Derivative of the log-likelihood in theta."""
     return (
-        digamma(y + theta)
-        - digamma(theta)
-        + F.log(theta / (theta + mu))
-        + 1.0
-        - (y + theta) / (mu + theta)
+        f"({digamma(f'{y} + {theta}')} - {digamma(theta)} + ln({theta} / ({theta} + {mu}))"
+        f" + 1D - ({y} + {theta}) / ({mu} + {theta}))"
     )
 
 
-def nb_theta_curvature(y: Column, mu: Column, theta: Column) -> Column:
+def nb_theta_curvature(y: str, mu: str, theta: str) -> str:
     """Second derivative of the log-likelihood in theta."""
     return (
-        trigamma(y + theta)
-        - trigamma(theta)
-        + 1 / theta
-        - 2 / (mu + theta)
-        + (y + theta) / ((mu + theta) * (mu + theta))
+        f"({trigamma(f'{y} + {theta}')} - {trigamma(theta)} + 1D / {theta} - 2D / ({mu} + {theta})"
+        f" + ({y} + {theta}) / (({mu} + {theta}) * ({mu} + {theta})))"
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headcount.functions.special import (
@@ -17,7 +17,7 @@ from headcount.functions.special import (
     nb_unit_deviance,
     nb_zero,
 )
-from headcount.models.table import Design
+from headcount.models.table import Design, parameter
 
 # Beyond this the outcome is not over-dispersed and the model is Poisson for all purposes.
 THETA_CAP = 1e6
@@ -52,21 +52,25 @@ class Fit:
     def aic(self) -> float:
         return -2 * self.loglik + 2 * self.n_parameters
 
-    def mean(self) -> Column:
+    def mean(self) -> str:
         """Mean of the count part for each cell."""
-        return F.exp(self.design.linear(self.beta))
+        return f"exp({self.design.linear(self.beta)})"
 
-    def structural_zero(self) -> Column:
+    def structural_zero(self) -> str:
         """Probability of a structural zero for each cell."""
-        return 1 / (1 + F.exp(-self.design.linear(self.zero)))
+        return "0D" if self.zero is None else logistic(self.design.linear(self.zero))
+
+
+def logistic(x: str) -> str:
+    return f"(1D / (1D + exp(-{x})))"
 
 
 def pair_sums(
     design: Design,
     cells: DataFrame,
-    pair: Mapping[str, Column],
-    single: Mapping[str, Column],
-    whole: Mapping[str, Column],
+    pair: Mapping[str, str],
+    single: Mapping[str, str],
+    whole: Mapping[str, str],
 ) -> dict[str, np.ndarray | float]:
     """Weighted cross-products of the dummy columns, without ever building them.
 
@@ -75,33 +79,30 @@ def pair_sums(
     p-vectors and ``whole`` ones as scalars, all from one grouped sum of at most p(p+1)/2 groups.
     """
     slots = design.slots()
-    pairs = [F.struct(a.alias("i"), b.alias("j")) for k, a in enumerate(slots) for b in slots[k:]]
-    measured = cells.select(
-        F.explode(F.array(*pairs)).alias("ij"),
-        *[c.alias(name) for name, c in {**pair, **single, **whole}.items()],
-    ).select("ij.i", "ij.j", *pair, *single, *whole)
-    i, j = F.col("i"), F.col("j")
+    pairs = [f"struct({a} AS i, {b} AS j)" for k, a in enumerate(slots) for b in slots[k:]]
+    measures = {**pair, **single, **whole}
+    scope = {**dict.fromkeys(pair, "{}"), **dict.fromkeys(single, "CASE WHEN i = j THEN {} END")}
+    scope.update(dict.fromkeys(whole, "CASE WHEN i = 0 AND j = 0 THEN {} END"))
     rows = (
-        measured.filter((i >= 0) & (j >= 0))
+        cells.selectExpr(f"array({', '.join(pairs)}) AS pairs", *[f"{text} AS {m}" for m, text in measures.items()])
+        .selectExpr("explode(pairs) AS ij", *measures)
+        .selectExpr("ij.i", "ij.j", *measures)
+        .filter("i >= 0 AND j >= 0")
         .groupBy("i", "j")
-        .agg(
-            *[F.sum(name).alias(name) for name in pair],
-            *[F.sum(F.when(i == j, F.col(name))).alias(name) for name in single],
-            *[F.sum(F.when((i == 0) & (j == 0), F.col(name))).alias(name) for name in whole],
-        )
+        .agg(*[F.expr(f"sum({scope[m].format(m)}) AS {m}") for m in measures])
         .collect()
     )
-    out: dict = {name: np.zeros((design.p, design.p)) for name in pair}
-    out.update({name: np.zeros(design.p) for name in single})
+    out: dict = {m: np.zeros((design.p, design.p)) for m in pair}
+    out.update({m: np.zeros(design.p) for m in single})
     for r in rows:
         a, b = r["i"], r["j"]
-        for name in pair:
-            out[name][a, b] = out[name][b, a] = r[name]
+        for m in pair:
+            out[m][a, b] = out[m][b, a] = r[m]
         if a == b:
-            for name in single:
-                out[name][a] = r[name]
+            for m in single:
+                out[m][a] = r[m]
         if a == b == 0:
-            out.update({name: r[name] for name in whole})
+            out.update({m: r[m] for m in whole})
     return out
 
 
@@ -131,26 +132,22 @@ def fit_nb(
         start[0] = math.log(design.mean)
     beta = np.array(start, dtype=float)
     theta = theta if fixed else min(moment_theta(design.mean, design.variance), THETA_CAP)
-    y, n = F.col("y").cast("double"), F.col("n").cast("double")
-    mu = F.col("mu")
 
     def evaluate(beta: np.ndarray, theta: float) -> dict:
-        cells = design.cells.withColumn("mu", F.exp(design.linear(beta)))
-        t = F.lit(float(theta))
-        spread = t + mu
+        cells = design.cells.selectExpr("*", f"exp({design.linear(beta)}) AS mu", f"{parameter(theta)} AS t")
         return pair_sums(
             design,
             cells,
             pair={
-                "observed": n * t * mu * (y + t) / (spread * spread),
-                "expected": n * mu * t / spread,
+                "observed": "n * t * mu * (y + t) / ((t + mu) * (t + mu))",
+                "expected": "n * mu * t / (t + mu)",
             },
-            single={"score": n * t * (y - mu) / spread},
+            single={"score": "n * t * (y - mu) / (t + mu)"},
             whole={
-                "loglik": n * nb_log_pmf(y, mu, t),
-                "deviance": n * nb_unit_deviance(y, mu, t),
-                "theta_score": n * nb_theta_score(y, mu, t),
-                "theta_curvature": n * nb_theta_curvature(y, mu, t),
+                "loglik": f"n * {nb_log_pmf('y', 'mu', 't')}",
+                "deviance": f"n * {nb_unit_deviance('y', 'mu', 't')}",
+                "theta_score": f"n * {nb_theta_score('y', 'mu', 't')}",
+                "theta_curvature": f"n * {nb_theta_curvature('y', 'mu', 't')}",
             },
         )
 
@@ -191,16 +188,9 @@ def fit_nb(
 
 def fit_ols(design: Design) -> Fit:
     """Gaussian linear model from one pass of cross-products."""
-    y, n = F.col("y").cast("double"), F.col("n").cast("double")
     # Centring keeps the residual sum of squares from cancelling.
-    centred = y - F.lit(design.mean)
-    sums = pair_sums(
-        design,
-        design.cells,
-        pair={"xx": n},
-        single={"xy": n * centred},
-        whole={"yy": n * centred * centred},
-    )
+    cells = design.cells.selectExpr("*", f"y - {parameter(design.mean)} AS d")
+    sums = pair_sums(design, cells, pair={"xx": "n"}, single={"xy": "n * d"}, whole={"yy": "n * d * d"})
     beta = np.linalg.solve(sums["xx"], sums["xy"])
     rss = float(sums["yy"] - beta @ sums["xy"])
     beta[0] += design.mean
@@ -235,50 +225,50 @@ def fit_zinb(design: Design, start: Fit | None = None, max_iter: int = 100, tol:
     """
     nb = start or fit_nb(design)
     p = design.p
-    y, n = F.col("y").cast("double"), F.col("n").cast("double")
-    mu, pi = F.col("mu"), F.col("pi")
 
     def evaluate(x: np.ndarray) -> dict:
         beta, gamma, theta = x[:p], x[p : 2 * p], math.exp(x[2 * p])
-        t = F.lit(float(theta))
-        zeta = design.linear(gamma)
-        cells = design.cells.withColumns({"mu": F.exp(design.linear(beta)), "pi": 1 / (1 + F.exp(-zeta))})
-        cells = cells.withColumns({"f0": nb_zero(mu, t)})
-        cells = cells.withColumn("r", F.col("pi") / (F.col("pi") + (1 - F.col("pi")) * F.col("f0")))
-        r, zero, d = F.col("r"), y == 0, t + mu
-
-        # Derivatives of log f(y) in the linear predictor e and in theta.
-        g_e = t * (y - mu) / d
-        g_ee = -t * mu * (y + t) / (d * d)
-        g_t = F.when(zero, F.log(t / d) + mu / d).otherwise(nb_theta_score(y, mu, t))
-        g_et = (y - mu) * mu / (d * d)
-        g_tt = F.when(zero, mu * mu / (t * d * d)).otherwise(nb_theta_curvature(y, mu, t))
-        # A zero is a count zero with probability 1 - r; s is the variance of that split.
-        c = F.when(zero, 1 - r).otherwise(1.0)
-        s = F.when(zero, r * (1 - r)).otherwise(0.0)
-        split = F.when(zero, r).otherwise(0.0)
-        likelihood = F.when(zero, F.log(pi + (1 - pi) * F.col("f0"))).otherwise(
-            F.log1p(-pi) + nb_log_pmf(y, mu, t)
+        # g_*: derivatives of log f(y) in the linear predictor e and in theta. A zero is a count
+        # zero with probability 1 - r: c is that weight, s the variance of the split.
+        cells = (
+            design.cells.selectExpr(
+                "*",
+                f"exp({design.linear(beta)}) AS mu",
+                f"{logistic(design.linear(gamma))} AS pi",
+                f"{parameter(theta)} AS t",
+            )
+            .selectExpr("*", "t + mu AS d", f"{nb_zero('mu', 't')} AS f0")
+            .selectExpr("*", "CASE WHEN y = 0 THEN pi / (pi + (1D - pi) * f0) ELSE 0D END AS r")
+            .selectExpr(
+                "*",
+                "1D - r AS c",
+                "r * (1D - r) AS s",
+                "t * (y - mu) / d AS g_e",
+                "-t * mu * (y + t) / (d * d) AS g_ee",
+                "(y - mu) * mu / (d * d) AS g_et",
+                f"CASE WHEN y = 0 THEN ln(t / d) + mu / d ELSE {nb_theta_score('y', 'mu', 't')} END AS g_t",
+                f"CASE WHEN y = 0 THEN mu * mu / (t * d * d) ELSE {nb_theta_curvature('y', 'mu', 't')} END AS g_tt",
+            )
         )
-        theta_score = c * g_t
         sums = pair_sums(
             design,
             cells,
             pair={
-                "cc": n * (s * g_e * g_e + c * g_ee),
-                "cz": n * (-s * g_e),
-                "zz": n * (s - pi * (1 - pi)),
+                "cc": "n * (s * g_e * g_e + c * g_ee)",
+                "cz": "-n * s * g_e",
+                "zz": "n * (s - pi * (1D - pi))",
             },
             single={
-                "sc": n * c * g_e,
-                "sz": n * (split - pi),
-                "ct": n * t * (s * g_e * g_t + c * g_et),
-                "zt": n * t * (-s * g_t),
+                "sc": "n * c * g_e",
+                "sz": "n * (r - pi)",
+                "ct": "n * t * (s * g_e * g_t + c * g_et)",
+                "zt": "-n * t * s * g_t",
             },
             whole={
-                "loglik": n * likelihood,
-                "st": n * t * theta_score,
-                "tt": n * (t * t * (s * g_t * g_t + c * g_tt) + t * theta_score),
+                "loglik": f"n * CASE WHEN y = 0 THEN ln(pi + (1D - pi) * f0) "
+                f"ELSE ln(1D - pi) + {nb_log_pmf('y', 'mu', 't')} END",
+                "st": "n * t * c * g_t",
+                "tt": "n * (t * t * (s * g_t * g_t + c * g_tt) + t * c * g_t)",
             },
         )
         q = 2 * p + 1

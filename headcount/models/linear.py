@@ -6,55 +6,46 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from headcount.functions import level_ord, round_half_even
+from headcount.functions.columns import level_ord, literal, round_half_even
 from headcount.models.table import INTERCEPT, model_table
 
 
 def _levels(df: DataFrame, y: str, factor: str, levels: Sequence[str]) -> DataFrame:
-    v, n = F.col("y"), F.col("n")
+    sums = ("sum(n) AS n", "sum(y * n) AS s1", "sum(CAST(y AS DOUBLE) * y * n) AS s2")
     return (
         model_table(df, y, [factor])
         .groupBy(F.col(factor).alias("level"))
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum(v * n).alias("s1"),
-            F.sum(v.cast("double") * v * n).alias("s2"),
-        )
-        .withColumn("mean", F.col("s1") / F.col("n"))
-        .withColumn("ord", level_ord("level", levels))
+        .agg(*[F.expr(s) for s in sums])
+        .selectExpr("*", "s1 / n AS mean", f"{level_ord('level', levels)} AS ord")
     )
 
 
 def ols_oneway(df: DataFrame, y: str, factor: str, levels: Sequence[str]) -> DataFrame:
-    """(level, estimate, se, sigma): level means against the first observed level."""
-    everything = Window.partitionBy()
-    means = _levels(df, y, factor, levels)
-    residual = F.sum(F.col("s2") - F.col("s1") * F.col("mean")).over(everything)
-    freedom = (F.sum("n").over(everything) - F.count("*").over(everything)).cast("double")
-    means = means.withColumns(
-        {
-            "sigma2": residual / freedom,
-            "ref": F.min(F.struct("ord", "mean", "n")).over(everything),
-        }
-    )
-    is_ref = F.col("ord") == F.col("ref.ord")
-    return means.select(
-        F.when(is_ref, INTERCEPT).otherwise(F.col("level")).alias("level"),
-        F.when(is_ref, F.col("mean")).otherwise(F.col("mean") - F.col("ref.mean")).alias("estimate"),
-        F.sqrt(
-            F.col("sigma2") * (1 / F.col("n") + F.when(is_ref, F.lit(0.0)).otherwise(1 / F.col("ref.n")))
-        ).alias("se"),
-        F.sqrt("sigma2").alias("sigma"),
+    """(level, estimate, se, sigma): level means against the first observed level. The windows run
+    over one row per level."""
+    return (
+        _levels(df, y, factor, levels)
+        .selectExpr(
+            "*",
+            "sum(s2 - s1 * mean) OVER () / (sum(n) OVER () - count(*) OVER ()) AS sigma2",
+            "min(struct(ord, mean, n)) OVER () AS ref",
+        )
+        .selectExpr(
+            f"CASE WHEN ord = ref.ord THEN {literal(INTERCEPT)} ELSE level END AS level",
+            "CASE WHEN ord = ref.ord THEN mean ELSE mean - ref.mean END AS estimate",
+            "sqrt(sigma2 * (1D / n + CASE WHEN ord = ref.ord THEN 0D ELSE 1D / ref.n END)) AS se",
+            "sqrt(sigma2) AS sigma",
+        )
     )
 
 
 def ols_oneway_distribution(df: DataFrame, y: str, factor: str, levels: Sequence[str]) -> DataFrame:
     """(x, OLS): predictions rounded to whole numbers, as shares of rows."""
-    rounded = (
+    return (
         _levels(df, y, factor, levels)
-        .groupBy(round_half_even("mean").cast("int").alias("x"))
+        .selectExpr(f"CAST({round_half_even('mean')} AS INT) AS x", "n")
+        .groupBy("x")
         .agg(F.sum("n").alias("n"))
+        .selectExpr("x", "n / sum(n) OVER () AS OLS")
     )
-    return rounded.select("x", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("OLS"))

@@ -12,11 +12,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from headcount.functions import level_ord
+from headcount.functions.columns import classify, is_in, level_ord, literal
 from headcount.functions.special import (
     nb_log_pmf,
     nb_theta_curvature,
@@ -25,7 +24,7 @@ from headcount.functions.special import (
     nb_zero,
 )
 from headcount.models.fit import THETA_CAP, _theta_step, moment_theta
-from headcount.models.table import INTERCEPT, keep, model_table
+from headcount.models.table import INTERCEPT, ZERO, keep, model_table, parameters
 
 NULL_MODEL = "(null)"
 Z95 = NormalDist().inv_cdf(0.975)
@@ -41,25 +40,19 @@ class OneWay:
     iterations: dict[str, int]
     converged: dict[str, bool]
 
-    def theta_column(self) -> Column:
+    def theta_text(self) -> str:
         return _by_term(self.theta)
 
-    def se_theta_column(self) -> Column:
+    def se_theta_text(self) -> str:
         return _by_term(self.se_theta)
 
 
-def _by_term(values: Mapping[str, float | None]) -> Column:
-    out = None
-    for term, v in values.items():
-        hit, value = F.col("term") == term, F.lit(v).cast("double")
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out
+def _by_term(values: Mapping[str, float | None]) -> str:
+    return f"CAST({classify([(f'term = {literal(t)}', v) for t, v in values.items()])} AS DOUBLE)"
 
 
 def _null_cells(df: DataFrame, y: str) -> DataFrame:
-    return model_table(df, y, []).select(
-        F.lit(NULL_MODEL).alias("term"), F.lit("").alias("level"), F.lit(1).alias("ord"), "y", "n"
-    )
+    return model_table(df, y, []).selectExpr(f"{literal(NULL_MODEL)} AS term", "'' AS level", "1 AS ord", "y", "n")
 
 
 def _factor_cells(df: DataFrame, y: str, factors: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -68,15 +61,12 @@ def _factor_cells(df: DataFrame, y: str, factors: Mapping[str, Sequence[str]]) -
     long = (
         model_table(df, y, names, complete=False)
         .unpivot(["y", "n"], names, "term", "level")
-        .filter(F.col("level").isNotNull())
+        .filter("level IS NOT NULL")
         .groupBy("term", "level", "y")
         .agg(F.sum("n").alias("n"))
     )
-    place = None
-    for f in names:
-        hit, at = F.col("term") == f, level_ord("level", factors[f])
-        place = F.when(hit, at) if place is None else place.when(hit, at)
-    return long.withColumn("ord", place)
+    places = " ".join(f"WHEN {literal(f)} THEN {level_ord('level', levels)}" for f, levels in factors.items())
+    return long.selectExpr("term", "level", f"CASE term {places} END AS ord", "y", "n")
 
 
 def fit_oneway(
@@ -84,16 +74,17 @@ def fit_oneway(
 ) -> OneWay:
     """Fit the null model (no factors) or one model per factor."""
     cells = _factor_cells(df, y, factors) if factors else _null_cells(df, y)
-    level = Window.partitionBy("term", "level")
-    yn = F.col("y").cast("double") * F.col("n")
-    cells = keep(cells.withColumn("mu", F.sum(yn).over(level) / F.sum("n").over(level)))
-
-    yv, n, mu = F.col("y").cast("double"), F.col("n").cast("double"), F.col("mu")
+    level = "PARTITION BY term, level"
+    cells = keep(
+        cells.selectExpr("term", "level", "ord", "CAST(y AS DOUBLE) AS y", "n").selectExpr(
+            "*", f"0 AS {ZERO}", f"sum(y * n) OVER ({level}) / sum(n) OVER ({level}) AS mu"
+        )
+    )
     start = (
         cells.groupBy("term")
         .agg(
-            (F.sum(n * mu) / F.sum(n)).alias("mean"),
-            (F.sum(n * (yv - mu) * (yv - mu)) / F.sum(n)).alias("variance"),
+            F.expr("sum(n * mu) / sum(n) AS mean"),
+            F.expr("sum(n * (y - mu) * (y - mu)) / sum(n) AS variance"),
         )
         .collect()
     )
@@ -104,14 +95,15 @@ def fit_oneway(
     curvature: dict[str, float] = {}
 
     for _ in range(max_iter):
-        t = _by_term({k: theta[k] for k in sorted(theta)})
+        order = sorted(theta)
+        place = classify([(f"term = {literal(k)}", i) for i, k in enumerate(order)])
         rows = (
-            cells.filter(F.col("term").isin(sorted(open_terms)))
-            .withColumn("theta", t)
+            cells.filter(is_in("term", sorted(open_terms)))
+            .selectExpr("term", "y", "n", "mu", f"get({parameters([theta[k] for k in order])}, {place}) AS t")
             .groupBy("term")
             .agg(
-                F.sum(n * nb_theta_score(yv, mu, F.col("theta"))).alias("score"),
-                F.sum(n * nb_theta_curvature(yv, mu, F.col("theta"))).alias("curvature"),
+                F.expr(f"sum(n * {nb_theta_score('y', 'mu', 't')}) AS score"),
+                F.expr(f"sum(n * {nb_theta_curvature('y', 'mu', 't')}) AS curvature"),
             )
             .collect()
         )
@@ -136,135 +128,143 @@ def fit_oneway(
 
 
 def level_means(fit: OneWay) -> DataFrame:
-    """(term, level, ord, n, mean, w): one row per level; w is the information on its log mean."""
-    t, mu = fit.theta_column(), F.col("mean")
+    """(term, level, ord, n, mean, theta, w): one row per level; w is the information on its log mean."""
     return (
         fit.cells.groupBy("term", "level", "ord")
         .agg(F.sum("n").alias("n"), F.first("mu").alias("mean"))
-        .withColumn("theta", t)
-        .withColumn("w", F.col("n") * mu / (1 + mu / F.col("theta")))
+        .selectExpr("*", f"{fit.theta_text()} AS theta")
+        .selectExpr("*", "n * mean / (1D + mean / theta) AS w")
     )
 
 
-def _with_reference(levels: DataFrame) -> DataFrame:
-    """Beside each level, the mean and information of its model's first level with a positive mean."""
-    term = Window.partitionBy("term")
-    usable = F.when(F.col("mean") > 0, F.struct("ord", "mean", "w"))
-    return levels.withColumn("ref", F.min(usable).over(term)).withColumn(
-        "is_ref", F.col("ord") == F.col("ref.ord")
+def _log_ratios(fit: OneWay) -> DataFrame:
+    """Levels beside their model's reference, the first level with a positive mean.
+
+    A level with a mean of 0 has no finite log ratio; its ``log_ratio`` and ``se`` are NULL.
+    """
+    usable = "CASE WHEN mean > 0 THEN struct(ord, mean, w) END"
+    return (
+        level_means(fit)
+        .selectExpr("*", f"min({usable}) OVER (PARTITION BY term) AS ref")
+        .selectExpr(
+            "*",
+            "ord = ref.ord AS is_ref",
+            "CASE WHEN mean > 0 THEN ln(mean) - ln(ref.mean) END AS log_ratio",
+            "CASE WHEN mean > 0 THEN sqrt(try_divide(1D, w) + 1D / ref.w) END AS se",
+        )
     )
 
 
 def coefficients(fit: OneWay) -> DataFrame:
-    """(term, level, estimate, se, theta): log mean of the reference, log ratios of the others.
-
-    A level with a mean of 0 has no finite log ratio; its estimate and standard error are NULL.
-    """
-    levels = _with_reference(level_means(fit))
-    ref, w = F.col("ref"), F.col("w")
-    own = F.when(F.col("mean") > 0, F.log(F.col("mean")))
-    return levels.select(
+    """(term, level, estimate, se, theta): log mean of the reference, log ratios of the others."""
+    return _log_ratios(fit).selectExpr(
         "term",
-        F.when(F.col("is_ref"), INTERCEPT).otherwise(F.col("level")).alias("level"),
-        F.when(F.col("is_ref"), own).otherwise(own - F.log(ref["mean"])).alias("estimate"),
-        F.when(F.col("is_ref"), F.sqrt(1 / w))
-        .when(F.col("mean") > 0, F.sqrt(F.try_divide(F.lit(1.0), w) + 1 / ref["w"]))
-        .alias("se"),
+        f"CASE WHEN is_ref THEN {literal(INTERCEPT)} ELSE level END AS level",
+        "CASE WHEN is_ref THEN ln(ref.mean) ELSE log_ratio END AS estimate",
+        "CASE WHEN is_ref THEN sqrt(1D / ref.w) ELSE se END AS se",
         "theta",
     )
 
 
 def fit_summary(fit: OneWay) -> DataFrame:
     """(term, n, p, theta, se_theta, loglik, deviance, aic): one row per model; theta counts in the AIC."""
-    y, n, mu, t = F.col("y").cast("double"), F.col("n"), F.col("mu"), F.col("theta")
+    aggregates = {
+        "n": "sum(n)",
+        "p": "count(DISTINCT CASE WHEN mu > 0 THEN level END)",
+        "theta": "first(t)",
+        "loglik": f"sum(n * {nb_log_pmf('y', 'mu', 't')})",
+        "deviance": f"sum(n * {nb_unit_deviance('y', 'mu', 't')})",
+    }
     return (
-        fit.cells.withColumn("theta", fit.theta_column())
+        fit.cells.selectExpr("*", f"{fit.theta_text()} AS t")
         .groupBy("term")
-        .agg(
-            F.sum("n").alias("n"),
-            F.count_distinct(F.when(mu > 0, F.col("level"))).alias("p"),
-            F.first("theta").alias("theta"),
-            F.sum(n * nb_log_pmf(y, mu, t)).alias("loglik"),
-            F.sum(n * nb_unit_deviance(y, mu, t)).alias("deviance"),
+        .agg(*[F.expr(f"{text} AS {s}") for s, text in aggregates.items()])
+        .selectExpr(
+            "term",
+            "n",
+            "p",
+            "theta",
+            f"{fit.se_theta_text()} AS se_theta",
+            "loglik",
+            "deviance",
+            "-2D * loglik + 2D * (p + 1) AS aic",
         )
-        .withColumn("se_theta", fit.se_theta_column())
-        .withColumn("aic", -2 * F.col("loglik") + 2 * (F.col("p") + 1))
-        .select("term", "n", "p", "theta", "se_theta", "loglik", "deviance", "aic")
     )
 
 
 def rate_ratios(fit: OneWay) -> DataFrame:
     """Incidence rate ratios with Wald limits, reference level first, and the model's fit figures."""
-    levels = _with_reference(level_means(fit))
-    ref = F.col("ref")
-    log_ratio = F.when(F.col("mean") > 0, F.log(F.col("mean") / ref["mean"]))
-    se = F.when(F.col("mean") > 0, F.sqrt(F.try_divide(F.lit(1.0), F.col("w")) + 1 / ref["w"]))
-    bound = lambda sign: F.when(~F.col("is_ref"), F.exp(log_ratio + sign * Z95 * se))
-    ratios = levels.select(
+    ratios = _log_ratios(fit).selectExpr(
         "term",
         "level",
-        F.col("ord").alias("level_ord"),
-        F.col("is_ref").alias("reference"),
-        F.exp(log_ratio).alias("irr"),
-        bound(-1).alias("conf_low"),
-        bound(1).alias("conf_high"),
-        F.when(~F.col("is_ref"), se).alias("se_log"),
+        "ord AS level_ord",
+        "is_ref AS reference",
+        "exp(log_ratio) AS irr",
+        f"CASE WHEN NOT is_ref THEN exp(log_ratio - {Z95}D * se) END AS conf_low",
+        f"CASE WHEN NOT is_ref THEN exp(log_ratio + {Z95}D * se) END AS conf_high",
+        "CASE WHEN NOT is_ref THEN se END AS se_log",
     )
     return ratios.join(fit_summary(fit).select("term", "n", "loglik", "deviance", "aic"), "term")
 
 
 def likelihood_ratio(fit: OneWay) -> DataFrame:
     """(term, df, statistic): test of the factor against a common mean, theta held at the fit."""
-    levels = level_means(fit)
-    term = Window.partitionBy("term")
-    common = F.sum(F.col("n") * F.col("mean")).over(term) / F.sum("n").over(term)
-    m, m0, t, n = F.col("mean"), F.col("common"), F.col("theta"), F.col("n")
-    gain = F.when(m > 0, n * m * F.log(m / m0)).otherwise(0.0) - n * (m + t) * F.log((m + t) / (m0 + t))
+    term = "PARTITION BY term"
+    gain = (
+        "CASE WHEN mean > 0 THEN n * mean * ln(mean / common) ELSE 0D END"
+        " - n * (mean + theta) * ln((mean + theta) / (common + theta))"
+    )
     return (
-        levels.withColumn("common", common)
+        level_means(fit)
+        .selectExpr("*", f"sum(n * mean) OVER ({term}) / sum(n) OVER ({term}) AS common")
         .groupBy("term")
-        .agg((F.count("*") - 1).alias("df"), (2 * F.sum(gain)).alias("statistic"))
+        .agg(F.expr("count(*) - 1 AS df"), F.expr(f"2D * sum({gain}) AS statistic"))
     )
 
 
 def theta_interval(fit: OneWay) -> DataFrame:
-    """(term, theta, se_theta, conf_low, conf_high), over the small summary."""
-    summary = fit_summary(fit).select("term", "theta", "se_theta")
-    return summary.withColumns(
-        {
-            "conf_low": F.col("theta") - Z95 * F.col("se_theta"),
-            "conf_high": F.col("theta") + Z95 * F.col("se_theta"),
-        }
+    """(term, theta, se_theta, conf_low, conf_high)."""
+    margin = f"{Z95}D * {fit.se_theta_text()}"
+    return (
+        fit.cells.select("term")
+        .distinct()
+        .selectExpr(
+            "term",
+            f"{fit.theta_text()} AS theta",
+            f"{fit.se_theta_text()} AS se_theta",
+            f"{fit.theta_text()} - {margin} AS conf_low",
+            f"{fit.theta_text()} + {margin} AS conf_high",
+        )
     )
 
 
 def size_and_probability(fit: OneWay) -> DataFrame:
     """(term, level, size, mu, prob): the success-probability form of each level's distribution."""
-    t, mu = F.col("theta"), F.col("mean")
-    return level_means(fit).select("term", "level", t.alias("size"), mu.alias("mu"), (t / (t + mu)).alias("prob"))
+    return level_means(fit).selectExpr(
+        "term", "level", "theta AS size", "mean AS mu", "theta / (theta + mean) AS prob"
+    )
 
 
 def zero_counts(fit: OneWay) -> DataFrame:
     """(term, observed, expected): zeros in the data and zeros the model expects."""
-    n = F.col("n")
     return (
-        fit.cells.withColumn("theta", fit.theta_column())
+        fit.cells.selectExpr("*", f"{fit.theta_text()} AS t")
         .groupBy("term")
         .agg(
-            F.coalesce(F.sum(F.when(F.col("y") == 0, n)), F.lit(0)).alias("observed"),
-            F.sum(n * nb_zero(F.col("mu"), F.col("theta"))).alias("expected"),
+            F.expr("coalesce(sum(CASE WHEN y = 0 THEN n END), 0) AS observed"),
+            F.expr(f"sum(n * {nb_zero('mu', 't')}) AS expected"),
         )
     )
 
 
 def distribution(fit: OneWay, kmax: int | None = None) -> DataFrame:
     """(term, x, prob): mean over rows of P(Y = x) for x = 0..kmax, by default up to the largest y."""
-    top = kmax if kmax is not None else fit.cells.agg(F.max("y")).first()[0]
-    k = F.col("x").cast("double")
+    top = kmax if kmax is not None else int(fit.cells.agg(F.max("y")).first()[0])
     return (
         level_means(fit)
-        .withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("term")))
-        .select("term", "mean", "theta", "share", F.explode(F.sequence(F.lit(0), F.lit(int(top)))).alias("x"))
+        .selectExpr("term", "mean", "theta", "n / sum(n) OVER (PARTITION BY term) AS share")
+        .selectExpr("*", f"explode(sequence(0, {top})) AS x")
+        .selectExpr("term", "x", f"share * exp({nb_log_pmf('x', 'mean', 'theta')}) AS part")
         .groupBy("term", "x")
-        .agg(F.sum(F.col("share") * F.exp(nb_log_pmf(k, F.col("mean"), F.col("theta")))).alias("prob"))
+        .agg(F.sum("part").alias("prob"))
     )

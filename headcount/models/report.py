@@ -10,10 +10,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headcount.functions import round_half_even
+from headcount.functions.columns import literal, round_half_even
 from headcount.functions.special import nb_log_pmf, nb_zero
 from headcount.models.fit import Fit, fit_nb
-from headcount.models.table import INTERCEPT
+from headcount.models.table import ZERO, parameter
 
 _NORMAL = NormalDist()
 Z95 = _NORMAL.inv_cdf(0.975)
@@ -149,46 +149,45 @@ def drop_one_lrt(spark: SparkSession, fit: Fit) -> DataFrame:
 
 
 def patterns(fit: Fit) -> DataFrame:
-    """One row per combination of factor levels: (mu, pi, n). Never one per respondent."""
-    keys = list(fit.design.index.values())
-    grouped = fit.design.cells.groupBy(*keys).agg(F.sum("n").alias("n"))
-    pi = F.lit(0.0) if fit.zero is None else fit.structural_zero()
-    return grouped.select(fit.mean().alias("mu"), pi.alias("pi"), "n")
-
-
-def predicted_distribution(fit: Fit, kmax: int | None = None, name: str = "prob") -> DataFrame:
-    """(x, prob): mean over respondents of P(Y = x), for x = 0..kmax."""
-    top = kmax if kmax is not None else fit.design.cells.agg(F.max("y")).first()[0]
-    theta, k = F.lit(float(fit.theta)), F.col("x").cast("double")
-    pmf = (1 - F.col("pi")) * F.exp(nb_log_pmf(k, F.col("mu"), theta)) + F.when(F.col("x") == 0, F.col("pi")).otherwise(
-        0.0
+    """One row per combination of factor levels: (mu, pi, t, n). Never one per respondent."""
+    slots = [ZERO, *fit.design.index.values()]
+    return (
+        fit.design.cells.groupBy(*slots)
+        .agg(F.sum("n").alias("n"))
+        .selectExpr(
+            f"{fit.mean()} AS mu", f"{fit.structural_zero()} AS pi", f"{parameter(fit.theta)} AS t", "n"
+        )
     )
+
+
+def predicted_distribution(fit: Fit, kmax: int | None = None, prob: str = "prob") -> DataFrame:
+    """(x, probability): mean over respondents of P(Y = x), for x = 0..kmax."""
+    top = kmax if kmax is not None else int(fit.design.cells.agg(F.max("y")).first()[0])
+    pmf = f"(1D - pi) * exp({nb_log_pmf('x', 'mu', 't')}) + CASE WHEN x = 0 THEN pi ELSE 0D END"
     return (
         patterns(fit)
-        .select("mu", "pi", "n", F.explode(F.sequence(F.lit(0), F.lit(int(top)))).alias("x"))
+        .selectExpr("*", f"explode(sequence(0, {top})) AS x")
+        .selectExpr("x", "n", f"n * ({pmf}) AS expected")
         .groupBy("x")
-        .agg((F.sum(F.col("n") * pmf) / F.sum("n")).alias(name))
+        .agg(F.expr(f"sum(expected) / sum(n) AS {prob}"))
     )
 
 
-def ols_distribution(fit: Fit, name: str = "OLS") -> DataFrame:
+def ols_distribution(fit: Fit, share: str = "OLS") -> DataFrame:
     """(x, share): linear predictions rounded to whole numbers."""
-    x = round_half_even(fit.design.linear(fit.beta)).cast("int").alias("x")
-    counts = fit.design.cells.groupBy(x).agg(F.sum("n").alias("n"))
-    return counts.select("x", (F.col("n") / F.lit(fit.design.n)).alias(name))
+    return (
+        fit.design.cells.selectExpr(f"CAST({round_half_even(fit.design.linear(fit.beta))} AS INT) AS x", "n")
+        .groupBy("x")
+        .agg(F.expr(f"sum(n) / {fit.design.n} AS {share}"))
+    )
 
 
 def zero_count_table(fits: Sequence[Fit]) -> DataFrame:
     """(model, zeros): observed zeros, then the zeros each model expects."""
-    design = fits[0].design
-    out = design.cells.agg(
-        F.lit("Observed").alias("model"),
-        F.coalesce(F.sum(F.when(F.col("y") == 0, F.col("n"))), F.lit(0)).cast("double").alias("zeros"),
+    out = fits[0].design.cells.selectExpr(
+        "'Observed' AS model", "coalesce(sum(CASE WHEN y = 0 THEN n END), 0D) AS zeros"
     )
     for fit in fits:
-        pi = F.col("pi")
-        zero = pi + (1 - pi) * nb_zero(F.col("mu"), F.lit(float(fit.theta)))
-        out = out.unionByName(
-            patterns(fit).agg(F.lit(fit.model).alias("model"), F.sum(F.col("n") * zero).alias("zeros"))
-        )
+        expected = f"sum(n * (pi + (1D - pi) * {nb_zero('mu', 't')}))"
+        out = out.unionByName(patterns(fit).selectExpr(f"{literal(fit.model)} AS model", f"{expected} AS zeros"))
     return out

@@ -7,9 +7,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headcount.functions.columns import literal, name, recode, with_exprs
+
 INTERCEPT = "(Intercept)"
 
 
@@ -49,6 +51,20 @@ def model_table(df: DataFrame, y: str, factors: Sequence[str], complete: bool =
 
 REFERENCE, ALL_ZERO = -1, -2
 
+# A stored column of zeros. Parameters are read as get(array, column): with a column for an index
+# Spark cannot fold the array into the expression, so the generated code is the same in every
+# fitting step and compiles once.
+ZERO = "i_"
+
+
+def parameters(values: Sequence[float]) -> str:
+    """Numbers as an array in SQL text."""
+    return "array(" + ", ".join(literal(float(v)) for v in values) + ")"
+
+
+def parameter(value: float) -> str:
+    return f"get({parameters([value])}, {ZERO})"
+
 
 @dataclass(frozen=True)
 class Design:
@@ -76,28 +92,25 @@ class Design:
     def p(self) -> int:
         return len(self.terms)
 
-    def slots(self) -> list[Column]:
+    def slots(self) -> list[str]:
         """Active coefficient of each factor, after the intercept."""
-        return [F.lit(0), *[F.col(c) for c in self.index.values()]]
+        return [ZERO, *[name(c) for c in self.index.values()]]
 
-    def linear(self, coefficients: Sequence[float]) -> Column:
+    def linear(self, coefficients: Sequence[float]) -> str:
         """Linear predictor. A reference slot is out of the array's bounds and adds nothing."""
-        beta = F.array(*[F.lit(float(b)) for b in coefficients])
-        eta = F.lit(float(coefficients[0]))
-        for c in self.index.values():
-            eta = eta + F.coalesce(F.get(beta, F.col(c)), F.lit(0.0))
-        return eta
+        beta = parameters(coefficients)
+        return "(" + " + ".join(f"coalesce(get({beta}, {slot}), 0D)" for slot in self.slots()) + ")"
 
     def without(self, factor: str) -> Design:
         """The nested design that leaves one factor out, over the same cells."""
         kept = [i for i, (term, _) in enumerate(self.terms) if term != factor]
         place = {old: new for new, old in enumerate(kept)}
-        moved = F.array(*[F.lit(place.get(i, REFERENCE)) for i in range(self.p)])
+        moved = "array(" + ", ".join(literal(place.get(i, REFERENCE)) for i in range(self.p)) + ")"
         index = {f: c for f, c in self.index.items() if f != factor}
-        renumbered = {c: F.when(F.col(c) < 0, F.col(c)).otherwise(F.get(moved, F.col(c))) for c in index.values()}
+        renumbered = {c: f"CASE WHEN {name(c)} < 0 THEN {name(c)} ELSE get({moved}, {name(c)}) END" for c in index.values()}
         return replace(
             self,
-            coded=self.coded.withColumns(renumbered).drop(self.index[factor]),
+            coded=with_exprs(self.coded.drop(self.index[factor]), renumbered),
             index=index,
             terms=[self.terms[i] for i in kept],
             reference={f: r for f, r in self.reference.items() if f != factor},
@@ -125,7 +138,7 @@ def build_design(
     )
     totals = {(r["term"], r["level"]): r["total"] for r in margins}
     terms, reference, all_zero, index = [(INTERCEPT, "")], {}, [], {}
-    columns = {}
+    columns = []
     for f in names:
         unlisted = [level for term, level in totals if term == f and level not in factors[f]]
         if unlisted:
@@ -136,18 +149,15 @@ def build_design(
             raise ValueError(f"the outcome is 0 in every row, so factor {f!r} cannot be fitted")
         all_zero += [(f, level) for level in seen if level not in usable]
         reference[f] = usable[0]
-        slot = F.lit(REFERENCE)
+        slots = {level: ALL_ZERO for level in seen if level not in usable}
+        slots[usable[0]] = REFERENCE
         for level in usable[1:]:
-            slot = F.when(F.col(f) == level, F.lit(len(terms))).otherwise(slot)
+            slots[level] = len(terms)
             terms.append((f, level))
-        for level in seen:
-            if level not in usable:
-                slot = F.when(F.col(f) == level, F.lit(ALL_ZERO)).otherwise(slot)
         index[f] = f"i_{f}"
-        columns[f] = slot
-    coded = keep(cells.select(*[columns[f].alias(index[f]) for f in names], F.col("y"), F.col("n")))
-    y, n = F.col("y").cast("double"), F.col("n").cast("double")
-    m = coded.agg(F.sum("n").alias("n"), F.sum(y * n).alias("s1"), F.sum(y * y * n).alias("s2")).first()
+        columns.append(f"{recode(name(f), slots)} AS {name(index[f])}")
+    coded = keep(cells.selectExpr(*columns, f"0 AS {ZERO}", "CAST(y AS DOUBLE) AS y", "CAST(n AS DOUBLE) AS n"))
+    m = coded.selectExpr("sum(n) AS n", "sum(y * n) AS s1", "sum(y * y * n) AS s2").first()
     mean = m["s1"] / m["n"]
     variance = (m["s2"] - m["n"] * mean * mean) / max(m["n"] - 1, 1)
-    return Design(coded, index, terms, reference, all_zero, m["n"], mean, variance)
+    return Design(coded, index, terms, reference, all_zero, int(m["n"]), mean, variance)

@@ -8,12 +8,14 @@ group that holds a third of all rows is then no larger than any other.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from headcount.functions.columns import name
+
 N = "n"
 VALUE = "value"
 
@@ -29,48 +31,49 @@ def require_integer(df: DataFrame, cols: Sequence[str]) -> None:
             )
 
 
-def value_cells(df: DataFrame, keys: Sequence, value: str, weight: Column | None = None) -> DataFrame:
+def value_cells(df: DataFrame, keys: Sequence, value: str) -> DataFrame:
     """One row per (keys, value) with its row count ``n``."""
-    count = F.count("*") if weight is None else F.sum(weight)
-    return df.groupBy(*keys, F.col(value).alias(VALUE)).agg(count.alias(N))
-
-
-def question_cells(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name: str = "variable") -> DataFrame:
-    """Cells of several value columns at once, told apart by ``name``: one scan, one shuffle."""
-    long = df.select(*keys, *[F.col(c).cast("bigint").alias(c) for c in cols]).unpivot(
-        list(keys), list(cols), name, VALUE
-    )
-    return value_cells(long, [*keys, name], VALUE)
-
-
-def _weighted(value: Column, n: Column) -> Column:
-    return F.sum(value * n)
-
-
-def cell_stats(value: str = VALUE, n: str = N) -> dict[str, Column]:
-    """Aggregates over cells, by the name of the statistic.
-
-    Sums are exact (decimal for squares), so the variance loses nothing to cancellation. Quantiles
-    interpolate linearly between order statistics.
-    """
-    v, w = F.col(value), F.col(n)
-    known = F.sum(F.when(v.isNotNull(), w))
-    wide = T.DecimalType(38, 0)
-    s1 = F.sum((v * w).cast(wide))
-    s2 = F.sum(v.cast(wide) * v.cast(wide) * w.cast(wide))
-    spread = (known.cast(wide) * s2 - s1 * s1).cast("double")
-    variance = F.when(known > 1, spread / (known.cast("double") * (known - 1).cast("double")))
-    quartiles = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), w)
-    return {
-        "mean": F.try_divide(s1.cast("double"), known.cast("double")),
-        "median": quartiles[1],
-        "sd": F.sqrt(variance),
-        "variance": variance,
-        "min": F.min(v),
-        "max": F.max(v),
-        "q25": quartiles[0],
-        "q75": quartiles[2],
-        "iqr": quartiles[2] - quartiles[0],
-        "total": F.sum(v * w),
-        "n": F.sum(w),
-    }
+    return df.groupBy(*keys, F.col(value).alias(VALUE)).agg(F.count("*").alias(N))
+
+
+def long_answers(df: DataFrame, keys: Sequence[str], cols: Sequence[str], question: str = "question") -> DataFrame:
+    """(keys, question, value): several integer columns under each other."""
+    answers = [f"CAST({name(c)} AS BIGINT) AS {name(c)}" for c in cols]
+    wide = df.selectExpr(*[name(k) for k in keys], *answers)
+    return wide.unpivot(list(keys), list(cols), question, VALUE)
+
+
+def question_cells(df: DataFrame, keys: Sequence[str], cols: Sequence[str], question: str = "variable") -> DataFrame:
+    """Cells of several value columns at once, told apart by ``question``: one scan, one shuffle."""
+    return value_cells(long_answers(df, keys, cols, question), [*keys, question], VALUE)
+
+
+# Sums are exact (decimal for squares), so the variance loses nothing to cancellation. Quantiles
+# interpolate linearly between order statistics.
+_KNOWN = "sum(CASE WHEN value IS NOT NULL THEN n END)"
+_S1 = "sum(CAST(value * n AS DECIMAL(38, 0)))"
+_S2 = "sum(CAST(value AS DECIMAL(19, 0)) * CAST(value * n AS DECIMAL(19, 0)))"
+_VARIANCE = (
+    f"CASE WHEN {_KNOWN} > 1 THEN CAST({_KNOWN} * CAST({_S2} AS DECIMAL(38, 0)) - {_S1} * {_S1} AS DOUBLE)"
+    f" / (CAST({_KNOWN} AS DOUBLE) * CAST({_KNOWN} - 1 AS DOUBLE)) END"
+)
+_QUARTILES = "percentile(value, array(0.25D, 0.5D, 0.75D), n)"
+
+STATISTICS = {
+    "mean": f"try_divide(CAST({_S1} AS DOUBLE), CAST({_KNOWN} AS DOUBLE))",
+    "median": f"{_QUARTILES}[1]",
+    "sd": f"sqrt({_VARIANCE})",
+    "variance": _VARIANCE,
+    "min": "min(value)",
+    "max": "max(value)",
+    "q25": f"{_QUARTILES}[0]",
+    "q75": f"{_QUARTILES}[2]",
+    "iqr": f"{_QUARTILES}[2] - {_QUARTILES}[0]",
+    "total": "sum(value * n)",
+    "n": "sum(n)",
+}
+
+
+def statistics(names: Iterable[str]) -> list[Column]:
+    """Aggregates over cells, named after the statistic."""
+    return [F.expr(f"{STATISTICS[s]} AS {s}") for s in names]

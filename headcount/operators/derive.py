@@ -7,43 +7,44 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headcount.functions import level_ord, null_codes, row_total
+from headcount.functions.columns import is_in, level_ord, n_answered, name, null_codes, row_total, with_exprs
 from headcount.functions.codes import SENTINELS
 
 
 def null_sentinels(df: DataFrame, cols: Sequence[str], codes: Iterable[int] = SENTINELS) -> DataFrame:
     """Map missing codes to NULL in several columns, in one projection."""
     codes = list(codes)
-    return df.withColumns({c: null_codes(c, codes) for c in cols})
+    return with_exprs(df, {c: null_codes(name(c), codes) for c in cols})
 
 
-def add_row_total(df: DataFrame, name: str, cols: Sequence[str], min_answered: int = 0) -> DataFrame:
+def add_row_total(df: DataFrame, total: str, cols: Sequence[str], min_answered: int = 0) -> DataFrame:
     """Row total that skips NULL. Below ``min_answered`` answers the total is NULL; the default
     of 0 lets an unanswered row count as a zero."""
-    total = row_total(*cols)
+    quoted = [name(c) for c in cols]
+    text = row_total(*quoted)
     if min_answered > 0:
-        answered = sum((F.col(c).isNotNull().cast("int") for c in cols), F.lit(0))
-        total = F.when(answered >= min_answered, total)
-    return df.withColumn(name, total)
+        text = f"CASE WHEN {n_answered(*quoted)} >= {min_answered} THEN {text} END"
+    return with_exprs(df, {total: text})
 
 
 def add_levels(df: DataFrame, col: str, levels: Sequence[str]) -> DataFrame:
     """Restrict a label column to a level list (others become NULL) and add its order as ``<col>_ord``."""
-    ord_col = level_ord(col, levels)
-    return df.withColumns({f"{col}_ord": ord_col, col: F.when(ord_col.isNotNull(), F.col(col))})
+    c = name(col)
+    known = f"CASE WHEN {is_in(c, levels)} THEN {c} END"
+    return with_exprs(df, {col: known, f"{col}_ord": level_ord(c, levels)})
 
 
-def add_week_index(df: DataFrame, date: str, name: str) -> DataFrame:
+def add_week_index(df: DataFrame, date: str, index: str) -> DataFrame:
     """1-based number of the Monday-start week, counted from the week of the earliest date.
 
     The earliest date is a scalar subquery: one small aggregate of the same table, no window over
     all rows and no join.
     """
     first = df.agg(F.date_trunc("week", F.min(date)).cast("date").alias("first")).scalar()
-    return df.withColumn(name, (F.floor(F.datediff(F.col(date), first) / 7) + 1).cast("int"))
+    return df.withColumn(index, (F.floor(F.datediff(F.col(date), first) / 7) + 1).cast("int"))
 
 
-def recode_from_codebook(df: DataFrame, col: str, codebook: DataFrame, name: str) -> DataFrame:
+def recode_from_codebook(df: DataFrame, col: str, codebook: DataFrame, label: str) -> DataFrame:
     """Label a coded column from a codebook table with (column, code, label).
 
     For a short mapping known in advance use ``functions.recode``, which needs no join.
@@ -51,6 +52,6 @@ def recode_from_codebook(df: DataFrame, col: str, codebook: DataFrame, name: str
     labels = (
         codebook.filter((F.col("column") == col) & F.col("code").isNotNull())
         .groupBy(F.col("code").alias("_code"))
-        .agg(F.min("label").alias(name))
+        .agg(F.min("label").alias(label))
     )
     return df.join(labels, F.col(col) == F.col("_code"), "left").drop("_code")

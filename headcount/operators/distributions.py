@@ -25,9 +25,9 @@ def unpivot_models(df: DataFrame, on: str, models: Sequence[str]) -> DataFrame:
     return df.unpivot([on], list(models), "Model", "prob")
 
 
-def scale_share(df: DataFrame, total: Column | int, prob: str = "prob", name: str = "n") -> DataFrame:
+def scale_share(df: DataFrame, total: Column | int, prob: str = "prob", people: str = "n") -> DataFrame:
     """Probability to expected number of people."""
-    return df.withColumn(name, F.col(prob) * total)
+    return df.withColumn(people, F.col(prob) * total)
 
 
 def compare_distributions(

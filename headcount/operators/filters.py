@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headcount.functions.columns import is_in, name
+from headcount.operators.cells import long_answers
+
 # Above this many ids an IN list costs more than a join against a table of ids.
 _IN_LIST_LIMIT = 1000
 
@@ -49,21 +52,17 @@ def keep_range(df: DataFrame, col: str, lo, hi) -> DataFrame:
 
 def response_profile(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Zero, positive, negative and non-negative answers of several columns, in one pass."""
-    v = F.col("value")
-    long = df.select(*by, *[F.col(c).cast("bigint").alias(c) for c in cols]).unpivot(
-        list(by), list(cols), "question", "value"
-    )
-    return long.groupBy(*by, "question").agg(
-        F.count_if(v == 0).alias("n_zero"),
-        F.count_if(v > 0).alias("n_positive"),
-        F.count_if(v < 0).alias("n_negative"),
-        F.count_if(v >= 0).alias("n_non_negative"),
+    counts = {"n_zero": "= 0", "n_positive": "> 0", "n_negative": "< 0", "n_non_negative": ">= 0"}
+    return (
+        long_answers(df, by, cols)
+        .groupBy(*by, "question")
+        .agg(*[F.expr(f"count_if(value {test}) AS {n}") for n, test in counts.items()])
     )
 
 
-def cross_classify(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
-    """Number of rows meeting each named condition, all in one pass over the table."""
-    return df.agg(*[F.count_if(cond).alias(name) for name, cond in cells.items()])
+def cross_classify(df: DataFrame, cells: Mapping[str, str]) -> DataFrame:
+    """Number of rows meeting each named SQL condition, all in one pass over the table."""
+    return df.agg(*[F.expr(f"count_if({cond}) AS {name(n)}") for n, cond in cells.items()])
 
 
 def missing_profile(
@@ -73,17 +72,13 @@ def missing_profile(
 
     Runs on the answers as coded, before missing codes are mapped to NULL.
     """
-    v = F.col("value")
-    long = df.select(*by, *[F.col(c).cast("bigint").alias(c) for c in cols]).unpivot(
-        list(by), list(cols), "question", "value"
-    )
-    listed = [F.count_if(v == code).alias(f"n_code_{abs(code)}") for code in codes]
-    return long.groupBy(*by, "question").agg(
-        F.count("*").alias("n"),
-        F.count_if(v >= 0).alias("n_answered"),
-        F.count_if(v == 0).alias("n_zero"),
-        F.count_if(v > 0).alias("n_non_zero"),
-        F.count_if(v.isNull()).alias("n_null"),
-        F.count_if((v < 0) & ~v.isin(list(codes))).alias("n_other_negative"),
-        *listed,
-    )
+    tests = {
+        "n_answered": "value >= 0",
+        "n_zero": "value = 0",
+        "n_non_zero": "value > 0",
+        "n_null": "value IS NULL",
+        "n_other_negative": f"value < 0 AND NOT {is_in('value', codes)}",
+        **{f"n_code_{abs(code)}": f"value = {code}" for code in codes},
+    }
+    counts = [F.expr(f"count_if({test}) AS {n}") for n, test in tests.items()]
+    return long_answers(df, by, cols).groupBy(*by, "question").agg(F.count("*").alias("n"), *counts)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from headcount.functions.columns import level_ord, name
+
 
 def tally(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Row count by zero or more keys; NULL is a group of its own."""
@@ -19,26 +21,26 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return tally(df, [col])
 
 
-def prop_table(df: DataFrame, col: str, name: str = "share") -> DataFrame:
+def prop_table(df: DataFrame, col: str, share: str = "share") -> DataFrame:
     """Share of rows per value, NULL left out."""
     counts = tally(df.filter(F.col(col).isNotNull()), [col])
-    return counts.withColumn(name, F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return counts.withColumn(share, F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
 def _percentages(counts: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
     """Percent columns over an already counted table; only counted rows go through the windows."""
-    known = F.when(F.col(value).isNotNull(), F.col("n"))
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy(F.col(order).asc_nulls_last(), F.col(value).asc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    group = f"PARTITION BY {', '.join(name(k) for k in keys)}"
+    upto = (
+        f"{group} ORDER BY {order} ASC NULLS LAST, {value} ASC NULLS LAST "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     )
-    valid_total = F.sum(known).over(group)
-    return counts.withColumns(
-        {
-            "raw_pct": 100 * F.col("n") / F.sum("n").over(group),
-            "valid_pct": 100 * known / valid_total,
-            "cum_pct": F.when(F.col(value).isNotNull(), 100 * F.sum(known).over(upto) / valid_total),
-        }
+    valid = f"CASE WHEN {value} IS NOT NULL THEN n END"
+    return counts.selectExpr(
+        "*",
+        f"100 * n / sum(n) OVER ({group}) AS raw_pct",
+        f"100 * ({valid}) / sum({valid}) OVER ({group}) AS valid_pct",
+        f"CASE WHEN {value} IS NOT NULL THEN "
+        f"100 * sum({valid}) OVER ({upto}) / sum({valid}) OVER ({group}) END AS cum_pct",
     )
 
 
@@ -65,16 +67,12 @@ def freq_table(
     single = isinstance(cols, str)
     cols = [cols] if single else list(cols)
     value_type = _value_type(df, cols)
-    long = df.select(*by, *[F.col(c).cast(value_type).alias(c) for c in cols]).unpivot(
-        list(by), cols, "question", "value"
-    )
+    answers = [f"CAST({name(c)} AS {value_type.simpleString()}) AS {name(c)}" for c in cols]
+    wide = df.selectExpr(*[name(k) for k in by], *answers)
+    long = wide.unpivot(list(by), cols, "question", "value")
     keys = [*by, "question"]
     counts = tally(long, [*keys, "value"])
-    if levels is not None:
-        place = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col("value"))
-        counts = counts.withColumn("_ord", F.when(F.col("value").isNotNull(), place))
-    else:
-        counts = counts.withColumn("_ord", F.col("value"))
+    counts = counts.selectExpr("*", f"{level_ord('value', levels) if levels else 'value'} AS _ord")
     if codebook is not None:
         labels = (
             codebook.filter(F.col("code").isNotNull())

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from headcount.operators.cells import cell_stats, require_integer, value_cells
+from headcount.functions.columns import name
+from headcount.operators.cells import require_integer, statistics, value_cells
 
 WITH_QUARTILES = ("mean", "median", "sd", "total", "q25", "q75", "n")
 WITH_IQR = ("mean", "median", "sd", "iqr", "total", "n")
@@ -23,11 +23,11 @@ def mixing_matrix(
     """
     cols = list(contacts)
     require_integer(df, cols)
+    keys = ["age_respondent", "age_contact"]
+    bands = [f"CAST({name(c)} AS BIGINT) AS {name(label)}" for c, label in contacts.items()]
     long = (
-        df.select(F.col(respondent).alias("age_respondent"), *[F.col(c).cast("bigint").alias(contacts[c]) for c in cols])
-        .unpivot(["age_respondent"], list(contacts.values()), "age_contact", "contacts")
-        .filter(F.col("contacts") >= 0)
+        df.selectExpr(f"{name(respondent)} AS age_respondent", *bands)
+        .unpivot(["age_respondent"], [name(label) for label in contacts.values()], "age_contact", "contacts")
+        .filter("contacts >= 0")
     )
-    known = cell_stats()
-    keys = ["age_respondent", "age_contact"]
-    return value_cells(long, keys, "contacts").groupBy(*keys).agg(*[known[s].alias(s) for s in stats])
+    return value_cells(long, keys, "contacts").groupBy(*keys).agg(*statistics(stats))

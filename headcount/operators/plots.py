@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from headcount.functions import log_scale
+from headcount.functions.columns import log_scale, name
 from headcount.operators.cells import N, VALUE, require_integer, value_cells
 
 
@@ -19,12 +19,12 @@ def histogram(df: DataFrame, col: str, width: int = 1, origin: int = 0, by: Sequ
     A date column is binned in days since 1970 and its bins come back as dates.
     """
     is_date = isinstance(df.schema[col].dataType, T.DateType)
-    v = F.unix_date(F.col(col)) if is_date else F.col(col)
-    lo = F.lit(origin) + F.floor((v - F.lit(origin)) / F.lit(width)) * F.lit(width)
-    lo = F.date_from_unix_date(lo.cast("int")) if is_date else lo
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, lo.alias("bin")).agg(F.count("*").alias("n"))
+    v = f"unix_date({name(col)})" if is_date else name(col)
+    lo = f"{origin} + floor(({v} - {origin}) / {width}) * {width}"
+    lo = f"date_from_unix_date(CAST({lo} AS INT))" if is_date else lo
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.expr(lo).alias("bin")).agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy(*by))
-    return counts.withColumn("density", F.col("n") / (total * F.lit(width)))
+    return counts.withColumn("density", F.col("n") / (total * width))
 
 
 def box_stats(
@@ -40,32 +40,26 @@ def box_stats(
     """
     require_integer(df, [value])
     cells = value_cells(df.filter(F.col(value).isNotNull()), by, value)
-    if log:
-        cells = cells.withColumn(VALUE, log_scale(VALUE, plus_one)).filter(F.col(VALUE).isNotNull())
-    else:
-        cells = cells.withColumn(VALUE, F.col(VALUE) + (1.0 if plus_one else 0.0))
-    group = Window.partitionBy(*by)
-    v, n = F.col(VALUE), F.col(N)
-    quartiles = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), n).over(group)
-    fenced = cells.withColumn("_q", quartiles).withColumns(
-        {
-            "q25": F.col("_q")[0],
-            "median": F.col("_q")[1],
-            "q75": F.col("_q")[2],
-        }
-    )
-    reach = 1.5 * (F.col("q75") - F.col("q25"))
-    inside = v.between(F.col("q25") - reach, F.col("q75") + reach)
-    return fenced.groupBy(*by).agg(
-        F.min(F.when(inside, v)).alias("whisker_low"),
-        F.first("q25").alias("q25"),
-        F.first("median").alias("median"),
-        F.first("q75").alias("q75"),
-        F.max(F.when(inside, v)).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, n)), F.lit(0)).alias("n_outliers"),
-        (F.sum(v * n) / F.sum(n)).alias("mean"),
-        F.sum(n).alias("n"),
+    drawn = log_scale(VALUE, plus_one) if log else f"CAST({VALUE} + {int(plus_one)} AS DOUBLE)"
+    keys = [name(k) for k in by]
+    group = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    fenced = (
+        cells.selectExpr(*keys, f"{drawn} AS v", N)
+        .filter("v IS NOT NULL")
+        .selectExpr("*", f"percentile(v, array(0.25D, 0.5D, 0.75D), n) OVER ({group}) AS q")
+        .selectExpr("*", "v BETWEEN q[0] - 1.5D * (q[2] - q[0]) AND q[2] + 1.5D * (q[2] - q[0]) AS inside")
     )
+    stats = {
+        "whisker_low": "min(CASE WHEN inside THEN v END)",
+        "q25": "first(q)[0]",
+        "median": "first(q)[1]",
+        "q75": "first(q)[2]",
+        "whisker_high": "max(CASE WHEN inside THEN v END)",
+        "n_outliers": "coalesce(sum(CASE WHEN NOT inside THEN n END), 0)",
+        "mean": "sum(v * n) / sum(n)",
+        "n": "sum(n)",
+    }
+    return fenced.groupBy(*by).agg(*[F.expr(f"{text} AS {s}") for s, text in stats.items()])
 
 
 def overlap_count(df: DataFrame, x: str, y: str, group: str, log_axes: bool = False) -> DataFrame:

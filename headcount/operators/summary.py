@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from headcount.operators.cells import N, VALUE, cell_stats, question_cells, require_integer, value_cells
+from headcount.functions.columns import name
+from headcount.operators.cells import N, VALUE, question_cells, require_integer, statistics, value_cells
 
 FULL = ("mean", "median", "sd", "min", "max", "q25", "q75", "n")
 BRIEF = ("mean", "sd", "n")
@@ -17,11 +18,6 @@ RANGE = ("mean", "sd", "min", "max")
 MEAN = ("mean", "n")
 
 
-def _stats(names: Sequence[str]) -> list:
-    known = cell_stats()
-    return [known[name].alias(name) for name in names]
-
-
 def describe(
     df: DataFrame, cols: str | Sequence[str], by: str | Sequence[str] = (), stats: Sequence[str] = FULL
 ) -> DataFrame:
@@ -33,9 +29,9 @@ def describe(
     keys = [by] if isinstance(by, str) else list(by)
     if isinstance(cols, str):
         require_integer(df, [cols])
-        return value_cells(df, keys, cols).groupBy(*keys).agg(*_stats(stats))
+        return value_cells(df, keys, cols).groupBy(*keys).agg(*statistics(stats))
     require_integer(df, cols)
-    return question_cells(df, keys, cols).groupBy(*keys, "variable").agg(*_stats(stats))
+    return question_cells(df, keys, cols).groupBy(*keys, "variable").agg(*statistics(stats))
 
 
 def describe_by_each(
@@ -48,11 +44,10 @@ def describe_by_each(
     """
     require_integer(df, cols)
     cells = question_cells(df, keys, cols)
-    long = cells.select("variable", VALUE, N, *[F.col(k).cast("string").alias(k) for k in keys]).unpivot(
-        ["variable", VALUE, N], list(keys), "key", "level"
-    )
+    levels = [f"CAST({name(k)} AS STRING) AS {name(k)}" for k in keys]
+    long = cells.selectExpr("variable", VALUE, N, *levels).unpivot(["variable", VALUE, N], list(keys), "key", "level")
     again = long.groupBy("key", "level", "variable", VALUE).agg(F.sum(N).alias(N))
-    return again.groupBy("key", "level", "variable").agg(*_stats(stats))
+    return again.groupBy("key", "level", "variable").agg(*statistics(stats))
 
 
 def share(
@@ -72,50 +67,34 @@ def share(
     else:
         require_integer(df, [value])
         names = [s for s in stats if s != "n"]
-        grouped = value_cells(df, keys, value).groupBy(*keys).agg(*_stats([*names, "n"]))
+        grouped = value_cells(df, keys, value).groupBy(*keys).agg(*statistics([*names, "n"]))
     return grouped.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy(*within)))
 
 
 def date_summary(df: DataFrame, col: str) -> DataFrame:
     """Minimum, quartiles, median, mean and maximum of a date column, as dates."""
-    days = df.select(F.unix_date(F.col(col)).cast("bigint").alias("day"))
-    stats = cell_stats()
-    as_date = lambda c: F.date_from_unix_date(F.floor(c).cast("int"))
+    points = ("min", "q25", "median", "mean", "q75", "max")
+    days = df.selectExpr(f"CAST(unix_date({name(col)}) AS BIGINT) AS day")
     return (
         value_cells(days, [], "day")
-        .agg(*[stats[s].alias(s) for s in ("min", "q25", "median", "mean", "q75", "max", "n")])
-        .select(
-            *[as_date(F.col(s)).alias(f"{s}_date") for s in ("min", "q25", "median", "mean", "q75", "max")],
-            "n",
-        )
+        .agg(*statistics([*points, "n"]))
+        .selectExpr(*[f"date_from_unix_date(CAST(floor({s}) AS INT)) AS {s}_date" for s in points], "n")
     )
 
 
-def mean_by_value(df: DataFrame, value: str, by: Sequence[str], name: str = "mean") -> DataFrame:
+def mean_by_value(df: DataFrame, value: str, by: Sequence[str], mean: str = "mean") -> DataFrame:
     """Mean of a column and row count per exact value of the grouping columns."""
-    return df.groupBy(*by).agg(F.avg(value).alias(name), F.count("*").alias("n"))
+    return df.groupBy(*by).agg(F.avg(value).alias(mean), F.count("*").alias("n"))
 
 
 def dispersion(df: DataFrame, col: str) -> DataFrame:
     """Mean, variance, share of zeros and the zero-inflation index 1 + ln(share of zeros) / mean."""
     require_integer(df, [col])
-    stats = cell_stats()
-    v, n = F.col(VALUE), F.col(N)
-    known = F.sum(F.when(v.isNotNull(), n))
-    zeros = F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0))
     return (
-        value_cells(df, [], col)
-        .agg(
-            known.alias("n"),
-            stats["mean"].alias("mean"),
-            stats["variance"].alias("variance"),
-            zeros.alias("n_zero"),
-            F.try_divide(zeros.cast("double"), known.cast("double")).alias("share_zero"),
-        )
-        .withColumn(
-            "zero_inflation",
-            F.when((F.col("share_zero") > 0) & (F.col("mean") > 0), 1 + F.log("share_zero") / F.col("mean")),
-        )
+        value_cells(df.filter(F.col(col).isNotNull()), [], col)
+        .agg(*statistics(["n", "mean", "variance"]), F.expr("coalesce(sum(CASE WHEN value = 0 THEN n END), 0) AS n_zero"))
+        .selectExpr("*", "try_divide(n_zero, n) AS share_zero")
+        .selectExpr("*", "CASE WHEN share_zero > 0 AND mean > 0 THEN 1 + ln(share_zero) / mean END AS zero_inflation")
     )
 
 

@@ -6,41 +6,41 @@ and a query that uses three of the columns computes only those three.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from headcount.functions import (
+from headcount.functions import codes as K
+from headcount.functions.columns import (
     band,
     classify,
     code_prefix,
     date_from_parts,
     if_else,
+    is_in,
+    null_codes,
     recode,
     row_max,
     row_total,
     weekday,
+    with_exprs,
 )
-from headcount.functions import codes as K
-from headcount.operators.derive import null_sentinels
 from headcount.operators.filters import exclude_ids, keep_positive
 
 CONTACTS = (*K.FACE_TO_FACE, *K.PHYSICAL)
 
 
-def occupation() -> Column:
+def occupation() -> str:
     """Healthcare worker first, then keyworker; "Other" needs both answers known."""
-    hcw, key = F.col("hcw"), F.col("keyworker")
     return classify(
         [
-            (hcw == K.HCW_YES, "HCW"),
-            (key == K.KEYWORKER_YES, "Keyworker"),
-            ((hcw != K.HCW_YES) & (key != K.KEYWORKER_YES), "Other"),
+            (f"hcw = {K.HCW_YES}", "HCW"),
+            (f"keyworker = {K.KEYWORKER_YES}", "Keyworker"),
+            (f"hcw <> {K.HCW_YES} AND keyworker <> {K.KEYWORKER_YES}", "Other"),
         ]
     )
 
 
-def weekend(day: str) -> Column:
-    return if_else(F.col(day).isin(list(K.WEEKEND_DAYS)), "Weekend", "Weekday")
+def weekend(day: str) -> str:
+    return if_else(is_in(day, K.WEEKEND_DAYS), "Weekend", "Weekday")
 
 
 def select_cases(raw: DataFrame) -> DataFrame:
@@ -49,79 +49,68 @@ def select_cases(raw: DataFrame) -> DataFrame:
 
 
 def with_dates(df: DataFrame) -> DataFrame:
-    return (
-        df.withColumn("date_ymd", date_from_parts("survey_year", "survey_month", "survey_day"))
-        .withColumns({"weekday": weekday("date_ymd"), "yesterday": weekday(F.date_sub("date_ymd", 1))})
-        .withColumns({"weekday2": weekend("weekday"), "yesterday2": weekend("yesterday")})
-    )
+    df = with_exprs(df, {"date_ymd": date_from_parts("survey_year", "survey_month", "survey_day")})
+    df = with_exprs(df, {"weekday": weekday("date_ymd"), "yesterday": weekday("date_sub(date_ymd, 1)")})
+    return with_exprs(df, {"weekday2": weekend("weekday"), "yesterday2": weekend("yesterday")})
 
 
 def with_ages(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {
-            "age": band("age_years", K.AGE),
-            "age2": band("age_years", K.AGE2),
-            "age3": band("age_years", K.AGE3),
-            "age4": band("age_years", K.AGE4),
-        }
-    )
+    schemes = {"age": K.AGE, "age2": K.AGE2, "age3": K.AGE3, "age4": K.AGE4}
+    return with_exprs(df, {name: band("age_years", bands) for name, bands in schemes.items()})
 
 
 def with_contacts(df: DataFrame) -> DataFrame:
     """Totals by kind, overall (the sum, and the larger of the two kinds) and by contact age."""
-    totals = null_sentinels(df, CONTACTS).withColumns(
+    df = with_exprs(df, {c: null_codes(c) for c in CONTACTS})
+    by_age = zip(K.TOTAL_BY_CONTACT, K.FACE_TO_FACE, K.PHYSICAL)
+    df = with_exprs(
+        df,
         {
             "total_face_to_face": row_total(*K.FACE_TO_FACE),
             "total_physical": row_total(*K.PHYSICAL),
-            **{
-                total: row_total(f2f, phys)
-                for total, f2f, phys in zip(K.TOTAL_BY_CONTACT, K.FACE_TO_FACE, K.PHYSICAL)
-            },
-        }
-    )
-    return totals.withColumns(
-        {
-            "total_contacts": row_total("total_face_to_face", "total_physical"),
-            "total_contactsLD": row_max("total_face_to_face", "total_physical"),
-        }
+            **{total: row_total(f2f, phys) for total, f2f, phys in by_age},
+        },
     )
+    kinds = ("total_face_to_face", "total_physical")
+    return with_exprs(df, {"total_contacts": row_total(*kinds), "total_contactsLD": row_max(*kinds)})
 
 
 def with_household(df: DataFrame) -> DataFrame:
-    return (
-        null_sentinels(df, K.HOUSEHOLD_MEMBERS)
-        .withColumns(
-            {
-                "household_size": row_total(*K.HOUSEHOLD_MEMBERS) + F.lit(1),
-                "N_0to17yo": row_total(*K.HOUSEHOLD_CHILDREN),
-            }
-        )
-        .withColumns(
-            {
-                "household_size2": band("household_size", K.HOUSEHOLD),
-                "alone": if_else(F.col("household_size") == 1, "Live alone", "Multiple Occp"),
-                "children_in_house": if_else(F.col("N_0to17yo") == 0, "No children", "Children"),
-            }
-        )
-        .withColumn("Children", if_else(F.col("children_in_house") == "Children", "Yes", "No"))
+    df = with_exprs(df, {c: null_codes(c) for c in K.HOUSEHOLD_MEMBERS})
+    df = with_exprs(
+        df,
+        {
+            "household_size": f"{row_total(*K.HOUSEHOLD_MEMBERS)} + 1",
+            "N_0to17yo": row_total(*K.HOUSEHOLD_CHILDREN),
+        },
+    )
+    df = with_exprs(
+        df,
+        {
+            "household_size2": band("household_size", K.HOUSEHOLD),
+            "alone": if_else("household_size = 1", "Live alone", "Multiple Occp"),
+            "children_in_house": if_else("N_0to17yo = 0", "No children", "Children"),
+        },
     )
+    return with_exprs(df, {"Children": if_else("children_in_house = 'Children'", "Yes", "No")})
 
 
 def with_occupation(df: DataFrame) -> DataFrame:
-    return df.withColumns(
+    return with_exprs(
+        df,
         {
             "occupation": occupation(),
             "occupation2": occupation(),
             "SOC2010Major": code_prefix("soc_code", 1),
             "SOC2010SubMajor": code_prefix("soc_code", 2),
             "SOC2010Minor": code_prefix("soc_code", 3),
-        }
+        },
     )
 
 
 def with_labels(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {"sex2": recode("sex", K.SEX_LABELS), "selfisolation_un": recode("isolation", K.ISOLATION_LABELS)}
+    return with_exprs(
+        df, {"sex2": recode("sex", K.SEX_LABELS), "selfisolation_un": recode("isolation", K.ISOLATION_LABELS)}
     )
 
 

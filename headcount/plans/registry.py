@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headcount.functions import codes as K
-from headcount.functions import log_scale, n_answered, row_max
+from headcount.functions.columns import is_in, log_scale, n_answered, name, row_max
 from headcount.models import linear, oneway, report
 from headcount.models.fit import Fit, fit_nb, fit_ols, fit_zinb
 from headcount.models.table import build_design, model_table
@@ -37,8 +37,8 @@ def queries() -> dict[str, Query]:
 
 def _rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Doubles at a fixed number of digits, so that two engines agree on the value."""
-    return df.select(
-        *[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+    return df.selectExpr(
+        *[f"round({name(c)}, {digits}) AS {name(c)}" if t == "double" else name(c) for c, t in df.dtypes]
     )
 
 
@@ -88,18 +88,17 @@ def flt_response_profile(spark, sf_dir):
 
 @query
 def flt_cross_classify(spark, sf_dir):
-    hcw, key = F.col("hcw"), F.col("keyworker")
-    yes, not_hcw = hcw == K.HCW_YES, hcw.isin(list(K.HCW_NO))
-    keyworker = key == K.KEYWORKER_YES
+    yes, not_hcw = f"hcw = {K.HCW_YES}", is_in("hcw", K.HCW_NO)
+    keyworker = f"keyworker = {K.KEYWORKER_YES}"
     return filters.cross_classify(
         select_cases(survey(spark, sf_dir)),
         {
-            "hcw_and_keyworker": yes & keyworker,
-            "hcw_not_keyworker": yes & (key == 2),
+            "hcw_and_keyworker": f"{yes} AND {keyworker}",
+            "hcw_not_keyworker": f"{yes} AND keyworker = 2",
             "keyworker": keyworker,
             "hcw": yes,
-            "keyworker_not_hcw": not_hcw & keyworker,
-            "neither": not_hcw & key.isin(list(K.KEYWORKER_NO)),
+            "keyworker_not_hcw": f"{not_hcw} AND {keyworker}",
+            "neither": f"{not_hcw} AND {is_in('keyworker', K.KEYWORKER_NO)}",
         },
     )
 
@@ -128,16 +127,18 @@ def prj_null_sentinels(spark, sf_dir):
 @query
 def prj_row_total(spark, sf_dir):
     people = with_contacts(select_cases(survey(spark, sf_dir)))
-    return people.select("respondent_id", *TOTALS, *K.TOTAL_BY_CONTACT, n_answered(*CONTACTS).alias("n_answered"))
+    return people.selectExpr(
+        "respondent_id", *TOTALS, *K.TOTAL_BY_CONTACT, f"{n_answered(*CONTACTS)} AS n_answered"
+    )
 
 
 @query
 def prj_row_max(spark, sf_dir):
     people = derive.null_sentinels(survey(spark, sf_dir), CONTACTS)
-    return people.select(
+    return people.selectExpr(
         "respondent_id",
-        row_max("f2f_0_4", "phys_0_4").alias("largest"),
-        row_max("f2f_0_4", "phys_0_4", skip_null=True).alias("largest_known"),
+        f"{row_max('f2f_0_4', 'phys_0_4')} AS largest",
+        f"{row_max('f2f_0_4', 'phys_0_4', skip_null=True)} AS largest_known",
     )
 
 
@@ -208,8 +209,10 @@ def prj_code_prefix(spark, sf_dir):
 
 @query
 def prj_log_scale(spark, sf_dir):
-    people = _people(spark, sf_dir).select(
-        "respondent_id", log_scale(OUTCOME).alias("log_contacts"), log_scale(OUTCOME, True).alias("log_contacts_1")
+    people = _people(spark, sf_dir).selectExpr(
+        "respondent_id",
+        f"{log_scale(OUTCOME)} AS log_contacts",
+        f"{log_scale(OUTCOME, plus_one=True)} AS log_contacts_1",
     )
     return _rounded(people)
 
@@ -627,7 +630,7 @@ def dist_compare_multi(spark, sf_dir):
     ols = fit_ols(nb.design if not nb.design.all_zero else _design(spark, sf_dir, False))
     predictions = [
         report.ols_distribution(ols),
-        report.predicted_distribution(nb, name="NegBin"),
-        report.predicted_distribution(zinb, name="Zinb"),
+        report.predicted_distribution(nb, prob="NegBin"),
+        report.predicted_distribution(zinb, prob="Zinb"),
     ]
     return distributions.compare_distributions(_observed(people), predictions, F.lit(people.count()))

@@ -6,38 +6,41 @@ integer arithmetic on the order key, with each kind of missing value planted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_BANDS = {"0_4": (1,), "5_17": (2, 3), "18_69": (4, 5, 6), "70": (7,)}
+_SCHEMAS = {
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT",
+    "lineitem": "l_orderkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_returnflag STRING",
+    "part": "p_partkey BIGINT, p_type STRING",
+}
+_LINES = {"0_4": "(1)", "5_17": "(2, 3)", "18_69": "(4, 5, 6)", "70": "(7)"}
 _KINDS = {"f2f": ("R", 10), "phys": ("A", 25)}
 _HOUSEHOLD = {"0_4": 2, "5_17": 3, "18_69": 4, "70": 2}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _line_item_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contacts per order. Only two return flags count, so the filter goes to the scan; the
     grouping combines on the map side, so an order with very many lines is no hot spot."""
-    sums = []
-    for kind, (flag, size) in _KINDS.items():
-        for age, lines in _BANDS.items():
-            hit = (F.col("l_returnflag") == flag) & F.col("l_linenumber").isin(list(lines))
-            sums.append(F.sum(F.when(hit, F.floor(F.col("l_quantity") / size))).alias(f"r_{kind}_{age}"))
-    return (
-        _table(spark, sf_dir, "lineitem")
-        .filter(F.col("l_returnflag").isin([flag for flag, _ in _KINDS.values()]))
-        .groupBy("l_orderkey")
-        .agg(*sums)
-    )
+    sums = [
+        f"sum(CASE WHEN l_returnflag = '{flag}' AND l_linenumber IN {lines} "
+        f"THEN floor(l_quantity / {size}) END) AS r_{kind}_{age}"
+        for kind, (flag, size) in _KINDS.items()
+        for age, lines in _LINES.items()
+    ]
+    lines = _table(spark, sf_dir, "lineitem").where("l_returnflag IN ('R', 'A')")
+    return lines.groupBy("l_orderkey").agg(*[F.expr(s) for s in sums])
 
 
-def _with_missing(value: Column, position: int) -> Column:
-    """Plant the four missing codes at a spacing that differs by question."""
-    r = (F.col("k") + F.lit(position * 104729)) % 97
-    return F.when(r == 0, -9).when(r == 1, -1).when(r == 2, -10).when(r == 3, -11).otherwise(value)
+def _with_missing(value: str, position: int) -> str:
+    """Plant the four missing codes at a spacing that differs by question: the array is indexed
+    from 0 and gives NULL beyond its end."""
+    slot = f"CAST((k + {position * 104729}) % 97 AS INT)"
+    return f"coalesce(CAST(get(array(-9, -1, -10, -11), {slot}) AS BIGINT), {value})"
 
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,69 +49,47 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     The line items are grouped before the join, so the join's right side is unique on its key and
     Catalyst drops it, scan and shuffle included, from any query that reads no contact column.
     """
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = _table(spark, sf_dir, "orders")
     lines = _line_item_contacts(spark, sf_dir)
-    joined = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"], "left").withColumn(
-        "k", F.col("o_orderkey") * 7919
+    joined = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"], "left").selectExpr(
+        "*", "o_orderkey * 7919 AS k"
     )
-    k = F.col("k")
-
     columns = [
-        F.col("o_orderkey").alias("respondent_id"),
-        (1 + k % 2).cast("int").alias("generation"),
-        F.lit(2020).cast("int").alias("survey_year"),
-        F.when(k % 211 == 0, -1).when(k % 39 < 22, 4).otherwise(5).cast("int").alias("survey_month"),
-        F.when(k % 39 < 22, 9 + k % 39).otherwise(k % 39 - 21).cast("int").alias("survey_day"),
-        F.when(k % 101 == 0, -11).otherwise(18 + (F.col("o_custkey") * 37) % 72).cast("int").alias("age_years"),
-        F.when(k % 389 == 0, F.lit(None)).otherwise(1 + (k % 5) % 2).cast("int").alias("sex"),
+        "o_orderkey AS respondent_id",
+        "CAST(1 + k % 2 AS INT) AS generation",
+        "2020 AS survey_year",
+        "CASE WHEN k % 211 = 0 THEN -1 WHEN k % 39 < 22 THEN 4 ELSE 5 END AS survey_month",
+        "CAST(CASE WHEN k % 39 < 22 THEN 9 + k % 39 ELSE k % 39 - 21 END AS INT) AS survey_day",
+        "CAST(CASE WHEN k % 101 = 0 THEN -11 ELSE 18 + (o_custkey * 37) % 72 END AS INT) AS age_years",
+        "CAST(CASE WHEN k % 389 <> 0 THEN 1 + (k % 5) % 2 END AS INT) AS sex",
     ]
     position = 0
     for kind in _KINDS:
-        for age in _BANDS:
+        for age in _LINES:
             position += 1
-            contacts = F.coalesce(F.col(f"r_{kind}_{age}"), F.lit(0)).cast("bigint")
-            columns.append(_with_missing(contacts, position).alias(f"{kind}_{age}"))
+            contacts = f"CAST(coalesce(r_{kind}_{age}, 0) AS BIGINT)"
+            columns.append(f"{_with_missing(contacts, position)} AS {kind}_{age}")
     for age, modulus in _HOUSEHOLD.items():
         position += 1
-        columns.append(_with_missing((k + position) % modulus, position).alias(f"hh_{age}"))
-
-    r = k % 43
-    isolation = (
-        F.when(r == 0, -9999)
-        .when(r == 1, -11)
-        .when(r == 2, -10)
-        .when(r == 3, -9)
-        .when(r == 4, -1)
-        .when(r == 5, 9)
-        .when(r.isin(6, 7), 2)
-        .when(r == 8, 3)
-        .when(r == 9, F.lit(None))
-        .when(r == 10, 4)
-        .otherwise(1)
-    )
-    r29, r11, r7 = k % 29, k % 11, k % 7
+        columns.append(f"{_with_missing(f'(k + {position}) % {modulus}', position)} AS hh_{age}")
     columns += [
-        F.when(r29 == 0, -9).when(r29 == 1, 1).when(r29 == 2, 2).otherwise(3).alias("had_covid"),
-        isolation.alias("isolation"),
-        F.when(r11 == 0, 2)
-        .when(r11 == 1, 3)
-        .when(r11 == 2, 8)
-        .when(r11 == 3, 9)
-        .when(r11 == 4, F.lit(None))
-        .otherwise(1)
-        .alias("hcw"),
-        F.when(r7.isin(0, 1), 1).when(r7 == 2, 9).when(r7 == 3, F.lit(None)).otherwise(2).alias("keyworker"),
-        (1111 + k % 397 * 20).cast("int").alias("soc_code"),
+        "CASE k % 29 WHEN 0 THEN -9 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS had_covid",
+        "CASE k % 43 WHEN 0 THEN -9999 WHEN 1 THEN -11 WHEN 2 THEN -10 WHEN 3 THEN -9 WHEN 4 THEN -1 "
+        "WHEN 5 THEN 9 WHEN 6 THEN 2 WHEN 7 THEN 2 WHEN 8 THEN 3 WHEN 9 THEN NULL WHEN 10 THEN 4 "
+        "ELSE 1 END AS isolation",
+        "CASE k % 11 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 8 WHEN 3 THEN 9 WHEN 4 THEN NULL "
+        "ELSE 1 END AS hcw",
+        "CASE k % 7 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 9 WHEN 3 THEN NULL ELSE 2 END AS keyworker",
+        "CAST(1111 + k % 397 * 20 AS INT) AS soc_code",
     ]
-    return joined.select(*columns)
+    return joined.selectExpr(*columns)
 
 
 def soc_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in occupation index with gaps, so that unmatched codes occur."""
-    slot = F.col("p_partkey") % 397
-    return (
+    coded = (
         _table(spark, sf_dir, "part")
-        .filter(slot % 5 != 0)
-        .groupBy((1111 + slot * 20).cast("string").alias("soc_code"))
-        .agg(F.min("p_type").alias("soc_title"))
+        .where("p_partkey % 397 % 5 <> 0")
+        .selectExpr("CAST(1111 + p_partkey % 397 * 20 AS STRING) AS soc_code", "p_type")
     )
+    return coded.groupBy("soc_code").agg({"p_type": "min"}).withColumnRenamed("min(p_type)", "soc_title")

@@ -40,12 +40,16 @@ def model_table(df: DataFrame, y: str, factors: Sequence[str], complete: bool =
     is off. All regressors are factors, so the size is bounded by level combinations times
     distinct outcomes, however many rows there are.
     """
-    needed = [y, *factors] if complete else [y]
+    keys = [*factors, "y"]
+    known = " AND ".join(f"{name(c)} IS NOT NULL" for c in (keys if complete else ["y"]))
+    # The test for unknowns is an aggregate on purpose. As a filter on the keys it would be pushed
+    # below the projection that derives them, and every row would pay for the derivation twice.
     return (
-        df.select(*factors, F.col(y).cast("bigint").alias("y"))
-        .dropna(subset=["y" if c == y else c for c in needed])
-        .groupBy(*factors, "y")
-        .agg(F.count("*").alias("n"))
+        df.selectExpr(*[name(f) for f in factors], f"CAST({name(y)} AS BIGINT) AS y")
+        .groupBy(*keys)
+        .agg(F.count("*").alias("n"), F.expr(f"count_if({known}) AS n_known"))
+        .filter("n_known > 0")
+        .drop("n_known")
     )
 
 

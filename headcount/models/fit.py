@@ -76,7 +76,8 @@ def pair_sums(
 
     A cell has one active column per factor, so sum(w x_i x_j) is a sum of w over the cells where
     i and j are both active. ``pair`` measures come back as p x p matrices, ``single`` ones as
-    p-vectors and ``whole`` ones as scalars, all from one grouped sum of at most p(p+1)/2 groups.
+    p-vectors and ``whole`` ones as scalars. The measures are summed by level combination first, so
+    the pairs are formed once per combination; at most p(p+1)/2 sums come to the driver.
     """
     slots = design.slots()
     pairs = [f"struct({a} AS i, {b} AS j)" for k, a in enumerate(slots) for b in slots[k:]]
@@ -84,8 +85,9 @@ def pair_sums(
     scope = {**dict.fromkeys(pair, "{}"), **dict.fromkeys(single, "CASE WHEN i = j THEN {} END")}
     scope.update(dict.fromkeys(whole, "CASE WHEN i = 0 AND j = 0 THEN {} END"))
     rows = (
-        cells.selectExpr(f"array({', '.join(pairs)}) AS pairs", *[f"{text} AS {m}" for m, text in measures.items()])
-        .selectExpr("explode(pairs) AS ij", *measures)
+        cells.groupBy(*slots)
+        .agg(*[F.expr(f"sum({text}) AS {m}") for m, text in measures.items()])
+        .selectExpr(f"explode(array({', '.join(pairs)})) AS ij", *measures)
         .selectExpr("ij.i", "ij.j", *measures)
         .filter("i >= 0 AND j >= 0")
         .groupBy("i", "j")

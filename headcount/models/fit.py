@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headcount.functions.columns import name
 from headcount.functions.special import (
     nb_log_pmf,
     nb_theta_curvature,
@@ -17,7 +18,7 @@ from headcount.functions.special import (
     nb_unit_deviance,
     nb_zero,
 )
-from headcount.models.table import Design, parameter
+from headcount.models.table import ALL_ZERO, Design, parameter, parameters
 
 # Beyond this the outcome is not over-dispersed and the model is Poisson for all purposes.
 THETA_CAP = 1e6
@@ -71,41 +72,48 @@ def pair_sums(
     pair: Mapping[str, str],
     single: Mapping[str, str],
     whole: Mapping[str, str],
-) -> dict[str, np.ndarray | float]:
+    models: int | None = None,
+) -> dict | list[dict]:
     """Weighted cross-products of the dummy columns, without ever building them.
 
     A cell has one active column per factor, so sum(w x_i x_j) is a sum of w over the cells where
     i and j are both active. ``pair`` measures come back as p x p matrices, ``single`` ones as
     p-vectors and ``whole`` ones as scalars. The measures are summed by level combination first, so
     the pairs are formed once per combination; at most p(p+1)/2 sums come to the driver.
+
+    With ``models``, the cells carry a model number and each model gets its own sums.
     """
     slots = design.slots()
     pairs = [f"struct({a} AS i, {b} AS j)" for k, a in enumerate(slots) for b in slots[k:]]
     measures = {**pair, **single, **whole}
     scope = {**dict.fromkeys(pair, "{}"), **dict.fromkeys(single, "CASE WHEN i = j THEN {} END")}
     scope.update(dict.fromkeys(whole, "CASE WHEN i = 0 AND j = 0 THEN {} END"))
+    number = [] if models is None else ["model"]
     rows = (
-        cells.groupBy(*slots)
+        cells.groupBy(*number, *slots)
         .agg(*[F.expr(f"sum({text}) AS {m}") for m, text in measures.items()])
-        .selectExpr(f"explode(array({', '.join(pairs)})) AS ij", *measures)
-        .selectExpr("ij.i", "ij.j", *measures)
+        .selectExpr(*number, f"explode(array({', '.join(pairs)})) AS ij", *measures)
+        .selectExpr(*number, "ij.i", "ij.j", *measures)
         .filter("i >= 0 AND j >= 0")
-        .groupBy("i", "j")
+        .groupBy(*number, "i", "j")
         .agg(*[F.expr(f"sum({scope[m].format(m)}) AS {m}") for m in measures])
         .collect()
     )
-    out: dict = {m: np.zeros((design.p, design.p)) for m in pair}
-    out.update({m: np.zeros(design.p) for m in single})
+    p = design.p
+    out = [
+        {**{m: np.zeros((p, p)) for m in pair}, **{m: np.zeros(p) for m in single}, **dict.fromkeys(whole, 0.0)}
+        for _ in range(models or 1)
+    ]
     for r in rows:
-        a, b = r["i"], r["j"]
+        a, b, sums = r["i"], r["j"], out[r["model"] if number else 0]
         for m in pair:
-            out[m][a, b] = out[m][b, a] = r[m]
+            sums[m][a, b] = sums[m][b, a] = r[m]
         if a == b:
             for m in single:
-                out[m][a] = r[m]
+                sums[m][a] = r[m]
         if a == b == 0:
-            out.update({m: r[m] for m in whole})
-    return out
+            sums.update({m: r[m] for m in whole})
+    return out if number else out[0]
 
 
 def _theta_step(theta: float, score: float, curvature: float) -> float:
@@ -188,6 +196,55 @@ def fit_nb(
     )
 
 
+def drop_one_deviances(fit: Fit, factors: Sequence[str], max_iter: int = 50, tol: float = 1e-7) -> dict[str, float]:
+    """Deviance of the model without each factor, theta held at the full fit.
+
+    All reduced models are fitted at once: the cells are repeated per model, each pass is one
+    aggregation, and a dropped factor is one whose coefficients stay at 0.
+    """
+    design, p, theta = fit.design, fit.design.p, fit.theta
+    kept = [design.kept_without(f) for f in factors]
+    beta = np.zeros((len(factors), p))
+    for m, k in enumerate(kept):
+        beta[m, k] = fit.beta[k]
+    cells = design.coded.selectExpr("*", f"explode(sequence(0, {len(factors) - 1})) AS model")
+    for term in {t for t, _ in design.all_zero}:
+        # Rows at an always-zero level come back in the model that no longer has the factor.
+        own = factors.index(term) if term in factors else -1
+        cells = cells.filter(f"model = {own} OR {name(design.index[term])} <> {ALL_ZERO}")
+    # The number of a coefficient in the flat array of all models; none for a reference level.
+    places = [f"CASE WHEN {s} >= 0 THEN model * {p} + {s} END" for s in design.slots()]
+
+    def evaluate(beta: np.ndarray) -> list[dict]:
+        flat = parameters(beta.ravel())
+        eta = " + ".join(f"coalesce(get({flat}, {place}), 0D)" for place in places)
+        return pair_sums(
+            design,
+            cells.selectExpr("*", f"exp({eta}) AS mu", f"{parameter(theta)} AS t"),
+            pair={"observed": "n * t * mu * (y + t) / ((t + mu) * (t + mu))"},
+            single={"score": "n * t * (y - mu) / (t + mu)"},
+            whole={"deviance": f"n * {nb_unit_deviance('y', 'mu', 't')}"},
+            models=len(factors),
+        )
+
+    at = evaluate(beta)
+    scale = np.ones(len(factors))
+    for _ in range(max_iter):
+        move = np.zeros_like(beta)
+        for m, k in enumerate(kept):
+            move[m, k] = np.linalg.solve(at[m]["observed"][np.ix_(k, k)], at[m]["score"][k])
+        if np.max(np.abs(move)) < tol:
+            break
+        trial = evaluate(beta + scale[:, None] * move)
+        for m in range(len(factors)):
+            if trial[m]["deviance"] <= at[m]["deviance"] + 1e-9 * abs(at[m]["deviance"]):
+                beta[m] += scale[m] * move[m]
+                at[m], scale[m] = trial[m], 1.0
+            else:
+                scale[m] /= 2
+    return {f: float(at[m]["deviance"]) for m, f in enumerate(factors)}
+
+
 def fit_ols(design: Design) -> Fit:
     """Gaussian linear model from one pass of cross-products."""
     # Centring keeps the residual sum of squares from cancelling.

@@ -70,7 +70,7 @@ def _factor_cells(df: DataFrame, y: str, factors: Mapping[str, Sequence[str]]) -
 
 
 def fit_oneway(
-    df: DataFrame, y: str, factors: Mapping[str, Sequence[str]] | None = None, max_iter: int = 60, tol: float = 1e-12
+    df: DataFrame, y: str, factors: Mapping[str, Sequence[str]] | None = None, max_iter: int = 60, tol: float = 1e-8
 ) -> OneWay:
     """Fit the null model (no factors) or one model per factor."""
     cells = _factor_cells(df, y, factors) if factors else _null_cells(df, y)
@@ -116,11 +116,12 @@ def fit_oneway(
             if moved > THETA_CAP:
                 theta[term] = THETA_CAP
                 open_terms.discard(term)
-            elif abs(step) < tol or (abs(step) < 1e-9 and iterations[term] > 8):
-                converged[term] = True
-                open_terms.discard(term)
             else:
+                # Newton squares the error, so after a step this small there is none left to see.
                 theta[term] = moved
+                if abs(step) < tol:
+                    converged[term] = True
+                    open_terms.discard(term)
         if not open_terms:
             break
     se = {k: math.sqrt(-1 / c) if (c := curvature[k]) < 0 and converged[k] else None for k in theta}

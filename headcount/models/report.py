@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from headcount.functions.columns import literal, round_half_even
 from headcount.functions.special import nb_log_pmf, nb_zero
-from headcount.models.fit import Fit, fit_nb
+from headcount.models.fit import Fit, drop_one_deviances
 from headcount.models.table import ZERO, parameter
 
 _NORMAL = NormalDist()
@@ -138,13 +138,10 @@ def theta_interval_table(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
 def drop_one_lrt(spark: SparkSession, fit: Fit) -> DataFrame:
     """Likelihood ratio test of each factor: refit without it at the full model's theta."""
     rows = [("<none>", None, float(fit.deviance), None, None)]
-    for factor in fit.design.index:
-        reduced = fit.design.without(factor)
-        start = np.array([b for b, (term, _) in zip(fit.beta, fit.design.terms) if term != factor])
-        small = fit_nb(reduced, theta=fit.theta, tol=1e-7, start=start)
-        df = fit.design.p - reduced.p
-        statistic = max(float(small.deviance - fit.deviance), 0.0)
-        rows.append((factor, df, float(small.deviance), statistic, chi_square_tail(statistic, df)))
+    for factor, deviance in drop_one_deviances(fit, list(fit.design.index)).items():
+        df = sum(term == factor for term, _ in fit.design.terms)
+        statistic = max(deviance - float(fit.deviance), 0.0)
+        rows.append((factor, df, deviance, statistic, chi_square_tail(statistic, df)))
     return spark.createDataFrame(rows, "term string, df int, deviance double, statistic double, p_value double")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -105,21 +105,9 @@ class Design:
         beta = parameters(coefficients)
         return "(" + " + ".join(f"coalesce(get({beta}, {slot}), 0D)" for slot in self.slots()) + ")"
 
-    def without(self, factor: str) -> Design:
-        """The nested design that leaves one factor out, over the same cells."""
-        kept = [i for i, (term, _) in enumerate(self.terms) if term != factor]
-        place = {old: new for new, old in enumerate(kept)}
-        moved = "array(" + ", ".join(literal(place.get(i, REFERENCE)) for i in range(self.p)) + ")"
-        index = {f: c for f, c in self.index.items() if f != factor}
-        renumbered = {c: f"CASE WHEN {name(c)} < 0 THEN {name(c)} ELSE get({moved}, {name(c)}) END" for c in index.values()}
-        return replace(
-            self,
-            coded=with_exprs(self.coded.drop(self.index[factor]), renumbered),
-            index=index,
-            terms=[self.terms[i] for i in kept],
-            reference={f: r for f, r in self.reference.items() if f != factor},
-            all_zero=[t for t in self.all_zero if t[0] != factor],
-        )
+    def kept_without(self, factor: str) -> list[int]:
+        """Coefficients of the nested model that leaves one factor out."""
+        return [i for i, (term, _) in enumerate(self.terms) if term != factor]
 
 
 def build_design(

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from headcount.plans import oracle_models as om
 from headcount.plans.oracle_tables import PEOPLE, SOC, SURVEY
 
 DIGITS = 6
@@ -209,6 +210,77 @@ OLS = (
 )
 
 
+ALL_KNOWN = " AND ".join(f"{f} IS NOT NULL" for f in LEVELS)
+
+
+def _layout(*left_out: str) -> om.Layout:
+    return om.Layout({f: v for f, v in LEVELS.items() if f not in left_out}, lambda f: level_place(f, f))
+
+
+def multi_nb() -> list[tuple[str, str]]:
+    layout = _layout()
+    return [*om.cells(layout, ALL_KNOWN), *om.nb_fit(layout, 60)]
+
+
+def multi_models() -> dict[str, str]:
+    """Fits on all factors."""
+    q = {}
+    coef = f"""SELECT term, level, {r("estimate")} AS estimate, {r("se")} AS se, {r("estimate / se", 5)} AS z FROM est"""
+    q["mdl_nb_coef"] = on_people(coef, *multi_nb(), *om.nb_terms())
+    q["mdl_ols_coef"] = on_people(coef, *om.cells(_layout(), ALL_KNOWN), *om.ols_terms())
+    p = "(SELECT COUNT(*) FROM coefs)"
+    q["mdl_nb_fit"] = on_people(
+        f"""SELECT CAST(n AS BIGINT) AS n, CAST({p} + 1 AS INTEGER) AS p, {r("theta")} AS theta, {r("se_theta")} AS se_theta,
+  {r("loglik")} AS loglik, {r("deviance")} AS deviance, {r(f"-2 * loglik + 2 * ({p} + 1)")} AS aic FROM fig""",
+        *multi_nb(),
+        *om.TERMS,
+    )
+    q["mdl_theta_ci_multi"] = on_people(
+        f"""SELECT {r("theta")} AS theta, {r("se_theta")} AS se_theta, {r(f"theta - {Z95} * se_theta")} AS conf_low,
+  {r(f"theta + {Z95} * se_theta")} AS conf_high FROM fig""",
+        *multi_nb(),
+    )
+    q["mdl_irr"] = on_people(
+        f"""SELECT term, level, reference, {r("EXP(estimate)")} AS ratio, {r(f"EXP(estimate - {Z95} * se)")} AS conf_low,
+  {r(f"EXP(estimate + {Z95} * se)")} AS conf_high, {r("se")} AS se_log, CAST(n AS BIGINT) AS n,
+  {r(f"-2 * loglik + 2 * ({p} + 1)")} AS aic, {r("deviance")} AS deviance, {r("loglik")} AS loglik
+FROM (SELECT term, level, FALSE AS reference, estimate, se FROM est UNION ALL
+  SELECT term, ref_level, TRUE, 0.0, NULL FROM base), fig""",
+        *multi_nb(),
+        *om.nb_terms(),
+    )
+    reduced, rows = [], ["SELECT '<none>' AS term, NULL::INTEGER AS df, deviance, NULL::DOUBLE AS statistic FROM fig"]
+    for i, f in enumerate(LEVELS):
+        layout, tag = _layout(f), f"_{i}"
+        reduced += om.cells(layout, ALL_KNOWN, tag) + om.nb_fit(layout, 30, tag, "(SELECT theta FROM fin)")
+        df = f"(SELECT COUNT(*) - 1 FROM seen WHERE term = '{f}')"
+        rows.append(
+            f"SELECT '{f}', CAST({df} AS INTEGER), x.deviance, x.deviance - fig.deviance FROM fig{tag} x, fig"
+        )
+    q["mdl_lrt"] = on_people(
+        f"SELECT term, df, {r('deviance', 5)} AS deviance, {r('statistic', 5)} AS statistic FROM ({' UNION ALL '.join(rows)})",
+        *multi_nb(),
+        *om.TERMS,
+        *reduced,
+    )
+    pmf = PMF0.replace("* LN(m /", "* LN(mu /").replace("+ m)", "+ mu)")
+    q["dist_nb"] = on_people(
+        f"""SELECT CAST(k AS INTEGER) AS x, {r(f"SUM(n * {pmf}) / SUM(n)")} AS prob
+FROM (SELECT n, theta, {om.ETA} AS mu FROM pats, fin),
+  (SELECT UNNEST(RANGE(0, (SELECT MAX(y) + 1 FROM cell)::BIGINT)) AS k) GROUP BY k""",
+        *multi_nb(),
+    )
+    q["dist_ols_multi"] = on_people(
+        f"""SELECT x, {r("SUM(n) / (SELECT SUM(n) FROM pats)")} AS "OLS" FROM (
+  SELECT n, CAST(ROUND_EVEN((SELECT SUM(sol) FROM inv JOIN coefs USING (pos) WHERE idx = 0 OR list_contains(p.ix, idx)), 0) AS INTEGER) AS x
+  FROM pats p) GROUP BY x""",
+        *om.cells(_layout(), ALL_KNOWN),
+        *om.TERMS,
+        *om.gram("n", "s", "pats"),
+    )
+    return q
+
+
 def box(value: str, keys: str) -> str:
     return on_people(
         f"""SELECT {keys},
@@ -452,6 +524,7 @@ FROM ({stack("survey WHERE age_years > 0 AND respondent_id <> 9142", contacts, n
         q[f"mdl_nb_uni_{f}"] = nb_coef(f)
         q[f"mdl_irr_{f}"] = nb_irr(f)
         q[f"mdl_lrt_{f}"] = nb_lrt(f)
+    q["mdl_nb_uni"] = " UNION ALL ".join(f"SELECT '{f}' AS term, * FROM ({nb_coef(f)})" for f in LEVELS)
     q["mdl_ols_uni"] = on_people(
         f"""SELECT CASE WHEN age3 = base THEN '(Intercept)' ELSE age3 END AS level,
   {r("CASE WHEN age3 = base THEN m ELSE m - m0 END")} AS estimate,
@@ -494,6 +567,7 @@ UNION ALL SELECT x, 'OLS', {r("COALESCE(l.p, 0)")} FROM observed o FULL JOIN ols
   {r("SUM(n * POW(theta / (theta + m), theta))", 5)} AS expected FROM lv, th""",
         *NULL_TABLES,
     )
+    q.update(multi_models())
     return q
 
 

@@ -557,19 +557,24 @@ def _zinb(spark, sf_dir) -> Fit:
     return fit_zinb(_design(spark, sf_dir))
 
 
+def _coefficients(spark, fit: Fit) -> DataFrame:
+    table = report.coef_table(spark, [fit]).select("term", "level", "estimate", "se", "z")
+    return table.selectExpr("term", "level", "round(estimate, 6) AS estimate", "round(se, 6) AS se", "round(z, 5) AS z")
+
+
 @query
 def mdl_nb_coef(spark, sf_dir):
-    return report.coef_table(spark, [_nb(spark, sf_dir)])
+    return _coefficients(spark, _nb(spark, sf_dir))
 
 
 @query
 def mdl_nb_fit(spark, sf_dir):
-    return report.fit_table(spark, [_nb(spark, sf_dir)])
+    return _rounded(report.fit_table(spark, [_nb(spark, sf_dir)]).drop("model", "iterations", "converged"))
 
 
 @query
 def mdl_ols_coef(spark, sf_dir):
-    return report.coef_table(spark, [fit_ols(_design(spark, sf_dir, False))])
+    return _coefficients(spark, fit_ols(_design(spark, sf_dir, False)))
 
 
 @query
@@ -587,23 +592,32 @@ def mdl_aic(spark, sf_dir):
 
 @query
 def mdl_irr(spark, sf_dir):
-    nb = _nb(spark, sf_dir)
-    return report.rate_ratio_table(spark, [nb, fit_zinb(nb.design, nb)])
+    return _rounded(report.rate_ratio_table(spark, [_nb(spark, sf_dir)]).drop("model", "part", "p_value"))
+
+
+@query
+def mdl_irr_zinb(spark, sf_dir):
+    return report.rate_ratio_table(spark, [_zinb(spark, sf_dir)])
 
 
 @query
 def mdl_lrt(spark, sf_dir):
-    return report.drop_one_lrt(spark, _nb(spark, sf_dir))
+    return _rounded(report.drop_one_lrt(spark, _nb(spark, sf_dir)).drop("p_value"), 5)
+
+
+@query
+def mdl_lrt_pvalue(spark, sf_dir):
+    return report.drop_one_lrt(spark, _nb(spark, sf_dir)).select("term", "df", "p_value")
 
 
 @query
 def mdl_theta_ci_multi(spark, sf_dir):
-    return report.theta_interval_table(spark, [_nb(spark, sf_dir)])
+    return _rounded(report.theta_interval_table(spark, [_nb(spark, sf_dir)]).drop("model"))
 
 
 @query
 def dist_nb(spark, sf_dir):
-    return report.predicted_distribution(_nb(spark, sf_dir))
+    return _rounded(report.predicted_distribution(_nb(spark, sf_dir)))
 
 
 @query
@@ -613,7 +627,7 @@ def dist_zinb(spark, sf_dir):
 
 @query
 def dist_ols_multi(spark, sf_dir):
-    return report.ols_distribution(fit_ols(_design(spark, sf_dir, False)))
+    return _rounded(report.ols_distribution(fit_ols(_design(spark, sf_dir, False))))
 
 
 @query

@@ -6,6 +6,8 @@ and a query that uses three of the columns computes only those three.
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 from pyspark.sql import DataFrame
 
 from headcount.functions import codes as K
@@ -28,6 +30,11 @@ from headcount.operators.filters import exclude_ids, keep_positive
 CONTACTS = (*K.FACE_TO_FACE, *K.PHYSICAL)
 
 
+# A topic is a list of layers of derived columns; a layer may use the layers above it. Topics do not
+# use each other, so layers at the same depth go into one projection.
+Topic = list[dict[str, str]]
+
+
 def occupation() -> str:
     """Healthcare worker first, then keyworker; "Other" needs both answers known."""
     return classify(
@@ -43,80 +50,74 @@ def weekend(day: str) -> str:
     return if_else(is_in(day, K.WEEKEND_DAYS), "Weekend", "Weekday")
 
 
+DATES: Topic = [
+    {"date_ymd": date_from_parts("survey_year", "survey_month", "survey_day")},
+    {"weekday": weekday("date_ymd"), "yesterday": weekday("date_sub(date_ymd, 1)")},
+    {"weekday2": weekend("weekday"), "yesterday2": weekend("yesterday")},
+]
+
+AGES: Topic = [
+    {
+        "age": band("age_years", K.AGE),
+        "age2": band("age_years", K.AGE2),
+        "age3": band("age_years", K.AGE3),
+        "age4": band("age_years", K.AGE4),
+    }
+]
+
+# Totals by kind, by contact age, and overall: the sum, and the larger of the two kinds.
+CONTACT_TOTALS: Topic = [
+    {c: null_codes(c) for c in CONTACTS},
+    {
+        "total_face_to_face": row_total(*K.FACE_TO_FACE),
+        "total_physical": row_total(*K.PHYSICAL),
+        **{t: row_total(f, p) for t, f, p in zip(K.TOTAL_BY_CONTACT, K.FACE_TO_FACE, K.PHYSICAL)},
+    },
+    {
+        "total_contacts": row_total("total_face_to_face", "total_physical"),
+        "total_contactsLD": row_max("total_face_to_face", "total_physical"),
+    },
+]
+
+HOUSEHOLD: Topic = [
+    {c: null_codes(c) for c in K.HOUSEHOLD_MEMBERS},
+    {
+        "household_size": f"{row_total(*K.HOUSEHOLD_MEMBERS)} + 1",
+        "N_0to17yo": row_total(*K.HOUSEHOLD_CHILDREN),
+    },
+    {
+        "household_size2": band("household_size", K.HOUSEHOLD),
+        "alone": if_else("household_size = 1", "Live alone", "Multiple Occp"),
+        "children_in_house": if_else("N_0to17yo = 0", "No children", "Children"),
+    },
+    {"Children": if_else("children_in_house = 'Children'", "Yes", "No")},
+]
+
+OCCUPATION: Topic = [
+    {
+        "occupation": occupation(),
+        "occupation2": occupation(),
+        "SOC2010Major": code_prefix("soc_code", 1),
+        "SOC2010SubMajor": code_prefix("soc_code", 2),
+        "SOC2010Minor": code_prefix("soc_code", 3),
+    }
+]
+
+LABELS: Topic = [{"sex2": recode("sex", K.SEX_LABELS), "selfisolation_un": recode("isolation", K.ISOLATION_LABELS)}]
+
+
+def derive_columns(df: DataFrame, *topics: Topic) -> DataFrame:
+    """Add the columns of some topics, one projection per depth."""
+    for layers in zip_longest(*topics, fillvalue={}):
+        df = with_exprs(df, {c: text for layer in layers for c, text in layer.items()})
+    return df
+
+
 def select_cases(raw: DataFrame) -> DataFrame:
     """Leave out the excluded case and everyone whose age is hidden or unknown."""
     return keep_positive(exclude_ids(raw, "respondent_id", K.EXCLUDED_IDS), "age_years")
 
 
-def with_dates(df: DataFrame) -> DataFrame:
-    df = with_exprs(df, {"date_ymd": date_from_parts("survey_year", "survey_month", "survey_day")})
-    df = with_exprs(df, {"weekday": weekday("date_ymd"), "yesterday": weekday("date_sub(date_ymd, 1)")})
-    return with_exprs(df, {"weekday2": weekend("weekday"), "yesterday2": weekend("yesterday")})
-
-
-def with_ages(df: DataFrame) -> DataFrame:
-    schemes = {"age": K.AGE, "age2": K.AGE2, "age3": K.AGE3, "age4": K.AGE4}
-    return with_exprs(df, {name: band("age_years", bands) for name, bands in schemes.items()})
-
-
-def with_contacts(df: DataFrame) -> DataFrame:
-    """Totals by kind, overall (the sum, and the larger of the two kinds) and by contact age."""
-    df = with_exprs(df, {c: null_codes(c) for c in CONTACTS})
-    by_age = zip(K.TOTAL_BY_CONTACT, K.FACE_TO_FACE, K.PHYSICAL)
-    df = with_exprs(
-        df,
-        {
-            "total_face_to_face": row_total(*K.FACE_TO_FACE),
-            "total_physical": row_total(*K.PHYSICAL),
-            **{total: row_total(f2f, phys) for total, f2f, phys in by_age},
-        },
-    )
-    kinds = ("total_face_to_face", "total_physical")
-    return with_exprs(df, {"total_contacts": row_total(*kinds), "total_contactsLD": row_max(*kinds)})
-
-
-def with_household(df: DataFrame) -> DataFrame:
-    df = with_exprs(df, {c: null_codes(c) for c in K.HOUSEHOLD_MEMBERS})
-    df = with_exprs(
-        df,
-        {
-            "household_size": f"{row_total(*K.HOUSEHOLD_MEMBERS)} + 1",
-            "N_0to17yo": row_total(*K.HOUSEHOLD_CHILDREN),
-        },
-    )
-    df = with_exprs(
-        df,
-        {
-            "household_size2": band("household_size", K.HOUSEHOLD),
-            "alone": if_else("household_size = 1", "Live alone", "Multiple Occp"),
-            "children_in_house": if_else("N_0to17yo = 0", "No children", "Children"),
-        },
-    )
-    return with_exprs(df, {"Children": if_else("children_in_house = 'Children'", "Yes", "No")})
-
-
-def with_occupation(df: DataFrame) -> DataFrame:
-    return with_exprs(
-        df,
-        {
-            "occupation": occupation(),
-            "occupation2": occupation(),
-            "SOC2010Major": code_prefix("soc_code", 1),
-            "SOC2010SubMajor": code_prefix("soc_code", 2),
-            "SOC2010Minor": code_prefix("soc_code", 3),
-        },
-    )
-
-
-def with_labels(df: DataFrame) -> DataFrame:
-    return with_exprs(
-        df, {"sex2": recode("sex", K.SEX_LABELS), "selfisolation_un": recode("isolation", K.ISOLATION_LABELS)}
-    )
-
-
 def clean(raw: DataFrame) -> DataFrame:
     """The analysis table: selected cases with every derived column."""
-    df = select_cases(raw)
-    for step in (with_dates, with_ages, with_contacts, with_household, with_occupation, with_labels):
-        df = step(df)
-    return df
+    return derive_columns(select_cases(raw), DATES, AGES, CONTACT_TOTALS, HOUSEHOLD, OCCUPATION, LABELS)

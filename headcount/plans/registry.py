@@ -13,7 +13,7 @@ from headcount.models import linear, oneway, report
 from headcount.models.fit import Fit, fit_nb, fit_ols, fit_zinb
 from headcount.models.table import build_design, model_table
 from headcount.operators import derive, distributions, filters, frequency, mixing, plots, summary
-from headcount.plans.clean import CONTACTS, clean, select_cases, with_contacts, with_dates, with_household
+from headcount.plans.clean import CONTACT_TOTALS, CONTACTS, DATES, HOUSEHOLD, clean, derive_columns, select_cases
 from headcount.sources import soc_lookup, survey
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,7 +126,7 @@ def prj_null_sentinels(spark, sf_dir):
 
 @query
 def prj_row_total(spark, sf_dir):
-    people = with_contacts(select_cases(survey(spark, sf_dir)))
+    people = derive_columns(select_cases(survey(spark, sf_dir)), CONTACT_TOTALS)
     return people.selectExpr(
         "respondent_id", *TOTALS, *K.TOTAL_BY_CONTACT, f"{n_answered(*CONTACTS)} AS n_answered"
     )
@@ -144,7 +144,7 @@ def prj_row_max(spark, sf_dir):
 
 @query
 def prj_household(spark, sf_dir):
-    return with_household(select_cases(survey(spark, sf_dir))).select(
+    return derive_columns(select_cases(survey(spark, sf_dir)), HOUSEHOLD).select(
         "respondent_id",
         "household_size",
         "household_size2",
@@ -157,19 +157,19 @@ def prj_household(spark, sf_dir):
 
 @query
 def prj_date_parts(spark, sf_dir):
-    return with_dates(survey(spark, sf_dir)).select("respondent_id", "date_ymd")
+    return derive_columns(survey(spark, sf_dir), DATES).select("respondent_id", "date_ymd")
 
 
 @query
 def prj_weekday(spark, sf_dir):
-    return with_dates(survey(spark, sf_dir)).select(
+    return derive_columns(survey(spark, sf_dir), DATES).select(
         "respondent_id", "weekday", "yesterday", F.dayofweek("date_ymd").alias("weekday_ord")
     )
 
 
 @query
 def prj_weekend(spark, sf_dir):
-    return with_dates(survey(spark, sf_dir)).select("respondent_id", "weekday2", "yesterday2")
+    return derive_columns(survey(spark, sf_dir), DATES).select("respondent_id", "weekday2", "yesterday2")
 
 
 @query
@@ -184,7 +184,7 @@ def prj_bands(spark, sf_dir):
 
 @query
 def prj_week_index(spark, sf_dir):
-    people = with_dates(select_cases(survey(spark, sf_dir))).select("respondent_id", "date_ymd")
+    people = derive_columns(select_cases(survey(spark, sf_dir)), DATES).select("respondent_id", "date_ymd")
     return derive.add_week_index(people, "date_ymd", "Q1week")
 
 
@@ -273,7 +273,7 @@ def agg_freq_total(spark, sf_dir):
 
 @query
 def agg_freq_week(spark, sf_dir):
-    people = with_dates(select_cases(survey(spark, sf_dir))).select("date_ymd")
+    people = derive_columns(select_cases(survey(spark, sf_dir)), DATES).select("date_ymd")
     return _rounded(frequency.freq_table(derive.add_week_index(people, "date_ymd", "Q1week"), "Q1week"))
 
 

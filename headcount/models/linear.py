@@ -11,21 +11,23 @@ from headcount.functions.columns import level_ord, literal, round_half_even
 from headcount.models.table import INTERCEPT, model_table
 
 
-def _levels(df: DataFrame, y: str, factor: str, levels: Sequence[str]) -> DataFrame:
+def _levels(df: DataFrame, y: str, factor: str, levels: Sequence[str], weight: str | None) -> DataFrame:
     sums = ("sum(n) AS n", "sum(y * n) AS s1", "sum(CAST(y AS DOUBLE) * y * n) AS s2")
     return (
-        model_table(df, y, [factor])
+        model_table(df, y, [factor], weight=weight)
         .groupBy(F.col(factor).alias("level"))
         .agg(*[F.expr(s) for s in sums])
         .selectExpr("*", "s1 / n AS mean", f"{level_ord('level', levels)} AS ord")
     )
 
 
-def ols_oneway(df: DataFrame, y: str, factor: str, levels: Sequence[str]) -> DataFrame:
+def ols_oneway(
+    df: DataFrame, y: str, factor: str, levels: Sequence[str], weight: str | None = None
+) -> DataFrame:
     """(level, estimate, se, sigma): level means against the first observed level. The windows run
     over one row per level."""
     return (
-        _levels(df, y, factor, levels)
+        _levels(df, y, factor, levels, weight)
         .selectExpr(
             "*",
             "sum(s2 - s1 * mean) OVER () / (sum(n) OVER () - count(*) OVER ()) AS sigma2",
@@ -40,10 +42,12 @@ def ols_oneway(df: DataFrame, y: str, factor: str, levels: Sequence[str]) -> Dat
     )
 
 
-def ols_oneway_distribution(df: DataFrame, y: str, factor: str, levels: Sequence[str]) -> DataFrame:
+def ols_oneway_distribution(
+    df: DataFrame, y: str, factor: str, levels: Sequence[str], weight: str | None = None
+) -> DataFrame:
     """(x, OLS): predictions rounded to whole numbers, as shares of rows."""
     return (
-        _levels(df, y, factor, levels)
+        _levels(df, y, factor, levels, weight)
         .selectExpr(f"CAST({round_half_even('mean')} AS INT) AS x", "n")
         .groupBy("x")
         .agg(F.sum("n").alias("n"))

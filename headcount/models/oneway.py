@@ -51,15 +51,15 @@ def _by_term(values: Mapping[str, float | None]) -> str:
     return f"CAST({classify([(f'term = {literal(t)}', v) for t, v in values.items()])} AS DOUBLE)"
 
 
-def _null_cells(df: DataFrame, y: str) -> DataFrame:
-    return model_table(df, y, []).selectExpr(f"{literal(NULL_MODEL)} AS term", "'' AS level", "1 AS ord", "y", "n")
+def _null_cells(df: DataFrame, y: str, weight: str | None) -> DataFrame:
+    return model_table(df, y, [], weight=weight).selectExpr(f"{literal(NULL_MODEL)} AS term", "'' AS level", "1 AS ord", "y", "n")
 
 
-def _factor_cells(df: DataFrame, y: str, factors: Mapping[str, Sequence[str]]) -> DataFrame:
+def _factor_cells(df: DataFrame, y: str, factors: Mapping[str, Sequence[str]], weight: str | None) -> DataFrame:
     """Each model drops only the rows whose own factor is unknown."""
     names = list(factors)
     long = (
-        model_table(df, y, names, complete=False)
+        model_table(df, y, names, complete=False, weight=weight)
         .unpivot(["y", "n"], names, "term", "level")
         .filter("level IS NOT NULL")
         .groupBy("term", "level", "y")
@@ -70,10 +70,15 @@ def _factor_cells(df: DataFrame, y: str, factors: Mapping[str, Sequence[str]]) -
 
 
 def fit_oneway(
-    df: DataFrame, y: str, factors: Mapping[str, Sequence[str]] | None = None, max_iter: int = 60, tol: float = 1e-8
+    df: DataFrame,
+    y: str,
+    factors: Mapping[str, Sequence[str]] | None = None,
+    weight: str | None = None,
+    max_iter: int = 60,
+    tol: float = 1e-8,
 ) -> OneWay:
-    """Fit the null model (no factors) or one model per factor."""
-    cells = _factor_cells(df, y, factors) if factors else _null_cells(df, y)
+    """Fit the null model (no factors) or one model per factor. ``weight`` as in ``model_table``."""
+    cells = _factor_cells(df, y, factors, weight) if factors else _null_cells(df, y, weight)
     level = "PARTITION BY term, level"
     cells = keep(
         cells.selectExpr("term", "level", "ord", "CAST(y AS DOUBLE) AS y", "n").selectExpr(

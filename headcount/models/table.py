@@ -33,21 +33,25 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def model_table(df: DataFrame, y: str, factors: Sequence[str], complete: bool = True) -> DataFrame:
+def model_table(
+    df: DataFrame, y: str, factors: Sequence[str], complete: bool = True, weight: str | None = None
+) -> DataFrame:
     """Exact weighted form of the regression data: (factors, y, n).
 
     Rows with an unknown outcome are dropped; rows with an unknown factor too unless ``complete``
     is off. All regressors are factors, so the size is bounded by level combinations times
-    distinct outcomes, however many rows there are.
+    distinct outcomes, however many rows there are. ``weight`` names the row count of a table that
+    is counted already, so that one counted table can serve several models.
     """
     keys = [*factors, "y"]
     known = " AND ".join(f"{name(c)} IS NOT NULL" for c in (keys if complete else ["y"]))
     # The test for unknowns is an aggregate on purpose. As a filter on the keys it would be pushed
     # below the projection that derives them, and every row would pay for the derivation twice.
+    rows = "1L" if weight is None else name(weight)
     return (
-        df.selectExpr(*[name(f) for f in factors], f"CAST({name(y)} AS BIGINT) AS y")
+        df.selectExpr(*[name(f) for f in factors], f"CAST({name(y)} AS BIGINT) AS y", f"{rows} AS n")
         .groupBy(*keys)
-        .agg(F.count("*").alias("n"), F.expr(f"count_if({known}) AS n_known"))
+        .agg(F.sum("n").alias("n"), F.expr(f"count_if({known}) AS n_known"))
         .filter("n_known > 0")
         .drop("n_known")
     )

@@ -12,18 +12,20 @@ from pyspark.sql.window import Window
 from headcount.functions.columns import level_ord, name
 
 
-def tally(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Row count by zero or more keys; NULL is a group of its own."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"))
+def tally(df: DataFrame, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Row count by zero or more keys; NULL is a group of its own. ``weight`` names the row count
+    of a table that is counted already."""
+    count = F.count("*") if weight is None else F.sum(weight)
+    return df.groupBy(*keys).agg(count.alias("n"))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     return tally(df, [col])
 
 
-def prop_table(df: DataFrame, col: str, share: str = "share") -> DataFrame:
+def prop_table(df: DataFrame, col: str, share: str = "share", weight: str | None = None) -> DataFrame:
     """Share of rows per value, NULL left out."""
-    counts = tally(df.filter(F.col(col).isNotNull()), [col])
+    counts = tally(df.filter(F.col(col).isNotNull()), [col], weight)
     return counts.withColumn(share, F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 

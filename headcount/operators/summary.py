@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from headcount.functions.columns import name
@@ -124,4 +123,4 @@ def attach_lookup(df: DataFrame, lookup: DataFrame, key: str, cols: Sequence[str
         .agg(F.min(F.struct(*cols)).alias("_row"))
         .select("_key", *[F.col(f"_row.{c}").alias(c) for c in cols])
     )
-    return df.join(one, F.col(key).cast(T.StringType()) == F.col("_key").cast(T.StringType()), "left").drop("_key")
+    return df.join(one, F.col(key) == F.col("_key"), "left").drop("_key")

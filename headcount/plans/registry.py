@@ -11,7 +11,7 @@ from headcount.functions import codes as K
 from headcount.functions.columns import is_in, log_scale, n_answered, name, row_max
 from headcount.models import linear, oneway, report
 from headcount.models.fit import Fit, fit_nb, fit_ols, fit_zinb
-from headcount.models.table import build_design, model_table
+from headcount.models.table import build_design, keep, model_table
 from headcount.operators import derive, distributions, filters, frequency, mixing, plots, summary
 from headcount.plans.clean import CONTACT_TOTALS, CONTACTS, DATES, HOUSEHOLD, clean, derive_columns, select_cases
 from headcount.sources import soc_lookup, survey
@@ -46,6 +46,11 @@ def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(survey(spark, sf_dir))
 
 
+def _counted(spark: SparkSession, sf_dir: str, factors: list[str]) -> DataFrame:
+    """Outcome counts by some factors, kept: results that share them read the survey once."""
+    return keep(model_table(_people(spark, sf_dir), OUTCOME, factors, complete=False))
+
+
 # -- sources ---------------------------------------------------------------------
 
 
@@ -228,11 +233,10 @@ def join_lookup(spark, sf_dir):
 
 @query
 def join_full(spark, sf_dir):
-    people = _people(spark, sf_dir)
-    observed = frequency.prop_table(people, OUTCOME, "Observed").select(F.col(OUTCOME).alias("x"), "Observed")
-    size = frequency.prop_table(people, "household_size", "Household").select(
-        F.col("household_size").alias("x"), "Household"
-    )
+    cells = _counted(spark, sf_dir, ["household_size"])
+    observed = frequency.prop_table(cells, "y", "Observed", "n").select(F.col("y").alias("x"), "Observed")
+    size = frequency.prop_table(cells, "household_size", "Household", "n")
+    size = size.select(F.col("household_size").alias("x"), "Household")
     return _rounded(distributions.align_distributions(observed, size))
 
 
@@ -495,10 +499,8 @@ def mdl_ols_uni(spark, sf_dir):
 # -- distributions ---------------------------------------------------------------
 
 
-def _observed(people: DataFrame) -> DataFrame:
-    return frequency.prop_table(people, OUTCOME, "Observed").select(
-        F.col(OUTCOME).cast("int").alias("x"), "Observed"
-    )
+def _observed(cells: DataFrame) -> DataFrame:
+    return frequency.prop_table(cells, "y", "Observed", "n").select(F.col("y").cast("int").alias("x"), "Observed")
 
 
 @query
@@ -520,20 +522,19 @@ def dist_ols(spark, sf_dir):
 
 @query
 def dist_unpivot(spark, sf_dir):
-    people = _people(spark, sf_dir)
-    ols = linear.ols_oneway_distribution(people, OUTCOME, "age3", K.AGE3.labels)
-    wide = distributions.zero_fill(distributions.align_distributions(_observed(people), ols), ["Observed", "OLS"])
+    cells = _counted(spark, sf_dir, ["age3"])
+    ols = linear.ols_oneway_distribution(cells, "y", "age3", K.AGE3.labels, "n")
+    wide = distributions.zero_fill(distributions.align_distributions(_observed(cells), ols), ["Observed", "OLS"])
     return _rounded(distributions.unpivot_models(wide, "x", ["Observed", "OLS"]))
 
 
 @query
 def dist_compare(spark, sf_dir):
-    people = _people(spark, sf_dir)
-    ols = linear.ols_oneway_distribution(people, OUTCOME, "age3", K.AGE3.labels)
-    fit = _null(spark, sf_dir)
-    nb = oneway.distribution(fit).select("x", F.col("prob").alias("NegBin"))
-    total = fit.cells.agg(F.sum("n")).first()[0]
-    return _rounded(distributions.compare_distributions(_observed(people), [ols, nb], F.lit(total)), 5)
+    cells = _counted(spark, sf_dir, ["age3"])
+    ols = linear.ols_oneway_distribution(cells, "y", "age3", K.AGE3.labels, "n")
+    nb = oneway.distribution(oneway.fit_oneway(cells, "y", weight="n")).select("x", F.col("prob").alias("NegBin"))
+    total = F.lit(cells.agg(F.sum("n")).first()[0])
+    return _rounded(distributions.compare_distributions(_observed(cells), [ols, nb], total), 5)
 
 
 @query
@@ -638,13 +639,17 @@ def dist_zero(spark, sf_dir):
 
 @query
 def dist_compare_multi(spark, sf_dir):
-    people = _people(spark, sf_dir)
-    nb = _nb(spark, sf_dir)
-    zinb = fit_zinb(nb.design, nb)
-    ols = fit_ols(nb.design if not nb.design.all_zero else _design(spark, sf_dir, False))
+    factors = list(K.MODEL_FACTORS)
+    cells = _counted(spark, sf_dir, factors)
+    design = build_design(model_table(cells, "y", factors, weight="n"), K.MODEL_FACTORS)
+    linear_design = design
+    if design.all_zero:
+        linear_design = build_design(model_table(cells, "y", factors, weight="n"), K.MODEL_FACTORS, False)
+    nb = fit_nb(design)
     predictions = [
-        report.ols_distribution(ols),
+        report.ols_distribution(fit_ols(linear_design)),
         report.predicted_distribution(nb, prob="NegBin"),
-        report.predicted_distribution(zinb, prob="Zinb"),
+        report.predicted_distribution(fit_zinb(design, nb), prob="Zinb"),
     ]
-    return distributions.compare_distributions(_observed(people), predictions, F.lit(people.count()))
+    total = F.lit(cells.agg(F.sum("n")).first()[0])
+    return _rounded(distributions.compare_distributions(_observed(cells), predictions, total), 5)

@@ -275,7 +275,7 @@ def _ascent(hessian: np.ndarray, gradient: np.ndarray) -> np.ndarray:
     return vectors @ ((vectors.T @ gradient) / size)
 
 
-def fit_zinb(design: Design, start: Fit | None = None, max_iter: int = 100, tol: float = 1e-7) -> Fit:
+def fit_zinb(design: Design, start: Fit | None = None, max_iter: int = 100, tol: float = 1e-12) -> Fit:
     """Zero-inflated negative binomial, the same factors in the count and the zero part.
 
     Newton's method on the likelihood of the data as observed, over all coefficients and

@@ -278,6 +278,61 @@ FROM (SELECT n, theta, {om.ETA} AS mu FROM pats, fin),
         *om.TERMS,
         *om.gram("n", "s", "pats"),
     )
+    zinb = [*om.cells(_layout(), ALL_KNOWN), *om.zinb_fit(_layout(), 80)]
+    q["mdl_zinb_coef"] = on_people(
+        f"SELECT part, term, level, {r('estimate')} AS estimate, {r('se')} AS se, {r('estimate / se', 4)} AS z FROM zest",
+        *zinb,
+        *om.zinb_terms(),
+    )
+    q["mdl_irr_zinb"] = on_people(
+        f"""SELECT part, term, level, reference, {r("EXP(estimate)")} AS ratio, {r(f"EXP(estimate - {Z95} * se)", 5)} AS conf_low,
+  {r(f"EXP(estimate + {Z95} * se)", 5)} AS conf_high, {r("se")} AS se_log, CAST(n AS BIGINT) AS n,
+  {r(f"-2 * loglik + 2 * (2 * {p} + 1)")} AS aic, {r("loglik")} AS loglik
+FROM (SELECT part, term, level, FALSE AS reference, estimate, se FROM zest
+  UNION ALL SELECT part, term, ref_level, TRUE, 0.0, NULL FROM base, (VALUES ('count'), ('zero')) AS v(part)), zfig""",
+        *zinb,
+        *om.zinb_terms(),
+    )
+    ols = [t for t in om.ols_terms() if t[0] not in [n for n, _ in om.TERMS]]
+    ols_row = f"""SELECT 'OLS' AS model, n, {p} + 1 AS p, NULL::DOUBLE AS theta, NULL::DOUBLE AS se_theta,
+    -0.5 * n * (LN(2 * PI() * rss / n) + 1) AS loglik, rss AS deviance FROM rss"""
+    nb_row = f"SELECT 'NB', n, {p} + 1, theta, se_theta, loglik, deviance FROM fig"
+    zinb_row = f"SELECT 'ZINB', n, 2 * {p} + 1, theta, (SELECT se_theta FROM zse), loglik, NULL FROM zfig"
+    # The two eliminations use the same table names, so the zero-inflated one is set apart.
+    row = "SELECT model, CAST(n AS BIGINT) AS n, CAST(p AS INTEGER) AS p, {0} AS theta, {1} AS se_theta, {2} AS loglik, {3} AS deviance, {4} AS aic FROM ({5})"
+    shape = [r("theta"), r("se_theta"), r("loglik"), r("deviance"), r("-2 * loglik + 2 * p")]
+    named = "SELECT 'x' AS model, 0.0 AS n, 0 AS p, 0.0 AS theta, 0.0 AS se_theta, 0.0 AS loglik, 0.0 AS deviance WHERE FALSE"
+    plain = on_people(row.format(*shape, f"{ols_row} UNION ALL {nb_row}"), *multi_nb(), *om.TERMS, *ols)
+    inflated = on_people(row.format(*shape, f"{named} UNION ALL {zinb_row}"), *zinb, *om.zinb_terms())
+    q["mdl_aic"] = f"SELECT * FROM ({plain}) UNION ALL SELECT * FROM ({inflated})"
+    zpmf = f"(1 - pi) * {pmf} + CASE WHEN k = 0 THEN pi ELSE 0 END"
+    ks = "(SELECT UNNEST(RANGE(0, (SELECT MAX(y) + 1 FROM cell)::BIGINT)) AS k)"
+    zdist = f"SELECT CAST(k AS INTEGER) AS x, SUM(n * ({zpmf})) / SUM(n) AS prob FROM zfit, {ks} GROUP BY k"
+    q["dist_zinb"] = on_people(f"SELECT x, {r('prob')} AS prob FROM ({zdist})", *zinb)
+    nbfit = ("nbfit", f"SELECT n, theta, {om.ETA} AS mu FROM pats, fin")
+    q["dist_zero"] = on_people(
+        f"""SELECT 'Observed' AS model, {r("SUM(n0)", 5)} AS zeros FROM pats
+UNION ALL SELECT 'NB', {r("SUM(n * POW(theta / (theta + mu), theta))", 5)} FROM nbfit
+UNION ALL SELECT 'ZINB', {r("SUM(n * (pi + (1 - pi) * POW(theta / (theta + mu), theta)))", 5)} FROM zfit""",
+        *multi_nb(),
+        nbfit,
+        *om.zinb_fit(_layout(), 80),
+    )
+    ndist = f"SELECT CAST(k AS INTEGER) AS x, SUM(n * {pmf}) / SUM(n) AS prob FROM nbfit, {ks} GROUP BY k"
+    everyone = "(SELECT COUNT(*) FROM people)"
+    q["dist_compare_multi"] = on_people(
+        f"""SELECT x, "Model", {r("prob", 5)} AS prob, {r(f"prob * {everyone}", 4)} AS n FROM (
+  SELECT x, 'Observed' AS "Model", COALESCE(p, 0) AS prob FROM xs LEFT JOIN observed USING (x)
+  UNION ALL SELECT x, 'NegBin', COALESCE(prob, 0) FROM xs LEFT JOIN ndist USING (x)
+  UNION ALL SELECT x, 'Zinb', COALESCE(prob, 0) FROM xs LEFT JOIN zdist USING (x)) WHERE x BETWEEN 0 AND 50""",
+        *multi_nb(),
+        nbfit,
+        *om.zinb_fit(_layout(), 80),
+        OBSERVED,
+        ("ndist", ndist),
+        ("zdist", zdist),
+        ("xs", "SELECT x FROM observed UNION SELECT x FROM ndist"),
+    )
     return q
 
 

@@ -107,9 +107,30 @@ TERMS = [
 ]
 
 
+# Gauss-Jordan elimination of the square table gm (i, j, v) beside rhs (i, r) and the identity.
+# ``inv`` has (pos, sol, var): the solution, and the diagonal of the inverse.
+ELIMINATE = [
+    (
+        "gj",
+        """SELECT 0 AS step, i, list_concat(list_append(list(v ORDER BY j), ANY_VALUE(r)),
+      list(CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY j)) AS line
+    FROM gm JOIN rhs USING (i) GROUP BY i
+  UNION ALL
+  SELECT l.step + 1, l.i, CASE WHEN l.i = l.step
+      THEN list_transform(l.line, lambda x: x / p.line[l.step + 1])
+      ELSE list_transform(range(1, len(l.line) + 1), lambda q: l.line[q] - l.line[l.step + 1] * p.line[q] / p.line[l.step + 1]) END
+    FROM gj l JOIN gj p ON p.i = l.step""",
+    ),
+    (
+        "inv",
+        """SELECT i AS pos, line[k + 1] AS sol, line[k + 2 + i] AS var
+    FROM gj, (SELECT COUNT(*)::INTEGER AS k FROM rhs) WHERE step = k""",
+    ),
+]
+
+
 def gram(weight: str, right: str, source: str) -> list[tuple[str, str]]:
-    """Inverse of the weighted cross-product matrix: ``inv`` has (pos, sol, var), where sol solves
-    against the right-hand side and var is the diagonal of the inverse."""
+    """Weighted cross-products of the level indicators, eliminated."""
     return [
         (
             "act",
@@ -118,24 +139,126 @@ def gram(weight: str, right: str, source: str) -> list[tuple[str, str]]:
     WHERE c.idx = 0 OR list_contains(p.ix, c.idx)""",
         ),
         (
-            "gj",
-            """SELECT 0 AS step, i, list_concat(list_append(list(v ORDER BY j), ANY_VALUE(r)),
-      list(CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY j)) AS line
-    FROM (SELECT a.pos AS i, b.pos AS j, COALESCE(SUM(x.w), 0) AS v FROM coefs a, coefs b
-        LEFT JOIN (SELECT u.pos AS pi, v.pos AS pj, SUM(u.w) AS w FROM act u JOIN act v ON u.id = v.id GROUP BY 1, 2) x
-          ON x.pi = a.pos AND x.pj = b.pos GROUP BY 1, 2) g
-      JOIN (SELECT pos AS i, SUM(r) AS r FROM act GROUP BY 1) USING (i) GROUP BY i
+            "gm",
+            """SELECT a.pos AS i, b.pos AS j, COALESCE(SUM(x.w), 0) AS v FROM coefs a, coefs b
+    LEFT JOIN (SELECT u.pos AS pi, v.pos AS pj, SUM(u.w) AS w FROM act u JOIN act v ON u.id = v.id GROUP BY 1, 2) x
+      ON x.pi = a.pos AND x.pj = b.pos GROUP BY 1, 2""",
+        ),
+        ("rhs", "SELECT pos AS i, SUM(r) AS r FROM act GROUP BY 1"),
+        *ELIMINATE,
+    ]
+
+
+ZETA = "1 / (1 + EXP(-list_sum(list_transform(ix, lambda q: c[q]))))"
+
+
+def zinb_fit(layout: Layout, sweeps: int) -> list[tuple[str, str]]:
+    """Block-wise fit of the zero-inflated model: count levels, zero levels and theta in turn.
+
+    A zero is a count zero with probability 1 - r. A step divides by the curvature, or where that
+    is small by a fifth of the curvature with r held fixed, which is always positive.
+    """
+    k = len(layout.factors)
+    period = 2 * k + 1
+    step = f"""SELECT step + 1, list(nb ORDER BY idx), list(nc ORDER BY idx), ANY_VALUE(nlt) FROM (
+    WITH cur AS (SELECT step, step % {period} AS ph, b, c, lt, EXP(lt) AS th FROM zit WHERE step < {sweeps * period}),
+    m0 AS (SELECT ph, ix, n, n0, n - n0 AS np, s, th, {ETA} AS mu, {ZETA} AS pi FROM cur, pats),
+    m AS (SELECT *, th + mu AS d, pi / (pi + (1 - pi) * POW(th / (th + mu), th)) AS r FROM m0),
+    up AS (SELECT ix[ph + 1] AS idx, SUM(th * (s - np * mu) / d - n0 * (1 - r) * th * mu / d) AS g,
+        SUM(th * mu * (s + np * th) / (d * d) + n0 * (1 - r) * th * th * mu / (d * d)) AS held,
+        SUM(n0 * r * (1 - r) * th * th * mu * mu / (d * d)) AS less FROM m WHERE ph < {k} GROUP BY 1),
+    uz AS (SELECT ix[ph - {k} + 1] AS idx, SUM(n0 * r - n * pi) AS g, SUM(n * pi * (1 - pi)) AS held,
+        SUM(n0 * r * (1 - r)) AS less FROM m WHERE ph >= {k} AND ph < {2 * k} GROUP BY 1),
+    sc AS (SELECT th, (SELECT SUM(t / (th + j)) FROM tj)
+          + SUM(np * (LN(th / d) + 1) - (s + np * th) / d + n0 * (1 - r) * (LN(th / d) + mu / d)) AS g,
+        SUM(np / th - 2 * np / d + (s + np * th) / (d * d)
+          + n0 * ((1 - r) * mu * mu / (th * d * d) + r * (1 - r) * (LN(th / d) + mu / d) * (LN(th / d) + mu / d)))
+          - (SELECT SUM(t / ((th + j) * (th + j))) FROM tj) AS h FROM m WHERE ph = {2 * k} GROUP BY th)
+    SELECT cur.step, idx, cur.b[idx] + COALESCE(up.g / GREATEST(up.held - up.less, 0.2 * up.held), 0) AS nb,
+      cur.c[idx] + COALESCE(uz.g / GREATEST(uz.held - uz.less, 0.2 * uz.held), 0) AS nc,
+      cur.lt + COALESCE((SELECT g / GREATEST(-th * h - g, 0.2 * ABS(th * h)) FROM sc), 0) AS nlt
+    FROM cur CROSS JOIN lvs LEFT JOIN up USING (idx) LEFT JOIN uz USING (idx)) GROUP BY step"""
+    spread = "list_transform(range(1, {0}), lambda i: CASE WHEN i <= {1} THEN {2} ELSE 0.0::DOUBLE END)"
+    return [
+        (
+            "zit",
+            f"""SELECT 0 AS step, {spread.format(layout.size + 1, layout.first, "m0")} AS b,
+      {spread.format(layout.size + 1, layout.first, "-2.0::DOUBLE")} AS c, 0.5::DOUBLE AS lt
+    FROM (SELECT LN(SUM(s) / SUM(n)) AS m0 FROM pats)
   UNION ALL
-  SELECT l.step + 1, l.i, CASE WHEN l.i = l.step
-      THEN list_transform(l.line, lambda x: x / p.line[l.step + 1])
-      ELSE list_transform(range(1, len(l.line) + 1), lambda q: l.line[q] - l.line[l.step + 1] * p.line[q] / p.line[l.step + 1]) END
-    FROM gj l JOIN gj p ON p.i = l.step""",
+  {step}""",
+        ),
+        ("zfin", f"SELECT b, c, EXP(lt) AS theta FROM zit WHERE step = {sweeps * period}"),
+        (
+            "zfit",
+            f"""SELECT *, theta + mu AS d, pi / (pi + (1 - pi) * POW(theta / (theta + mu), theta)) AS r
+    FROM (SELECT ix, n, n0, n - n0 AS np, s, theta, {ETA} AS mu, {ZETA} AS pi FROM pats, zfin)""",
+        ),
+        (
+            "zfig",
+            f"""SELECT ANY_VALUE(theta) AS theta, SUM(n) AS n, SUM(n * CASE WHEN y = 0
+      THEN LN(pi + (1 - pi) * POW(theta / (theta + mu), theta))
+      ELSE LN(1 - pi) + LGAMMA(y + theta) - LGAMMA(theta) - LGAMMA(y + 1) + theta * LN(theta / (theta + mu))
+        + y * LN(mu / (theta + mu)) END) AS loglik
+    FROM (SELECT y, n, theta, {ETA} AS mu, {ZETA} AS pi FROM cell, zfin)""",
+        ),
+    ]
+
+
+def zinb_terms() -> list[tuple[str, str]]:
+    """``zest`` (part, term, level, estimate, se) and ``zse`` (se_theta): errors from the curvature
+    of the likelihood in all coefficients and log(theta) together. p is the position of log(theta)."""
+    return [
+        *TERMS,
+        ("size", "SELECT COUNT(*)::INTEGER AS k FROM coefs"),
+        (
+            "zcoefs",
+            """SELECT 'count' AS part, pos, term, level, idx, ref FROM coefs
+    UNION ALL SELECT 'zero', pos + k, term, level, idx, ref FROM coefs, size
+    UNION ALL SELECT 'theta', 2 * k, '', '', 0, 0 FROM size""",
+        ),
+        (
+            "zw",
+            """SELECT ROW_NUMBER() OVER () AS id, ix,
+      n0 * r * (1 - r) * e * e + th_e AS cc, n0 * r * (1 - r) * e * -1 AS cz, n0 * r * (1 - r) - n * pi * (1 - pi) AS zz,
+      theta * (n0 * r * (1 - r) * e * g + (s - np * mu) * mu / (d * d) - n0 * (1 - r) * mu * mu / (d * d)) AS ct,
+      -theta * n0 * r * (1 - r) * g AS zt,
+      theta * theta * (np / theta - 2 * np / d + (s + np * theta) / (d * d)
+        + n0 * ((1 - r) * mu * mu / (theta * d * d) + r * (1 - r) * g * g)) AS tt
+    FROM (SELECT *, -theta * mu / d AS e, LN(theta / d) + mu / d AS g,
+      -theta * mu * (s + np * theta) / (d * d) - n0 * (1 - r) * theta * theta * mu / (d * d) AS th_e FROM zfit)""",
+        ),
+        (
+            "zact",
+            "SELECT w.*, c.pos, c.part FROM zw w, zcoefs c WHERE c.idx = 0 OR list_contains(w.ix, c.idx)",
+        ),
+        (
+            "zsum",
+            """SELECT u.pos AS pi, v.pos AS pj, SUM(CASE
+        WHEN u.part = 'theta' AND v.part = 'theta' THEN u.tt
+        WHEN u.part = 'theta' OR v.part = 'theta' THEN CASE WHEN u.part = 'count' OR v.part = 'count' THEN u.ct ELSE u.zt END
+        WHEN u.part = 'count' AND v.part = 'count' THEN u.cc
+        WHEN u.part = 'zero' AND v.part = 'zero' THEN u.zz ELSE u.cz END) AS w
+    FROM zact u JOIN zact v ON u.id = v.id GROUP BY 1, 2""",
+        ),
+        (
+            "gm",
+            """SELECT a.pos AS i, b.pos AS j, -COALESCE(x.w, 0) + CASE WHEN a.part = 'theta' AND b.part = 'theta'
+        THEN (SELECT SUM(theta * theta * t / ((theta + j) * (theta + j))) FROM tj, zfin) ELSE 0 END AS v
+    FROM zcoefs a CROSS JOIN zcoefs b LEFT JOIN zsum x ON x.pi = a.pos AND x.pj = b.pos""",
         ),
+        ("rhs", "SELECT pos AS i, 0.0::DOUBLE AS r FROM zcoefs"),
+        *ELIMINATE,
         (
-            "inv",
-            """SELECT i AS pos, line[k + 1] AS sol, line[k + 2 + i] AS var
-    FROM gj, (SELECT COUNT(*)::INTEGER AS k FROM coefs) WHERE step = k""",
+            "zest",
+            """SELECT part, pos, term, level, SQRT(var) AS se, CASE
+        WHEN idx = 0 AND part = 'count' THEN (SELECT SUM(b[ref]) FROM base, zfin)
+        WHEN idx = 0 THEN (SELECT SUM(c[ref]) FROM base, zfin)
+        WHEN part = 'count' THEN (SELECT b[idx] - b[ref] FROM zfin)
+        ELSE (SELECT c[idx] - c[ref] FROM zfin) END AS estimate
+    FROM zcoefs JOIN inv USING (pos) WHERE part <> 'theta'""",
         ),
+        ("zse", "SELECT theta * SQRT(var) AS se_theta FROM zfin, inv WHERE pos = 2 * (SELECT k FROM size)"),
     ]
 
 

@@ -580,7 +580,10 @@ def mdl_ols_coef(spark, sf_dir):
 
 @query
 def mdl_zinb_coef(spark, sf_dir):
-    return report.coef_table(spark, [_zinb(spark, sf_dir)])
+    table = report.coef_table(spark, [_zinb(spark, sf_dir)])
+    return table.selectExpr(
+        "part", "term", "level", "round(estimate, 6) AS estimate", "round(se, 6) AS se", "round(z, 4) AS z"
+    )
 
 
 @query
@@ -588,7 +591,7 @@ def mdl_aic(spark, sf_dir):
     design = _design(spark, sf_dir)
     nb = fit_nb(design)
     ols = fit_ols(design if not design.all_zero else _design(spark, sf_dir, False))
-    return report.fit_table(spark, [ols, nb, fit_zinb(design, nb)])
+    return _rounded(report.fit_table(spark, [ols, nb, fit_zinb(design, nb)]).drop("iterations", "converged"))
 
 
 @query
@@ -598,7 +601,9 @@ def mdl_irr(spark, sf_dir):
 
 @query
 def mdl_irr_zinb(spark, sf_dir):
-    return report.rate_ratio_table(spark, [_zinb(spark, sf_dir)])
+    table = report.rate_ratio_table(spark, [_zinb(spark, sf_dir)]).drop("model", "p_value", "deviance")
+    bounds = {c: F.round(c, 5) for c in ("conf_low", "conf_high")}
+    return _rounded(table.withColumns(bounds))
 
 
 @query
@@ -623,7 +628,7 @@ def dist_nb(spark, sf_dir):
 
 @query
 def dist_zinb(spark, sf_dir):
-    return report.predicted_distribution(_zinb(spark, sf_dir))
+    return _rounded(report.predicted_distribution(_zinb(spark, sf_dir)))
 
 
 @query
@@ -634,7 +639,7 @@ def dist_ols_multi(spark, sf_dir):
 @query
 def dist_zero(spark, sf_dir):
     nb = _nb(spark, sf_dir)
-    return report.zero_count_table([nb, fit_zinb(nb.design, nb)])
+    return _rounded(report.zero_count_table([nb, fit_zinb(nb.design, nb)]), 5)
 
 
 @query
@@ -652,4 +657,5 @@ def dist_compare_multi(spark, sf_dir):
         report.predicted_distribution(fit_zinb(design, nb), prob="Zinb"),
     ]
     total = F.lit(cells.agg(F.sum("n")).first()[0])
-    return _rounded(distributions.compare_distributions(_observed(cells), predictions, total), 5)
+    compared = distributions.compare_distributions(_observed(cells), predictions, total)
+    return compared.selectExpr("x", "Model", "round(prob, 5) AS prob", "round(n, 4) AS n")

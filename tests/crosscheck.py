@@ -64,7 +64,9 @@ if __name__ == "__main__":
     from headcount.session import local_session
 
     spark = local_session()
-    sf = "/root/testdata/sf0.01"
+    import os
+
+    sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     con = connect(sf)
     oracle = e.oracle_sql()
     wanted = sys.argv[1:]

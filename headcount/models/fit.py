@@ -22,7 +22,7 @@ from headcount.models.table import ALL_ZERO, Design, parameter, parameters
 
 # Beyond this the outcome is not over-dispersed and the model is Poisson for all purposes.
 THETA_CAP = 1e6
-MAX_HALVINGS = 30
+MAX_HALVINGS = 20
 
 
 @dataclass
@@ -173,10 +173,12 @@ def fit_nb(
             poisson = fit_nb(design, THETA_CAP, max_iter, tol, beta)
             poisson.fixed_theta = poisson.converged = False
             return poisson
+        # The log-gamma terms grow with theta and cancel, so this much of the sum is rounding.
+        slack = 1e-9 * abs(at["loglik"]) + 1e-14 * theta * design.n
         scale = 1.0
         for _ in range(MAX_HALVINGS):
             trial = evaluate(beta + scale * move, theta * math.exp(scale * shift))
-            if trial["loglik"] >= at["loglik"] - 1e-9 * abs(at["loglik"]):
+            if trial["loglik"] >= at["loglik"] - slack:
                 break
             scale /= 2
         beta, theta, at = beta + scale * move, theta * math.exp(scale * shift), trial

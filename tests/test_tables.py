@@ -21,7 +21,9 @@ def groups(spark):
 
 @pytest.fixture(scope="module")
 def people(spark, sf_dir):
-    return clean(survey(spark, sf_dir)).cache()
+    df = clean(survey(spark, sf_dir)).cache()
+    yield df
+    df.unpersist()
 
 
 def by_key(df, *keys):

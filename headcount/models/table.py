@@ -58,6 +58,7 @@ def model_table(
 
 
 REFERENCE, ALL_ZERO = -1, -2
+CELLS_PER_TASK = 2000
 
 # A stored column of zeros. Parameters are read as get(array, column): with a column for an index
 # Spark cannot fold the array into the expression, so the generated code is the same in every
@@ -129,7 +130,7 @@ def build_design(
     margins = (
         cells.unpivot(["y", "n"], names, "term", "level")
         .groupBy("term", "level")
-        .agg(F.sum("n").alias("n"), F.sum(F.col("y") * F.col("n")).alias("total"))
+        .agg(F.count("*").alias("cells"), F.sum(F.col("y") * F.col("n")).alias("total"))
         .collect()
     )
     totals = {(r["term"], r["level"]): r["total"] for r in margins}
@@ -152,7 +153,11 @@ def build_design(
             terms.append((f, level))
         index[f] = f"i_{f}"
         columns.append(f"{recode(name(f), slots)} AS {name(index[f])}")
-    coded = keep(cells.selectExpr(*columns, f"0 AS {ZERO}", "CAST(y AS DOUBLE) AS y", "CAST(n AS DOUBLE) AS n"))
+    coded = cells.selectExpr(*columns, f"0 AS {ZERO}", "CAST(y AS DOUBLE) AS y", "CAST(n AS DOUBLE) AS n")
+    # The cells are few bytes but much arithmetic, so they are spread by number and not by size.
+    n_cells = sum(r["cells"] for r in margins if r["term"] == names[0])
+    tasks = min(cells.sparkSession.sparkContext.defaultParallelism, n_cells // CELLS_PER_TASK + 1)
+    coded = keep(coded.repartition(tasks, *index.values()))
     m = coded.selectExpr("sum(n) AS n", "sum(y * n) AS s1", "sum(y * y * n) AS s2").first()
     mean = m["s1"] / m["n"]
     variance = (m["s2"] - m["n"] * mean * mean) / max(m["n"] - 1, 1)

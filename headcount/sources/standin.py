@@ -92,4 +92,5 @@ def soc_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where("p_partkey % 397 % 5 <> 0")
         .selectExpr("CAST(1111 + p_partkey % 397 * 20 AS STRING) AS soc_code", "p_type")
     )
-    return coded.groupBy("soc_code").agg({"p_type": "min"}).withColumnRenamed("min(p_type)", "soc_title")
+    # Distinct pairs first: that hashes, while the minimum of a text column has to sort its input.
+    return coded.distinct().groupBy("soc_code").agg(F.min("p_type").alias("soc_title"))

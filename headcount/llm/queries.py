@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-from headcount.llm import bpe, minhash
+from headcount.llm import ann, bpe, embeddings, html_text, minhash, mixing, pii, quality, url_filter, warc
 
 QUERIES = {
+    "op1_embeddings": embeddings.op1_embeddings,
+    "op2_quality": quality.op2_quality,
+    "op3_ann": ann.op3_ann,
+    "op4_pii": pii.op4_pii,
     "op5_bpe": bpe.op5_bpe,
+    "op6_html": html_text.op6_html,
+    "op7_urls": url_filter.op7_urls,
     "op8_minhash": minhash.op8_minhash,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_warc": warc.op10_warc,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_ann": ann.ORACLE_OP3,
+    "op7_urls": url_filter.ORACLE_OP7,
+    "op9_mixing": mixing.ORACLE_OP9,
+    "op10_warc": warc.ORACLE_OP10,
+}

@@ -31,15 +31,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path for files of this job in the folder that driver and executors share."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or (context.getCheckpointDir() or "").rpartition("/")[0]
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "spark-checkpoints"
+    return f"{base.rstrip('/')}/{name}"
+
+
 def by_size(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a cut table of narrow rows for broadcast if its count allows; else leave it to a shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def blocks_of(count: int, size: int) -> int:
-    return max(1, -(-count // size))
-
-
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Each run of equal keys in a partition that is sorted by them, whole, across batch borders.
 

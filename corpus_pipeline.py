@@ -1,28 +1,65 @@
-"""The training-data pipeline: documents in, token digests out."""
+"""The training-data pipeline: documents in, token digests of what is kept out.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and is written as
+Parquet; all but the last return the columns of documents. A null in any column, an empty table and
+further columns are what the operators say of them.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from headcount.llm import bpe, minhash, mixing, pii, quality
+from headcount.llm.shared import shared_folder, table
 
-from headcount.llm import bpe, minhash
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose text and site together look good."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that with the smallest id."""
     return minhash.keep_one(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and the terms that disclose it generalised."""
+    clean = pii.sanitise(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order that interleaves their sources."""
+    return mixing.in_order(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document: its number of tokens and the digests of its ids and of what they decode to."""
     return bpe.digests(docs, *bpe.public_vocabulary())
 
 
 STAGES = [
-    ("near_dedup", near_dedup),
-    ("bpe", tokens),
+    ("quality_classifier", quality_classifier),
+    ("minhash_near_dedup", near_dedup),
+    ("pii", personal_data),
+    ("source_mixing", source_mixing),
+    ("byte_level_bpe", tokens),
 ]
 
+#: Scheduling, token merges and similarity joins are not SQL; the tests hold run() against brute force.
+ORACLE_SQL = None
+
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in turn, each written to a folder of its own in the shared one and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = shared_folder(spark, f"pipeline-{uuid.uuid4().hex}")
+    for name, stage in STAGES:
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

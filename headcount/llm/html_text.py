@@ -118,7 +118,7 @@ def pieces(page: str) -> Iterator[tuple[str, str, bool, str, bool]]:
 
 
 def blocks(page: str) -> list[tuple[str, object]]:
-    """A page as ("text", (words, kind, aside)) and ("tag", name) in order.
+    """A page as ("text", (words, kind, aside)) and ("tag", (name, aside)) in order.
 
     Text between two block tags is one block: inline markup and br leave it whole. A block's kind is
     its tag, or ``link`` if all its words stand in links, or ``aside``.
@@ -147,7 +147,7 @@ def blocks(page: str) -> list[tuple[str, object]]:
             flush()
         elif name == "br":
             parts.append(" ")
-        out.append(("tag", value))
+        out.append(("tag", (value, aside)))
     flush()
     return out
 
@@ -159,9 +159,9 @@ def evidence(page: str) -> Counter[tuple[str, bool]]:
     marked = False
     for kind, value in blocks(page):
         if kind == "tag":
-            name = value.lstrip("/")
-            if name in ARTICLE:
-                depth = max(0, depth - 1) if value[0] == "/" else depth + 1
+            name = value[0].lstrip("/")
+            if name in ARTICLE and not value[1]:
+                depth = max(0, depth - 1) if value[0][0] == "/" else depth + 1
                 marked = True
             elif name in BLOCK or name in VOID:
                 found[f"tag {name}", depth > 0] += 1
@@ -198,18 +198,37 @@ def learn(df: DataFrame, column: str = "html") -> dict[str, float]:
 
 
 def weight(weights: dict[str, float], kind: str) -> float:
-    """The score of one word or tag. A word in an aside part scores -3, other words 0.1 to 3, tags -0.5 to -0.01.
+    """The score of one word, 0.1 to 3, or tag, -0.5 to -0.01.
 
-    A word of an unseen kind counts 1, in a block of links 0.1, an unseen tag -0.5; the edge of a
-    marked article is a wall of -3.
+    A word of an unseen kind counts 1, in a block of links 0.1, an unseen tag -0.5.
     """
-    if kind == "word aside" or kind in ("tag article", "tag main"):
-        return -3.0
     if kind.startswith("word "):
         return min(3.0, max(0.1, weights.get(kind, 0.1 if kind == "word link" else 1.0)))
     return max(-0.5, min(-0.01, weights.get(kind, -0.5)))
 
 
+def scores(parts: list[tuple[str, object]], weights: dict[str, float]) -> list[float]:
+    """The score of each block of text and each tag.
+
+    Words of an aside part count -3, five of a block at most, but nothing within a marked article,
+    which goes on behind it; the edges of the outermost mark are walls of -30.
+    """
+    out, depth = [], 0
+    for kind, value in parts:
+        if kind == "text":
+            words, word, aside = value
+            out.append((0.0 if depth else -3.0 * min(len(words), 5)) if aside else len(words) * weight(weights, word))
+            continue
+        name, aside = value
+        if name.lstrip("/") in ARTICLE and not aside:
+            closes = name[0] == "/"
+            out.append(-30.0 if depth == closes else -0.01)
+            depth = max(0, depth - 1) if closes else depth + 1
+        else:
+            out.append(-0.01 if aside and depth else weight(weights, f"tag {name.lstrip('/')}"))
+    return out
+
+
 def best_region(scores: list[float]) -> tuple[int, int]:
     """Start and end of the contiguous run with the largest sum, the longest of equals; (0, 0) if none is positive."""
     best, region = 0.0, (0, 0)
@@ -226,11 +245,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str, weights: dict[str, float]) -> str:
     """The blocks of the best region outside aside parts, joined by newlines."""
     parts = blocks(page)
-    scores = [
-        len(value[0]) * weight(weights, value[1]) if kind == "text" else weight(weights, f"tag {value.lstrip('/')}")
-        for kind, value in parts
-    ]
-    start, end = best_region(scores)
+    start, end = best_region(scores(parts, weights))
     return "\n".join(" ".join(value[0]) for kind, value in parts[start:end] if kind == "text" and not value[2])
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headcount.llm.components import components
-from headcount.llm.shared import by_size, cut, runs, table
+from headcount.llm.shared import by_size, cut, runs, stars, table, tiles
 from headcount.llm.vectors import matrix, vectors
 
 #: Of 20,000 pairs at a cosine of 0.9 in 64 dimensions, these find all.
@@ -133,27 +133,6 @@ def _earlier(keys_i: np.ndarray, keys_j: np.ndarray, key: int) -> np.ndarray:
     return incidence(keys_i) @ incidence(keys_j).T > 0
 
 
-def _forest(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """Pairs of ids that join the same rows as the links do, one fewer than rows at most."""
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    left, right = [], []
-    for i in range(len(a)):
-        for j in np.flatnonzero(linked[i]).tolist():
-            x, y = root(int(a[i])), root(int(b[j]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                left.append(int(a[i]))
-                right.append(int(b[j]))
-    return left, right
-
-
 def _tiles(least: float):
     """Per pair of blocks of a bucket: each member's links, and a forest that spans them.
 
@@ -178,11 +157,11 @@ def _tiles(least: float):
             if not linked.any():
                 continue
             to_i, to_j = linked @ copies[j], linked.T @ copies[i]
-            a, b = _forest(linked, ids[i], ids[j])
+            a, b = stars(linked, ids[i], ids[j])
             hit_i, hit_j = to_i > 0, to_j > 0
-            who = np.concatenate([ids[i][hit_i], ids[j][hit_j], np.array(a, np.int64)])
+            who = np.concatenate([ids[i][hit_i], ids[j][hit_j], a])
             n = np.concatenate([to_i[hit_i], to_j[hit_j], np.zeros(len(a), np.int64)])
-            other = pa.concat_arrays([pa.nulls(len(who) - len(a), pa.int64()), pa.array(b, pa.int64())])
+            other = pa.concat_arrays([pa.nulls(len(who) - len(a), pa.int64()), pa.array(b)])
             yield pa.RecordBatch.from_arrays([pa.array(who), other, pa.array(n)], names=["id", "other", "n"])
 
     return run
@@ -201,25 +180,13 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         usable.groupBy("mark").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
     )
     keys = classes.select("id", "vec").mapInArrow(_keys, "size int, key long, id long")
-    # Two buckets of one vector may be the same one if coordinates tie.
     counts = cut(keys.groupBy("size", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    member = keys.join(by_size(counts), ["size", "key"]).withColumn("blocks", F.expr(f"CAST(ceil(n / {BLOCK}) AS INT)"))
-    member = cut(
-        member.select("size", "key", "id", "blocks", F.expr("CAST(pmod(xxhash64(id, 5), blocks) AS INT)").alias("block"))
-    )
-    tiles = member.join(classes.select("id", "copies", "vec"), "id").select(
-        "size", "key", "block", "id", "copies", "vec", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
-    )
-    order = ["size", "key", "left", "right"]
+    member = cut(keys.join(by_size(counts), ["size", "key"]))
     found = cut(
-        tiles.select(
-            "size", "key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
-            "block", "id", "copies", "vec",
+        tiles(member.join(classes.select("id", "copies", "vec"), "id"), ["size", "key"], "id", BLOCK).mapInArrow(
+            _tiles(least), "id long, other long, n long"
         )
-        .repartition(*order)
-        .sortWithinPartitions(*order)
-        .mapInArrow(_tiles(least), "id long, other long, n long")
-    )
+    )
     links = found.where("other IS NULL").groupBy("id").agg(F.sum("n").alias("n"))
     joined = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = (

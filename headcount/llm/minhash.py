@@ -3,8 +3,8 @@
 A signature has ``SYMBOLS`` b-bit MinHash values. It is cut into chunks; two signatures that differ
 in at most ``DISTANCE`` values differ in at most ``DISTANCE // CHUNKS`` values of some chunk
 (pigeonhole). With one error allowed in a chunk of six values, the six keys that leave one value
-out each enumerate every case, so the join finds all pairs under the distance. Links are confirmed
-on the full shingle sets.
+out each enumerate every case, so the join finds all pairs under the distance. What these pairs
+connect is a family; links are confirmed on the full shingle sets of its members.
 """
 
 from __future__ import annotations
@@ -14,12 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headcount.llm.components import components
-from headcount.llm.shared import by_size, cut, runs, table
+from headcount.llm.shared import by_size, cut, runs, stars, table, tiles, whole_runs
 
 WORDS = 5
 CHUNK = 6
@@ -27,17 +26,22 @@ CHUNKS = 11
 SYMBOLS = CHUNK * CHUNKS
 #: 4.0 standard deviations above the mean distance of two texts at a similarity of 0.85.
 DISTANCE = 2 * CHUNKS - 1
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 256
-#: Candidate links a member of a block may name in the first round; rounds go on until none is left.
-WIDTH = 32
+#: Members of a bucket, or texts of a family, that one task compares with as many others.
+SIGNATURES, SETS = 256, 128
+#: Runs up to this size are compared many at once.
+SMALL = 32
 
 _rng = np.random.default_rng(20240607)
 _PLACES = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
-_KEYS = _rng.integers(1, 1 << 63, (CHUNK, CHUNK), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_KEYS[np.arange(CHUNK), np.arange(CHUNK)] = 0
+_KEYS = _rng.integers(1, 1 << 63, CHUNK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Tells the keys of a chunk and of its left-out value from the others.
+_SALTS = _rng.integers(1, 1 << 63, (CHUNKS, CHUNK), dtype=np.uint64)
+_BYTES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -47,47 +51,88 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the five-word shingles; the whole text if it has fewer words.
+def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of each word of some bytes: a polynomial, the same wherever the word stands.
 
-    Words are runs without ASCII white space, A-Z lower-cased. No words: an empty set.
+    Words are runs without ASCII white space. Hashes come from one prefix sum over the bytes.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    one = xxhash.xxh3_64_intdigest
-    h = np.array([one(w) for w in words], np.uint64)
-    if len(h) < WORDS:
-        return _mixed((h * _PLACES[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
-    n = len(h) - WORDS + 1
-    s = h[:n] * _PLACES[0]
-    for i in range(1, WORDS):
-        s += h[i : i + n] * _PLACES[i]
-    return np.unique(_mixed(s))
+    while len(_powers[0]) < len(text):
+        for k, base in enumerate((_BASE, _INVERSE)):
+            step = np.full(len(_powers[k]), base, np.uint64)
+            _powers[k] = np.concatenate([_powers[k], _powers[k][-1] * np.cumprod(step, dtype=np.uint64)])
+    word = np.zeros(len(text) + 2, bool)
+    word[1:-1] = ~_SPACE[text]
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(_BYTES[text] * _powers[0][: len(text)], out=sums[1:])
+    return starts, (sums[ends] - sums[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64)
+
+
+def _groups(texts: list[str | None]) -> Iterator[list[bytes]]:
+    """The texts as bytes, A-Z lower-cased, as many together as one prefix sum takes with ease."""
+    held, size = [], 0
+    for text in texts:
+        held.append((text or "").encode("utf-8", "surrogatepass").lower())
+        size += len(held[-1])
+        if size > 1 << 17:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its five-word shingles.
+
+    A text with fewer words is one shingle; one without words, or null, has none.
+    """
+    for group in _groups(texts):
+        borders = np.cumsum([0] + [len(x) + 1 for x in group])
+        starts, h = word_hashes(np.frombuffer(b" ".join(group), np.uint8))
+        at = np.searchsorted(starts, borders).tolist()
+        n = max(0, len(h) - WORDS + 1)
+        s = np.zeros(n, np.uint64)
+        for i in range(WORDS):
+            s += h[i : i + n] * _PLACES[i]
+        s = _mixed(s)
+        for a, b in zip(at, at[1:]):
+            if b - a >= WORDS:
+                own = np.sort(s[a : b - WORDS + 1])
+                new = np.ones(len(own), bool)
+                np.not_equal(own[1:], own[:-1], out=new[1:])
+                yield own[new]
+            else:
+                few = h[a:b]
+                yield _mixed((few * _PLACES[: b - a]).sum(keepdims=True, dtype=np.uint64) + np.uint64(b - a))[: b - a]
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """SYMBOLS 16-bit values of a non-empty set."""
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 4096):
-        part = s[at : at + 4096]
-        for k in range(SYMBOLS):
-            least[k] = min(least[k], (part * _FACTORS[k] + _SHIFTS[k]).min())
+    """SYMBOLS 16-bit values of a non-empty set: of the smallest element under each multiplication."""
+    least = (s[:512, None] * _FACTORS).min(axis=0)
+    for at in range(512, len(s), 512):
+        np.minimum(least, (s[at : at + 512, None] * _FACTORS).min(axis=0), out=least)
     return (_mixed(least) >> np.uint64(48)).astype(np.uint16)
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """CHUNKS * CHUNK keys: of each chunk, the values with one of them left out."""
-    chunks = sig.reshape(CHUNKS, 1, CHUNK).astype(np.uint64) + np.uint64(1)
-    left_out = np.arange(CHUNK, dtype=np.uint64) + np.uint64(CHUNK) * np.arange(CHUNKS, dtype=np.uint64)[:, None]
-    return _mixed((chunks * _KEYS).sum(axis=2, dtype=np.uint64) + (left_out + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).ravel()
+def chunk_keys(sigs: np.ndarray) -> np.ndarray:
+    """SYMBOLS keys of each signature (row): of each chunk, the values with one of them left out."""
+    part = (sigs.reshape(-1, CHUNKS, CHUNK).astype(np.uint64) + np.uint64(1)) * _KEYS
+    return _mixed(part.sum(axis=2, keepdims=True, dtype=np.uint64) - part + _SALTS).reshape(len(sigs), SYMBOLS)
+
+
+def _mark(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, marks, sigs = [], [], []
-        for text in batch.column(1).to_pylist():
-            s = shingles(text)
+        for s in shingle_sets(batch.column(1).to_pylist()):
             sizes.append(len(s))
             marks.append(_mark(s))
             sigs.append(signature(s).tobytes() if len(s) else None)
@@ -99,87 +144,120 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            sigs = [np.frombuffer(x, np.uint16) for x in batch.column(1).to_pylist()]
-            keys = np.concatenate([chunk_keys(s) for s in sigs]).view(np.int64)
-            ids = np.repeat(batch.column(0).to_numpy(), SYMBOLS)
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[at : at + 100_000]), pa.array(ids[at : at + 100_000])], names=["key", "id"]
-                )
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            keys = chunk_keys(_signatures(part.column(1))).view(np.int64).ravel()
+            ids = np.repeat(part.column(0).to_numpy(), SYMBOLS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
+
+
+class Forest:
+    """Tells which links join two of a task's trees; the others add nothing."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    def joining(self, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        kept = []
+        if len(self.parent) > 1_000_000:
+            self.parent.clear()
+        for x, y in np.unique(np.stack([a, b]), axis=1).T.tolist():
+            p, q = self.root(x), self.root(y)
+            if p != q:
+                self.parent[max(p, q)] = min(p, q)
+                kept.append((x, y))
+        a, b = zip(*kept) if kept else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of ids that join what signatures within the distance connect in each tile of a bucket."""
+    forest = Forest()
+    for part, starts in whole_runs(batches, ["key", "left", "right"]):
+        sigs, ids = _signatures(part.column("sig")), part.column("id").to_numpy()
+        size = np.diff(starts)
+        run = np.repeat(np.arange(len(size)), size)
+        small = np.repeat(size <= SMALL, size)
+        left, right = [], []
+        for step in range(1, min(SMALL, size.max())):
+            i = np.flatnonzero((run[:-step] == run[step:]) & small[:-step])
+            i = i[(sigs[i] != sigs[i + step]).sum(axis=1) <= DISTANCE]
+            left.append(ids[i])
+            right.append(ids[i + step])
+        for r in np.flatnonzero(size > SMALL):
+            own = part.column("block").slice(starts[r], size[r]).to_numpy()
+            i, j = (starts[r] + np.flatnonzero(own == part.column(c)[starts[r]].as_py()) for c in ("left", "right"))
+            a, b = stars(_distances(sigs[i], sigs[j]) <= DISTANCE, ids[i], ids[j])
+            left.append(a)
+            right.append(b)
+        if left:
+            yield forest.joining(np.concatenate(left), np.concatenate(right))
 
 
-def _mark(s: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(a), len(b)), np.uint8)
+    for k in range(SYMBOLS):
+        out += a[:, k, None] != b[None, :, k]
+    return out
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(t) for t in batch.column(1).to_pylist()]
+        sets = list(shingle_sets(batch.column("text").to_pylist()))
         marks, data = [_mark(s) for s in sets], [s.tobytes() for s in sets]
+        rest = [batch.column(c) for c in ("family", "n", "id")]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(marks, pa.binary()), pa.array(data, pa.binary())], names=["id", "mark", "set"]
+            [*rest, pa.array(marks, pa.binary()), pa.array(data, pa.binary())], names=["family", "n", "id", "mark", "set"]
         )
 
 
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (a, b) if len(a) < len(b) else (b, a)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                if 100 * both >= percent * (len(a) + len(b) - both):
-                    kept.append(i)
-            yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
-
-    return run
+def common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of sets with others, each sorted and distinct."""
+    both = np.intersect1d(np.unique(np.concatenate(sets)), np.unique(np.concatenate(others)), assume_unique=True)
+    out = np.zeros((len(sets), len(others)), np.float64)
+    for at in range(0, len(both), 8192):
+        part = both[at : at + 8192]
+        out += _incidence(sets, part) @ _incidence(others, part).T
+    return out
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)), np.int16)
-    for k in range(SYMBOLS):
-        out += a[:, k, None] != b[None, :, k]
+def _incidence(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(part)), np.float32)
+    for row, s in zip(out, sets):
+        s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
+        at = np.searchsorted(part, s)
+        row[at[part[at] == s]] = 1
     return out
 
 
-def _near(width: int):
-    """Of each run (a bucket's pair of blocks): pairs of different components within the distance.
-
-    Each member names its ``width`` nearest at most; a row without ids tells that some were left.
-    """
+def _confirmed(percent: int):
+    """Pairs of ids that join what similar sets connect in each tile of a family."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in runs(batches, ["key", "left", "right"]):
-            ids, own, group = (part.column(c).to_numpy() for c in ("id", "block", "component"))
-            sigs = np.stack([np.frombuffer(x, np.uint16) for x in part.column("sig").to_pylist()])
-            i, j = np.flatnonzero(own == part.column("left")[0].as_py()), np.flatnonzero(own == part.column("right")[0].as_py())
-            d = _distances(sigs[i], sigs[j])
-            fits = (d <= DISTANCE) & (group[i][:, None] != group[j][None, :])
-            d[~fits] = SYMBOLS + 1
-            left = fits.sum(axis=1).max(initial=0) > width
-            if left:
-                nearest = np.argpartition(d, width - 1, axis=1)[:, :width]
-                chosen = np.zeros_like(fits)
-                np.put_along_axis(chosen, nearest, True, axis=1)
-                fits &= chosen
-            x, y = np.nonzero(fits)
-            a, b = ids[i[x]], ids[j[y]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["a", "b"])
+        for part in runs(batches, ["family", "left", "right"]):
+            # An id that repeats stands for the set with the smallest digest, as in its sketch.
+            rows = sorted(zip(*(part.column(c).to_pylist() for c in ("id", "mark", "block", "set"))))
+            rows = [r for k, r in enumerate(rows) if not k or rows[k - 1][0] != r[0]]
+            ids, own = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+            sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+            i, j = (np.flatnonzero(own == part.column(c)[0].as_py()) for c in ("left", "right"))
+            if not len(i) or not len(j):
+                continue
+            size = np.array([len(s) for s in sets], np.float64)
+            both = common([sets[k] for k in i], [sets[k] for k in j])
+            similar = 100 * both >= percent * (size[i][:, None] + size[j][None, :] - both)
+            a, b = stars(similar, ids[i], ids[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
-def _hashed(column: str, blocks: str) -> str:
-    return f"CAST(pmod(xxhash64({column}, 7), {blocks}) AS INT)"
-
-
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """``id``, ``n_shingles``, ``component_id``, ``kept`` per distinct id of ``df[key]``.
 
@@ -187,39 +265,37 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     equal sets are one class from the start, whatever their number; a text without words links with
     nothing. Rows that repeat an id count as one text, the one whose set has the smallest digest.
     A null id takes part in nothing and comes back as its own row, kept, with a null component.
+
+    A bucket or a family of any size is compared in tiles of two blocks, and a tile returns what
+    connects its rows, never their pairs.
     """
     source = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    sketches = source.mapInArrow(_sketches, "id long, n long, mark binary, sig binary")
-    nameless = sketches.where("id IS NULL").select("id", "n", F.lit(None).cast("long").alias("component_id"))
-    one = cut(
-        sketches.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("mark", "n", "sig")).alias("s")).select("id", "s.*")
-    )
+    sketch = "id long, n long, mark binary, sig binary"
+    one = source.where("id IS NOT NULL").mapInArrow(_sketches, sketch)
+    one = cut(one.groupBy("id").agg(F.min(F.struct("mark", "n", "sig")).alias("s")).select("id", "s.*"))
     classes = one.where("mark IS NOT NULL").groupBy("mark").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
     classes = cut(classes)
-    heads = classes.select("id", "sig")
 
-    members = heads.mapInArrow(_keys, "key long, id long")
-    first = cut(members.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = cut(members.join(by_size(first), "key").select("key", "id", "head"))
-    stars = shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-
-    tried = cut(_within(stars, heads))
-    links = cut(_confirmed(tried, source, percent))
-    found, width, whole = _labels(links), WIDTH, False
-    while not whole:
-        pairs, whole = _others(shared, heads, found, tried, width)
-        more = cut(_confirmed(pairs, source, percent))
-        if more.first() is not None:
-            links = cut(links.unionByName(more))
-            found = _labels(links)
-        tried = cut(tried.unionByName(pairs)) if not whole else tried
-        width *= 4
+    heads = classes.select("id", "sig")
+    keys = heads.mapInArrow(_keys, "key long, id long")
+    buckets = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = cut(keys.join(by_size(buckets), "key")).join(heads, "id")
+    near = cut(tiles(members, ["key"], "id", SIGNATURES).mapInArrow(_near, "a long, b long").distinct())
+
+    family = cut(components(near).select(F.col("node").alias("id"), F.col("component").alias("family")))
+    sizes = cut(family.groupBy("family").agg(F.count(F.lit(1)).alias("n")))
+    family = cut(family.join(by_size(sizes), "family"))
+    texts = source.join(by_size(family, 200_000), "id").select("family", "n", "id", "text")
+    sets = texts.mapInArrow(_sets, "family long, n long, id long, mark binary, set binary")
+    links = tiles(sets, ["family"], "id", SETS).mapInArrow(_confirmed(percent), "a long, b long")
+    found = cut(components(cut(links.distinct())).withColumnRenamed("node", "id"))
 
     named = classes.join(found, "id", "left").select("mark", F.coalesce("component", "id").alias("component_id"))
     out = one.join(by_size(cut(named)), "mark", "left").select(
         "id", "n", F.coalesce("component_id", "id").alias("component_id")
     )
-    return out.unionByName(nameless).select(
+    nameless = source.where("id IS NULL").mapInArrow(_sketches, sketch)
+    return out.unionByName(nameless.select("id", "n", F.lit(None).cast("long").alias("component_id"))).select(
         "id",
         F.col("n").alias("n_shingles"),
         "component_id",
@@ -227,73 +303,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     )
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return cut(components(links).withColumnRenamed("node", "id"))
-
-
-def _others(shared: DataFrame, heads: DataFrame, found: DataFrame, tried: DataFrame, width: int) -> tuple[DataFrame, bool]:
-    """Untried pairs of different components that share a bucket, and whether these are all.
-
-    A pair within a component needs no test. So in each bucket only members outside its largest
-    component meet the others, in tiles of two blocks: one large group of copies costs as many
-    tests as it has rows.
-    """
-    member = cut(shared.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-    sizes = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    mixed = cut(mixed.where("n > most"))
-    rows = member.join(by_size(mixed), "key").selectExpr(
-        "key", "id", "component", "component = largest AS large",
-        f"CAST(ceil((n - most) / {BLOCK}) AS INT) AS small_blocks", f"CAST(ceil(most / {BLOCK}) AS INT) AS large_blocks",
-    )
-    rows = rows.withColumn(
-        "block",
-        F.expr(
-            f"CASE WHEN large THEN small_blocks + {_hashed('id', 'large_blocks')} ELSE {_hashed('id', 'small_blocks')} END"
-        ),
-    )
-    rows = cut(rows).join(heads, "id")
-    tiles = rows.withColumn(
-        "other", F.explode(F.expr("sequence(0, CASE WHEN large THEN small_blocks ELSE small_blocks + large_blocks END - 1)"))
-    ).select(
-        "key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "component", "sig"
-    )
-    order = ["key", "left", "right"]
-    near = tiles.repartition(*order).sortWithinPartitions(*order).mapInArrow(_near(width), "a long, b long")
-    near = cut(near.distinct())
-    whole = near.where("a IS NULL").first() is None
-    return cut(near.where("a IS NOT NULL").join(tried, ["a", "b"], "left_anti")), whole
-
-
-def _within(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    """The pairs whose signatures are within the distance."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.stack([np.frombuffer(x, np.uint16) for x in batch.column(c).to_pylist()]) for c in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array((a != b).sum(axis=1) <= DISTANCE))
-
-    pairs = cut(pairs)
-    both = pairs.join(heads.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-    both = both.join(heads.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
-
-
-def _confirmed(pairs: DataFrame, source: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. Only texts on a pair are read again.
-
-    A repeated id stands for the set that its sketch was made of.
-    """
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = source.join(by_size(wanted, 200_000), "id", "left_semi").select("id", "text")
-    sets = texts.mapInArrow(_sets, "id long, mark binary, set binary")
-    sets = cut(sets.groupBy("id").agg(F.min(F.struct("mark", "set")).alias("s")).select("id", "s.set"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
-
-
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 

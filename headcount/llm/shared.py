@@ -47,28 +47,79 @@ def by_size(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Each run of equal keys in a partition that is sorted by them, whole, across batch borders.
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal keys, with the runs' starts and the table's end.
 
-    A run has to fit in memory; the callers split their keys so that it does.
+    The partition is sorted by the keys. A run has to fit in memory; the callers split their keys so
+    that it does.
     """
-    held: list[pa.Table] = []
-    last = None
+    held = None
     for batch in batches:
         if not batch.num_rows:
             continue
         part = pa.Table.from_batches([batch])
-        columns = [part.column(k).to_numpy() for k in keys]
-        new = np.zeros(part.num_rows, bool)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        starts = [0, *np.flatnonzero(new).tolist(), part.num_rows]
+        part = pa.concat_tables([held, part]) if held is not None else part
+        starts = _starts(part, keys)
+        held = part.slice(starts[-1])
+        if len(starts) > 1:
+            yield part.slice(0, starts[-1]), starts
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
+def _starts(part: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(part.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        c = part.column(k).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Each run of equal keys by itself."""
+    for part, starts in whole_runs(batches, keys):
         for a, b in zip(starts, starts[1:]):
-            key = tuple(c[a] for c in columns)
-            if key != last and held:
-                yield pa.concat_tables(held)
-                held = []
-            last = key
-            held.append(part.slice(a, b - a))
-    if held:
-        yield pa.concat_tables(held)
+            yield part.slice(a, b - a)
+
+
+def tiles(df: DataFrame, keys: list[str], id_column: str, size: int) -> DataFrame:
+    """df's rows in every pair of blocks of their group: columns ``block``, ``left``, ``right`` (left <= right).
+
+    ``n`` is the number of rows of a row's group and its blocks hold about ``size`` of them. The
+    result is partitioned so that the tiles of a large group go to partitions in turn, and sorted
+    for ``whole_runs`` by keys, left and right.
+    """
+    wide = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("__blocks", F.ceil(F.col("n") / size).cast("long"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(id_column, F.lit(7)), F.col("__blocks")))
+    rows = rows.withColumn("__other", F.explode(F.expr("sequence(0L, __blocks - 1)")))
+    rows = rows.withColumn("left", F.least("block", "__other")).withColumn("right", F.greatest("block", "__other"))
+    number = F.pmod(F.xxhash64(*keys), F.lit(wide)) + F.col("left") * F.col("__blocks") + F.col("right")
+    rows = rows.repartitionById(wide, (number % wide).cast("int"))
+    return rows.drop("__blocks", "__other", "n").sortWithinPartitions(*keys, "left", "right")
+
+
+def stars(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (id, smaller id) that join the rows a and b as the matrix of their links does.
+
+    Labels spread along the links until they are the smallest id of their part, so that all that
+    leaves a tile is one pair for each of its rows.
+    """
+    ids = np.concatenate([a, b])
+    label = ids.copy()
+    i, j = label[: len(a)], label[len(a) :]
+    top = np.iinfo(np.int64).max
+    while True:
+        before = label.copy()
+        np.minimum(i, np.where(linked, j[None, :], top).min(axis=1, initial=top), out=i)
+        np.minimum(j, np.where(linked, i[:, None], top).min(axis=0, initial=top), out=j)
+        # A row that stands on both sides has one label.
+        order = np.argsort(ids, kind="stable")
+        twin = np.flatnonzero(ids[order][1:] == ids[order][:-1])
+        least = np.minimum(label[order[twin]], label[order[twin + 1]])
+        label[order[twin]] = label[order[twin + 1]] = least
+        if np.array_equal(label, before):
+            break
+    hung = label < ids
+    return ids[hung], label[hung]

@@ -138,9 +138,9 @@ def test_near_duplicates_of_the_table(spark, sf_dir):
     check_near(spark, docs, {r["doc_id"]: r["text"] for r in docs.collect()})
 
 
-def test_a_bucket_of_many_blocks_and_rounds(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 8)
-    monkeypatch.setattr(minhash, "WIDTH", 1)
+def test_large_buckets_and_families(spark, monkeypatch):
+    for name in ("SIGNATURES", "SETS", "SMALL"):
+        monkeypatch.setattr(minhash, name, 8)
     texts = near_copies(5, groups=2, members=60)
     check_near(spark, rows(spark, texts.values()), texts)
 
@@ -163,7 +163,16 @@ def test_pigeonhole_keys_meet_within_the_distance():
         a = pick.integers(0, 1 << 16, minhash.SYMBOLS).astype(np.uint16)
         b = a.copy()
         b[pick.choice(minhash.SYMBOLS, minhash.DISTANCE, replace=False)] += 1
-        assert np.intersect1d(minhash.chunk_keys(a), minhash.chunk_keys(b)).size
+        keys = minhash.chunk_keys(np.stack([a, b]))
+        assert np.intersect1d(keys[0], keys[1]).size
+
+
+def test_shingles_do_not_depend_on_their_neighbours():
+    texts = ["a b c d e f a b c d e", None, " A  b\x0bc D e f ", "", "x" * 200_000, "one two", *near_copies(3).values()]
+    alone = [next(minhash.shingle_sets([t])) for t in texts]
+    assert all(np.array_equal(a, b) for a, b in zip(alone, minhash.shingle_sets(texts)))
+    assert [len(s) for s in alone[:6]] == [6, 0, 2, 0, 1, 1]
+    assert [len(s) for s in alone[6:]] == [len(s) for s in word_sets(near_copies(3)).values()]
 
 
 def test_components_of_paths_and_stars(spark):

@@ -77,6 +77,10 @@ ISOLATION_LABELS = {
     -9: "UNK",
     -1: "UNK",
 }
+ALONE_LABELS = ("Live alone", "Multiple Occp")
+CHILDREN_LABELS = ("No children", "Children")
+YES_NO = ("Yes", "No")
+WEEKEND_LABELS = ("Weekend", "Weekday")
 HCW_YES = 2
 HCW_NO = (1, 3, 8, 9)
 KEYWORKER_YES = 1

@@ -35,14 +35,17 @@ def compare_distributions(
     predictions: Sequence[DataFrame],
     total: Column | int,
     on: str = "x",
-    lo: int = 0,
-    hi: int = 50,
-    drop: Sequence[str] = ("OLS",),
+    lo: int | None = None,
+    hi: int | None = None,
+    drop: Sequence[str] = (),
 ) -> DataFrame:
-    """Align, fill with 0, keep lo..hi, go long, leave out ``drop`` and scale to people."""
+    """Align, fill with 0, go long and scale to people. Nothing is cut unless asked: ``lo`` and
+    ``hi`` keep a range, ``drop`` leaves models out."""
     wide = observed
     for p in predictions:
         wide = align_distributions(wide, p, on)
     models = [c for c in wide.columns if c != on]
-    wide = keep_range(zero_fill(wide, models), on, lo, hi)
+    wide = zero_fill(wide, models)
+    if lo is not None or hi is not None:
+        wide = keep_range(wide, on, lo, hi)
     return scale_share(unpivot_models(wide, on, [m for m in models if m not in drop]), total)

@@ -7,28 +7,20 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headcount.functions.columns import is_in, name
-from headcount.operators.cells import long_answers
+from headcount.functions.columns import is_in, literal, name
 
-# Above this many ids an IN list costs more than a join against a table of ids.
-_IN_LIST_LIMIT = 1000
 
-
-def exclude_ids(df: DataFrame, col: str, ids: Iterable[int] | DataFrame) -> DataFrame:
-    """Drop named cases; a NULL id is dropped too.
+def exclude_ids(df: DataFrame, col: str, ids: Iterable[int | None] | DataFrame) -> DataFrame:
+    """Drop named cases; a NULL id is dropped too, and a NULL among ``ids`` names no case.
 
     ``ids`` is a list, or a one-column DataFrame when there are many. The join takes no broadcast
     hint: Spark broadcasts the id table only when its size is below the broadcast threshold.
     """
-    if not isinstance(ids, DataFrame):
-        ids = list(ids)
-        if not ids:
-            return df.filter(F.col(col).isNotNull())
-        if len(ids) <= _IN_LIST_LIMIT:
-            return df.filter(~F.col(col).isin(ids))
-        ids = df.sparkSession.createDataFrame([(i,) for i in ids], f"id {df.schema[col].dataType.simpleString()}")
-    ids = ids.toDF("_excluded_id")
-    return df.filter(F.col(col).isNotNull()).join(ids, F.col(col) == F.col("_excluded_id"), "left_anti")
+    known = df.filter(F.col(col).isNotNull())
+    if isinstance(ids, DataFrame):
+        ids = ids.toDF("_excluded_id")
+        return known.join(ids, F.col(col) == F.col("_excluded_id"), "left_anti")
+    return known.filter(~F.col(col).isin([i for i in ids if i is not None]))
 
 
 def keep_sentinel(df: DataFrame, col: str, code: int) -> DataFrame:
@@ -45,19 +37,29 @@ def keep_label(df: DataFrame, col: str, value, negate: bool = False) -> DataFram
     return df.filter(F.col(col) != value) if negate else df.filter(F.col(col) == value)
 
 
-def keep_range(df: DataFrame, col: str, lo, hi) -> DataFrame:
-    """Rows with lo <= value <= hi."""
-    return df.filter(F.col(col).between(lo, hi))
+def keep_range(df: DataFrame, col: str, lo=None, hi=None) -> DataFrame:
+    """Rows with lo <= value <= hi; a bound of None is open. NULL is dropped."""
+    df = df.filter(F.col(col).isNotNull())
+    df = df if lo is None else df.filter(F.col(col) >= lo)
+    return df if hi is None else df.filter(F.col(col) <= hi)
+
+
+def _profile(df: DataFrame, cols: Sequence[str], tests: Mapping[str, str], by: Sequence[str]) -> DataFrame:
+    """One row per question with a count for each test of its ``value``. All columns are counted side
+    by side in one aggregate; only its result is turned long, so no input row is multiplied."""
+    rows = []
+    for c in cols:
+        value = f"CAST({name(c)} AS BIGINT)"
+        counts = [f"{test.replace('value', value)} AS {n}" for n, test in tests.items()]
+        rows.append(F.expr(f"struct({literal(c)} AS question, {', '.join(counts)})").alias(f"_{len(rows)}"))
+    counted = df.groupBy(*by).agg(*rows)
+    return counted.selectExpr(*[name(k) for k in by], f"inline(array({', '.join(f'_{i}' for i in range(len(rows)))}))")
 
 
 def response_profile(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Zero, positive, negative and non-negative answers of several columns, in one pass."""
     counts = {"n_zero": "= 0", "n_positive": "> 0", "n_negative": "< 0", "n_non_negative": ">= 0"}
-    return (
-        long_answers(df, by, cols)
-        .groupBy(*by, "question")
-        .agg(*[F.expr(f"count_if(value {test}) AS {n}") for n, test in counts.items()])
-    )
+    return _profile(df, cols, {n: f"count_if(value {test})" for n, test in counts.items()}, by)
 
 
 def cross_classify(df: DataFrame, cells: Mapping[str, str]) -> DataFrame:
@@ -80,5 +82,4 @@ def missing_profile(
         "n_other_negative": f"value < 0 AND NOT {is_in('value', codes)}",
         **{f"n_code_{abs(code)}": f"value = {code}" for code in codes},
     }
-    counts = [F.expr(f"count_if({test}) AS {n}") for n, test in tests.items()]
-    return long_answers(df, by, cols).groupBy(*by, "question").agg(F.count("*").alias("n"), *counts)
+    return _profile(df, cols, {"n": "count(*)", **{n: f"count_if({test})" for n, test in tests.items()}}, by)

@@ -6,6 +6,7 @@ and a query that uses three of the columns computes only those three.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import zip_longest
 
 from pyspark.sql import DataFrame
@@ -37,17 +38,18 @@ Topic = list[dict[str, str]]
 
 def occupation() -> str:
     """Healthcare worker first, then keyworker; "Other" needs both answers known."""
+    other, hcw, keyworker = K.OCCUPATION_LEVELS
     return classify(
         [
-            (f"hcw = {K.HCW_YES}", "HCW"),
-            (f"keyworker = {K.KEYWORKER_YES}", "Keyworker"),
-            (f"hcw <> {K.HCW_YES} AND keyworker <> {K.KEYWORKER_YES}", "Other"),
+            (f"hcw = {K.HCW_YES}", hcw),
+            (f"keyworker = {K.KEYWORKER_YES}", keyworker),
+            (f"hcw <> {K.HCW_YES} AND keyworker <> {K.KEYWORKER_YES}", other),
         ]
     )
 
 
 def weekend(day: str) -> str:
-    return if_else(is_in(day, K.WEEKEND_DAYS), "Weekend", "Weekday")
+    return if_else(is_in(day, K.WEEKEND_DAYS), *K.WEEKEND_LABELS)
 
 
 DATES: Topic = [
@@ -87,10 +89,10 @@ HOUSEHOLD: Topic = [
     },
     {
         "household_size2": band("household_size", K.HOUSEHOLD),
-        "alone": if_else("household_size = 1", "Live alone", "Multiple Occp"),
-        "children_in_house": if_else("N_0to17yo = 0", "No children", "Children"),
+        "alone": if_else("household_size = 1", *K.ALONE_LABELS),
+        "children_in_house": if_else("N_0to17yo = 0", *K.CHILDREN_LABELS),
     },
-    {"Children": if_else("children_in_house = 'Children'", "Yes", "No")},
+    {"Children": if_else(f"children_in_house = '{K.CHILDREN_LABELS[1]}'", *K.YES_NO)},
 ]
 
 OCCUPATION: Topic = [
@@ -113,11 +115,12 @@ def derive_columns(df: DataFrame, *topics: Topic) -> DataFrame:
     return df
 
 
-def select_cases(raw: DataFrame) -> DataFrame:
-    """Leave out the excluded case and everyone whose age is hidden or unknown."""
-    return keep_positive(exclude_ids(raw, "respondent_id", K.EXCLUDED_IDS), "age_years")
+def select_cases(raw: DataFrame, excluded: Sequence[int] | DataFrame = ()) -> DataFrame:
+    """Leave out the excluded cases and everyone whose age is hidden or unknown."""
+    return keep_positive(exclude_ids(raw, "respondent_id", excluded), "age_years")
 
 
-def clean(raw: DataFrame) -> DataFrame:
-    """The analysis table: selected cases with every derived column."""
-    return derive_columns(select_cases(raw), DATES, AGES, CONTACT_TOTALS, HOUSEHOLD, OCCUPATION, LABELS)
+def clean(raw: DataFrame, excluded: Sequence[int] | DataFrame = ()) -> DataFrame:
+    """The analysis table: selected cases with every derived column. ``excluded`` names respondents
+    to leave out; none by default."""
+    return derive_columns(select_cases(raw, excluded), DATES, AGES, CONTACT_TOTALS, HOUSEHOLD, OCCUPATION, LABELS)

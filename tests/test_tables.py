@@ -140,9 +140,10 @@ def test_missing_profile_matches_raw_counts(spark, sf_dir):
 
 def test_excluded_ids(spark):
     df = spark.createDataFrame([(1,), (2,), (None,), (3,)], "i bigint")
-    for ids in ([2], [2, *range(100, 2000)], spark.createDataFrame([(2,)], "x bigint")):
+    tables = [spark.createDataFrame([(i,) for i in ids], "x bigint") for ids in ([2], [2, None])]
+    for ids in ([2], [2, None], [None, 2, *range(100, 2100)], *tables):
         assert sorted(r.i for r in filters.exclude_ids(df, "i", ids).collect()) == [1, 3]
-    assert filters.exclude_ids(df, "i", []).count() == 3
+    assert filters.exclude_ids(df, "i", []).count() == filters.exclude_ids(df, "i", [None]).count() == 3
 
 
 def test_cross_classify(spark):
@@ -217,7 +218,9 @@ def test_compare_distributions(spark):
     a = spark.createDataFrame([(0, 0.5), (1, 0.5)], "x int, Observed double")
     ols = spark.createDataFrame([(-1, 0.2), (1, 0.8)], "x int, OLS double")
     nb = spark.createDataFrame([(0, 0.6), (2, 0.4)], "x int, NegBin double")
-    got = distributions.compare_distributions(a, [ols, nb], 10)
+    whole = distributions.compare_distributions(a, [ols, nb], 10)
+    assert {(r.x, r.Model): r.prob for r in whole.collect()}[-1, "OLS"] == 0.2 and whole.count() == 12
+    got = distributions.compare_distributions(a, [ols, nb], 10, lo=0, hi=50, drop=("OLS",))
     table = {(r.x, r.Model): r.n for r in got.collect()}
     assert table == {
         (0, "Observed"): 5,

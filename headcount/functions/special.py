@@ -60,6 +60,11 @@ def nb_log_pmf(y: str, mu: str, theta: str) -> str:
     )
 
 
+def poisson_log_pmf(y: str, mu: str) -> str:
+    """log P(Y = y) for mean mu. A mean of 0 puts all mass on 0."""
+    return f"(CASE WHEN {y} > 0 THEN {y} * ln({mu}) ELSE 0D END - {mu} - {lgamma(f'{y} + 1D')})"
+
+
 def nb_zero(mu: str, theta: str) -> str:
     """P(Y = 0)."""
     return f"exp({theta} * ln({theta} / ({theta} + {mu})))"

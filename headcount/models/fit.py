@@ -1,4 +1,4 @@
-"""Fitting: one aggregation over the cells per step, a small linear solve on the driver."""
+"""Fitting: one aggregation over the patterns per step, a small linear solve on the driver."""
 
 from __future__ import annotations
 
@@ -11,20 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headcount.functions.columns import name
-from headcount.functions.special import (
-    nb_log_pmf,
-    nb_theta_curvature,
-    nb_theta_score,
-    nb_unit_deviance,
-    nb_zero,
-)
-from headcount.models.table import ALL_ZERO, Design, parameter, parameters
-
-# Beyond this the outcome is not over-dispersed and the model is Poisson for all purposes.
-THETA_CAP = 1e6
+from headcount.functions.special import digamma, lgamma, nb_log_pmf, nb_zero, poisson_log_pmf, trigamma
+from headcount.models.table import ALL_ZERO, REFERENCE, Design, parameter, parameters
+
+# A theta that moves beyond this belongs to an outcome that is not over-dispersed.
+POISSON_THETA = 1e6
 MAX_HALVINGS = 20
 
 
+class NotConverged(RuntimeError):
+    """A fit that did not settle. ``fit`` is where it stopped."""
+
+    def __init__(self, fit: Fit):
+        super().__init__(f"{fit.model} did not settle in {fit.iterations} passes")
+        self.fit = fit
+
+
 @dataclass
 class Fit:
     """A fitted model. ``zero`` holds the zero-inflation coefficients of a ZINB model."""
@@ -54,12 +56,35 @@ class Fit:
         return -2 * self.loglik + 2 * self.n_parameters
 
     def mean(self) -> str:
-        """Mean of the count part for each cell."""
-        return f"exp({self.design.linear(self.beta)})"
+        """Mean of the count part of each pattern; 0 at a level whose outcome is always 0."""
+        return f"CASE WHEN {self.design.set_aside()} THEN 0D ELSE exp({self.design.linear(self.beta)}) END"
 
     def structural_zero(self) -> str:
-        """Probability of a structural zero for each cell."""
-        return "0D" if self.zero is None else logistic(self.design.linear(self.zero))
+        """Probability of a structural zero of each pattern."""
+        if self.zero is None:
+            return "0D"
+        none = f"{self.design.set_aside()} OR {never_zero(self.design)}"
+        return f"CASE WHEN {none} THEN 0D ELSE {logistic(self.design.linear(self.zero))} END"
+
+    def log_pmf(self, x: str) -> str:
+        """log P(Y = x) of the count part, for columns mu and t."""
+        return poisson_log_pmf(x, "mu") if self.theta is None else nb_log_pmf(x, "mu", "t")
+
+    def count_zero(self) -> str:
+        """P(Y = 0) of the count part."""
+        return "exp(-mu)" if self.theta is None else nb_zero("mu", "t")
+
+
+def never_zero(design: Design) -> str:
+    """Whether a pattern has a level without any zero, whose structural zeros are none at the limit."""
+    tests = []
+    for term, level in design.no_zeros:
+        own = design.terms.index((term, level)) if (term, level) in design.terms else None
+        if own is not None:
+            tests.append(f"{name(design.index[term])} = {own}")
+        elif not any(t == term for t, _ in design.aliased):
+            tests.append(f"{name(design.index[term])} = {REFERENCE}")
+    return f"({' OR '.join(tests)})" if tests else "false"
 
 
 def logistic(x: str) -> str:
@@ -68,20 +93,23 @@ def logistic(x: str) -> str:
 
 def pair_sums(
     design: Design,
-    cells: DataFrame,
-    pair: Mapping[str, str],
-    single: Mapping[str, str],
-    whole: Mapping[str, str],
+    patterns: DataFrame,
+    pair: Mapping[str, str] = {},
+    single: Mapping[str, str] = {},
+    whole: Mapping[str, str] = {},
+    values: Mapping[str, str] = {},
+    theta: float | None = None,
     models: int | None = None,
 ) -> dict | list[dict]:
     """Weighted cross-products of the dummy columns, without ever building them.
 
-    A cell has one active column per factor, so sum(w x_i x_j) is a sum of w over the cells where
-    i and j are both active. ``pair`` measures come back as p x p matrices, ``single`` ones as
-    p-vectors and ``whole`` ones as scalars. The measures are summed by level combination first, so
-    the pairs are formed once per combination; at most p(p+1)/2 sums come to the driver.
+    A pattern has one active column per factor, so sum(w x_i x_j) is a sum of w over the patterns
+    where i and j are both active. ``pair`` measures come back as p x p matrices, ``single`` ones as
+    p-vectors and ``whole`` ones as scalars. ``values`` are scalars too, summed over the table of
+    outcomes with ``theta`` as t; they ride in the same shuffle. At most p(p+1)/2 + 1 sums come to
+    the driver.
 
-    With ``models``, the cells carry a model number and each model gets its own sums.
+    With ``models``, the patterns carry a model number and each model gets its own sums.
     """
     slots = design.slots()
     pairs = [f"struct({a} AS i, {b} AS j)" for k, a in enumerate(slots) for b in slots[k:]]
@@ -90,22 +118,30 @@ def pair_sums(
     scope.update(dict.fromkeys(whole, "CASE WHEN i = 0 AND j = 0 THEN {} END"))
     number = [] if models is None else ["model"]
     rows = (
-        cells.groupBy(*number, *slots)
-        .agg(*[F.expr(f"sum({text}) AS {m}") for m, text in measures.items()])
+        patterns.selectExpr(*number, *slots, *[f"{text} AS {m}" for m, text in measures.items()])
         .selectExpr(*number, f"explode(array({', '.join(pairs)})) AS ij", *measures)
-        .selectExpr(*number, "ij.i", "ij.j", *measures)
-        .filter("i >= 0 AND j >= 0")
-        .groupBy(*number, "i", "j")
-        .agg(*[F.expr(f"sum({scope[m].format(m)}) AS {m}") for m in measures])
-        .collect()
+        .filter("ij.i >= 0 AND ij.j >= 0")
+        .selectExpr(*number, "ij.i", "ij.j", *[f"{scope[m].format(m)} AS {m}" for m in measures])
     )
+    if values:
+        alone = design.values.selectExpr("*", f"{parameter(theta)} AS t")
+        alone = alone.selectExpr("-1 AS i", "-1 AS j", *[f"{text} AS {m}" for m, text in values.items()])
+        rows = rows.unionByName(alone, allowMissingColumns=True)
+    rows = rows.groupBy(*number, "i", "j").agg(*[F.expr(f"sum({m}) AS {m}") for m in [*measures, *values]]).collect()
     p = design.p
     out = [
-        {**{m: np.zeros((p, p)) for m in pair}, **{m: np.zeros(p) for m in single}, **dict.fromkeys(whole, 0.0)}
+        {
+            **{m: np.zeros((p, p)) for m in pair},
+            **{m: np.zeros(p) for m in single},
+            **dict.fromkeys([*whole, *values], 0.0),
+        }
         for _ in range(models or 1)
     ]
     for r in rows:
         a, b, sums = r["i"], r["j"], out[r["model"] if number else 0]
+        if a < 0:
+            sums.update({m: r[m] or 0.0 for m in values})
+            continue
         for m in pair:
             sums[m][a, b] = sums[m][b, a] = r[m]
         if a == b:
@@ -128,38 +164,73 @@ def moment_theta(mean: float, variance: float) -> float:
     return mean * mean / (variance - mean) if variance > mean * (1 + 1e-9) else 100.0
 
 
+# Terms of the negative binomial log-likelihood and its derivatives in theta that depend on the
+# outcome alone, and those that a pattern's rows n, total s and zeros n0 give.
+VALUE_TERMS = {
+    "v_loglik": f"n * ({lgamma('y + t')} - {lgamma('t')} - {lgamma('y + 1D')})",
+    "v_score": f"n * ({digamma('y + t')} - {digamma('t')})",
+    "v_curvature": f"n * ({trigamma('y + t')} - {trigamma('t')})",
+    "v_deviance": "2D * n * (y * ln(y) - (y + t) * ln(y + t))",
+}
+LOGLIK = "(n * t * ln(t / d) + CASE WHEN s > 0 THEN s * ln(mu / d) ELSE 0D END)"
+DEVIANCE = "2D * ((s + n * t) * ln(d) - n0 * t * ln(t) - CASE WHEN s > 0 THEN s * ln(mu) ELSE 0D END)"
+OBSERVED = "t * mu * (s + n * t) / (d * d)"
+SCORE = "t * (s - n * mu) / d"
+
+
+def _with_mean(patterns: DataFrame, eta: str, theta: float) -> DataFrame:
+    return patterns.selectExpr("*", f"exp({eta}) AS mu", f"{parameter(theta)} AS t").selectExpr("*", "t + mu AS d")
+
+
+def _settled(fit: Fit, allow_unconverged: bool) -> Fit:
+    if fit.converged or allow_unconverged:
+        return fit
+    raise NotConverged(fit)
+
+
 def fit_nb(
-    design: Design, theta: float | None = None, max_iter: int = 50, tol: float = 1e-9, start: np.ndarray | None = None
+    design: Design,
+    theta: float | None = None,
+    max_iter: int = 50,
+    tol: float = 1e-9,
+    start: np.ndarray | None = None,
+    allow_unconverged: bool = False,
 ) -> Fit:
     """Negative binomial regression with log link; ``theta`` is estimated unless given.
 
-    Coefficients and log(theta) each take a Newton step per pass. The log-likelihood is concave in
-    the coefficients for any theta. Standard errors use the expected information at the estimate.
+    Coefficients and log(theta) each take a Newton step per pass, and a pass is one shuffle of sums.
+    The log-likelihood is concave in the coefficients for any theta. Standard errors use the expected
+    information at the estimate. An outcome that is not over-dispersed has no finite theta: its
+    likelihood rises until theta leaves ``POISSON_THETA`` behind, and the fit returned is the Poisson
+    regression, under that name. A fit that does not settle raises ``NotConverged``.
     """
     fixed = theta is not None
     if start is None:
         start = np.zeros(design.p)
         start[0] = math.log(design.mean)
     beta = np.array(start, dtype=float)
-    theta = theta if fixed else min(moment_theta(design.mean, design.variance), THETA_CAP)
+    theta = theta if fixed else min(moment_theta(design.mean, design.variance), POISSON_THETA)
 
     def evaluate(beta: np.ndarray, theta: float) -> dict:
-        cells = design.cells.selectExpr("*", f"exp({design.linear(beta)}) AS mu", f"{parameter(theta)} AS t")
-        return pair_sums(
+        at = pair_sums(
             design,
-            cells,
-            pair={
-                "observed": "n * t * mu * (y + t) / ((t + mu) * (t + mu))",
-                "expected": "n * mu * t / (t + mu)",
-            },
-            single={"score": "n * t * (y - mu) / (t + mu)"},
+            _with_mean(design.fitted, design.linear(beta), theta),
+            pair={"observed": OBSERVED, "expected": "n * mu * t / d"},
+            single={"score": SCORE},
             whole={
-                "loglik": f"n * {nb_log_pmf('y', 'mu', 't')}",
-                "deviance": f"n * {nb_unit_deviance('y', 'mu', 't')}",
-                "theta_score": f"n * {nb_theta_score('y', 'mu', 't')}",
-                "theta_curvature": f"n * {nb_theta_curvature('y', 'mu', 't')}",
+                "loglik": LOGLIK,
+                "deviance": DEVIANCE,
+                "theta_score": "(n * ln(t / d) + n - (s + n * t) / d)",
+                "theta_curvature": "(n / t - 2D * n / d + (s + n * t) / (d * d))",
             },
+            values=VALUE_TERMS,
+            theta=theta,
         )
+        at["loglik"] += at["v_loglik"]
+        at["deviance"] += at["v_deviance"]
+        at["theta_score"] += at["v_score"]
+        at["theta_curvature"] += at["v_curvature"]
+        return at
 
     at = evaluate(beta, theta)
     converged, iteration = False, 0
@@ -169,10 +240,8 @@ def fit_nb(
         if max(np.max(np.abs(move)), abs(shift)) < tol:
             converged = True
             break
-        if not fixed and theta * math.exp(shift) > THETA_CAP:
-            poisson = fit_nb(design, THETA_CAP, max_iter, tol, beta)
-            poisson.fixed_theta = poisson.converged = False
-            return poisson
+        if not fixed and theta * math.exp(shift) > POISSON_THETA:
+            return fit_poisson(design, max_iter, tol, beta, allow_unconverged)
         # The log-gamma terms grow with theta and cancel, so this much of the sum is rounding.
         slack = 1e-9 * abs(at["loglik"]) + 1e-14 * theta * design.n
         scale = 1.0
@@ -181,9 +250,11 @@ def fit_nb(
             if trial["loglik"] >= at["loglik"] - slack:
                 break
             scale /= 2
+        else:
+            break  # no step along this direction holds the likelihood; the point stays as it is
         beta, theta, at = beta + scale * move, theta * math.exp(scale * shift), trial
     curvature = at["theta_curvature"]
-    return Fit(
+    fit = Fit(
         model="NB",
         design=design,
         beta=beta,
@@ -196,38 +267,104 @@ def fit_nb(
         converged=converged,
         fixed_theta=fixed,
     )
+    return _settled(fit, allow_unconverged)
+
+
+def fit_poisson(
+    design: Design,
+    max_iter: int = 50,
+    tol: float = 1e-9,
+    start: np.ndarray | None = None,
+    allow_unconverged: bool = False,
+) -> Fit:
+    """Poisson regression with log link: the model without over-dispersion, with no theta to count."""
+    if start is None:
+        start = np.zeros(design.p)
+        start[0] = math.log(design.mean)
+    beta = np.array(start, dtype=float)
+
+    def evaluate(beta: np.ndarray) -> dict:
+        at = pair_sums(
+            design,
+            design.fitted.selectExpr("*", f"{design.linear(beta)} AS eta").selectExpr("*", "exp(eta) AS mu"),
+            pair={"observed": "n * mu"},
+            single={"score": "s - n * mu"},
+            whole={"loglik": "s * eta - n * mu"},
+            values={"v_loglik": f"-n * {lgamma('y + 1D')}", "v_deviance": "2D * n * (y * ln(y) - y)"},
+            theta=1.0,
+        )
+        at["deviance"] = at["v_deviance"] - 2 * at["loglik"]
+        at["loglik"] += at["v_loglik"]
+        return at
+
+    at = evaluate(beta)
+    converged, iteration = False, 0
+    for iteration in range(1, max_iter + 1):
+        move = np.linalg.solve(at["observed"], at["score"])
+        if np.max(np.abs(move)) < tol:
+            converged = True
+            break
+        scale = 1.0
+        for _ in range(MAX_HALVINGS):
+            trial = evaluate(beta + scale * move)
+            if trial["loglik"] >= at["loglik"] - 1e-9 * abs(at["loglik"]):
+                break
+            scale /= 2
+        else:
+            break
+        beta, at = beta + scale * move, trial
+    fit = Fit(
+        model="Poisson",
+        design=design,
+        beta=beta,
+        vcov=np.linalg.inv(at["observed"]),
+        loglik=at["loglik"],
+        deviance=at["deviance"],
+        iterations=iteration,
+        converged=converged,
+        fixed_theta=True,
+    )
+    return _settled(fit, allow_unconverged)
 
 
 def drop_one_deviances(fit: Fit, factors: Sequence[str], max_iter: int = 50, tol: float = 1e-7) -> dict[str, float]:
     """Deviance of the model without each factor, theta held at the full fit.
 
-    All reduced models are fitted at once: the cells are repeated per model, each pass is one
-    aggregation, and a dropped factor is one whose coefficients stay at 0.
+    All reduced models are fitted at once: the patterns are repeated per model, each pass is one
+    aggregation, and a dropped factor is one whose coefficients stay at 0. Models that do not settle
+    raise.
     """
+    if fit.theta is None:
+        raise ValueError(f"the test is for negative binomial fits, not for {fit.model}")
     design, p, theta = fit.design, fit.design.p, fit.theta
     kept = [design.kept_without(f) for f in factors]
     beta = np.zeros((len(factors), p))
     for m, k in enumerate(kept):
         beta[m, k] = fit.beta[k]
-    cells = design.coded.selectExpr("*", f"explode(sequence(0, {len(factors) - 1})) AS model")
+    patterns = design.patterns.selectExpr("*", f"explode(sequence(0, {len(factors) - 1})) AS model")
     for term in {t for t, _ in design.all_zero}:
         # Rows at an always-zero level come back in the model that no longer has the factor.
         own = factors.index(term) if term in factors else -1
-        cells = cells.filter(f"model = {own} OR {name(design.index[term])} <> {ALL_ZERO}")
+        patterns = patterns.filter(f"model = {own} OR {name(design.index[term])} <> {ALL_ZERO}")
     # The number of a coefficient in the flat array of all models; none for a reference level.
     places = [f"CASE WHEN {s} >= 0 THEN model * {p} + {s} END" for s in design.slots()]
+    alone = design.values.selectExpr("*", f"{parameter(theta)} AS t")
+    constant = alone.agg(F.expr(f"sum({VALUE_TERMS['v_deviance']}) AS v")).first()["v"] or 0.0
 
     def evaluate(beta: np.ndarray) -> list[dict]:
         flat = parameters(beta.ravel())
         eta = " + ".join(f"coalesce(get({flat}, {place}), 0D)" for place in places)
-        return pair_sums(
+        out = pair_sums(
             design,
-            cells.selectExpr("*", f"exp({eta}) AS mu", f"{parameter(theta)} AS t"),
-            pair={"observed": "n * t * mu * (y + t) / ((t + mu) * (t + mu))"},
-            single={"score": "n * t * (y - mu) / (t + mu)"},
-            whole={"deviance": f"n * {nb_unit_deviance('y', 'mu', 't')}"},
+            _with_mean(patterns, eta, theta),
+            pair={"observed": OBSERVED},
+            single={"score": SCORE},
+            whole={"deviance": DEVIANCE},
             models=len(factors),
         )
+        for sums in out:
+            sums["deviance"] += constant
+        return out
 
     at = evaluate(beta)
     scale = np.ones(len(factors))
@@ -236,7 +373,7 @@ def drop_one_deviances(fit: Fit, factors: Sequence[str], max_iter: int = 50, tol
         for m, k in enumerate(kept):
             move[m, k] = np.linalg.solve(at[m]["observed"][np.ix_(k, k)], at[m]["score"][k])
         if np.max(np.abs(move)) < tol:
-            break
+            return {f: float(at[m]["deviance"]) for m, f in enumerate(factors)}
         trial = evaluate(beta + scale[:, None] * move)
         for m in range(len(factors)):
             if trial[m]["deviance"] <= at[m]["deviance"] + 1e-9 * abs(at[m]["deviance"]):
@@ -244,16 +381,17 @@ def drop_one_deviances(fit: Fit, factors: Sequence[str], max_iter: int = 50, tol
                 at[m], scale[m] = trial[m], 1.0
             else:
                 scale[m] /= 2
-    return {f: float(at[m]["deviance"]) for m, f in enumerate(factors)}
+    late = [f for m, f in enumerate(factors) if np.max(np.abs(move[m])) >= tol]
+    raise RuntimeError(f"the models without {late} did not settle in {max_iter} passes")
 
 
 def fit_ols(design: Design) -> Fit:
     """Gaussian linear model from one pass of cross-products."""
-    # Centring keeps the residual sum of squares from cancelling.
-    cells = design.cells.selectExpr("*", f"y - {parameter(design.mean)} AS d")
-    sums = pair_sums(design, cells, pair={"xx": "n"}, single={"xy": "n * d"}, whole={"yy": "n * d * d"})
+    mean = parameter(design.mean)
+    sums = pair_sums(design, design.fitted, pair={"xx": "n"}, single={"xy": f"s - n * {mean}"})
     beta = np.linalg.solve(sums["xx"], sums["xy"])
-    rss = float(sums["yy"] - beta @ sums["xy"])
+    # Centring keeps the residual sum of squares from cancelling.
+    rss = float(design.variance * max(design.n - 1, 1) - beta @ sums["xy"])
     beta[0] += design.mean
     n_rows = design.n
     sigma2 = rss / (n_rows - design.p)
@@ -277,60 +415,62 @@ def _ascent(hessian: np.ndarray, gradient: np.ndarray) -> np.ndarray:
     return vectors @ ((vectors.T @ gradient) / size)
 
 
-def fit_zinb(design: Design, start: Fit | None = None, max_iter: int = 100, tol: float = 1e-12) -> Fit:
+def fit_zinb(
+    design: Design, start: Fit | None = None, max_iter: int = 60, tol: float = 1e-12, allow_unconverged: bool = False
+) -> Fit:
     """Zero-inflated negative binomial, the same factors in the count and the zero part.
 
     Newton's method on the likelihood of the data as observed, over all coefficients and
     log(theta) together, from the plain negative binomial fit. Each pass is one aggregation that
     brings the log-likelihood, its gradient and its curvature.
+
+    A level without any zero has no structural zeros: its zero part is at its limit, a probability
+    of 0, and takes no part in the fit. A fit that does not settle raises ``NotConverged``; one reason is
+    a level whose zeros the count part explains in full, whose zero part then has no finite
+    coefficient either.
     """
     nb = start or fit_nb(design)
+    if nb.theta is None:
+        raise ValueError("the outcome is not over-dispersed, so there is no zero-inflated negative binomial fit")
     p = design.p
+    never = never_zero(design)
+    dead = [i for i, t in enumerate(design.terms) if t in design.no_zeros]
+    live = np.array([i for i in range(2 * p + 1) if i - p not in dead])
 
     def evaluate(x: np.ndarray) -> dict:
         beta, gamma, theta = x[:p], x[p : 2 * p], math.exp(x[2 * p])
-        # g_*: derivatives of log f(y) in the linear predictor e and in theta. A zero is a count
-        # zero with probability 1 - r: c is that weight, s the variance of the split.
-        cells = (
-            design.cells.selectExpr(
-                "*",
-                f"exp({design.linear(beta)}) AS mu",
-                f"{logistic(design.linear(gamma))} AS pi",
-                f"{parameter(theta)} AS t",
-            )
-            .selectExpr("*", "t + mu AS d", f"{nb_zero('mu', 't')} AS f0")
-            .selectExpr("*", "CASE WHEN y = 0 THEN pi / (pi + (1D - pi) * f0) ELSE 0D END AS r")
-            .selectExpr(
-                "*",
-                "1D - r AS c",
-                "r * (1D - r) AS s",
-                "t * (y - mu) / d AS g_e",
-                "-t * mu * (y + t) / (d * d) AS g_ee",
-                "(y - mu) * mu / (d * d) AS g_et",
-                f"CASE WHEN y = 0 THEN ln(t / d) + mu / d ELSE {nb_theta_score('y', 'mu', 't')} END AS g_t",
-                f"CASE WHEN y = 0 THEN mu * mu / (t * d * d) ELSE {nb_theta_curvature('y', 'mu', 't')} END AS g_tt",
-            )
+        # A zero is a count zero with probability c = 1 - r; v is the variance of the split. e and g
+        # are the derivatives of log f(0) in the linear predictor and in theta.
+        rows = (
+            _with_mean(design.fitted, design.linear(beta), theta)
+            .selectExpr("*", f"CASE WHEN {never} THEN 0D ELSE {logistic(design.linear(gamma))} END AS pi")
+            .selectExpr("*", f"{nb_zero('mu', 't')} AS f0", "n - n0 AS m", "-t * mu / d AS e", "ln(t / d) + mu / d AS g")
+            .selectExpr("*", "pi / (pi + (1D - pi) * f0) AS r")
+            .selectExpr("*", "1D - r AS c", "r * (1D - r) AS v")
         )
         sums = pair_sums(
             design,
-            cells,
+            rows,
             pair={
-                "cc": "n * (s * g_e * g_e + c * g_ee)",
-                "cz": "-n * s * g_e",
-                "zz": "n * (s - pi * (1D - pi))",
+                "cc": "n0 * (v * e * e - c * t * t * mu / (d * d)) - t * mu * (s + m * t) / (d * d)",
+                "cz": "-n0 * v * e",
+                "zz": "n0 * v - n * pi * (1D - pi)",
             },
             single={
-                "sc": "n * c * g_e",
-                "sz": "n * (r - pi)",
-                "ct": "n * t * (s * g_e * g_t + c * g_et)",
-                "zt": "-n * t * s * g_t",
+                "sc": "n0 * c * e + t * (s - m * mu) / d",
+                "sz": "n0 * r - n * pi",
+                "ct": "t * (n0 * (v * e * g - c * mu * mu / (d * d)) + (s - m * mu) * mu / (d * d))",
+                "zt": "-t * n0 * v * g",
             },
             whole={
-                "loglik": f"n * CASE WHEN y = 0 THEN ln(pi + (1D - pi) * f0) "
-                f"ELSE ln(1D - pi) + {nb_log_pmf('y', 'mu', 't')} END",
-                "st": "n * t * c * g_t",
-                "tt": "n * (t * t * (s * g_t * g_t + c * g_tt) + t * c * g_t)",
+                "loglik": "CASE WHEN n0 > 0 THEN n0 * ln(pi + (1D - pi) * f0) ELSE 0D END + m * ln(1D - pi)"
+                " + m * t * ln(t / d) + CASE WHEN s > 0 THEN s * ln(mu / d) ELSE 0D END",
+                "st": "t * (n0 * c * g + m * ln(t / d) + m - (s + m * t) / d)",
+                "tt": "n0 * (t * t * (v * g * g + c * mu * mu / (t * d * d)) + t * c * g)"
+                " + t * t * (m / t - 2D * m / d + (s + m * t) / (d * d)) + t * (m * ln(t / d) + m - (s + m * t) / d)",
             },
+            values={k: VALUE_TERMS[k] for k in ("v_loglik", "v_score", "v_curvature")},
+            theta=theta,
         )
         q = 2 * p + 1
         h = np.zeros((q, q))
@@ -338,12 +478,14 @@ def fit_zinb(design: Design, start: Fit | None = None, max_iter: int = 100, tol:
         h[:p, p : 2 * p], h[p : 2 * p, :p] = sums["cz"], sums["cz"].T
         h[:p, -1] = h[-1, :p] = sums["ct"]
         h[p : 2 * p, -1] = h[-1, p : 2 * p] = sums["zt"]
-        h[-1, -1] = sums["tt"]
-        return {
-            "loglik": sums["loglik"],
-            "gradient": np.concatenate([sums["sc"], sums["sz"], [sums["st"]]]),
-            "hessian": h,
-        }
+        h[-1, -1] = sums["tt"] + theta * theta * sums["v_curvature"] + theta * sums["v_score"]
+        score = np.concatenate([sums["sc"], sums["sz"], [sums["st"] + theta * sums["v_score"]]])
+        return {"loglik": sums["loglik"] + sums["v_loglik"], "gradient": score[live], "hessian": h[np.ix_(live, live)]}
+
+    def spread(move: np.ndarray) -> np.ndarray:
+        out = np.zeros(2 * p + 1)
+        out[live] = move
+        return out
 
     x = np.zeros(2 * p + 1)
     x[:p], x[2 * p] = nb.beta, math.log(nb.theta)
@@ -359,18 +501,19 @@ def fit_zinb(design: Design, start: Fit | None = None, max_iter: int = 100, tol:
             break
         scale, trial = 1.0, None
         for _ in range(MAX_HALVINGS):
-            trial = evaluate(x + scale * move)
-            if trial["loglik"] is not None and trial["loglik"] > at["loglik"]:
+            trial = evaluate(x + scale * spread(move))
+            if trial["loglik"] > at["loglik"]:
                 break
             scale /= 2
         else:
             break
-        x, at = x + scale * move, trial
+        x, at = x + scale * spread(move), trial
     information = -at["hessian"]
-    vcov = np.linalg.pinv(information, hermitian=True)
+    vcov = np.zeros((2 * p + 1, 2 * p + 1))
+    vcov[np.ix_(live, live)] = np.linalg.pinv(information, hermitian=True)
     theta = math.exp(x[2 * p])
     variance = vcov[-1, -1]
-    return Fit(
+    fit = Fit(
         model="ZINB",
         design=design,
         beta=x[:p],
@@ -383,3 +526,4 @@ def fit_zinb(design: Design, start: Fit | None = None, max_iter: int = 100, tol:
         iterations=iteration,
         converged=converged,
     )
+    return _settled(fit, allow_unconverged)

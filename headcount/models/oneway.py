@@ -22,8 +22,10 @@ from headcount.functions.special import (
     nb_theta_score,
     nb_unit_deviance,
     nb_zero,
+    poisson_log_pmf,
 )
-from headcount.models.fit import THETA_CAP, _theta_step, moment_theta
+from headcount.models.fit import POISSON_THETA, _theta_step, moment_theta
+from headcount.models.report import with_tail
 from headcount.models.table import INTERCEPT, ZERO, keep, model_table, parameters
 
 NULL_MODEL = "(null)"
@@ -32,13 +34,15 @@ Z95 = NormalDist().inv_cdf(0.975)
 
 @dataclass
 class OneWay:
-    """Fitted one-factor models: ``cells`` is (term, level, ord, y, n, mu), theta is per term."""
+    """Fitted one-factor models: ``cells`` is (term, level, ord, y, n, mu), theta is per term.
+
+    A term whose outcome is not over-dispersed is a Poisson model and has no theta.
+    """
 
     cells: DataFrame
-    theta: dict[str, float]
+    theta: dict[str, float | None]
     se_theta: dict[str, float | None]
     iterations: dict[str, int]
-    converged: dict[str, bool]
 
     def theta_text(self) -> str:
         return _by_term(self.theta)
@@ -77,7 +81,10 @@ def fit_oneway(
     max_iter: int = 60,
     tol: float = 1e-8,
 ) -> OneWay:
-    """Fit the null model (no factors) or one model per factor. ``weight`` as in ``model_table``."""
+    """Fit the null model (no factors) or one model per factor. ``weight`` as in ``model_table``.
+
+    A theta that grows without end leaves a Poisson model; a fit that does not settle raises.
+    """
     cells = _factor_cells(df, y, factors, weight) if factors else _null_cells(df, y, weight)
     level = "PARTITION BY term, level"
     cells = keep(
@@ -93,10 +100,10 @@ def fit_oneway(
         )
         .collect()
     )
-    theta = {r["term"]: min(moment_theta(r["mean"], r["variance"]), THETA_CAP) for r in start}
+    theta = {r["term"]: min(moment_theta(r["mean"], r["variance"]), POISSON_THETA) for r in start}
     open_terms = set(theta)
     iterations = dict.fromkeys(theta, 0)
-    converged = dict.fromkeys(theta, False)
+    poisson = set()
     curvature: dict[str, float] = {}
 
     for _ in range(max_iter):
@@ -118,19 +125,20 @@ def fit_oneway(
             step = _theta_step(theta[term], r["score"], r["curvature"])
             iterations[term] += 1
             moved = theta[term] * math.exp(step)
-            if moved > THETA_CAP:
-                theta[term] = THETA_CAP
+            if moved > POISSON_THETA:
+                poisson.add(term)
                 open_terms.discard(term)
             else:
                 # Newton squares the error, so after a step this small there is none left to see.
                 theta[term] = moved
                 if abs(step) < tol:
-                    converged[term] = True
                     open_terms.discard(term)
         if not open_terms:
             break
-    se = {k: math.sqrt(-1 / c) if (c := curvature[k]) < 0 and converged[k] else None for k in theta}
-    return OneWay(cells, theta, se, iterations, converged)
+    if open_terms:
+        raise RuntimeError(f"theta of {sorted(open_terms)} did not settle in {max_iter} passes")
+    se = {k: math.sqrt(-1 / c) if (c := curvature[k]) < 0 and k not in poisson else None for k in theta}
+    return OneWay(cells, {k: None if k in poisson else t for k, t in theta.items()}, se, iterations)
 
 
 def level_means(fit: OneWay) -> DataFrame:
@@ -139,7 +147,7 @@ def level_means(fit: OneWay) -> DataFrame:
         fit.cells.groupBy("term", "level", "ord")
         .agg(F.sum("n").alias("n"), F.first("mu").alias("mean"))
         .selectExpr("*", f"{fit.theta_text()} AS theta")
-        .selectExpr("*", "n * mean / (1D + mean / theta) AS w")
+        .selectExpr("*", "n * mean / (1D + coalesce(mean / theta, 0D)) AS w")
     )
 
 
@@ -172,14 +180,19 @@ def coefficients(fit: OneWay) -> DataFrame:
     )
 
 
+def _log_pmf(y: str, mu: str, theta: str) -> str:
+    return f"CASE WHEN {theta} IS NULL THEN {poisson_log_pmf(y, mu)} ELSE {nb_log_pmf(y, mu, theta)} END"
+
+
 def fit_summary(fit: OneWay) -> DataFrame:
-    """(term, n, p, theta, se_theta, loglik, deviance, aic): one row per model; theta counts in the AIC."""
+    """(term, model, n, p, theta, se_theta, loglik, deviance, aic): one row per model; theta counts in the AIC."""
+    poisson_deviance = "2D * (CASE WHEN y > 0 THEN y * ln(y / mu) ELSE 0D END - y + mu)"
     aggregates = {
         "n": "sum(n)",
         "p": "count(DISTINCT CASE WHEN mu > 0 THEN level END)",
         "theta": "first(t)",
-        "loglik": f"sum(n * {nb_log_pmf('y', 'mu', 't')})",
-        "deviance": f"sum(n * {nb_unit_deviance('y', 'mu', 't')})",
+        "loglik": f"sum(n * {_log_pmf('y', 'mu', 't')})",
+        "deviance": f"sum(n * CASE WHEN t IS NULL THEN {poisson_deviance} ELSE {nb_unit_deviance('y', 'mu', 't')} END)",
     }
     return (
         fit.cells.selectExpr("*", f"{fit.theta_text()} AS t")
@@ -187,13 +200,14 @@ def fit_summary(fit: OneWay) -> DataFrame:
         .agg(*[F.expr(f"{text} AS {s}") for s, text in aggregates.items()])
         .selectExpr(
             "term",
+            "CASE WHEN theta IS NULL THEN 'Poisson' ELSE 'NB' END AS model",
             "n",
             "p",
             "theta",
             f"{fit.se_theta_text()} AS se_theta",
             "loglik",
             "deviance",
-            "-2D * loglik + 2D * (p + 1) AS aic",
+            "-2D * loglik + 2D * (p + CASE WHEN theta IS NULL THEN 0 ELSE 1 END) AS aic",
         )
     )
 
@@ -218,7 +232,8 @@ def likelihood_ratio(fit: OneWay) -> DataFrame:
     term = "PARTITION BY term"
     gain = (
         "CASE WHEN mean > 0 THEN n * mean * ln(mean / common) ELSE 0D END"
-        " - n * (mean + theta) * ln((mean + theta) / (common + theta))"
+        " - CASE WHEN theta IS NULL THEN n * (mean - common)"
+        " ELSE n * (mean + theta) * ln((mean + theta) / (common + theta)) END"
     )
     return (
         level_means(fit)
@@ -258,19 +273,23 @@ def zero_counts(fit: OneWay) -> DataFrame:
         .groupBy("term")
         .agg(
             F.expr("coalesce(sum(CASE WHEN y = 0 THEN n END), 0) AS observed"),
-            F.expr(f"sum(n * {nb_zero('mu', 't')}) AS expected"),
+            F.expr(f"sum(n * CASE WHEN t IS NULL THEN exp(-mu) ELSE {nb_zero('mu', 't')} END) AS expected"),
         )
     )
 
 
-def distribution(fit: OneWay, kmax: int | None = None) -> DataFrame:
-    """(term, x, prob): mean over rows of P(Y = x) for x = 0..kmax, by default up to the largest y."""
-    top = kmax if kmax is not None else int(fit.cells.agg(F.max("y")).first()[0])
-    return (
+def largest_outcome(fit: OneWay) -> int:
+    return int(fit.cells.agg(F.max("y")).first()[0] or 0)
+
+
+def distribution(fit: OneWay, kmax: int, tail: bool = True) -> DataFrame:
+    """(term, x, prob): mean over rows of P(Y = x) for x = 0..kmax, and a row without x for the rest."""
+    out = (
         level_means(fit)
         .selectExpr("term", "mean", "theta", "n / sum(n) OVER (PARTITION BY term) AS share")
-        .selectExpr("*", f"explode(sequence(0, {top})) AS x")
-        .selectExpr("term", "x", f"share * exp({nb_log_pmf('x', 'mean', 'theta')}) AS part")
+        .selectExpr("*", f"explode(sequence(0, {kmax})) AS x")
+        .selectExpr("term", "x", f"share * coalesce(exp({_log_pmf('x', 'mean', 'theta')}), 0D) AS part")
         .groupBy("term", "x")
         .agg(F.sum("part").alias("prob"))
     )
+    return with_tail(out, "prob", ["term"]) if tail else out

@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headcount.functions.columns import literal, round_half_even
-from headcount.functions.special import nb_log_pmf, nb_zero
 from headcount.models.fit import Fit, drop_one_deviances
-from headcount.models.table import ZERO, parameter
+from headcount.models.table import parameter
 
 _NORMAL = NormalDist()
 Z95 = _NORMAL.inv_cdf(0.975)
@@ -58,21 +57,31 @@ def _parts(fit: Fit) -> list[tuple[str, np.ndarray, np.ndarray]]:
     return parts
 
 
+def _at_limit(fit: Fit, part: str, term: str, level: str) -> bool:
+    """Whether a level of the zero part has no zeros at all: its coefficient is minus infinity."""
+    return part == "zero" and (term, level) in fit.design.no_zeros
+
+
 def _se(vcov: np.ndarray, i: int) -> float | None:
     return math.sqrt(vcov[i, i]) if vcov[i, i] > 0 else None
 
 
 def coef_table(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
-    """One row per coefficient. A level whose outcome is always 0 is listed with NULL figures."""
+    """One row per coefficient. A level without a finite one is listed with NULL figures: its outcome
+    is always 0, or never 0 (zero part), or the terms before it span its indicator."""
     rows = []
     for fit in fits:
         for part, values, vcov in _parts(fit):
             for i, (term, level) in enumerate(fit.design.terms):
+                if _at_limit(fit, part, term, level):
+                    rows.append((fit.model, part, term, level, None, None, None, None))
+                    continue
                 se = _se(vcov, i)
                 z = float(values[i]) / se if se else None
                 p = 2 * _NORMAL.cdf(-abs(z)) if z is not None else None
                 rows.append((fit.model, part, term, level, float(values[i]), se, z, p))
-            rows += [(fit.model, part, term, level, None, None, None, None) for term, level in fit.design.all_zero]
+            without = [*fit.design.all_zero, *fit.design.aliased]
+            rows += [(fit.model, part, term, level, None, None, None, None) for term, level in without]
     return spark.createDataFrame(rows, COEF_SCHEMA)
 
 
@@ -111,6 +120,9 @@ def rate_ratio_table(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
             for term, level in fit.design.reference.items():
                 rows.append((fit.model, part, term, level, True, 1.0, None, None, None, None, *tail))
             for i, (term, level) in enumerate(fit.design.terms):
+                if _at_limit(fit, part, term, level):
+                    rows.append((fit.model, part, term, level, False, 0.0, None, None, None, None, *tail))
+                    continue
                 b, se = float(values[i]), _se(vcov, i)
                 low = high = p = None
                 if se:
@@ -121,7 +133,10 @@ def rate_ratio_table(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
 
 
 def _exp(x: float) -> float:
-    return math.exp(x) if x < 700 else math.inf
+    try:
+        return math.exp(x)
+    except OverflowError:
+        return math.inf
 
 
 def theta_interval_table(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
@@ -136,44 +151,65 @@ def theta_interval_table(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
 
 
 def drop_one_lrt(spark: SparkSession, fit: Fit) -> DataFrame:
-    """Likelihood ratio test of each factor: refit without it at the full model's theta."""
-    rows = [("<none>", None, float(fit.deviance), None, None)]
-    for factor, deviance in drop_one_deviances(fit, list(fit.design.index)).items():
-        df = sum(term == factor for term, _ in fit.design.terms)
+    """Likelihood ratio test of each factor: refit without it at the full model's theta.
+
+    Every observed level but one costs a degree of freedom, a level whose outcome is always 0 too:
+    the statistic holds what its rows gain.
+    """
+    design = fit.design
+    freedom = {f: len(levels) - 1 - sum(t == f for t, _ in design.aliased) for f, levels in design.seen.items()}
+    if empty := [f for f, df in freedom.items() if df < 1]:
+        raise ValueError(f"there is nothing to test in {empty}: one level, or no coefficient of its own")
+    rows = [("<none>", None, float(fit.deviance), None, None, fit.converged)]
+    for factor, deviance in drop_one_deviances(fit, list(design.index)).items():
+        df = freedom[factor]
         statistic = max(deviance - float(fit.deviance), 0.0)
-        rows.append((factor, df, deviance, statistic, chi_square_tail(statistic, df)))
-    return spark.createDataFrame(rows, "term string, df int, deviance double, statistic double, p_value double")
+        rows.append((factor, df, deviance, statistic, chi_square_tail(statistic, df), fit.converged))
+    return spark.createDataFrame(
+        rows, "term string, df int, deviance double, statistic double, p_value double, converged boolean"
+    )
 
 
 def patterns(fit: Fit) -> DataFrame:
-    """One row per combination of factor levels: (mu, pi, t, n). Never one per respondent."""
-    slots = [ZERO, *fit.design.index.values()]
-    return (
-        fit.design.cells.groupBy(*slots)
-        .agg(F.sum("n").alias("n"))
-        .selectExpr(
-            f"{fit.mean()} AS mu", f"{fit.structural_zero()} AS pi", f"{parameter(fit.theta)} AS t", "n"
-        )
-    )
+    """One row per combination of factor levels: (mu, pi, t, n). Never one per respondent.
 
+    Levels whose outcome is always 0 are among them, with a mean of 0.
+    """
+    theta = "CAST(NULL AS DOUBLE)" if fit.theta is None else parameter(fit.theta)
+    return fit.design.patterns.selectExpr(f"{fit.mean()} AS mu", f"{fit.structural_zero()} AS pi", f"{theta} AS t", "n")
 
-def predicted_distribution(fit: Fit, kmax: int | None = None, prob: str = "prob") -> DataFrame:
-    """(x, probability): mean over respondents of P(Y = x), for x = 0..kmax."""
-    top = kmax if kmax is not None else int(fit.design.cells.agg(F.max("y")).first()[0])
-    pmf = f"(1D - pi) * exp({nb_log_pmf('x', 'mu', 't')}) + CASE WHEN x = 0 THEN pi ELSE 0D END"
-    return (
+
+def largest_outcome(fit: Fit) -> int:
+    return int(fit.design.values.agg(F.max("y")).first()[0] or 0)
+
+
+def predicted_distribution(fit: Fit, kmax: int, prob: str = "prob", tail: bool = True) -> DataFrame:
+    """(x, probability): mean over respondents of P(Y = x), for x = 0..kmax.
+
+    The mass beyond is in a last row without x, unless ``tail`` is off. The work is patterns times
+    ``kmax``, so that is for the caller to choose.
+    """
+    pmf = f"(1D - pi) * coalesce(exp({fit.log_pmf('x')}), 0D) + CASE WHEN x = 0 THEN pi ELSE 0D END"
+    out = (
         patterns(fit)
-        .selectExpr("*", f"explode(sequence(0, {top})) AS x")
+        .selectExpr("*", f"explode(sequence(0, {kmax})) AS x")
         .selectExpr("x", "n", f"n * ({pmf}) AS expected")
         .groupBy("x")
         .agg(F.expr(f"sum(expected) / sum(n) AS {prob}"))
     )
+    return with_tail(out, prob) if tail else out
+
+
+def with_tail(distribution: DataFrame, prob: str, by: Sequence[str] = ()) -> DataFrame:
+    """A row without x for the probability that the listed values leave."""
+    left = distribution.groupBy(*by).agg(F.expr(f"greatest(0D, 1D - sum({prob})) AS {prob}"))
+    return distribution.unionByName(left.selectExpr(*by, "CAST(NULL AS INT) AS x", prob))
 
 
 def ols_distribution(fit: Fit, share: str = "OLS") -> DataFrame:
     """(x, share): linear predictions rounded to whole numbers."""
     return (
-        fit.design.cells.selectExpr(f"CAST({round_half_even(fit.design.linear(fit.beta))} AS INT) AS x", "n")
+        fit.design.patterns.selectExpr(f"CAST({round_half_even(fit.design.linear(fit.beta))} AS INT) AS x", "n")
         .groupBy("x")
         .agg(F.expr(f"sum(n) / {fit.design.n} AS {share}"))
     )
@@ -181,10 +217,8 @@ def ols_distribution(fit: Fit, share: str = "OLS") -> DataFrame:
 
 def zero_count_table(fits: Sequence[Fit]) -> DataFrame:
     """(model, zeros): observed zeros, then the zeros each model expects."""
-    out = fits[0].design.cells.selectExpr(
-        "'Observed' AS model", "coalesce(sum(CASE WHEN y = 0 THEN n END), 0D) AS zeros"
-    )
+    out = fits[0].design.patterns.selectExpr("'Observed' AS model", "coalesce(sum(n0), 0D) AS zeros")
     for fit in fits:
-        expected = f"sum(n * (pi + (1D - pi) * {nb_zero('mu', 't')}))"
+        expected = f"sum(n * (pi + (1D - pi) * {fit.count_zero()}))"
         out = out.unionByName(patterns(fit).selectExpr(f"{literal(fit.model)} AS model", f"{expected} AS zeros"))
     return out

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headcount.functions.columns import literal, name, recode, with_exprs
+from headcount.functions.columns import literal, name, recode
 
 INTERCEPT = "(Intercept)"
 
@@ -18,18 +17,12 @@ INTERCEPT = "(Intercept)"
 def keep(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small table that many jobs will read.
 
-    The checkpoint goes to the shared folder the cluster names in ``spark.checkpoint.dir``, so a
-    lost executor costs a re-read and nothing else. Only a local session without that setting gets
-    a folder of its own. A cluster without it falls back to a replicated cache over the lineage.
+    The checkpoint goes to the shared folder that the session names in ``spark.checkpoint.dir``, so
+    a lost executor costs a re-read and nothing else. With
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` its files go when the table does.
     """
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder and sc.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="headcount-checkpoint-")
-    if not folder:
-        return df.persist(StorageLevel.MEMORY_AND_DISK_2)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return df.checkpoint()
 
 
@@ -58,7 +51,6 @@ def model_table(
 
 
 REFERENCE, ALL_ZERO = -1, -2
-CELLS_PER_TASK = 2000
 
 # A stored column of zeros. Parameters are read as get(array, column): with a column for an index
 # Spark cannot fold the array into the expression, so the generated code is the same in every
@@ -77,26 +69,42 @@ def parameter(value: float) -> str:
 
 @dataclass(frozen=True)
 class Design:
-    """Cells with one coefficient index per factor: -1 for the reference level, -2 for a level
-    whose outcome is always 0. Index 0 is the intercept."""
+    """Sufficient sums of a model table.
 
-    coded: DataFrame
+    ``patterns`` has a row per combination of levels: a coefficient index per factor (-1 for a level
+    without one, -2 for a level whose outcome is always 0; index 0 is the intercept), the rows n,
+    their total s and their zeros n0. ``values`` has the rows n of each positive outcome y. Every
+    likelihood here is linear in the outcome given the pattern but for terms of y alone, so these two
+    tables hold all that a fit needs.
+    """
+
+    patterns: DataFrame
+    values: DataFrame
     index: dict[str, str]
     terms: list[tuple[str, str]]
     reference: dict[str, str]
     all_zero: list[tuple[str, str]]
     n: int
+    n0: int
     mean: float
     variance: float
+    seen: dict[str, list[str]]
+    aliased: list[tuple[str, str]] = field(default_factory=list)
+    no_zeros: list[tuple[str, str]] = field(default_factory=list)
 
     @property
-    def cells(self) -> DataFrame:
-        """The cells that take part in the fit."""
-        df = self.coded
-        for term, _ in self.all_zero:
+    def fitted(self) -> DataFrame:
+        """The patterns that take part in a fit. The others sit at their limit, a mean of 0."""
+        df = self.patterns
+        for term in {t for t, _ in self.all_zero}:
             df = df.filter(F.col(self.index[term]) != ALL_ZERO)
         return df
 
+    def set_aside(self) -> str:
+        """Whether a pattern has a level whose outcome is always 0."""
+        tests = [f"{name(self.index[term])} = {ALL_ZERO}" for term in sorted({t for t, _ in self.all_zero})]
+        return f"({' OR '.join(tests)})" if tests else "false"
+
     @property
     def p(self) -> int:
         return len(self.terms)
@@ -115,6 +123,18 @@ class Design:
         return [i for i, (term, _) in enumerate(self.terms) if term != factor]
 
 
+def _aliased(gram: np.ndarray) -> list[int]:
+    """Columns that those before them already span, by elimination in their order."""
+    a, out = gram.astype(float).copy(), []
+    for k in range(len(a)):
+        if a[k, k] <= 1e-9 * gram[k, k]:
+            out.append(k)
+            continue
+        below = a[k + 1 :, k] / a[k, k]
+        a[k + 1 :, k + 1 :] -= np.outer(below, a[k, k + 1 :])
+    return out
+
+
 def build_design(
     table: DataFrame, factors: Mapping[str, Sequence[str]], set_aside_zero: bool = True
 ) -> Design:
@@ -122,43 +142,66 @@ def build_design(
     occurs with a positive total is the reference, levels that never occur get no coefficient.
 
     A level whose outcome is always 0 has no finite coefficient. Its limit, a mean of 0, fits its
-    rows exactly, so they stay out of the fit and the level is listed in ``all_zero``. A linear model has
-    no such trouble and turns ``set_aside_zero`` off.
+    rows exactly, so they take no part in the fit and the level is listed in ``all_zero``; results
+    count them at that limit. A linear model has no such trouble and turns ``set_aside_zero`` off. A
+    level whose indicator the terms before it span is listed in ``aliased`` and gets no coefficient,
+    one without any zero in ``no_zeros``.
     """
     names = list(factors)
     cells = keep(table)
     margins = (
         cells.unpivot(["y", "n"], names, "term", "level")
         .groupBy("term", "level")
-        .agg(F.count("*").alias("cells"), F.sum(F.col("y") * F.col("n")).alias("total"))
+        .agg(F.expr("sum(y * n) AS total"), F.expr("coalesce(sum(CASE WHEN y = 0 THEN n END), 0) AS zeros"))
         .collect()
     )
     totals = {(r["term"], r["level"]): r["total"] for r in margins}
-    terms, reference, all_zero, index = [(INTERCEPT, "")], {}, [], {}
-    columns = []
+    zeros = {(r["term"], r["level"]): r["zeros"] for r in margins}
+    reference, all_zero, seen, usable = {}, [], {}, {}
     for f in names:
         unlisted = [level for term, level in totals if term == f and level not in factors[f]]
         if unlisted:
             raise ValueError(f"factor {f!r} has levels outside its level list: {unlisted}")
-        seen = [level for level in factors[f] if (f, level) in totals]
-        usable = [level for level in seen if totals[f, level] > 0 or not set_aside_zero]
-        if not usable:
+        seen[f] = [level for level in factors[f] if (f, level) in totals]
+        usable[f] = [level for level in seen[f] if totals[f, level] > 0 or not set_aside_zero]
+        if not usable[f]:
             raise ValueError(f"the outcome is 0 in every row, so factor {f!r} cannot be fitted")
-        all_zero += [(f, level) for level in seen if level not in usable]
-        reference[f] = usable[0]
-        slots = {level: ALL_ZERO for level in seen if level not in usable}
-        slots[usable[0]] = REFERENCE
-        for level in usable[1:]:
-            slots[level] = len(terms)
-            terms.append((f, level))
-        index[f] = f"i_{f}"
-        columns.append(f"{recode(name(f), slots)} AS {name(index[f])}")
-    coded = cells.selectExpr(*columns, f"0 AS {ZERO}", "CAST(y AS DOUBLE) AS y", "CAST(n AS DOUBLE) AS n")
-    # The cells are few bytes but much arithmetic, so they are spread by number and not by size.
-    n_cells = sum(r["cells"] for r in margins if r["term"] == names[0])
-    tasks = min(cells.sparkSession.sparkContext.defaultParallelism, n_cells // CELLS_PER_TASK + 1)
-    coded = keep(coded.repartition(tasks, *index.values()))
-    m = coded.selectExpr("sum(n) AS n", "sum(y * n) AS s1", "sum(y * y * n) AS s2").first()
-    mean = m["s1"] / m["n"]
-    variance = (m["s2"] - m["n"] * mean * mean) / max(m["n"] - 1, 1)
-    return Design(coded, index, terms, reference, all_zero, int(m["n"]), mean, variance)
+        all_zero += [(f, level) for level in seen[f] if level not in usable[f]]
+        reference[f] = usable[f][0]
+
+    def coded(aliased: Sequence[tuple[str, str]]) -> tuple[DataFrame, list[tuple[str, str]]]:
+        terms, columns = [(INTERCEPT, "")], []
+        for f in names:
+            slots = {level: ALL_ZERO for level in seen[f] if level not in usable[f]}
+            for level in usable[f]:
+                if level == reference[f] or (f, level) in aliased:
+                    slots[level] = REFERENCE
+                else:
+                    slots[level] = len(terms)
+                    terms.append((f, level))
+            columns.append(f"{recode(name(f), slots)} AS {name(f'i_{f}')}")
+        index = [name(f"i_{f}") for f in names]
+        rows = cells.selectExpr(*columns, f"0 AS {ZERO}", "y", "n").groupBy(ZERO, *index)
+        sums = {"n": "sum(n)", "s": "sum(y * n)", "n0": "coalesce(sum(CASE WHEN y = 0 THEN n END), 0)"}
+        return keep(rows.agg(*[F.expr(f"CAST({text} AS DOUBLE) AS {c}") for c, text in sums.items()])), terms
+
+    values = cells.filter("y > 0").groupBy("y").agg(F.sum("n").alias("n"))
+    values = keep(values.selectExpr(f"0 AS {ZERO}", "CAST(y AS DOUBLE) AS y", "CAST(n AS DOUBLE) AS n"))
+    m = cells.selectExpr("sum(n) AS n", "sum(CASE WHEN y = 0 THEN n END) AS n0", "sum(y * n) AS s1").first()
+    n, n0, mean = int(m["n"]), int(m["n0"] or 0), m["s1"] / m["n"]
+    squares = values.selectExpr(f"sum(n * (y - {literal(float(mean))}) * (y - {literal(float(mean))})) AS v").first()["v"]
+    variance = ((squares or 0.0) + n0 * mean * mean) / max(n - 1, 1)
+
+    def design(aliased: list[tuple[str, str]]) -> Design:
+        patterns, terms = coded(aliased)
+        no_zeros = [t for t in terms[1:] if zeros[t] == 0] + [(f, reference[f]) for f in names if zeros[f, reference[f]] == 0]
+        return Design(
+            patterns, values, {f: f"i_{f}" for f in names}, terms, reference, all_zero, n, n0, mean, variance, seen, aliased, no_zeros
+        )
+
+    from headcount.models.fit import pair_sums
+
+    plain = design([])
+    gram = pair_sums(plain, plain.fitted, pair={"xx": "n"})["xx"]
+    spanned = [plain.terms[k] for k in _aliased(gram)]
+    return design(spanned) if spanned else plain

@@ -16,6 +16,7 @@ BY_CONTACT = ["total_0to4", "total_5to17", "total_18to69", "total_70over"]
 CONTACT_BANDS = ["0 - 4", "5 - 17", "18 - 69", "70+"]
 Z95 = "1.959963984540054"
 
+# -- fixed values: level order, as published results use it ---------------------
 LEVELS = {
     "age3": ["0 - 4", "5 - 17", "23 - 29", "30 - 39", "40 - 49", "50 - 59", "60 - 69", "70+"],
     "sex2": ["Male", "Female"],
@@ -44,6 +45,14 @@ def on_people(sql: str, *tables) -> str:
     return f"{_with(_SURVEY, _PEOPLE, *tables)}\n{sql}"
 
 
+# The analysis table with an outcome of 0 for everyone of one occupation.
+_ZEROED = "SELECT * REPLACE (CASE WHEN occupation2 = 'HCW' THEN 0 ELSE total_contacts END AS total_contacts) FROM everyone"
+
+
+def on_zeroed(sql: str, *tables) -> str:
+    return f"{_with(_SURVEY, ('everyone', PEOPLE), ('people', _ZEROED), *tables)}\n{sql}"
+
+
 def r(x: str, digits: int = DIGITS) -> str:
     return f"ROUND(CAST({x} AS DOUBLE), {digits})"
 
@@ -222,6 +231,29 @@ def multi_nb() -> list[tuple[str, str]]:
     return [*om.cells(layout, ALL_KNOWN), *om.nb_fit(layout, 60)]
 
 
+def lrt_tables() -> list[tuple[str, str]]:
+    """``lrt``: the test of each factor against the model that leaves it out, theta held."""
+    reduced, rows = [], ["SELECT '<none>' AS term, NULL::INTEGER AS df, deviance, NULL::DOUBLE AS statistic FROM fig"]
+    for i, f in enumerate(LEVELS):
+        layout, tag = _layout(f), f"_{i}"
+        reduced += om.cells(layout, ALL_KNOWN, tag) + om.nb_fit(layout, 30, tag, "(SELECT theta FROM fin)")
+        df = f"(SELECT COUNT(*) - 1 FROM seen WHERE term = '{f}')"
+        rows.append(
+            f"SELECT '{f}', CAST({df} AS INTEGER), x.deviance, x.deviance - fig.deviance FROM fig{tag} x, fig"
+        )
+    return [*multi_nb(), *om.TERMS, *reduced, ("lrt", " UNION ALL ".join(rows))]
+
+
+def lrt(digits: int) -> str:
+    return f"SELECT term, df, {r('deviance', digits)} AS deviance, {r('statistic', digits)} AS statistic, TRUE AS converged FROM lrt"
+
+
+def with_tail(table: str) -> str:
+    """A distribution and, without x, what its listed values leave."""
+    return f"""SELECT x, {r("prob")} AS prob FROM {table}
+UNION ALL SELECT NULL, {r("GREATEST(0, 1 - SUM(prob))")} FROM {table}"""
+
+
 def multi_models() -> dict[str, str]:
     """Fits on all factors."""
     q = {}
@@ -231,7 +263,7 @@ def multi_models() -> dict[str, str]:
     p = "(SELECT COUNT(*) FROM coefs)"
     q["mdl_nb_fit"] = on_people(
         f"""SELECT CAST(n AS BIGINT) AS n, CAST({p} + 1 AS INTEGER) AS p, {r("theta")} AS theta, {r("se_theta")} AS se_theta,
-  {r("loglik")} AS loglik, {r("deviance")} AS deviance, {r(f"-2 * loglik + 2 * ({p} + 1)")} AS aic FROM fig""",
+  {r("loglik")} AS loglik, {r("deviance")} AS deviance, {r(f"-2 * loglik + 2 * ({p} + 1)")} AS aic, TRUE AS converged FROM fig""",
         *multi_nb(),
         *om.TERMS,
     )
@@ -249,26 +281,29 @@ FROM (SELECT term, level, FALSE AS reference, estimate, se FROM est UNION ALL
         *multi_nb(),
         *om.nb_terms(),
     )
-    reduced, rows = [], ["SELECT '<none>' AS term, NULL::INTEGER AS df, deviance, NULL::DOUBLE AS statistic FROM fig"]
-    for i, f in enumerate(LEVELS):
-        layout, tag = _layout(f), f"_{i}"
-        reduced += om.cells(layout, ALL_KNOWN, tag) + om.nb_fit(layout, 30, tag, "(SELECT theta FROM fin)")
-        df = f"(SELECT COUNT(*) - 1 FROM seen WHERE term = '{f}')"
-        rows.append(
-            f"SELECT '{f}', CAST({df} AS INTEGER), x.deviance, x.deviance - fig.deviance FROM fig{tag} x, fig"
-        )
-    q["mdl_lrt"] = on_people(
-        f"SELECT term, df, {r('deviance', 5)} AS deviance, {r('statistic', 5)} AS statistic FROM ({' UNION ALL '.join(rows)})",
-        *multi_nb(),
-        *om.TERMS,
-        *reduced,
+    tested = lrt_tables()
+    q["mdl_lrt"] = on_people(lrt(5), *tested)
+    q["mdl_lrt_allzero"] = on_zeroed(lrt(4), *tested)
+    # The upper tail of chi-square by the series of the lower incomplete gamma function.
+    q["mdl_lrt_pvalue"] = on_people(
+        f"""SELECT term, df, {r("CASE WHEN df IS NULL THEN NULL WHEN statistic <= 0 THEN 1 ELSE GREATEST(0, 1 - below) END", 7)} AS p_value
+FROM lrt LEFT JOIN (
+  SELECT term, SUM(EXP((df / 2.0 + k) * LN(statistic / 2) - statistic / 2 - LGAMMA(df / 2.0 + k + 1))) AS below
+  FROM (SELECT *, UNNEST(RANGE(0, CAST(statistic / 2 + 50 * SQRT(statistic / 2) + 100 AS BIGINT))) AS k FROM lrt WHERE statistic > 0)
+  GROUP BY term) USING (term)""",
+        *tested,
     )
     pmf = PMF0.replace("* LN(m /", "* LN(mu /").replace("+ m)", "+ mu)")
-    q["dist_nb"] = on_people(
-        f"""SELECT CAST(k AS INTEGER) AS x, {r(f"SUM(n * {pmf}) / SUM(n)")} AS prob
-FROM (SELECT n, theta, {om.ETA} AS mu FROM pats, fin),
-  (SELECT UNNEST(RANGE(0, (SELECT MAX(y) + 1 FROM cell)::BIGINT)) AS k) GROUP BY k""",
+    ks = "(SELECT UNNEST(RANGE(0, (SELECT MAX(y) + 1 FROM cell)::BIGINT)) AS k)"
+    nbfit = ("nbfit", f"SELECT n, n0, theta, {om.ETA} AS mu FROM pats, fin")
+    ndist = ("ndist", f"SELECT CAST(k AS INTEGER) AS x, SUM(n * {pmf}) / SUM(n) AS prob FROM nbfit, {ks} GROUP BY k")
+    q["dist_nb"] = on_people(with_tail("ndist"), *multi_nb(), nbfit, ndist)
+    q["dist_nb_allzero"] = on_zeroed(with_tail("ndist"), *multi_nb(), nbfit, ndist)
+    q["dist_zero_allzero"] = on_zeroed(
+        f"""SELECT 'Observed' AS model, {r("SUM(n0)", 5)} AS zeros FROM pats
+UNION ALL SELECT 'NB', {r("SUM(n * POW(theta / (theta + mu), theta))", 5)} FROM nbfit""",
         *multi_nb(),
+        nbfit,
     )
     q["dist_ols_multi"] = on_people(
         f"""SELECT x, {r("SUM(n) / (SELECT SUM(n) FROM pats)")} AS "OLS" FROM (
@@ -280,7 +315,7 @@ FROM (SELECT n, theta, {om.ETA} AS mu FROM pats, fin),
     )
     zinb = [*om.cells(_layout(), ALL_KNOWN), *om.zinb_fit(_layout(), 80)]
     q["mdl_zinb_coef"] = on_people(
-        f"SELECT part, term, level, {r('estimate')} AS estimate, {r('se')} AS se, {r('estimate / se', 4)} AS z FROM zest",
+        f"SELECT part, term, level, {r('estimate')} AS estimate, {r('se')} AS se, {r('estimate / se', 4)} AS z, TRUE AS converged FROM zest",
         *zinb,
         *om.zinb_terms(),
     )
@@ -299,17 +334,15 @@ FROM (SELECT part, term, level, FALSE AS reference, estimate, se FROM zest
     nb_row = f"SELECT 'NB', n, {p} + 1, theta, se_theta, loglik, deviance FROM fig"
     zinb_row = f"SELECT 'ZINB', n, 2 * {p} + 1, theta, (SELECT se_theta FROM zse), loglik, NULL FROM zfig"
     # The two eliminations use the same table names, so the zero-inflated one is set apart.
-    row = "SELECT model, CAST(n AS BIGINT) AS n, CAST(p AS INTEGER) AS p, {0} AS theta, {1} AS se_theta, {2} AS loglik, {3} AS deviance, {4} AS aic FROM ({5})"
+    row = "SELECT model, CAST(n AS BIGINT) AS n, CAST(p AS INTEGER) AS p, {0} AS theta, {1} AS se_theta, {2} AS loglik, {3} AS deviance, {4} AS aic, TRUE AS converged FROM ({5})"
     shape = [r("theta"), r("se_theta"), r("loglik"), r("deviance"), r("-2 * loglik + 2 * p")]
     named = "SELECT 'x' AS model, 0.0 AS n, 0 AS p, 0.0 AS theta, 0.0 AS se_theta, 0.0 AS loglik, 0.0 AS deviance WHERE FALSE"
     plain = on_people(row.format(*shape, f"{ols_row} UNION ALL {nb_row}"), *multi_nb(), *om.TERMS, *ols)
     inflated = on_people(row.format(*shape, f"{named} UNION ALL {zinb_row}"), *zinb, *om.zinb_terms())
     q["mdl_aic"] = f"SELECT * FROM ({plain}) UNION ALL SELECT * FROM ({inflated})"
     zpmf = f"(1 - pi) * {pmf} + CASE WHEN k = 0 THEN pi ELSE 0 END"
-    ks = "(SELECT UNNEST(RANGE(0, (SELECT MAX(y) + 1 FROM cell)::BIGINT)) AS k)"
     zdist = f"SELECT CAST(k AS INTEGER) AS x, SUM(n * ({zpmf})) / SUM(n) AS prob FROM zfit, {ks} GROUP BY k"
-    q["dist_zinb"] = on_people(f"SELECT x, {r('prob')} AS prob FROM ({zdist})", *zinb)
-    nbfit = ("nbfit", f"SELECT n, theta, {om.ETA} AS mu FROM pats, fin")
+    q["dist_zinb"] = on_people(with_tail("zdist"), *zinb, ("zdist", zdist))
     q["dist_zero"] = on_people(
         f"""SELECT 'Observed' AS model, {r("SUM(n0)", 5)} AS zeros FROM pats
 UNION ALL SELECT 'NB', {r("SUM(n * POW(theta / (theta + mu), theta))", 5)} FROM nbfit
@@ -318,7 +351,6 @@ UNION ALL SELECT 'ZINB', {r("SUM(n * (pi + (1 - pi) * POW(theta / (theta + mu),
         nbfit,
         *om.zinb_fit(_layout(), 80),
     )
-    ndist = f"SELECT CAST(k AS INTEGER) AS x, SUM(n * {pmf}) / SUM(n) AS prob FROM nbfit, {ks} GROUP BY k"
     everyone = "(SELECT COUNT(*) FROM people)"
     q["dist_compare_multi"] = on_people(
         f"""SELECT x, "Model", {r("prob", 5)} AS prob, {r(f"prob * {everyone}", 4)} AS n FROM (
@@ -329,7 +361,7 @@ UNION ALL SELECT 'ZINB', {r("SUM(n * (pi + (1 - pi) * POW(theta / (theta + mu),
         nbfit,
         *om.zinb_fit(_layout(), 80),
         OBSERVED,
-        ("ndist", ndist),
+        ndist,
         ("zdist", zdist),
         ("xs", "SELECT x FROM observed UNION SELECT x FROM ndist"),
     )
@@ -372,6 +404,10 @@ def _oracle() -> dict[str, str]:
 
     # filters
     case = "respondent_id, generation, age_years"
+    q["flt_exclude_null"] = on_survey("SELECT respondent_id FROM survey WHERE respondent_id <> 9142")
+    q["flt_exclude_many"] = on_survey(
+        "SELECT respondent_id FROM survey WHERE respondent_id NOT IN (SELECT UNNEST(RANGE(0, 8000, 4)))"
+    )
     q["flt_exclude_ids"] = on_survey(f"SELECT {case} FROM survey WHERE respondent_id NOT IN (9142)")
     q["flt_sentinel"] = on_survey(f"SELECT {case} FROM survey WHERE age_years = -11")
     q["flt_positive"] = on_survey("SELECT respondent_id, age_years, sex FROM survey WHERE age_years > 0")
@@ -598,7 +634,7 @@ FROM g, (SELECT age3 AS base, m AS m0, n AS n0 FROM g ORDER BY {level_place("age
     q["dist_observed"] = on_people(
         f"SELECT total_contacts, COUNT(*) AS n, {r('COUNT(*) / (SELECT COUNT(*) FROM people)')} AS share FROM people GROUP BY 1"
     )
-    q["dist_nb_null"] = on_people(f"SELECT x, {r('prob')} AS prob FROM nb", *NULL_TABLES, NB_NULL)
+    q["dist_nb_null"] = on_people(with_tail("nb"), *NULL_TABLES, NB_NULL)
     q["dist_ols"] = on_people(f'SELECT x, {r("p")} AS "OLS" FROM ols', OLS)
     q["dist_unpivot"] = on_people(
         f"""SELECT x, 'Observed' AS "Model", {r("COALESCE(o.p, 0)")} AS prob FROM observed o FULL JOIN ols l USING (x)

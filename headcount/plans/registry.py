@@ -43,7 +43,11 @@ def _rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(survey(spark, sf_dir))
+    return clean(survey(spark, sf_dir), K.EXCLUDED_IDS)
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select_cases(survey(spark, sf_dir), K.EXCLUDED_IDS)
 
 
 def _counted(spark: SparkSession, sf_dir: str, factors: list[str]) -> DataFrame:
@@ -74,6 +78,17 @@ def flt_exclude_ids(spark, sf_dir):
     )
 
 
+@query
+def flt_exclude_null(spark, sf_dir):
+    return filters.exclude_ids(survey(spark, sf_dir), "respondent_id", [*K.EXCLUDED_IDS, None]).select("respondent_id")
+
+
+@query
+def flt_exclude_many(spark, sf_dir):
+    ids = [None, *range(0, 8000, 4)]
+    return filters.exclude_ids(survey(spark, sf_dir), "respondent_id", ids).select("respondent_id")
+
+
 @query
 def flt_sentinel(spark, sf_dir):
     return filters.keep_sentinel(survey(spark, sf_dir), "age_years", K.HIDDEN_AGE).select(
@@ -96,7 +111,7 @@ def flt_cross_classify(spark, sf_dir):
     yes, not_hcw = f"hcw = {K.HCW_YES}", is_in("hcw", K.HCW_NO)
     keyworker = f"keyworker = {K.KEYWORKER_YES}"
     return filters.cross_classify(
-        select_cases(survey(spark, sf_dir)),
+        _cases(spark, sf_dir),
         {
             "hcw_and_keyworker": f"{yes} AND {keyworker}",
             "hcw_not_keyworker": f"{yes} AND keyworker = 2",
@@ -131,7 +146,7 @@ def prj_null_sentinels(spark, sf_dir):
 
 @query
 def prj_row_total(spark, sf_dir):
-    people = derive_columns(select_cases(survey(spark, sf_dir)), CONTACT_TOTALS)
+    people = derive_columns(_cases(spark, sf_dir), CONTACT_TOTALS)
     return people.selectExpr(
         "respondent_id", *TOTALS, *K.TOTAL_BY_CONTACT, f"{n_answered(*CONTACTS)} AS n_answered"
     )
@@ -149,7 +164,7 @@ def prj_row_max(spark, sf_dir):
 
 @query
 def prj_household(spark, sf_dir):
-    return derive_columns(select_cases(survey(spark, sf_dir)), HOUSEHOLD).select(
+    return derive_columns(_cases(spark, sf_dir), HOUSEHOLD).select(
         "respondent_id",
         "household_size",
         "household_size2",
@@ -189,7 +204,7 @@ def prj_bands(spark, sf_dir):
 
 @query
 def prj_week_index(spark, sf_dir):
-    people = derive_columns(select_cases(survey(spark, sf_dir)), DATES).select("respondent_id", "date_ymd")
+    people = derive_columns(_cases(spark, sf_dir), DATES).select("respondent_id", "date_ymd")
     return derive.add_week_index(people, "date_ymd", "Q1week")
 
 
@@ -267,7 +282,7 @@ def agg_freq_by(spark, sf_dir):
 
 @query
 def agg_freq_multi(spark, sf_dir):
-    return _rounded(frequency.freq_table(select_cases(survey(spark, sf_dir)), QUESTIONS))
+    return _rounded(frequency.freq_table(_cases(spark, sf_dir), QUESTIONS))
 
 
 @query
@@ -277,7 +292,7 @@ def agg_freq_total(spark, sf_dir):
 
 @query
 def agg_freq_week(spark, sf_dir):
-    people = derive_columns(select_cases(survey(spark, sf_dir)), DATES).select("date_ymd")
+    people = derive_columns(_cases(spark, sf_dir), DATES).select("date_ymd")
     return _rounded(frequency.freq_table(derive.add_week_index(people, "date_ymd", "Q1week"), "Q1week"))
 
 
@@ -351,7 +366,7 @@ def agg_dispersion(spark, sf_dir):
 
 @query
 def agg_missing(spark, sf_dir):
-    return filters.missing_profile(select_cases(survey(spark, sf_dir)), CONTACTS, K.SENTINELS)
+    return filters.missing_profile(_cases(spark, sf_dir), CONTACTS, K.SENTINELS)
 
 
 # -- mixing matrices -------------------------------------------------------------
@@ -451,9 +466,8 @@ def mdl_table(spark, sf_dir):
 @query
 def mdl_nb_null(spark, sf_dir):
     fit = _null(spark, sf_dir)
-    summary_row = oneway.fit_summary(fit).select("theta", "n", "loglik", "deviance", "aic")
-    estimate = oneway.coefficients(fit).select("estimate", "se", F.col("theta").alias("_t"))
-    return _rounded(estimate.join(summary_row, F.col("_t") == F.col("theta")).drop("_t"))
+    summary_row = oneway.fit_summary(fit).select("term", "theta", "n", "loglik", "deviance", "aic")
+    return _rounded(oneway.coefficients(fit).select("term", "estimate", "se").join(summary_row, "term").drop("term"))
 
 
 @query
@@ -510,7 +524,8 @@ def dist_observed(spark, sf_dir):
 
 @query
 def dist_nb_null(spark, sf_dir):
-    return _rounded(oneway.distribution(_null(spark, sf_dir)).select("x", "prob"))
+    fit = _null(spark, sf_dir)
+    return _rounded(oneway.distribution(fit, oneway.largest_outcome(fit)).select("x", "prob"))
 
 
 @query
@@ -528,13 +543,19 @@ def dist_unpivot(spark, sf_dir):
     return _rounded(distributions.unpivot_models(wide, "x", ["Observed", "OLS"]))
 
 
+def _figure(observed: DataFrame, predictions: list[DataFrame], total) -> DataFrame:
+    """The range and the models that the published figure shows."""
+    return distributions.compare_distributions(observed, predictions, total, lo=0, hi=50, drop=("OLS",))
+
+
 @query
 def dist_compare(spark, sf_dir):
     cells = _counted(spark, sf_dir, ["age3"])
     ols = linear.ols_oneway_distribution(cells, "y", "age3", K.AGE3.labels, "n")
-    nb = oneway.distribution(oneway.fit_oneway(cells, "y", weight="n")).select("x", F.col("prob").alias("NegBin"))
+    fit = oneway.fit_oneway(cells, "y", weight="n")
+    nb = oneway.distribution(fit, oneway.largest_outcome(fit), tail=False).select("x", F.col("prob").alias("NegBin"))
     total = F.lit(cells.agg(F.sum("n")).first()[0])
-    return _rounded(distributions.compare_distributions(_observed(cells), [ols, nb], total), 5)
+    return _rounded(_figure(_observed(cells), [ols, nb], total), 5)
 
 
 @query
@@ -570,7 +591,7 @@ def mdl_nb_coef(spark, sf_dir):
 
 @query
 def mdl_nb_fit(spark, sf_dir):
-    return _rounded(report.fit_table(spark, [_nb(spark, sf_dir)]).drop("model", "iterations", "converged"))
+    return _rounded(report.fit_table(spark, [_nb(spark, sf_dir)]).drop("model", "iterations"))
 
 
 @query
@@ -580,9 +601,10 @@ def mdl_ols_coef(spark, sf_dir):
 
 @query
 def mdl_zinb_coef(spark, sf_dir):
-    table = report.coef_table(spark, [_zinb(spark, sf_dir)])
+    fit = _zinb(spark, sf_dir)
+    table = report.coef_table(spark, [fit]).withColumn("converged", F.lit(fit.converged))
     return table.selectExpr(
-        "part", "term", "level", "round(estimate, 6) AS estimate", "round(se, 6) AS se", "round(z, 4) AS z"
+        "part", "term", "level", "round(estimate, 6) AS estimate", "round(se, 6) AS se", "round(z, 4) AS z", "converged"
     )
 
 
@@ -591,7 +613,7 @@ def mdl_aic(spark, sf_dir):
     design = _design(spark, sf_dir)
     nb = fit_nb(design)
     ols = fit_ols(design if not design.all_zero else _design(spark, sf_dir, False))
-    return _rounded(report.fit_table(spark, [ols, nb, fit_zinb(design, nb)]).drop("iterations", "converged"))
+    return _rounded(report.fit_table(spark, [ols, nb, fit_zinb(design, nb)]).drop("iterations"))
 
 
 @query
@@ -613,7 +635,31 @@ def mdl_lrt(spark, sf_dir):
 
 @query
 def mdl_lrt_pvalue(spark, sf_dir):
-    return report.drop_one_lrt(spark, _nb(spark, sf_dir)).select("term", "df", "p_value")
+    return _rounded(report.drop_one_lrt(spark, _nb(spark, sf_dir)).select("term", "df", "p_value"), 7)
+
+
+# An outcome that is 0 for everyone of one occupation: the limit that such a level is reported at.
+
+
+def _all_zero(spark, sf_dir) -> Fit:
+    people = _people(spark, sf_dir).withColumn(OUTCOME, F.expr(f"CASE WHEN occupation2 = 'HCW' THEN 0 ELSE {OUTCOME} END"))
+    return fit_nb(build_design(model_table(people, OUTCOME, list(K.MODEL_FACTORS)), K.MODEL_FACTORS))
+
+
+@query
+def mdl_lrt_allzero(spark, sf_dir):
+    # Four digits: the other engine reaches the level's limit in steps and stops just short of it.
+    return _rounded(report.drop_one_lrt(spark, _all_zero(spark, sf_dir)).drop("p_value"), 4)
+
+
+@query
+def dist_nb_allzero(spark, sf_dir):
+    return _distribution(_all_zero(spark, sf_dir))
+
+
+@query
+def dist_zero_allzero(spark, sf_dir):
+    return _rounded(report.zero_count_table([_all_zero(spark, sf_dir)]), 5)
 
 
 @query
@@ -621,14 +667,18 @@ def mdl_theta_ci_multi(spark, sf_dir):
     return _rounded(report.theta_interval_table(spark, [_nb(spark, sf_dir)]).drop("model"))
 
 
+def _distribution(fit: Fit) -> DataFrame:
+    return _rounded(report.predicted_distribution(fit, report.largest_outcome(fit)))
+
+
 @query
 def dist_nb(spark, sf_dir):
-    return _rounded(report.predicted_distribution(_nb(spark, sf_dir)))
+    return _distribution(_nb(spark, sf_dir))
 
 
 @query
 def dist_zinb(spark, sf_dir):
-    return _rounded(report.predicted_distribution(_zinb(spark, sf_dir)))
+    return _distribution(_zinb(spark, sf_dir))
 
 
 @query
@@ -651,11 +701,12 @@ def dist_compare_multi(spark, sf_dir):
     if design.all_zero:
         linear_design = build_design(model_table(cells, "y", factors, weight="n"), K.MODEL_FACTORS, False)
     nb = fit_nb(design)
+    top = report.largest_outcome(nb)
     predictions = [
         report.ols_distribution(fit_ols(linear_design)),
-        report.predicted_distribution(nb, prob="NegBin"),
-        report.predicted_distribution(fit_zinb(design, nb), prob="Zinb"),
+        report.predicted_distribution(nb, top, "NegBin", tail=False),
+        report.predicted_distribution(fit_zinb(design, nb), top, "Zinb", tail=False),
     ]
     total = F.lit(cells.agg(F.sum("n")).first()[0])
-    compared = distributions.compare_distributions(_observed(cells), predictions, total)
+    compared = _figure(_observed(cells), predictions, total)
     return compared.selectExpr("x", "Model", "round(prob, 5) AS prob", "round(n, 4) AS n")

@@ -14,7 +14,10 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "headcoun
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir("spark-checkpoints")
     spark.sparkContext.setLogLevel("ERROR")
     return spark

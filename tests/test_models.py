@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from headcount.functions import codes as K
 from headcount.models import linear, oneway, report
-from headcount.models.fit import THETA_CAP, fit_nb, fit_ols, fit_zinb, pair_sums
+from headcount.models.fit import NotConverged, fit_nb, fit_ols, fit_poisson, fit_zinb, pair_sums
 from headcount.models.table import INTERCEPT, build_design, model_table
 from headcount.plans.clean import clean
 from headcount.sources import survey
@@ -83,7 +83,9 @@ def test_design_terms_and_reference(design):
 def test_pair_sums_equal_the_dense_cross_product(design, sample):
     a, b, y = sample
     x = matrix(a, b)
-    sums = pair_sums(design, design.cells, {"xx": "n"}, {"xy": "n * y"}, {"yy": "n * y * y"})
+    sums = pair_sums(
+        design, design.fitted, {"xx": "n"}, {"xy": "s"}, {"n0": "n0"}, {"yy": "n * y * y"}, theta=1.0
+    )
     assert np.array_equal(sums["xx"], x.T @ x)
     assert np.allclose(sums["xy"], x.T @ y, rtol=1e-13) and sums["yy"] == pytest.approx(np.sum(y * y))
 
@@ -158,13 +160,25 @@ def test_fitting_several_factors_together_changes_nothing(spark, sample):
         assert together.theta[f] == pytest.approx(oneway.fit_oneway(df, "y", {f: levels}).theta[f], rel=1e-11)
 
 
-def test_poisson_counts_send_theta_to_the_cap(spark):
+def test_counts_without_over_dispersion_are_a_poisson_model(spark):
     a, b, _ = draw()
-    df = frame(spark, a, b, np.arange(len(a)) % 2)
-    fit = fit_nb(build_design(model_table(df, "y", list(FACTORS)), FACTORS))
-    assert fit.theta == THETA_CAP and not fit.converged and fit.se_theta is None or fit.theta > 1e5
+    y = np.arange(len(a)) % 2
+    df = frame(spark, a, b, y)
+    d = build_design(model_table(df, "y", list(FACTORS)), FACTORS)
+    fit = fit_nb(d)
+    assert fit.model == "Poisson" and fit.converged and fit.theta is None and fit.n_parameters == d.p
+    mu = np.exp(matrix(a, b) @ fit.beta)
+    assert fit.loglik == pytest.approx(np.sum(y * np.log(mu) - mu), rel=1e-10)
+    assert fit.deviance == pytest.approx(2 * np.sum(np.where(y > 0, -np.log(mu), 0) - (y - mu)), rel=1e-9)
+    probs = {r.x: r.prob for r in report.predicted_distribution(fit, 3).collect()}
+    assert probs[1] == pytest.approx(np.mean(mu * np.exp(-mu))) and sum(probs.values()) == pytest.approx(1)
+    with pytest.raises(ValueError):
+        report.drop_one_lrt(spark, fit)
     null = oneway.fit_oneway(df, "y")
-    assert not null.converged[oneway.NULL_MODEL] and null.theta[oneway.NULL_MODEL] == THETA_CAP
+    row = oneway.fit_summary(null).first()
+    assert row.model == "Poisson" and row.theta is None
+    assert row.aic == pytest.approx(2 - 2 * np.sum(y * np.log(y.mean()) - y.mean()))
+    assert sum(r.prob for r in oneway.distribution(null, 4).collect()) == pytest.approx(1)
 
 
 def test_large_theta_equals_poisson_regression(spark):
@@ -173,7 +187,7 @@ def test_large_theta_equals_poisson_regression(spark):
 
     a, b, y = draw(theta=None)
     df = frame(spark, a, b, y)
-    fit = fit_nb(build_design(model_table(df, "y", list(FACTORS)), FACTORS), theta=1e9)
+    fit = fit_poisson(build_design(model_table(df, "y", list(FACTORS)), FACTORS))
     dummies = df.selectExpr("y", "double(a = 'y') AS ay", "double(a = 'z') AS az", "double(b = 'yes') AS byes")
     data = VectorAssembler(inputCols=["ay", "az", "byes"], outputCol="features").transform(dummies)
     glm = GeneralizedLinearRegression(family="poisson", labelCol="y", tol=1e-12, maxIter=100).fit(data)
@@ -194,11 +208,73 @@ def test_level_that_is_always_zero(spark):
     assert table["a", "z"] is None
     # Without the factor its rows count again.
     lrt = {r.term: r for r in report.drop_one_lrt(spark, fit).collect()}
-    assert lrt["a"].statistic > 100 and lrt["a"].df == 1
+    assert lrt["a"].statistic > 100 and lrt["a"].df == 2
+    one_factor = oneway.likelihood_ratio(oneway.fit_oneway(df, "y", {"a": FACTORS["a"]})).first()
+    assert one_factor.df == lrt["a"].df
+    # And they are people of whom nobody is expected to have any.
+    zeros = {r.model: r.zeros for r in report.zero_count_table([fit]).collect()}
+    assert zeros["Observed"] == np.sum(y == 0) and zeros["NB"] > np.sum(a == 2)
+    probs = {r.x: r.prob for r in report.predicted_distribution(fit, 20).collect()}
+    assert probs[0] > np.mean(a == 2) and sum(probs.values()) == pytest.approx(1) and probs[None] < 0.05
     one = {r.level: r for r in oneway.coefficients(oneway.fit_oneway(df, "y", {"a": FACTORS["a"]})).collect()}
     assert one["z"].estimate is None and one["z"].se is None
 
 
+def test_collinear_factors_are_named(spark, sample):
+    a, b, y = sample
+    df = frame(spark, a, b, y).withColumn("c", F.expr("CASE WHEN b = 'no' THEN 'p' ELSE 'q' END"))
+    factors = {**FACTORS, "c": ("p", "q")}
+    d = build_design(model_table(df, "y", list(factors)), factors)
+    assert d.aliased == [("c", "q")]
+    fit = fit_nb(d)
+    assert fit.loglik == pytest.approx(fit_nb(build_design(model_table(df, "y", list(FACTORS)), FACTORS)).loglik)
+    assert {(r.term, r.level): r.estimate for r in report.coef_table(spark, [fit]).collect()}["c", "q"] is None
+    with pytest.raises(ValueError):
+        report.drop_one_lrt(spark, fit)
+
+
+def test_a_fit_that_does_not_settle_raises(design):
+    with pytest.raises(NotConverged):
+        fit_nb(design, max_iter=2)
+    assert not fit_nb(design, max_iter=2, allow_unconverged=True).converged
+    with pytest.raises(NotConverged):
+        fit_zinb(design, max_iter=1)
+
+
+def test_a_step_that_lowers_the_likelihood_is_not_taken(design, nb, monkeypatch):
+    from headcount.models import fit as module
+
+    solve = np.linalg.solve
+    monkeypatch.setattr(module.np.linalg, "solve", lambda m, v: -solve(m, v))
+    got = fit_nb(design, theta=nb.theta, start=nb.beta + 0.1, allow_unconverged=True)
+    assert not got.converged and np.array_equal(got.beta, nb.beta + 0.1)
+
+
+def test_levels_without_zeros_have_no_structural_zeros(spark):
+    a, b, y = draw(seed=5, n=3000, zero=0.3)
+    y = np.where((a == 1) & (y == 0), 1, y)
+    d = build_design(model_table(frame(spark, a, b, y), "y", list(FACTORS)), FACTORS)
+    assert d.no_zeros == [("a", "y")]
+    fit = fit_zinb(d)
+    assert fit.converged and fit.iterations < 20
+    table = {(r.part, r.term, r.level): r.estimate for r in report.coef_table(spark, [fit]).collect()}
+    assert table["zero", "a", "y"] is None and table["count", "a", "y"] is not None
+
+
+def test_each_pass_is_one_shuffle(design, nb):
+    from headcount.models.fit import OBSERVED, _with_mean
+
+    seen = []
+    rows = _with_mean(design.fitted, design.linear(nb.beta), nb.theta)
+    collect = type(rows).collect
+    type(rows).collect = lambda df: (seen.append(df._jdf.queryExecution().executedPlan().toString()), collect(df))[1]
+    try:
+        pair_sums(design, rows, pair={"observed": OBSERVED})
+    finally:
+        type(rows).collect = collect
+    assert seen[0].count("Exchange hashpartitioning") == 1 and "lgamma" not in seen[0]
+
+
 def test_all_zero_outcome_is_refused(spark):
     df = spark.createDataFrame([("x", "no", 0), ("y", "yes", 0)], "a string, b string, y int")
     with pytest.raises(ValueError):
@@ -234,9 +310,9 @@ def test_ols_one_factor_equals_the_general_fit(spark, sample):
 
 def test_ols_totals_match_in_every_level(spark, sample, design):
     fit = fit_ols(design)
-    d = design.cells.selectExpr("*", f"{design.linear(fit.beta)} AS f")
+    d = design.patterns.selectExpr("*", f"{design.linear(fit.beta)} AS f")
     for c in design.index.values():
-        for r in d.groupBy(c).agg(F.expr("sum(n * y) AS a"), F.expr("sum(n * f) AS b")).collect():
+        for r in d.groupBy(c).agg(F.expr("sum(s) AS a"), F.expr("sum(n * f) AS b")).collect():
             assert r.a == pytest.approx(r.b, rel=1e-9)
 
 
@@ -260,7 +336,7 @@ def test_zinb_is_a_stationary_maximum(spark):
     zeros = {r.model: r.zeros for r in report.zero_count_table([nb, fit]).collect()}
     assert zeros["Observed"] == np.sum(y == 0)
     assert abs(zeros["ZINB"] - zeros["Observed"]) < abs(zeros["NB"] - zeros["Observed"])
-    probs = report.predicted_distribution(fit, 400).agg(F.sum("prob")).first()[0]
+    probs = report.predicted_distribution(fit, 400, tail=False).agg(F.sum("prob")).first()[0]
     assert probs == pytest.approx(1, abs=1e-9)
 
 
@@ -289,7 +365,7 @@ def test_predicted_distribution_against_brute_force(spark, nb, sample):
 
 def test_null_distribution_sums_to_one(spark, sample):
     fit = oneway.fit_oneway(frame(spark, *sample), "y")
-    assert oneway.distribution(fit, 500).agg(F.sum("prob")).first()[0] == pytest.approx(1, abs=1e-9)
+    assert oneway.distribution(fit, 500, tail=False).agg(F.sum("prob")).first()[0] == pytest.approx(1, abs=1e-9)
 
 
 def test_planted_effect_in_the_survey(spark, sf_dir):

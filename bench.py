@@ -35,7 +35,12 @@ HEADLINE = (
     "mdl_ols_coef",
     "mdl_lrt",
     "mdl_aic",
+    "mdl_zinb_coef",
+    "mdl_irr_zinb",
     "dist_nb",
+    "dist_zinb",
+    "dist_zero",
+    "dist_compare_multi",
 )
 
 

@@ -416,7 +416,7 @@ def _ascent(hessian: np.ndarray, gradient: np.ndarray) -> np.ndarray:
 
 
 def fit_zinb(
-    design: Design, start: Fit | None = None, max_iter: int = 60, tol: float = 1e-12, allow_unconverged: bool = False
+    design: Design, start: Fit | None = None, max_iter: int = 20, tol: float = 1e-12, allow_unconverged: bool = False
 ) -> Fit:
     """Zero-inflated negative binomial, the same factors in the count and the zero part.
 

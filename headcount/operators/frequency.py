@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from headcount.functions.columns import level_ord, name
 
@@ -24,9 +23,10 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def prop_table(df: DataFrame, col: str, share: str = "share", weight: str | None = None) -> DataFrame:
-    """Share of rows per value, NULL left out."""
+    """Share of rows per value, NULL left out. The total is a scalar subquery over the counts, so the
+    values never meet in one task."""
     counts = tally(df.filter(F.col(col).isNotNull()), [col], weight)
-    return counts.withColumn(share, F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return counts.withColumn(share, F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def _percentages(counts: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:

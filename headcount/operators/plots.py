@@ -23,7 +23,7 @@ def histogram(df: DataFrame, col: str, width: int = 1, origin: int = 0, by: Sequ
     lo = f"{origin} + floor(({v} - {origin}) / {width}) * {width}"
     lo = f"date_from_unix_date(CAST({lo} AS INT))" if is_date else lo
     counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.expr(lo).alias("bin")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*by))
+    total = F.sum("n").over(Window.partitionBy(*by)) if by else counts.agg(F.sum("n")).scalar()
     return counts.withColumn("density", F.col("n") / (total * width))
 
 

@@ -53,21 +53,29 @@ def share(
     df: DataFrame,
     keys: Sequence[str],
     within: Sequence[str] = (),
-    value: str | None = None,
+    value: str | Sequence[str] | None = None,
     stats: Sequence[str] = (),
 ) -> DataFrame:
     """Rows per key and their share of the ``within`` group (of everything when empty).
 
-    With ``value``, summary statistics of it stand beside the share. The window runs over the
-    grouped rows only.
+    With ``value``, summary statistics of it stand beside the share; several outcomes come back as
+    one long table with a ``variable`` column, from one scan. The window runs over the grouped rows
+    only.
     """
+    names = [*(s for s in stats if s != "n"), "n"]
+    outcome = []
     if value is None:
         grouped = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    else:
+    elif isinstance(value, str):
         require_integer(df, [value])
-        names = [s for s in stats if s != "n"]
-        grouped = value_cells(df, keys, value).groupBy(*keys).agg(*statistics([*names, "n"]))
-    return grouped.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy(*within)))
+        grouped = value_cells(df, keys, value).groupBy(*keys).agg(*statistics(names))
+    else:
+        require_integer(df, value)
+        outcome = ["variable"]
+        grouped = question_cells(df, keys, value).groupBy(*keys, *outcome).agg(*statistics(names))
+    total = [*within, *outcome]
+    whole = F.sum("n").over(Window.partitionBy(*total)) if total else grouped.agg(F.sum("n")).scalar()
+    return grouped.withColumn("freq", F.col("n") / whole)
 
 
 def date_summary(df: DataFrame, col: str) -> DataFrame:

@@ -491,6 +491,17 @@ FROM (SELECT respondent_id, CASE WHEN f2f_0_4 >= 0 THEN f2f_0_4 END AS a, CASE W
         "SELECT s.respondent_id, s.soc_code::VARCHAR AS soc_code, t.soc_title FROM survey s LEFT JOIN soc t ON s.soc_code::VARCHAR = t.soc_code",
         _SOC,
     )
+    groups = {"SOC2010Major": 1, "SOC2010SubMajor": 2, "SOC2010Minor": 3}
+    q["join_groups"] = on_people(
+        "SELECT respondent_id, "
+        + ", ".join(f"(people.soc_code::VARCHAR)[:{k}] AS {g}, t{k}.title AS {g}_title" for g, k in groups.items())
+        + " FROM people "
+        + " ".join(
+            f"LEFT JOIN (SELECT soc_code[:{k}] AS code, MIN(soc_title) AS title FROM soc GROUP BY 1) t{k} ON t{k}.code = (people.soc_code::VARCHAR)[:{k}]"
+            for k in groups.values()
+        ),
+        _SOC,
+    )
     q["join_full"] = on_people(
         f"""SELECT x, {r("a.p")} AS "Observed", {r("b.p")} AS "Household" FROM
   (SELECT total_contacts AS x, COUNT(*) / (SELECT COUNT(*) FROM people) AS p FROM people GROUP BY 1) a
@@ -518,6 +529,30 @@ FROM (SELECT respondent_id, CASE WHEN f2f_0_4 >= 0 THEN f2f_0_4 END AS a, CASE W
     q["agg_describe_household"] = on_people(
         f"SELECT household_size2, variable, {stats('v', FULL)} FROM long GROUP BY 1, 2", long
     )
+    for k, col in (("isolation", "selfisolation_un"), ("hcw", "hcw"), ("keyworker", "keyworker")):
+        profile = ("long", stack("people", TOTALS, col))
+        q[f"agg_profile_{k}"] = on_people(f"SELECT {col}, variable, {stats('v', FULL)} FROM long GROUP BY 1, 2", profile)
+    q["agg_share_outcomes"] = on_people(
+        f"""SELECT *, {r("n / (SELECT COUNT(*) FROM people)")} AS freq
+FROM (SELECT children_in_house, variable, {stats("v", "mean sd median n")} FROM long GROUP BY 1, 2)""",
+        ("long", stack("people", TOTALS, "children_in_house")),
+    )
+    q["agg_freq_filtered"] = on_people(
+        frequency(
+            "SELECT selfisolation_un AS value FROM people WHERE selfisolation_un <> 'UNK'", "", level_place("value", "selfisolation_un")
+        )
+    )
+    sex_label = "CASE sex WHEN 1 THEN 'Male' WHEN 2 THEN 'Female' END"
+    isolation = "CASE WHEN isolation NOT IN (-9999, -11, -10, -9, -1) THEN isolation END"
+    isolation_label = "CASE isolation WHEN 1 THEN 'No' WHEN 2 THEN 'Yes, am now' WHEN 3 THEN 'Yes, but have stopped' WHEN 9 THEN 'Prefer not to say' END"
+    q["prj_recode_codebook"] = on_people(
+        f"SELECT respondent_id, sex, {isolation} AS isolation, {sex_label} AS sex_label, {isolation_label} AS isolation_label FROM people"
+    )
+    both = f"SELECT 'sex' AS question, sex::BIGINT AS value FROM people UNION ALL SELECT 'isolation', ({isolation})::BIGINT FROM people"
+    q["agg_freq_codebook"] = on_people(
+        f"""SELECT *, CASE question WHEN 'sex' THEN {sex_label.replace("sex", "value")}
+  ELSE {isolation_label.replace("isolation", "value")} END AS label FROM ({frequency(both, "question")})"""
+    )
     brief = ["age3", "sex", "occupation", "generation"]
     q["agg_brief_by"] = on_people(
         " UNION ALL ".join(

@@ -14,7 +14,7 @@ from headcount.models.fit import Fit, fit_nb, fit_ols, fit_zinb
 from headcount.models.table import build_design, keep, model_table
 from headcount.operators import derive, distributions, filters, frequency, mixing, plots, summary
 from headcount.plans.clean import CONTACT_TOTALS, CONTACTS, DATES, HOUSEHOLD, clean, derive_columns, select_cases
-from headcount.sources import soc_lookup, survey
+from headcount.sources import CODEBOOK_SCHEMA, null_missing, soc_groups, soc_lookup, survey
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -255,6 +255,16 @@ def join_full(spark, sf_dir):
     return _rounded(distributions.align_distributions(observed, size))
 
 
+@query
+def join_groups(spark, sf_dir):
+    """Titles of the major, sub-major and minor group of each respondent's code."""
+    people = _people(spark, sf_dir).select("respondent_id", "SOC2010Major", "SOC2010SubMajor", "SOC2010Minor")
+    for digits, group in enumerate(("SOC2010Major", "SOC2010SubMajor", "SOC2010Minor"), start=1):
+        titles = soc_groups(spark, sf_dir, digits).toDF(group, f"{group}_title")
+        people = summary.attach_lookup(people, titles, group, [f"{group}_title"])
+    return people
+
+
 # -- tables ----------------------------------------------------------------------
 
 
@@ -340,6 +350,59 @@ def agg_share_total(spark, sf_dir):
     )
 
 
+@query
+def agg_share_outcomes(spark, sf_dir):
+    return _rounded(summary.share(_people(spark, sf_dir), ["children_in_house"], value=TOTALS, stats=("mean", "sd", "median")))
+
+
+@query
+def agg_profile_isolation(spark, sf_dir):
+    return _rounded(summary.describe(_people(spark, sf_dir), TOTALS, by="selfisolation_un"))
+
+
+@query
+def agg_profile_hcw(spark, sf_dir):
+    return _rounded(summary.describe(_people(spark, sf_dir), TOTALS, by="hcw"))
+
+
+@query
+def agg_profile_keyworker(spark, sf_dir):
+    return _rounded(summary.describe(_people(spark, sf_dir), TOTALS, by="keyworker"))
+
+
+@query
+def agg_freq_filtered(spark, sf_dir):
+    answered = filters.keep_label(_people(spark, sf_dir), "selfisolation_un", "UNK", negate=True)
+    return _rounded(frequency.freq_table(answered, "selfisolation_un", levels=K.ISOLATION_LEVELS))
+
+
+def _codebook(spark) -> DataFrame:
+    """Labels and missing codes of two questions as a codebook table."""
+    labels = {"sex": K.SEX_LABELS, "isolation": K.ISOLATION_LABELS}
+    missing = {"sex": (), "isolation": K.ISOLATION_MISSING}
+    rows = [
+        (column, code, label, code in missing[column], place)
+        for column, known in labels.items()
+        for place, (code, label) in enumerate(known.items(), start=1)
+    ]
+    return spark.createDataFrame(rows, CODEBOOK_SCHEMA)
+
+
+@query
+def agg_freq_codebook(spark, sf_dir):
+    codebook = _codebook(spark)
+    cases = null_missing(_cases(spark, sf_dir), codebook)
+    return _rounded(frequency.freq_table(cases, ["sex", "isolation"], codebook=codebook))
+
+
+@query
+def prj_recode_codebook(spark, sf_dir):
+    codebook = _codebook(spark)
+    cases = null_missing(_cases(spark, sf_dir).select("respondent_id", "sex", "isolation"), codebook)
+    cases = derive.recode_from_codebook(cases, "sex", codebook, "sex_label")
+    return derive.recode_from_codebook(cases, "isolation", codebook, "isolation_label")
+
+
 @query
 def agg_date_summary(spark, sf_dir):
     return summary.date_summary(_people(spark, sf_dir), "date_ymd")

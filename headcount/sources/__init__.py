@@ -4,20 +4,25 @@ from headcount.sources.files import (
     CODEBOOK_SCHEMA,
     LOOKUP_SCHEMA,
     SURVEY_SCHEMA,
+    null_missing,
     read_codebook,
     read_lookup,
     read_survey,
+    read_table,
     write_result,
 )
-from headcount.sources.standin import soc_lookup, survey
+from headcount.sources.standin import soc_groups, soc_lookup, survey
 
 __all__ = [
     "CODEBOOK_SCHEMA",
     "LOOKUP_SCHEMA",
     "SURVEY_SCHEMA",
+    "null_missing",
     "read_codebook",
     "read_lookup",
     "read_survey",
+    "read_table",
+    "soc_groups",
     "soc_lookup",
     "survey",
     "write_result",

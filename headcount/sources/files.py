@@ -7,30 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from headcount.functions.columns import name, null_codes, with_exprs
+
 _CONTACTS = [f"{kind}_{age}" for kind in ("f2f", "phys", "hh") for age in ("0_4", "5_17", "18_69", "70")]
 _REASONS = [f"isolation_reason_{i}" for i in range(1, 8)]
 
+
+def _columns(kind: T.DataType, names: Sequence[str]) -> list[T.StructField]:
+    return [T.StructField(n, kind) for n in names]
+
+
 SURVEY_SCHEMA = T.StructType(
-    [T.StructField("respondent_id", T.LongType())]
-    + [
-        T.StructField(name, T.IntegerType())
-        for name in (
-            ["generation", "survey_year", "survey_month", "survey_day", "age_years", "sex"]
-            + ["ethnicity", "lives_abroad"]
-            + _CONTACTS
-            + ["had_covid", "isolation", "isolation_days"]
-            + _REASONS
-            + ["hcw", "keyworker", "soc_code"]
-        )
-    ]
-    + [T.StructField("soc_title", T.StringType())]
+    _columns(T.LongType(), ["respondent_id"])
+    + _columns(T.IntegerType(), ["generation", "survey_year", "survey_month", "survey_day", "age_years", "sex"])
+    + _columns(T.IntegerType(), ["ethnicity", "lives_abroad"])
+    + _columns(T.LongType(), _CONTACTS)
+    + _columns(T.IntegerType(), ["had_covid", "isolation", "isolation_days", *_REASONS, "hcw", "keyworker", "soc_code"])
+    + _columns(T.StringType(), ["soc_title"])
 )
 
 # Codes stay text so that prefixes of them are the broader groups.
 LOOKUP_SCHEMA = T.StructType(
     [
-        T.StructField(name, T.StringType())
-        for name in ("SOC2010Major", "SOC2010SubMajor", "SOC2010Minor", "soc_code", "soc_title")
+        T.StructField(n, T.StringType())
+        for n in ("SOC2010Major", "SOC2010SubMajor", "SOC2010Minor", "soc_code", "soc_title")
     ]
 )
 
@@ -45,13 +45,34 @@ CODEBOOK_SCHEMA = T.StructType(
 )
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str | None) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str] | None = None, fmt: str | None = None
+) -> DataFrame:
+    """A table with a given schema, from Parquet or CSV. ``columns`` narrows the scan.
+
+    A file that lacks a wanted column stops the read; it would otherwise read as no answer at all.
+    """
     fmt = fmt or ("csv" if path.rstrip("/").endswith((".csv", ".csv.gz")) else "parquet")
-    reader = spark.read.schema(schema)
+    wanted = schema if columns is None else T.StructType([schema[c] for c in columns])
     if fmt == "csv":
         # A cell that does not parse must stop the read, not turn into a missing answer.
-        reader = reader.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
-    return reader.format(fmt).load(path)
+        reader = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
+        return reader.format(fmt).load(path).select(*wanted.names)
+    there = spark.read.format(fmt).load(path).columns
+    if absent := [c for c in wanted.names if c not in there]:
+        raise ValueError(f"{path} has no column {', '.join(absent)}; it has {', '.join(there)}")
+    return spark.read.schema(wanted).format(fmt).load(path)
+
+
+def null_missing(df: DataFrame, codebook: DataFrame) -> DataFrame:
+    """NULL where a column holds a code that the codebook marks as missing, column by column.
+
+    The codebook is as long as the questionnaire has codes; its missing ones come to the driver.
+    """
+    codes: dict[str, list[int]] = {}
+    for r in codebook.filter("is_missing AND code IS NOT NULL").select("column", "code").distinct().collect():
+        codes.setdefault(r["column"], []).append(r["code"])
+    return with_exprs(df, {c: null_codes(name(c), sorted(codes[c])) for c in df.columns if c in codes})
 
 
 def read_survey(
@@ -60,22 +81,26 @@ def read_survey(
     schema: T.StructType = SURVEY_SCHEMA,
     columns: Sequence[str] | None = None,
     fmt: str | None = None,
+    codebook: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per respondent, from Parquet or CSV. ``columns`` narrows the scan."""
-    df = _read(spark, path, schema, fmt)
-    return df.select(*columns) if columns else df
+    """One row per respondent, from Parquet or CSV. ``columns`` narrows the scan.
+
+    With a codebook, each column's own missing codes become NULL.
+    """
+    df = read_table(spark, path, schema, columns, fmt)
+    return df if codebook is None else null_missing(df, codebook)
 
 
 def read_lookup(
     spark: SparkSession, path: str, schema: T.StructType = LOOKUP_SCHEMA, fmt: str | None = None
 ) -> DataFrame:
     """Occupation index: codes and titles, all text."""
-    return _read(spark, path, schema, fmt)
+    return read_table(spark, path, schema, fmt=fmt)
 
 
 def read_codebook(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Code labels, one row per (column, code)."""
-    return _read(spark, path, CODEBOOK_SCHEMA, fmt)
+    return read_table(spark, path, CODEBOOK_SCHEMA, fmt=fmt)
 
 
 def write_result(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from headcount.sources.files import read_table
 
 _SCHEMAS = {
     "orders": "o_orderkey BIGINT, o_custkey BIGINT",
@@ -20,7 +23,8 @@ _HOUSEHOLD = {"0_4": 2, "5_17": 3, "18_69": 4, "70": 2}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    schema = T.StructType.fromDDL(_SCHEMAS[name])
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", schema, fmt="parquet")
 
 
 def _line_item_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +89,12 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.selectExpr(*columns)
 
 
+def soc_groups(spark: SparkSession, sf_dir: str, digits: int) -> DataFrame:
+    """Stand-in index of the groups that the first digits of a code name: (group, title)."""
+    lookup = soc_lookup(spark, sf_dir).selectExpr(f"substring(soc_code, 1, {digits}) AS group_code", "soc_title")
+    return lookup.groupBy("group_code").agg(F.min("soc_title").alias("group_title"))
+
+
 def soc_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in occupation index with gaps, so that unmatched codes occur."""
     coded = (

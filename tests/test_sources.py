@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from headcount.operators.derive import recode_from_codebook
-from headcount.sources import SURVEY_SCHEMA, read_codebook, read_lookup, read_survey, survey, write_result
+from headcount.plans.clean import clean
+from headcount.sources import CODEBOOK_SCHEMA, SURVEY_SCHEMA, read_codebook, read_lookup, read_survey, survey, write_result
 
 
 def test_survey_from_parquet_and_csv(spark, sf_dir, tmp_path):
@@ -19,6 +20,32 @@ def test_survey_from_parquet_and_csv(spark, sf_dir, tmp_path):
     assert some.columns == ["respondent_id", "sex"]
 
 
+def test_stand_in_has_the_survey_types(spark, sf_dir, tmp_path):
+    raw = survey(spark, sf_dir)
+    assert all(raw.schema[c].dataType == SURVEY_SCHEMA[c].dataType for c in raw.columns)
+    raw.write.parquet(str(tmp_path / "plain"))
+    back = read_survey(spark, str(tmp_path / "plain"), columns=raw.columns)
+    assert clean(back).agg(F.sum("total_contacts")).first() == clean(raw).agg(F.sum("total_contacts")).first()
+
+
+def test_a_missing_column_stops_the_read(spark, sf_dir, tmp_path):
+    survey(spark, sf_dir).limit(5).withColumnRenamed("f2f_18_69", "renamed").write.parquet(str(tmp_path / "renamed"))
+    with pytest.raises(ValueError, match="f2f_18_69"):
+        read_survey(spark, str(tmp_path / "renamed"), columns=["respondent_id", "f2f_18_69"])
+
+
+def test_each_column_has_its_own_missing_codes(spark, tmp_path):
+    spark.createDataFrame([(1, 2, -9999), (2, -9, -9), (3, -9999, 1)], "respondent_id bigint, sex int, isolation int").write.parquet(
+        str(tmp_path / "s")
+    )
+    codebook = spark.createDataFrame(
+        [("sex", -9, None, True, 1), ("isolation", -9999, "UNK", True, 1), ("isolation", 1, "No", False, 2), ("sex", None, None, True, 3)],
+        CODEBOOK_SCHEMA,
+    )
+    got = read_survey(spark, str(tmp_path / "s"), columns=["respondent_id", "sex", "isolation"], codebook=codebook)
+    assert sorted(map(tuple, got.collect())) == [(1, 2, None), (2, None, -9), (3, -9999, 1)]
+
+
 def test_malformed_csv_stops_the_read(spark, tmp_path):
     path = tmp_path / "codes.csv"
     path.write_text("column,code,label,is_missing,ord\nsex,one,Male,false,1\n")

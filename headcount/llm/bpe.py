@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headcount.llm.shared import table
+from headcount.llm.shared import table, with_field
 
 #: Pre-tokens whose ids a worker remembers; beyond it the memory starts afresh.
 REMEMBERED = 200_000
@@ -141,7 +141,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     whole, in one pass without a shuffle.
     """
     kept = [c for c in df.columns if c != ids]
-    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids, "array<int>")
+    schema = with_field(df.select(*[F.col(f"`{c}`") for c in kept]), (ids, "array<int>"))
 
     def run(batches):
         codec = Codec(path, pattern)
@@ -156,7 +156,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "data") -> Da
     A null list gives empty bytes; an id outside the vocabulary raises.
     """
     kept = [c for c in df.columns if c != data]
-    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(data, "binary")
+    schema = with_field(df.select(*[F.col(f"`{c}`") for c in kept]), (data, "binary"))
 
     def run(batches):
         pieces = read_ranks(path)
@@ -184,7 +184,7 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
             batches, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, row
         )
 
-    schema = df.select(key).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = with_field(df.select(key), ("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"))
     return df.select(F.col(f"`{text}`").alias("__text"), key).mapInArrow(run, schema)
 
 

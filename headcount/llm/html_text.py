@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headcount.llm.shared import table
+from headcount.llm.shared import table, with_field
 
 # Names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -256,7 +256,7 @@ def extract(df: DataFrame, column: str = "html", out: str = "text", weights: dic
     """
     weights = learn(df, column) if weights is None else weights
     kept = [c for c in df.columns if c != out]
-    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(out, "string")
+    schema = with_field(df.select(*[F.col(f"`{c}`") for c in kept]), (out, "string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -95,7 +95,26 @@ def mix(
     Ranks come from groups of digests next to each other, whose size grows with the root of the
     source's, and running sums over the groups: no task holds a source.
     """
-    names = [c for c in docs.columns if c not in ("block", "release", "deadline", "slot", "place", "mixed")]
+    placed, horizon = _placed(docs, targets, key, source, block, frame, most, power)
+    made = {
+        "block": F.col("__block"),
+        "release": F.expr("__block * __frame DIV __parts"),
+        "deadline": F.expr("((__block + 1) * __frame + __parts - 1) DIV __parts"),
+        "slot": F.col("__slot"),
+        "place": F.col("__place"),
+        "mixed": F.col("__slot") < F.lit(horizon),
+    }
+    return placed.select(
+        *[F.col(f"`{c}`") for c in docs.columns if c not in made], *[value.alias(c) for c, value in made.items()]
+    )
+
+
+def _placed(
+    docs: DataFrame, targets: DataFrame | None = None, key: str = "doc_id", source: str = "source", block: int = BLOCK,
+    frame: int = FRAME, most: int = SOURCES, power: float = POWER,
+) -> tuple[DataFrame, int]:
+    """docs with columns named ``__...`` for the block, its slot and the place in it; the first slot that lacks a full block."""
+    names = docs.columns
     counts = cut(docs.groupBy(F.col(f"`{source}`").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n")))
     packed = cut(shares(counts, targets, frame, most, power))
     turns = cut(schedule(packed))
@@ -129,16 +148,8 @@ def mix(
     ranked = ranked.withColumn("__block", F.expr(f"__rank DIV {block}")).withColumn("__k", F.expr("__block % __parts"))
     slots = F.broadcast(turns.select(F.col("i").alias("__i"), F.col("k").cast("long").alias("__k"), F.col("at").alias("__at")))
     placed = ranked.join(slots, ["__i", "__k"])
-    slot = F.expr("(__block DIV __parts) * __frame + __at")
-    return placed.select(
-        *[F.col(f"`{c}`") for c in names],
-        F.col("__block").alias("block"),
-        F.expr("__block * __frame DIV __parts").alias("release"),
-        F.expr("((__block + 1) * __frame + __parts - 1) DIV __parts").alias("deadline"),
-        slot.alias("slot"),
-        F.expr(f"CAST(__rank % {block} AS INT)").alias("place"),
-        (slot < F.lit(horizon if horizon is not None else 0)).alias("mixed"),
-    )
+    placed = placed.withColumn("__slot", F.expr("(__block DIV __parts) * __frame + __at"))
+    return placed.withColumn("__place", F.expr(f"CAST(__rank % {block} AS INT)")), horizon or 0
 
 
 def _rest(docs: DataFrame, names: list[str], key: str) -> list:
@@ -149,11 +160,10 @@ def _rest(docs: DataFrame, names: list[str], key: str) -> list:
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
     """docs in the order of their slots and places: ranges of it go to partitions, each sorted."""
-    mixed = mix(docs, **options)
-    names = docs.columns
     order = ["__slot", "__place"]
-    rows = mixed.withColumnsRenamed({"slot": "__slot", "place": "__place"})
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in names])
+    placed, _ = _placed(docs, **options)
+    rows = placed.select(*[F.col(f"`{c}`") for c in docs.columns], *order)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headcount.llm.shared import by_size, cut, table
+from headcount.llm.shared import by_size, cut, table, with_field
 
 #: Labelled documents that the classifier is fitted on, at most: those whose ids hash smallest.
 LABELLED = 20_000
@@ -121,7 +121,7 @@ def scored(docs: DataFrame, beta: np.ndarray, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(odds)], names=[*names, "__odds"])
 
     return docs.select(F.col(f"`{text}`").alias("__read"), *[F.col(f"`{c}`") for c in names]).mapInArrow(
-        run, docs.schema.add("__odds", "double")
+        run, with_field(docs, ("__odds", "double"))
     )
 
 

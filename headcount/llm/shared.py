@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a few dozen bytes each that may be broadcast; beyond it the join is a shuffle.
 BROADCAST_ROWS = 50_000
@@ -17,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_field(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
+    """The schema of df with further fields (name, type in DDL) behind."""
+    more = [T.StructField(n, T.StructType.fromDDL(f"x {kind}")["x"].dataType) for n, kind in fields]
+    return T.StructType([*df.schema.fields, *more])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, read from the shared checkpoint folder from now on.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headcount.llm.shared import table
+from headcount.llm.shared import table, with_field
 
 #: Rows of the sample that the borders of the partitions come from, for each partition.
 SAMPLE = 32
@@ -138,7 +138,7 @@ def filter_urls(df: DataFrame, rules: DataFrame, key: str = "page_id", url: str
     opened = spans.select(
         F.explode(F.sequence("__first", "__last")).alias("__part"), "__key", F.lit(0).alias("__order"), "__path", "__rule", "__verdict", *empty
     )
-    schema = urls.select(*[F.col(f"`{c}`") for c in [*names, "host", "path"]]).schema.add("rule", "string").add("verdict", "string")
+    schema = with_field(urls.select(*[F.col(f"`{c}`") for c in [*names, "host", "path"]]), ("rule", "string"), ("verdict", "string"))
     return (
         urls.unionByName(opened)
         .repartitionById(wide, F.col("__part"))

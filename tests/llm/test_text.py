@@ -198,12 +198,12 @@ def brute_spans(text):
             digits = [int(c) for c in re.findall("[0-9]", m[0])]
             doubled = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits[::-1]))
             fits = {
-                "email": True,
-                "ip": all(int(x) <= 255 for x in m[0].split(".")),
-                "card": 16 <= len(digits) <= 19 and doubled % 10 == 0,
-                "phone": 8 <= len(digits) <= 15,
+                "email": lambda: True,
+                "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")),  # noqa: B023
+                "card": lambda: 16 <= len(digits) <= 19 and doubled % 10 == 0,  # noqa: B023
+                "phone": lambda: 8 <= len(digits) <= 15,  # noqa: B023
             }
-            if fits[kind]:
+            if fits[kind]():
                 out.append((kind, *m.span()))
     return out
 

@@ -17,28 +17,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headcount.llm.components import components
-from headcount.llm.shared import by_size, cut, runs, stars, table, tiles
+from headcount.llm.shared import Forest, by_size, cut, stars, table, tiles, whole_runs
 from headcount.llm.vectors import matrix, vectors
 
 #: Of 20,000 pairs at a cosine of 0.9 in 64 dimensions, these find all.
 TABLES, PARTS, PROBES = 8, 3, 8
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 256
+#: Members of a bucket that one task compares with as many others; runs that are compared many at once.
+BLOCK, SMALL = 256, 32
+#: Vectors whose keys a task remembers.
+REMEMBERED = 100_000
 _SEED = 71
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """The fast Walsh-Hadamard transform of the last axis, whose length is a power of two."""
+    """The fast Walsh-Hadamard transform of the last axis, in place; its length is a power of two.
+
+    Sums are taken element by element in one order, so a vector has the same transform wherever it
+    stands.
+    """
     n, h = x.shape[-1], 1
     while h < n:
-        y = x.reshape(*x.shape[:-1], n // (2 * h), 2, h)
-        x = np.stack([y[..., 0, :] + y[..., 1, :], y[..., 0, :] - y[..., 1, :]], axis=-2).reshape(*x.shape)
+        y = x.reshape(-1, n // (2 * h), 2, h)
+        a, b = y[:, :, 0], y[:, :, 1]
+        difference = a - b
+        a += b
+        b[...] = difference
         h *= 2
     return x
 
 
 def _signs(size: int) -> np.ndarray:
-    return np.random.default_rng([_SEED, size]).choice([-1.0, 1.0], (TABLES, PARTS, 3, size))
+    """Signs of the rotations: (round, table and part, component)."""
+    return np.random.default_rng([_SEED, size]).choice([-1.0, 1.0], (3, TABLES * PARTS, size))
+
+
+_CHOICES = np.stack(np.meshgrid(*[np.arange(3)] * PARTS, indexing="ij"), -1).reshape(-1, PARTS)
 
 
 def probes(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -47,30 +60,37 @@ def probes(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     A probe replaces the largest coordinate of some parts by the second or third; its cost is the
     sum of the squared gaps to the largest ones, and the cheapest are taken.
     """
+    out = np.empty((len(x), TABLES, PROBES), np.int64)
+    for at in range(0, len(x), 64):
+        out[at : at + 64] = _probes(x[at : at + 64], signs)
+    return out
+
+
+def _probes(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     n, size = x.shape
     width = signs.shape[-1]
-    padded = np.zeros((n, width))
-    padded[:, :size] = x
-    out = np.empty((n, TABLES, PROBES), np.int64)
-    choices = np.stack(np.meshgrid(*[np.arange(3)] * PARTS, indexing="ij"), -1).reshape(-1, PARTS)
-    for t in range(TABLES):
-        best = np.empty((n, PARTS, 3), np.int64)
-        cost = np.empty((n, PARTS, 3))
-        for p in range(PARTS):
-            y = padded
-            for r in range(3):
-                y = hadamard(y * signs[t, p, r])
-            top = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :3]
-            value = np.take_along_axis(y, top, axis=1)
-            best[:, p] = 2 * top + (value < 0)
-            cost[:, p] = (np.abs(value[:, :1]) - np.abs(value)) ** 2
-        total = sum(cost[:, p, choices[:, p]] for p in range(PARTS))
-        order = np.argsort(total, axis=1, kind="stable")[:, :PROBES]
-        key = np.zeros((n, PROBES), np.int64)
-        for p in range(PARTS):
-            key = key * (2 * width) + np.take_along_axis(best[:, p], choices[order, p], axis=1)
-        out[:, t] = key * TABLES + t
-    return out
+    y = np.zeros((n, TABLES * PARTS, width))
+    y[:, :, :size] = x[:, None, :]
+    for r in range(3):
+        y *= signs[r]
+        hadamard(y)
+    rest = np.abs(y)
+    best = np.empty((3, n, TABLES * PARTS), np.int64)
+    gap = np.empty((3, n, TABLES * PARTS))
+    for k in range(3):
+        top = rest.argmax(axis=2)
+        value = np.take_along_axis(rest, top[:, :, None], axis=2)[:, :, 0]
+        best[k] = 2 * top + (np.take_along_axis(y, top[:, :, None], axis=2)[:, :, 0] < 0)
+        gap[k] = value if k == 0 else (gap[0] - value) ** 2
+        np.put_along_axis(rest, top[:, :, None], -1.0, axis=2)
+    gap[0] = 0
+    best, gap = best.reshape(3, n, TABLES, PARTS), gap.reshape(3, n, TABLES, PARTS)
+    total = sum(gap[_CHOICES[:, p], :, :, p] for p in range(PARTS))  # (choice, row, table)
+    order = np.argsort(total, axis=0, kind="stable")[:PROBES]
+    key = np.zeros(order.shape, np.int64)
+    for p in range(PARTS):
+        key = key * (2 * width) + np.take_along_axis(best[:, :, :, p], _CHOICES[order, p], axis=0)
+    return np.moveaxis(key * TABLES + np.arange(TABLES), 0, 2)
 
 
 def _width(size: int) -> int:
@@ -112,61 +132,102 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _earlier(keys_i: np.ndarray, keys_j: np.ndarray, key: int) -> np.ndarray:
-    """Whether rows of i and j share a bucket that comes before this one, by table and key."""
-
-    def before(k):
-        return (k % TABLES < key % TABLES) | (k % TABLES == key % TABLES) & (k < key)
-
-    ki, kj = keys_i[before(keys_i)], keys_j[before(keys_j)]
-    common = np.intersect1d(ki, kj)
-    if not len(common):
-        return np.zeros((len(keys_i), len(keys_j)), bool)
-
-    def incidence(keys):
-        at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
-        hit = common[at] == keys
-        out = np.zeros((len(keys), len(common)), np.float32)
-        out[np.nonzero(hit)[0], at[hit]] = 1
-        return out
+def _first(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether ``key`` is the first bucket, by table and key, that paired rows of keys share.
 
-    return incidence(keys_i) @ incidence(keys_j).T > 0
+    ``a`` and ``b`` have shape (pairs, TABLES, PROBES).
+    """
+    out = np.ones(len(a), bool)
+    own = key % TABLES
+    for t in range(TABLES):
+        shared = a[:, t, :, None] == b[:, t, None, :]
+        before = np.where(own == t, key, np.where(own > t, np.iinfo(np.int64).max, -1))
+        out &= ~(shared & (a[:, t] < before[:, None])[:, :, None]).any(axis=(1, 2))
+    return out
 
 
 def _tiles(least: float):
-    """Per pair of blocks of a bucket: each member's links, and a forest that spans them.
+    """Per pair of blocks of a bucket: each member's links, and pairs that join what links connect.
 
     A pair counts only in the first bucket that it shares, so that sums over buckets are exact.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in runs(batches, ["size", "key", "left", "right"]):
-            ids, own, copies = (part.column(c).to_numpy() for c in ("id", "block", "copies"))
-            x = _unit(matrix(part.column("vec")))
-            l, r, key = (part.column(c)[0].as_py() for c in ("left", "right", "key"))
-            i, j = np.flatnonzero(own == l), np.flatnonzero(own == r)
-            if not len(i) or not len(j):
-                continue
-            linked = x[i] @ x[j].T >= least
-            if l == r:
-                linked = np.triu(linked, 1)
-            if not linked.any():
-                continue
-            keys = probes(x, _signs(_width(x.shape[1]))).reshape(len(x), -1)
-            linked &= ~_earlier(keys[i], keys[j], key)
-            if not linked.any():
-                continue
-            to_i, to_j = linked @ copies[j], linked.T @ copies[i]
-            a, b = stars(linked, ids[i], ids[j])
-            hit_i, hit_j = to_i > 0, to_j > 0
-            who = np.concatenate([ids[i][hit_i], ids[j][hit_j], a])
-            n = np.concatenate([to_i[hit_i], to_j[hit_j], np.zeros(len(a), np.int64)])
-            other = pa.concat_arrays([pa.nulls(len(who) - len(a), pa.int64()), pa.array(b)])
-            yield pa.RecordBatch.from_arrays([pa.array(who), other, pa.array(n)], names=["id", "other", "n"])
+        forest = Forest()
+        known: dict[int, np.ndarray] = {}
+        for part, starts in whole_runs(batches, ["size", "key", "left", "right"]):
+            sizes = part.column("size").to_numpy()[starts[:-1]]
+            for size in np.unique(sizes):  # sorted by it, so its runs stand together
+                runs_of = np.flatnonzero(sizes == size)
+                a, b = starts[runs_of[0]], starts[runs_of[-1] + 1]
+                own = starts[runs_of[0] : runs_of[-1] + 2] - a
+                yield from _linked(part.slice(a, b - a), own, least, forest, known)
 
     return run
 
 
+def _linked(part: pa.Table, starts: np.ndarray, least: float, forest: Forest, known: dict[int, np.ndarray]):
+    ids, copies, key, block, left, right = (
+        part.column(c).to_numpy() for c in ("id", "copies", "key", "block", "left", "right")
+    )
+    x = _unit(matrix(part.column("vec")))
+    size = np.diff(starts)
+    run = np.repeat(np.arange(len(size)), size)
+    small = np.repeat(size <= SMALL, size)
+    pairs = []
+    for step in range(1, min(SMALL, size.max())):
+        # Two members of one block meet in that block's own tile only.
+        here = (left[:-step] == right[:-step]) | (block[:-step] != block[step:])
+        i = np.flatnonzero((run[:-step] == run[step:]) & small[:-step] & here)
+        i = i[np.einsum("ij,ij->i", x[i], x[i + step]) >= least]
+        pairs.append((i, i + step, False))
+    for r in np.flatnonzero(size > SMALL):
+        own = np.arange(starts[r], starts[r + 1])
+        i, j = (own[block[own] == side[own]] for side in (left, right))
+        close = x[i] @ x[j].T >= least
+        p, q = np.nonzero(np.triu(close, 1) if left[own[0]] == right[own[0]] else close)
+        pairs.append((i[p], j[q], True))
+    signs = _signs(_width(x.shape[1]))
+    n = np.zeros(len(ids), np.int64)
+    edges = []
+    for i, j, large in pairs:
+        for at in range(0, len(i), 16384):
+            p, q = i[at : at + 16384], j[at : at + 16384]
+            first = _first(_keys_of(p, ids, x, signs, known), _keys_of(q, ids, x, signs, known), key[p])
+            p, q = p[first], q[first]
+            np.add.at(n, p, copies[q])
+            np.add.at(n, q, copies[p])
+            if large and len(p):
+                # One pair for each row is enough to join what a large run's links do.
+                rows, place = np.unique(np.concatenate([p, q]), return_inverse=True)
+                linked = np.zeros((len(rows), len(rows)), bool)
+                linked[place[: len(p)], place[len(p) :]] = True
+                edges.append(stars(linked, ids[rows], ids[rows]))
+            else:
+                edges.append((ids[p], ids[q]))
+    hit = np.flatnonzero(n)
+    if not len(hit):
+        return
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(ids[hit]), pa.nulls(len(hit), pa.int64()), pa.array(n[hit])], names=["id", "other", "n"]
+    )
+    joining = forest.joining(*(np.concatenate([e[k] for e in edges]) for k in (0, 1)))
+    zeros = pa.array(np.zeros(joining.num_rows, np.int64))
+    yield pa.RecordBatch.from_arrays([*joining.columns, zeros], names=["id", "other", "n"])
+
+
+def _keys_of(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, signs: np.ndarray, known: dict[int, np.ndarray]) -> np.ndarray:
+    """The keys of some rows; a task remembers those of the vectors it has met."""
+    if len(known) > REMEMBERED:
+        known.clear()
+    own, place = np.unique(rows, return_inverse=True)
+    new = [r for r in own.tolist() if ids[r] not in known]
+    if new:
+        for r, keys in zip(new, probes(x[new], signs)):
+            known[ids[r]] = keys
+    return np.stack([known[i] for i in ids[own].tolist()])[place] if len(own) else np.zeros((0, TABLES, PROBES), np.int64)
+
+
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9) -> DataFrame:
     """``id``, ``n_links``, ``component_id``, ``kept`` per distinct id.
 
@@ -206,3 +267,19 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
 def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+ORACLE_OP1 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.e, b.e) >= 0.9 * a.size * b.size
+),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+),
+found AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM found
+"""

@@ -18,8 +18,10 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_embeddings": embeddings.ORACLE_OP1,
     "op3_ann": ann.ORACLE_OP3,
     "op7_urls": url_filter.ORACLE_OP7,
+    "op8_minhash": minhash.ORACLE_OP8,
     "op9_mixing": mixing.ORACLE_OP9,
     "op10_warc": warc.ORACLE_OP10,
 }

@@ -130,3 +130,28 @@ def stars(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
             break
     hung = label < ids
     return ids[hung], label[hung]
+
+
+class Forest:
+    """Tells which links join two of a task's trees; the others add nothing."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    def joining(self, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        kept = []
+        if len(self.parent) > 1_000_000:
+            self.parent.clear()
+        for x, y in np.unique(np.stack([a, b]), axis=1).T.tolist():
+            p, q = self.root(x), self.root(y)
+            if p != q:
+                self.parent[max(p, q)] = min(p, q)
+                kept.append((x, y))
+        a, b = zip(*kept) if kept else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])

@@ -68,9 +68,10 @@ def clusters(seed, dims=24):
     return out + [out[0]] * 7 + [[2 * c for c in out[20]]] + r.standard_normal((60, dims)).tolist()
 
 
-@pytest.mark.parametrize("block", [256, 4])
+@pytest.mark.parametrize("block", [256, 4, 40])
 def test_links_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "SMALL", min(block, 32))
     vecs = clusters(block) + ODD + [[1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [1.0]]
     vecs = [v if v is None else [None if c is None else float(np.float32(c)) for c in v] for v in vecs]
     got = {r["id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(table(spark, vecs)).collect()}

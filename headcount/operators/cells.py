@@ -8,13 +8,14 @@ group that holds a third of all rows is then no larger than any other.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from headcount.functions.columns import name
+from headcount.models.table import keep
 
 N = "n"
 VALUE = "value"
@@ -57,23 +58,84 @@ _VARIANCE = (
     f"CASE WHEN {_KNOWN} > 1 THEN CAST({_KNOWN} * CAST({_S2} AS DECIMAL(38, 0)) - {_S1} * {_S1} AS DOUBLE)"
     f" / (CAST({_KNOWN} AS DOUBLE) * CAST({_KNOWN} - 1 AS DOUBLE)) END"
 )
-_QUARTILES = "percentile(value, array(0.25D, 0.5D, 0.75D), n)"
 
 STATISTICS = {
     "mean": f"try_divide(CAST({_S1} AS DOUBLE), CAST({_KNOWN} AS DOUBLE))",
-    "median": f"{_QUARTILES}[1]",
     "sd": f"sqrt({_VARIANCE})",
     "variance": _VARIANCE,
     "min": "min(value)",
     "max": "max(value)",
-    "q25": f"{_QUARTILES}[0]",
-    "q75": f"{_QUARTILES}[2]",
-    "iqr": f"{_QUARTILES}[2] - {_QUARTILES}[0]",
     "total": "sum(value * n)",
     "n": "sum(n)",
 }
+QUANTILES = {"q25": "_q0", "median": "_q1", "q75": "_q2", "iqr": "_q2 - _q0"}
+
+# Values that share all but their last 16 bits are one range: at most 65,536 cells in order, and a
+# row for each range that occurs.
+_RANGE = "shiftright(CAST({} AS BIGINT), 16)"
+_POINTS = (0.25, 0.5, 0.75)
 
 
 def statistics(names: Iterable[str]) -> list[Column]:
     """Aggregates over cells, named after the statistic."""
     return [F.expr(f"{STATISTICS[s]} AS {s}") for s in names]
+
+
+def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be NULL, which is then a key like any other. The keys stay once."""
+    named = right.selectExpr(*[f"{name(k)} AS {name(f'_{i}_')}" for i, k in enumerate(keys)], *_rest(right, keys))
+    match = [F.col(name(k)).eqNullSafe(F.col(f"_{i}_")) for i, k in enumerate(keys)]
+    return left.join(named, match, how).drop(*[f"_{i}_" for i in range(len(keys))])
+
+
+def _rest(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    return [name(c) for c in df.columns if c not in keys]
+
+
+def _ranges(cells: DataFrame, keys: Sequence[str], of: str, weight: str) -> DataFrame:
+    """(keys, _range, _n, _before, _total): the rows in each range of values and in those below it."""
+    part = cells.groupBy(*keys, F.expr(of).alias("_range")).agg(F.expr(f"sum({weight}) AS _n"))
+    group = f"PARTITION BY {', '.join(name(k) for k in keys)}"
+    below = f"{group} ORDER BY _range ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return part.selectExpr(
+        "*", f"coalesce(sum(_n) OVER ({below}), 0) AS _before", f"sum(_n) OVER ({group}) AS _total"
+    )
+
+
+def quartiles(cells: DataFrame, keys: Sequence[str], drawn: Callable[[str], str] = "CAST({} AS DOUBLE)".format) -> DataFrame:
+    """(keys, _q0, _q1, _q2): exact quartiles of kept cells, interpolated between order statistics.
+
+    ``drawn`` is the scale on which they are interpolated; it has to keep the order. The values of a
+    key are never in one task: ranges of them are counted, and only the ranges that hold an order
+    statistic are put in order, each by itself. ``keys`` are at least one.
+    """
+    known = cells.filter("value IS NOT NULL").selectExpr(*[name(k) for k in keys], VALUE, N, f"{_RANGE.format(VALUE)} AS _range")
+    at = [f"{f}((_total - 1) * {p}D)" for p in _POINTS for f in ("floor", "ceil")]
+    hit = _ranges(known, keys, "_range", N).selectExpr("*", f"array({', '.join(at)}) AS _at")
+    hit = hit.filter("exists(_at, t -> t >= _before AND t < _before + _n)").drop("_n")
+    group = f"PARTITION BY {', '.join(name(k) for k in keys)}, _range ORDER BY {VALUE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    rows = same(known, hit, [*keys, "_range"]).selectExpr("*", f"_before + sum({N}) OVER ({group}) AS _to")
+    picked = [
+        f"max(CASE WHEN _at[{i}] < _to AND _at[{i}] >= _to - {N} THEN {drawn(VALUE)} END) AS _o{i}" for i in range(len(at))
+    ]
+    stats = rows.groupBy(*keys).agg(F.first("_total").alias("_total"), *[F.expr(x) for x in picked])
+    between = [
+        f"CASE WHEN _o{2 * i} = _o{2 * i + 1} THEN _o{2 * i} ELSE (ceil((_total - 1) * {p}D) - (_total - 1) * {p}D) * _o{2 * i}"
+        f" + ((_total - 1) * {p}D - floor((_total - 1) * {p}D)) * _o{2 * i + 1} END AS _q{i}"
+        for i, p in enumerate(_POINTS)
+    ]
+    return stats.selectExpr(*[name(k) for k in keys], *between)
+
+
+def summarise(cells: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """(keys, statistics) of a table of cells.
+
+    With quantiles the cells are kept first, so that the raw rows are read once for both parts.
+    """
+    if not set(names) & set(QUANTILES):
+        return cells.groupBy(*keys).agg(*statistics(names))
+    own = [*keys, "_one"]
+    cells = keep(cells.selectExpr("*", "0 AS _one"))
+    plain = cells.groupBy(*own).agg(F.sum(N).alias("_rows"), *statistics([s for s in names if s not in QUANTILES]))
+    out = same(plain, quartiles(cells, own), own, "left")
+    return out.selectExpr(*[name(k) for k in keys], *[f"{QUANTILES.get(s, s)} AS {s}" for s in names])

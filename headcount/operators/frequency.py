@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from headcount.functions.columns import level_ord, name
+from headcount.models.table import keep
+from headcount.operators.cells import same
 
 
 def tally(df: DataFrame, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -30,19 +32,35 @@ def prop_table(df: DataFrame, col: str, share: str = "share", weight: str | None
 
 
 def _percentages(counts: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
-    """Percent columns over an already counted table; only counted rows go through the windows."""
+    """Percent columns over an already counted table.
+
+    Ranges of values are counted first, and each is put in order by itself, so a question with very
+    many values is not sorted in one task.
+    """
+    kind = counts.schema[order].dataType
+    if isinstance(kind, T.IntegralType):
+        of = f"shiftright(CAST({order} AS BIGINT), 16)"
+    else:
+        of = f"substring({order}, 1, 3)" if isinstance(kind, T.StringType) else "CAST(NULL AS INT)"
+    valid = f"CASE WHEN {value} IS NOT NULL THEN n END"
+    counts = keep(counts.selectExpr("*", f"{of} AS _range", f"{valid} AS _valid"))
     group = f"PARTITION BY {', '.join(name(k) for k in keys)}"
+    totals = counts.groupBy(*keys, "_range").agg(F.sum("n").alias("_n"), F.sum("_valid").alias("_v"))
+    below = f"{group} ORDER BY _range ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    totals = totals.selectExpr(
+        *[name(k) for k in keys], "_range", f"coalesce(sum(_v) OVER ({below}), 0) AS _before",
+        f"sum(_n) OVER ({group}) AS _all", f"sum(_v) OVER ({group}) AS _known",
+    )
     upto = (
-        f"{group} ORDER BY {order} ASC NULLS LAST, {value} ASC NULLS LAST "
+        f"{group}, _range ORDER BY {order} ASC NULLS LAST, {value} ASC NULLS LAST "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     )
-    valid = f"CASE WHEN {value} IS NOT NULL THEN n END"
-    return counts.selectExpr(
-        "*",
-        f"100 * n / sum(n) OVER ({group}) AS raw_pct",
-        f"100 * ({valid}) / sum({valid}) OVER ({group}) AS valid_pct",
-        f"CASE WHEN {value} IS NOT NULL THEN "
-        f"100 * sum({valid}) OVER ({upto}) / sum({valid}) OVER ({group}) END AS cum_pct",
+    kept = [name(c) for c in counts.columns if c not in ("_range", "_valid")]
+    return same(counts, totals, [*keys, "_range"]).selectExpr(
+        *kept,
+        "100 * n / _all AS raw_pct",
+        "100 * _valid / _known AS valid_pct",
+        f"CASE WHEN {value} IS NOT NULL THEN 100 * (_before + sum(_valid) OVER ({upto})) / _known END AS cum_pct",
     )
 
 

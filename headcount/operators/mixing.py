@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 
 from headcount.functions.columns import name
-from headcount.operators.cells import require_integer, statistics, value_cells
+from headcount.operators.cells import require_integer, summarise, value_cells
 
 WITH_QUARTILES = ("mean", "median", "sd", "total", "q25", "q75", "n")
 WITH_IQR = ("mean", "median", "sd", "iqr", "total", "n")
@@ -30,4 +30,4 @@ def mixing_matrix(
         .unpivot(["age_respondent"], [name(label) for label in contacts.values()], "age_contact", "contacts")
         .filter("contacts >= 0")
     )
-    return value_cells(long, keys, "contacts").groupBy(*keys).agg(*statistics(stats))
+    return summarise(value_cells(long, keys, "contacts"), keys, stats)

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from headcount.functions.columns import log_scale, name
-from headcount.operators.cells import N, VALUE, require_integer, value_cells
+from headcount.models.table import keep
+from headcount.operators.cells import N, VALUE, quartiles, require_integer, same, value_cells
 
 
 def histogram(df: DataFrame, col: str, width: int = 1, origin: int = 0, by: Sequence[str] = ()) -> DataFrame:
@@ -36,24 +37,26 @@ def box_stats(
     With ``log`` the values go to log10 first, as a log axis does: zeros drop out, and ``mean`` is
     the mean of the logs. ``plus_one`` shifts by one before the log.
 
-    Quartiles are window aggregates over the counted cells, so the raw table is read once.
+    The cells are kept, so the raw table is read once; quartiles come from ranges of values.
     """
     require_integer(df, [value])
+
+    def drawn(v: str) -> str:
+        return log_scale(v, plus_one) if log else f"CAST({v} + {int(plus_one)} AS DOUBLE)"
+
     cells = value_cells(df.filter(F.col(value).isNotNull()), by, value)
-    drawn = log_scale(VALUE, plus_one) if log else f"CAST({VALUE} + {int(plus_one)} AS DOUBLE)"
-    keys = [name(k) for k in by]
-    group = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    cells = keep(cells.filter(f"{drawn(VALUE)} IS NOT NULL").selectExpr("*", "0 AS _one"))
+    keys = [*by, "_one"]
     fenced = (
-        cells.selectExpr(*keys, f"{drawn} AS v", N)
-        .filter("v IS NOT NULL")
-        .selectExpr("*", f"percentile(v, array(0.25D, 0.5D, 0.75D), n) OVER ({group}) AS q")
-        .selectExpr("*", "v BETWEEN q[0] - 1.5D * (q[2] - q[0]) AND q[2] + 1.5D * (q[2] - q[0]) AS inside")
+        same(cells, quartiles(cells, keys, drawn), keys)
+        .selectExpr(*[name(k) for k in by], f"{drawn(VALUE)} AS v", N, "_q0", "_q1", "_q2")
+        .selectExpr("*", "v BETWEEN _q0 - 1.5D * (_q2 - _q0) AND _q2 + 1.5D * (_q2 - _q0) AS inside")
     )
     stats = {
         "whisker_low": "min(CASE WHEN inside THEN v END)",
-        "q25": "first(q)[0]",
-        "median": "first(q)[1]",
-        "q75": "first(q)[2]",
+        "q25": "first(_q0)",
+        "median": "first(_q1)",
+        "q75": "first(_q2)",
         "whisker_high": "max(CASE WHEN inside THEN v END)",
         "n_outliers": "coalesce(sum(CASE WHEN NOT inside THEN n END), 0)",
         "mean": "sum(v * n) / sum(n)",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from headcount.functions.columns import name
-from headcount.operators.cells import N, VALUE, question_cells, require_integer, statistics, value_cells
+from headcount.operators.cells import N, VALUE, question_cells, require_integer, statistics, summarise, value_cells
 
 FULL = ("mean", "median", "sd", "min", "max", "q25", "q75", "n")
 BRIEF = ("mean", "sd", "n")
@@ -28,9 +28,9 @@ def describe(
     keys = [by] if isinstance(by, str) else list(by)
     if isinstance(cols, str):
         require_integer(df, [cols])
-        return value_cells(df, keys, cols).groupBy(*keys).agg(*statistics(stats))
+        return summarise(value_cells(df, keys, cols), keys, stats)
     require_integer(df, cols)
-    return question_cells(df, keys, cols).groupBy(*keys, "variable").agg(*statistics(stats))
+    return summarise(question_cells(df, keys, cols), [*keys, "variable"], stats)
 
 
 def describe_by_each(
@@ -46,7 +46,7 @@ def describe_by_each(
     levels = [f"CAST({name(k)} AS STRING) AS {name(k)}" for k in keys]
     long = cells.selectExpr("variable", VALUE, N, *levels).unpivot(["variable", VALUE, N], list(keys), "key", "level")
     again = long.groupBy("key", "level", "variable", VALUE).agg(F.sum(N).alias(N))
-    return again.groupBy("key", "level", "variable").agg(*statistics(stats))
+    return summarise(again, ["key", "level", "variable"], stats)
 
 
 def share(
@@ -68,11 +68,11 @@ def share(
         grouped = df.groupBy(*keys).agg(F.count("*").alias("n"))
     elif isinstance(value, str):
         require_integer(df, [value])
-        grouped = value_cells(df, keys, value).groupBy(*keys).agg(*statistics(names))
+        grouped = summarise(value_cells(df, keys, value), keys, names)
     else:
         require_integer(df, value)
         outcome = ["variable"]
-        grouped = question_cells(df, keys, value).groupBy(*keys, *outcome).agg(*statistics(names))
+        grouped = summarise(question_cells(df, keys, value), [*keys, *outcome], names)
     total = [*within, *outcome]
     whole = F.sum("n").over(Window.partitionBy(*total)) if total else grouped.agg(F.sum("n")).scalar()
     return grouped.withColumn("freq", F.col("n") / whole)
@@ -83,8 +83,7 @@ def date_summary(df: DataFrame, col: str) -> DataFrame:
     points = ("min", "q25", "median", "mean", "q75", "max")
     days = df.selectExpr(f"CAST(unix_date({name(col)}) AS BIGINT) AS day")
     return (
-        value_cells(days, [], "day")
-        .agg(*statistics([*points, "n"]))
+        summarise(value_cells(days, [], "day"), [], [*points, "n"])
         .selectExpr(*[f"date_from_unix_date(CAST(floor({s}) AS INT)) AS {s}_date" for s in points], "n")
     )
 

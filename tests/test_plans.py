@@ -6,7 +6,7 @@ import pytest
 
 from headcount.models.table import keep, model_table
 from headcount.functions import codes as K
-from headcount.operators import mixing, plots, summary
+from headcount.operators import cells, frequency, mixing, plots, summary
 from headcount.plans.clean import clean, select_cases
 from headcount.plans.registry import queries
 from headcount.sources import survey
@@ -50,18 +50,41 @@ def test_scan_reads_only_needed_columns_and_filters_early(spark, sf_dir):
 
 def test_a_summary_adds_two_shuffles_of_counted_rows(people):
     base = shuffles(people.select("total_contacts"))
-    assert shuffles(summary.describe(people, "total_contacts", by="age3")) == base + 2
-    assert shuffles(summary.describe(people, ["total_contacts", "total_physical"], by="age3")) == base + 2
-
-
-def test_mixing_matrix_is_one_pass(people):
-    text = plan(mixing.mixing_matrix(people, "age3", K.FACE_TO_FACE)).split("== Physical Plan ==")[1]
-    assert text.count("lineitem.parquet") == 1
-
-
-def test_boxes_read_the_table_once(people):
-    text = plan(plots.box_stats(people, "total_contacts", ["age3"])).split("== Physical Plan ==")[1]
-    assert text.count("lineitem.parquet") == 1
+    for cols in ("total_contacts", ["total_contacts", "total_physical"]):
+        assert shuffles(summary.describe(people, cols, by="age3", stats=summary.BRIEF)) == base + 2
+
+
+@pytest.mark.parametrize(
+    "module, query",
+    [
+        (cells, lambda people: summary.describe(people, "total_contacts", by="age3")),
+        (cells, lambda people: mixing.mixing_matrix(people, "age3", K.FACE_TO_FACE)),
+        (plots, lambda people: plots.box_stats(people, "total_contacts", ["age3"])),
+        (frequency, lambda people: frequency.freq_table(people, "total_contacts")),
+    ],
+)
+def test_quantiles_and_percentages_read_the_table_once(people, monkeypatch, module, query):
+    kept = []
+    monkeypatch.setattr(module, "keep", lambda df: (kept.append(plan(df).split("== Physical Plan ==")[1]), keep(df))[1])
+    text = plan(query(people))
+    assert "lineitem.parquet" not in text and [t.count("lineitem.parquet") for t in kept] == [1]
+
+
+def test_a_million_values_are_not_put_in_one_task(spark):
+    df = spark.range(1_000_000).selectExpr("id * 7 AS v", "CAST(NULL AS STRING) AS nothing")
+    whole = summary.describe(df, "v")
+    boxes = plots.box_stats(df, "v", [])
+    table = frequency.freq_table(df, "v")
+    shares = frequency.prop_table(df, "v")
+    bins = plots.histogram(df, "v")
+    for wide in (whole, boxes, table, shares, bins):
+        assert not re.search(r"Window[^\n]*\n[^\n]*Sort[^\n]*\n[^\n]*Exchange SinglePartition", plan(wide))
+    assert whole.select("q25", "median", "q75").first() == (1749998.25, 3499996.5, 5249994.75)
+    r = boxes.first()
+    assert (r.q25, r.median, r.q75, r.n_outliers, r.n) == (1749998.25, 3499996.5, 5249994.75, 0, 1_000_000)
+    some = {r.value: r.cum_pct for r in table.where("value IN (0, 458752, 458759, 6999993)").collect()}
+    assert some == pytest.approx({0: 1e-4, 458752: 6.5537, 458759: 6.5538, 6999993: 100})
+    assert shares.where("share <> 1e-6").count() == 0 and bins.count() == 1_000_000
 
 
 def test_top_categories_rank_before_the_shuffle(spark, sf_dir):

@@ -1,8 +1,9 @@
 """Exact nearest neighbours of a stated query set: a block matrix join with int8 tiles.
 
-Queries and candidates are dealt into blocks; a task has one tile of both. An int8 product gives
-every score of the tile within a known error. Only candidates whose upper bound reaches the k-th
-best lower bound are measured again in double precision; heaps merge the tiles' best.
+Queries and candidates are dealt into blocks; a task meets one block of queries with a stripe of
+candidate blocks, tile by tile. An int8 product gives every score of the tile within a known error.
+Only candidates whose upper bound reaches the k-th best lower bound, and the k-th best so far, are
+measured again in double precision; a heap for each query merges the tiles, then the stripes.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headcount.llm.shared import cut, runs, table
+from headcount.llm.shared import cut, runs, table, whole_runs
 from headcount.llm.vectors import matrix, vectors
 
-#: Rows of a tile. A tile's products take 4 bytes each.
-QUERIES, CANDIDATES = 512, 2048
+#: Rows of a tile, whose products take 8 bytes each, and tiles of a stripe.
+QUERIES, CANDIDATES, STRIPE = 512, 2048, 64
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,72 +56,87 @@ def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tile(query: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int):
-    """(query row, candidate row, score) of each query's k best in the tile, ties by smaller id."""
+def _tile(query: np.ndarray, x: np.ndarray, known: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int):
+    """(query row, candidate row, score) of all that may be among a query's k best.
+
+    ``known`` is each query's k-th best score so far; nothing below it, or below the tile's own k-th
+    lower bound, is measured.
+    """
     near, error = bounds(x, y)
     own = query[:, None] == ids[None, :]
-    low = np.where(own, -np.inf, near - error)
+    least = known
     if len(ids) > k:
-        least = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
-        fits = (near + error >= least[:, None]) & ~own
-    else:
-        fits = ~own
-    q, c = np.nonzero(fits)
+        low = np.where(own, -np.inf, near - error)
+        least = np.maximum(least, np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k])
+    q, c = np.nonzero((near + error >= least[:, None]) & ~own)
     score = np.concatenate([_exact(x[q[i : i + 65536]], y[c[i : i + 65536]]) for i in range(0, max(len(q), 1), 65536)])
-    order = np.lexsort((ids[c], -score, q))
-    q, c, score = q[order], c[order], score[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    best = place < k
-    return q[best], c[best], score[best]
+    return q, c, score
+
+
+class Best:
+    """The k best of each query, nearest first, ties by smaller id: a heap for each."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.heaps: dict[int, list[tuple[float, int]]] = {}
+
+    def push(self, query: int, score: float, vec: int) -> None:
+        heap = self.heaps.setdefault(query, [])
+        if len(heap) < self.k:
+            heapq.heappush(heap, (score, -vec))
+        elif (score, -vec) > heap[0]:
+            heapq.heapreplace(heap, (score, -vec))
+
+    def least(self, queries: np.ndarray) -> np.ndarray:
+        """The k-th best score of each query, or minus infinity while there are fewer."""
+        heaps = (self.heaps.get(q, ()) for q in queries.tolist())
+        return np.array([h[0][0] if len(h) == self.k else -np.inf for h in heaps])
+
+    def batch(self) -> pa.RecordBatch:
+        rows = [
+            (query, rank, -vec, score)
+            for query, heap in self.heaps.items()
+            for rank, (score, vec) in enumerate(sorted(heap, reverse=True), start=1)
+        ]
+        self.heaps.clear()
+        columns = zip(*rows) if rows else [()] * 4
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, types)], names=["query_id", "rank", "vec_id", "score"]
+        )
 
 
 def _tiles(k: int):
+    """A block of queries against the blocks of candidates of its stripe, one after the other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in runs(batches, ["size", "left", "right"]):
-            is_query = part.column("is_query").to_numpy()
-            ids = part.column("id").to_numpy()
-            vecs = matrix(part.column("vec"))
-            if not is_query.any() or is_query.all():
-                continue
-            query, x, y = ids[is_query], vecs[is_query], vecs[~is_query]
-            q, c, score = _tile(query, x, ids[~is_query], y, k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(query[q]), pa.array(ids[~is_query][c]), pa.array(score)], names=["query_id", "vec_id", "score"]
-            )
+        best, last, query, x = Best(k), None, np.zeros(0, np.int64), None
+        for part in runs(batches, ["size", "left", "stripe", "right"]):
+            place = tuple(part.column(c)[0].as_py() for c in ("size", "left", "stripe"))
+            if place != last:
+                yield best.batch()
+                last, query = place, np.zeros(0, np.int64)
+            if part.column("right")[0].as_py() < 0:
+                query, x = part.column("id").to_numpy(), matrix(part.column("vec"))
+            elif len(query):
+                ids = part.column("id").to_numpy()
+                q, c, score = _tile(query, x, best.least(query), ids, matrix(part.column("vec")), k)
+                for row in zip(query[q].tolist(), score.tolist(), ids[c].tolist()):
+                    best.push(*row)
+        yield best.batch()
 
     return run
 
 
 def _merged(k: int):
-    """The k best of each query, whose rows come together, by a heap that never holds more than k."""
+    """The k best of each query from those of its stripes, which come together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, heap = None, []
-
-        def best():
-            top = sorted(heap, reverse=True)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([last] * len(top), pa.int64()),
-                    pa.array(range(1, len(top) + 1), pa.int32()),
-                    pa.array([-i for _, i in top], pa.int64()),
-                    pa.array([s for s, _ in top], pa.float64()),
-                ],
-                names=["query_id", "rank", "vec_id", "score"],
-            )
-
-        for batch in batches:
-            for query, vec, score in zip(*(c.to_pylist() for c in batch.columns)):
-                if query != last:
-                    if heap:
-                        yield best()
-                    last, heap = query, []
-                if len(heap) < k:
-                    heapq.heappush(heap, (score, -vec))
-                else:
-                    heapq.heappushpop(heap, (score, -vec))
-        if heap:
-            yield best()
+        best = Best(k)
+        for part, _ in whole_runs(batches, ["query_id"]):
+            for row in zip(*(part.column(c).to_pylist() for c in ("query_id", "score", "vec_id"))):
+                best.push(*row)
+            yield best.batch()
 
     return run
 
@@ -136,34 +152,36 @@ def nearest(df: DataFrame, queries: str, k: int = 20, key: str = "vec_id", vecto
     rows = cut(
         vectors(df, key, vector).where("id IS NOT NULL AND vec IS NOT NULL").withColumn("size", F.length("vec"))
     )
+    wide = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = cut(
-        rows.groupBy("size").agg(
-            F.ceil(F.count_if(F.expr(queries)) / QUERIES).cast("int").alias("left_blocks"),
-            F.ceil(F.count(F.lit(1)) / CANDIDATES).cast("int").alias("right_blocks"),
+        rows.groupBy("size")
+        .agg(
+            F.ceil(F.count_if(F.expr(queries)) / QUERIES).cast("int").alias("lefts"),
+            F.ceil(F.count(F.lit(1)) / CANDIDATES).cast("int").alias("rights"),
         )
-    ).where("left_blocks > 0")
+        # Enough stripes to keep all partitions busy, and to bound what one task reads.
+        .withColumn("stripes", F.expr(f"CAST(least(rights, greatest(ceil({wide} / greatest(lefts, 1)), ceil(rights / {STRIPE}))) AS INT)"))
+    ).where("lefts > 0")
     rows = rows.join(sizes, "size")
     block = "CAST(pmod(xxhash64(id, {}), {}) AS INT)"
     left = rows.where(queries).select(
-        "size", F.expr(block.format(11, "left_blocks")).alias("left"),
-        F.explode(F.expr("sequence(0, right_blocks - 1)")).alias("right"), F.lit(True).alias("is_query"), "id", "vec",
+        "size", "stripes", F.expr(block.format(11, "lefts")).alias("left"),
+        F.explode(F.expr("sequence(0, stripes - 1)")).alias("stripe"), F.lit(-1).alias("right"), "id", "vec",
     )
-    right = rows.select(
-        "size", F.explode(F.expr("sequence(0, left_blocks - 1)")).alias("left"),
-        F.expr(block.format(13, "right_blocks")).alias("right"), F.lit(False).alias("is_query"), "id", "vec",
+    right = rows.withColumn("right", F.expr(block.format(13, "rights"))).select(
+        "size", "stripes", F.explode(F.expr("sequence(0, lefts - 1)")).alias("left"),
+        (F.col("right") % F.col("stripes")).alias("stripe"), "right", "id", "vec",
     )
-    order = ["size", "left", "right"]
+    number = F.pmod(F.xxhash64("size"), F.lit(wide)) + F.col("left").cast("long") * F.col("stripes") + F.col("stripe")
+    found = "query_id long, rank int, vec_id long, score double"
     best = (
         left.unionByName(right)
-        .repartition(*order)
-        .sortWithinPartitions(*order)
-        .mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
-    )
-    return (
-        best.repartition("query_id")
-        .sortWithinPartitions("query_id")
-        .mapInArrow(_merged(k), "query_id long, rank int, vec_id long, score double")
+        .repartitionById(wide, (number % wide).cast("int"))
+        .drop("stripes")
+        .sortWithinPartitions("size", "left", "stripe", "right")
+        .mapInArrow(_tiles(k), found)
     )
+    return best.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merged(k), found)
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,9 +114,11 @@ def test_bounds_hold():
         assert (np.abs(near - x @ y.T) <= error).all()
 
 
-def test_nearest_equals_brute_force_with_ties(spark, monkeypatch):
+@pytest.mark.parametrize("stripe", [64, 2])
+def test_nearest_equals_brute_force_with_ties(spark, monkeypatch, stripe):
     monkeypatch.setattr(ann, "QUERIES", 3)
     monkeypatch.setattr(ann, "CANDIDATES", 16)
+    monkeypatch.setattr(ann, "STRIPE", stripe)
     r = np.random.default_rng(8)
     vecs = r.standard_normal((150, 8)).astype(np.float32).tolist()
     vecs += [vecs[0]] * 30 + ODD + [[1.0, 2.0]]

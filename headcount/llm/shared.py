@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of a few dozen bytes each that may be broadcast; beyond it the join is a shuffle.
-BROADCAST_ROWS = 50_000
+#: Rows and bytes that may be broadcast; beyond them the join is a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +50,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def by_size(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a cut table of narrow rows for broadcast if its count allows; else leave it to a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """Hint a cut table for broadcast if its count and its bytes allow; else leave it to a shuffle."""
+    if df.count() > rows:
+        return df
+    if any(isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType)) for f in df.schema.fields):
+        size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0]
+        if (size or 0) > BROADCAST_BYTES:
+            return df
+    return F.broadcast(df)
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:

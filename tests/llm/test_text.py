@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from headcount.llm import bpe, components, minhash, mixing, pii, quality
+from headcount.llm import bpe, components, minhash, mixing, pii, quality, shared
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
 LONG = "word " * 40_000 + "x" * 50_000
@@ -24,6 +24,18 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def test_broadcast_depends_on_rows_and_bytes(spark, monkeypatch):
+    def hinted(df, *limit):
+        return "ResolvedHint" in shared.by_size(df, *limit)._jdf.queryExecution().analyzed().toString()
+
+    narrow = spark.range(100)
+    wide = spark.range(3).selectExpr("id", "repeat('x', 1000) AS text", "array(named_struct('b', CAST('y' AS BINARY))) AS a")
+    assert hinted(narrow) and hinted(wide) and not hinted(narrow, 99)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 2000)
+    assert not hinted(wide) and hinted(narrow)
+    assert not hinted(wide.limit(2)) and hinted(wide.limit(1))
+
+
 # Byte-level BPE
 
 

@@ -165,8 +165,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "data") -> Da
     return df.select(F.col(f"`{ids}`").alias("__ids"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
-def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, number of tokens, SHA-256 of the ids and of the bytes they decode to."""
+def digests(
+    df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Per row: key, number of tokens, SHA-256 of the ids and of the bytes they decode to, columns to keep."""
 
     def run(batches):
         codec = Codec(path, pattern)
@@ -184,8 +186,10 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
             batches, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, row
         )
 
-    schema = with_field(df.select(key), ("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"))
-    return df.select(F.col(f"`{text}`").alias("__text"), key).mapInArrow(run, schema)
+    made = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    schema = with_field(df.select(key, *keep), *made)
+    out = df.select(F.col(f"`{text}`").alias("__text"), key, *keep).mapInArrow(run, schema)
+    return out.select(key, *[name for name, _ in made], *keep)
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:

@@ -47,3 +47,26 @@ def test_empty_documents_and_odd_rows(spark, sf_dir, documents):
         for name, stage in corpus_pipeline.STAGES:
             rows = stage(spark, rows, sf_dir)
             assert rows.count() <= n, name
+
+
+def test_positions_of_the_result_are_the_mixed_order(spark, sf_dir, documents):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = corpus_pipeline.run(spark, sf_dir).select("doc_id", "position").collect()
+        kept = documents
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            kept = stage(spark, kept, sf_dir)
+        turns = {r["doc_id"]: (r["slot"], r["place"]) for r in mixing.mix(kept).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["position"])] == sorted(turns, key=turns.get)
+    assert sorted(r["position"] for r in got) == list(range(len(turns)))
+
+
+def test_positions_follow_the_names_of_files_not_their_sizes(spark, tmp_path):
+    rows = spark.range(0, 900, 1, 1).selectExpr("id AS doc_id", "repeat('x', CAST(id AS INT)) AS text")
+    rows.repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "rows"))
+    read = spark.read.parquet(str(tmp_path / "rows"))
+    assert [tuple(r) for r in corpus_pipeline.positions(read).select("doc_id", "position").orderBy("doc_id").collect()] == [(i, i) for i in range(900)]
+    alone = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    assert [tuple(r) for r in corpus_pipeline.tokens(spark, alone, "").select("doc_id", "position").collect()] == [(1, None)]

@@ -1,10 +1,14 @@
 """Interleaving sources to target weights by proportionate fair scheduling.
 
-Each source is cut into blocks of equal size. With weight w, block j of a source is released at
-slot floor(j / w) and due by slot ceil((j + 1) / w); the released block with the earliest deadline
-goes first. On one processor this meets every deadline, so after any number of slots each source is
-less than one block from its share. Weights are whole parts of a frame, in which the schedule
-repeats; it is made once, for the frame.
+Each source is cut into blocks of equal size. Slots come in frames of equal length. After f frames
+a source has had its exact share of their slots, rounded: shares are rounded to whole slots, but
+weights never are, so that what is left over is carried on and nothing drifts. In a frame the source
+has ``parts`` blocks of its own; block k of them is released at slot floor(k frame / parts) and due
+by slot ceil((k + 1) frame / parts), and the released block with the earliest deadline goes first.
+On one processor this meets every deadline. Frames do not depend on each other.
+
+More sources than a frame takes are mixed in a tree: a node's slots are dealt to its entries, and
+the slots of an entry that stands for a node to that node's entries, by the same rule.
 """
 
 from __future__ import annotations
@@ -12,13 +16,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from headcount.llm.shared import cut, table
+from headcount.llm.shared import by_size, cut, table
 
 #: Documents of a block.
 BLOCK = 32
-#: Slots of a frame, roughly: weights are rounded to whole slots, one at least.
+#: Slots of a frame.
 FRAME = 1000
-#: Sources with a weight of their own; smaller ones are mixed as one.
+#: Entries of a node of the tree; the root has one more, of the rows without a source or a target.
 SOURCES = 200
 #: Without targets, a source's weight is its number of documents to this power.
 POWER = 0.5
@@ -26,11 +30,12 @@ POWER = 0.5
 GROUP = 256
 
 
-def shares(counts: DataFrame, targets: DataFrame | None, frame: int, most: int, power: float) -> DataFrame:
-    """``i``, ``name``, ``n``, ``parts``, ``frame`` of at most ``most`` + 1 sources, the pool of the others last.
+def shares(counts: DataFrame, targets: DataFrame | None, most: int, power: float) -> tuple[DataFrame, list[int]]:
+    """``id``, ``level``, ``node``, ``name``, ``n``, ``weight`` per source, and the numbers of nodes by level from the leaves up.
 
-    The pool's name is null; it takes small and null sources and, with ``targets`` (source, weight),
-    those that have none. Weights of targets have to be positive.
+    Sources at the root have the last level. The one without a name takes rows without a source and,
+    with ``targets`` (source, weight), those of sources that have none; it weighs as the least of the
+    others. Weights of targets have to be positive.
     """
     ranked = counts.where("name IS NOT NULL")
     if targets is None:
@@ -38,24 +43,30 @@ def shares(counts: DataFrame, targets: DataFrame | None, frame: int, most: int,
     else:
         ranked = ranked.join(targets.select(F.col("source").alias("name"), F.col("weight").cast("double")), "name")
         ranked = ranked.where("weight > 0")
-    named = ranked.orderBy(F.desc("n"), "name").limit(most)
-    total = counts.agg(F.sum("n").alias("total"))
-    own = cut(named)
-    kept = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.min("weight"), F.lit(1.0)).alias("least"))
-    left = (total.first()["total"] or 0) - (first := kept.first())["n"]
-    pool_weight = F.pow(F.lit(float(left)), F.lit(power)) if targets is None else F.lit(first["least"])
-    pool = own.sparkSession.range(1 if left else 0).select(
-        F.lit(None).cast("string").alias("name"), F.lit(left).cast("long").alias("n"), pool_weight.alias("weight")
-    )
-    rows = own.select("name", "n", "weight").unionByName(pool)
-    # One row for each source, bounded by ``most``: gathered into an array that the schedule is made from.
-    packed = rows.agg(F.array_sort(F.collect_list(F.struct(F.col("name").isNull().alias("pool"), (-F.col("n")).alias("m"), "name", "n", "weight"))).alias("s"))
-    packed = packed.withColumn("sum", F.expr("aggregate(s, 0D, (a, x) -> a + x.weight)"))
-    packed = packed.withColumn(
-        "parts", F.expr(f"transform(s, x -> CAST(greatest(1, round({frame} * x.weight / sum)) AS BIGINT))")
+    named = cut(ranked)
+    known = named.agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("n"), F.min("weight").alias("least")).first()
+    left = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) - (known["n"] or 0)
+    other = float(left) ** power if targets is None else known["least"] or 1.0
+    nameless = named.sparkSession.range(1 if left else 0).select(
+        F.lit(None).cast("string").alias("name"), F.lit(left).cast("long").alias("n"), F.lit(other).alias("weight")
     )
-    packed = packed.withColumn("frame", F.expr("aggregate(parts, 0L, (a, x) -> a + x)"))
-    return packed.where("frame > 0")
+    if known["sources"] <= most:
+        rows = named.select("name", "n", "weight").unionByName(nameless).select("*", F.lit(0).alias("level"), F.lit(0).cast("long").alias("node"))
+        return cut(rows.withColumn("id", F.monotonically_increasing_id())), [1]
+    # The largest have an entry at the root, which one entry more shares with all the others.
+    fan = max(most, 4)
+    own = cut(named.orderBy(F.desc("n"), "name").limit(most - 1)).select("name")
+    members = known["sources"] - (most - 1)
+    nodes = [1 if members <= fan else -(-members // (fan // 2))]
+    while nodes[-1] > 1:
+        nodes.append(-(-nodes[-1] // fan))
+    nodes.append(1)
+    root = len(nodes) - 1
+    first = named.join(by_size(own), "name", "left_semi").select("name", "n", "weight").unionByName(nameless)
+    first = first.select("*", F.lit(root).alias("level"), F.lit(0).cast("long").alias("node"))
+    rest = named.join(by_size(own), "name", "left_anti")
+    rest = rest.select("name", "n", "weight", F.lit(0).alias("level"), F.pmod(F.xxhash64("name"), F.lit(nodes[0])).cast("long").alias("node"))
+    return cut(first.unionByName(rest).withColumn("id", F.monotonically_increasing_id())), nodes
 
 
 #: Slot by slot: of the sources whose next block is released, the one due first; ties by place.
@@ -75,10 +86,98 @@ aggregate(
 """
 
 
-def schedule(packed: DataFrame) -> DataFrame:
-    """``i``, ``k``, ``at``: the slot in the frame of source i's k-th block of a frame."""
-    slots = packed.select(F.posexplode(F.expr(SCHEDULE)).alias("at", "i"))
-    return slots.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("at")) - 1)
+def schedule(packed: DataFrame, *keys: str) -> DataFrame:
+    """``i``, ``k``, ``at``: the slot in the frame of entry i's k-th block of a frame, for each value of the keys.
+
+    Slots in which no block is released have no row.
+    """
+    slots = packed.select(*keys, F.posexplode(F.expr(SCHEDULE)).alias("at", "i")).where("i IS NOT NULL")
+    return slots.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "i").orderBy("at")) - 1)
+
+
+#: Blocks of each entry in the first n slots: of what those before it leave, its share of the weights from it on.
+#: Each is rounded so that no entry's count falls when n grows, and the counts add up to n.
+COUNTS = """
+aggregate(
+  weights, named_struct('left', {n}, 'counts', CAST(array() AS ARRAY<BIGINT>)),
+  (a, x) -> transform(
+    array(least(a.left, CAST(floor(a.left * (x.weight / x.onward) + 0.5D) AS BIGINT))),
+    c -> named_struct('left', a.left - c, 'counts', concat(a.counts, array(c)))
+  )[0],
+  a -> a.counts
+)
+"""
+
+
+def timetable(entries: DataFrame, frame: int) -> DataFrame:
+    """``node``, ``id``, ``block``, ``slot``, ``release``, ``deadline`` of the blocks of each node's entries.
+
+    ``entries`` has ``node``, ``id``, ``place`` (their order), ``weight`` and ``blocks``. From the
+    frame on in which an entry has no block left, its slots stay empty. Frames with the same parts
+    have the same schedule, which is made once.
+    """
+    packed = entries.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "id", "weight", "blocks"))).alias("s"))
+    # Weights from an entry on are summed from the end, so that the last entry's share is 1.
+    packed = packed.withColumn("weights", F.expr("""
+        reverse(aggregate(reverse(s), CAST(array() AS ARRAY<STRUCT<weight: DOUBLE, onward: DOUBLE>>), (a, x) -> concat(a, array(
+          named_struct('weight', x.weight, 'onward', x.weight + coalesce(try_element_at(a, -1).onward, 0D))))))"""))
+    packed = packed.withColumn("ids", F.expr("transform(s, x -> x.id)")).withColumn("blocks", F.expr("transform(s, x -> x.blocks)"))
+    # Rounding puts an entry off its share by (1 + ln of the entries) / 2 blocks at most.
+    last = f"aggregate(s, 0L, (a, x) -> greatest(a, CAST(ceil((x.blocks + 2 + ln(size(s))) * (weights[0].onward / x.weight) / {frame}) AS BIGINT)))"
+    frames = packed.select("node", "ids", "weights", "blocks", F.explode(F.expr(f"sequence(0L, {last})")).alias("f"))
+    frames = frames.repartition("node", "f")
+    frames = frames.withColumn("base", F.expr(COUNTS.format(n=f"f * {frame}L")))
+    frames = frames.withColumn("next", F.expr(COUNTS.format(n=f"(f + 1) * {frame}L")))
+    frames = frames.withColumn("live", F.expr(
+        "filter(transform(ids, (x, i) -> named_struct('id', x, 'base', base[i], 'parts', next[i] - base[i], 'blocks', blocks[i])), x -> x.parts > 0 AND x.base < x.blocks)"
+    ))
+    frames = cut(frames.where("size(live) > 0").select("node", "f", "live", F.expr("transform(live, x -> x.parts)").alias("parts")))
+    turns = schedule(frames.select("parts").distinct().withColumn("frame", F.lit(frame).cast("long")), "parts")
+    turns = turns.groupBy("parts").agg(F.collect_list(F.struct("i", F.col("k").cast("long").alias("k"), "at")).alias("turns"))
+    rows = frames.join(turns, "parts").select("node", "f", "live", F.inline("turns")).select("node", "f", "k", "at", F.expr("live[i]").alias("x"))
+    start = f"f * {frame}L"
+    return rows.select(
+        "node",
+        "x.id",
+        F.expr("x.base + k").alias("block"),
+        F.expr(f"{start} + at").alias("slot"),
+        F.expr(f"{start} + k * {frame}L DIV x.parts").alias("release"),
+        F.expr(f"{start} + ((k + 1) * {frame}L + x.parts - 1) DIV x.parts").alias("deadline"),
+        F.col("x.blocks").alias("__blocks"),
+    ).where("block < __blocks").drop("__blocks")
+
+
+def turns_of(sources: DataFrame, nodes: list[int], frame: int, most: int, block: int) -> DataFrame:
+    """``id``, ``block``, ``slot``, ``release``, ``deadline`` of each block of each source, up to its first that is not full.
+
+    The slots of a node below the root are the blocks of its entry one level up.
+    """
+    fan, root = max(most, 4), len(nodes) - 1
+    place = F.struct(F.col("name").isNull().alias("last"), (-F.col("n")).alias("m"), F.col("name").alias("name"))
+    leaves = sources.select("level", "node", "id", place.alias("place"), "weight", F.expr(f"n DIV {block} + 1").alias("blocks"))
+    done = above = None
+    for level in range(root + 1):
+        entries = leaves.where(F.col("level") == level).drop("level")
+        entries = cut(entries if above is None else entries.unionByName(above))
+        made = cut(timetable(entries, frame))
+        own = made.where("id >= 0")
+        if done is None:
+            done = own
+        else:
+            up = made.where("id < 0").select((-F.col("id") - 1).alias("node"), F.col("block").alias("__turn"), F.col("node").alias("__node"), F.col("slot").alias("__up"))
+            for name, end in (("slot", 0), ("release", 0), ("deadline", 1)):
+                bound = up.select("node", "__turn", (F.col("__up") + end).alias(f"__{name}"), *(["__node"] if name == "slot" else []))
+                done = done.withColumn("__turn", F.col(name) - end).join(bound, ["node", "__turn"]).drop("__turn")
+            lifted = [F.col("__node").alias("node"), "id", "block", *[F.col(f"__{c}").alias(c) for c in ("slot", "release", "deadline")]]
+            done = done.select(*lifted).unionByName(own)
+        done = cut(done)
+        if level < root:
+            needed = made.groupBy("node").agg(F.max("deadline").alias("blocks"))
+            sums = entries.groupBy("node").agg(F.sum("weight").alias("weight"), F.sum("place.m").alias("m")).join(needed, "node")
+            named = F.struct(F.lit(False).alias("last"), F.col("m"), F.col("node").cast("string").alias("name"))
+            parent = F.lit(0) if level + 1 == root else F.floor(F.col("node") / fan)
+            above = sums.select(parent.cast("long").alias("node"), (-F.col("node") - 1).alias("id"), named.alias("place"), "weight", "blocks")
+    return done.drop("node")
 
 
 def mix(
@@ -96,14 +195,8 @@ def mix(
     source's, and running sums over the groups: no task holds a source.
     """
     placed, horizon = _placed(docs, targets, key, source, block, frame, most, power)
-    made = {
-        "block": F.col("__block"),
-        "release": F.expr("__block * __frame DIV __parts"),
-        "deadline": F.expr("((__block + 1) * __frame + __parts - 1) DIV __parts"),
-        "slot": F.col("__slot"),
-        "place": F.col("__place"),
-        "mixed": F.col("__slot") < F.lit(horizon),
-    }
+    made = {c: F.col(f"__{c}") for c in ("block", "release", "deadline", "slot", "place")}
+    made["mixed"] = F.col("__slot") < F.lit(horizon)
     return placed.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in made], *[value.alias(c) for c, value in made.items()]
     )
@@ -116,26 +209,19 @@ def _placed(
     """docs with columns named ``__...`` for the block, its slot and the place in it; the first slot that lacks a full block."""
     names = docs.columns
     counts = cut(docs.groupBy(F.col(f"`{source}`").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n")))
-    packed = cut(shares(counts, targets, frame, most, power))
-    turns = cut(schedule(packed))
-    sources = packed.select(F.posexplode(F.arrays_zip("s", "parts")).alias("i", "x"), "frame").select(
-        "i", "x.s.name", "x.s.n", "x.parts", "frame"
-    )
-    sources = sources.withColumn(
-        "groups", F.ceil(F.col("n") / F.greatest(F.lit(GROUP), F.sqrt("n"))).cast("long")
-    )
+    sources, nodes = shares(counts, targets, most, power)
+    turns = cut(turns_of(sources, nodes, frame, most, block))
     # The first slot that lacks a full block of some source.
-    full = sources.withColumn("full", F.expr(f"n DIV {block}"))
-    horizon = full.withColumn("k", F.col("full") % F.col("parts")).join(turns, ["i", "k"])
-    horizon = horizon.agg(F.min(F.expr("(full DIV parts) * frame + at")).alias("h")).first()["h"]
-    # At most ``most`` + 1 rows: a bound that does not depend on the data.
-    own = cut(sources.select("name", *[F.col(c).alias(f"__{c}") for c in ("i", "parts", "frame", "groups")]))
-    pool = own.where("name IS NULL").first()
+    full = sources.select("id", F.expr(f"n DIV {block}").alias("block"))
+    horizon = turns.join(full, ["id", "block"]).agg(F.min("slot").alias("h")).first()["h"]
+    own = sources.select("name", F.col("id").alias("__i"), F.ceil(F.col("n") / F.greatest(F.lit(GROUP), F.sqrt("n"))).cast("long").alias("__groups"))
+    nameless = own.where("name IS NULL").first()
+    own = cut(own.where("name IS NOT NULL").withColumnRenamed("name", "__own"))
     digest = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{source}`").cast("string").alias("__name"), digest.alias("__md5"))
-    rows = rows.join(F.broadcast(own.withColumnRenamed("name", "__own")), F.col("__name") == F.col("__own"), "left")
-    if pool:
-        rows = rows.withColumns({c: F.coalesce(c, F.lit(pool[c])) for c in ("__i", "__parts", "__frame", "__groups")})
+    rows = rows.join(by_size(own), F.col("__name") == F.col("__own"), "left")
+    if nameless:
+        rows = rows.withColumns({c: F.coalesce(c, F.lit(nameless[c])) for c in ("__i", "__groups")})
     rows = rows.withColumn(
         "__group", F.expr("CAST(conv(substr(__md5, 1, 8), 16, 10) AS BIGINT) * __groups DIV 4294967296")
     )
@@ -145,10 +231,9 @@ def _placed(
     within = Window.partitionBy("__i", "__group").orderBy("__md5", F.col(f"`{key}`"), *_rest(docs, names, key))
     ranked = rows.withColumn("__row", F.row_number().over(within) - 1).join(starts, ["__i", "__group"])
     ranked = ranked.withColumn("__rank", F.col("__start") + F.col("__row"))
-    ranked = ranked.withColumn("__block", F.expr(f"__rank DIV {block}")).withColumn("__k", F.expr("__block % __parts"))
-    slots = F.broadcast(turns.select(F.col("i").alias("__i"), F.col("k").cast("long").alias("__k"), F.col("at").alias("__at")))
-    placed = ranked.join(slots, ["__i", "__k"])
-    placed = placed.withColumn("__slot", F.expr("(__block DIV __parts) * __frame + __at"))
+    ranked = ranked.withColumn("__block", F.expr(f"__rank DIV {block}"))
+    slots = turns.select(F.col("id").alias("__i"), *[F.col(c).alias(f"__{c}") for c in ("block", "slot", "release", "deadline")])
+    placed = ranked.join(by_size(slots), ["__i", "__block"])
     return placed.withColumn("__place", F.expr(f"CAST(__rank % {block} AS INT)")), horizon or 0
 
 

@@ -413,3 +413,24 @@ def test_many_groups_give_the_ranks_of_one(spark, monkeypatch):
     one = {r["doc_id"]: (r["slot"], r["place"]) for r in mixing.mix(df).collect()}
     monkeypatch.setattr(mixing, "GROUP", 4)
     assert {r["doc_id"]: (r["slot"], r["place"]) for r in mixing.mix(df).collect()} == one
+
+
+def off_target(got, weights, block):
+    """The largest difference of a source's blocks from its exact share, after each slot before the mixed rows end."""
+    inside = got[got.mixed]
+    slots = inside.drop_duplicates(["source", "block"]).sort_values("slot")
+    assert (slots.slot.to_numpy() == np.arange(len(slots))).all() and len(inside) == block * len(slots)
+    n = np.arange(1, len(slots) + 1)
+    return {s: np.abs((slots.source == s).cumsum().to_numpy() - w / sum(weights.values()) * n).max() for s, w in weights.items()}
+
+
+def test_small_sources_keep_weights_of_their_own(spark):
+    weights = {f"s{i:02}": 1.0 + i % 4 for i in range(60)}
+    df = spark.range(60 * 90).selectExpr("id AS doc_id", "format_string('s%02d', id % 60) AS source")
+    targets = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    got = mixing.mix(df, targets, block=1, most=4).toPandas()
+    assert len(got) == got.doc_id.nunique() == got.slot.nunique() == 60 * 90
+    assert ((got.release <= got.slot) & (got.slot < got.deadline)).all()
+    assert max(off_target(got, weights, 1).values()) < 3
+    equal = mixing.mix(df, block=1, most=4).toPandas()
+    assert max(off_target(equal, dict.fromkeys(weights, 1.0), 1).values()) < 3

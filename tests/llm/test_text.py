@@ -424,6 +424,15 @@ def off_target(got, weights, block):
     return {s: np.abs((slots.source == s).cumsum().to_numpy() - w / sum(weights.values()) * n).max() for s, w in weights.items()}
 
 
+def test_no_drift_from_weights_that_do_not_divide_the_frame(spark):
+    weights = {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3 - 0.0001, "d": 0.0001} | {f"e{i}": 0.0003 for i in range(5)}
+    df = spark.range(84_000).selectExpr("id AS doc_id", "CASE WHEN id < 81000 THEN array('a', 'b', 'c')[id % 3] WHEN id < 81500 THEN 'd' ELSE concat('e', id % 5) END AS source")
+    got = mixing.mix(df, spark.createDataFrame(list(weights.items()), "source string, weight double"), block=2).toPandas()
+    assert len(got) == 84_000 and ((got.release <= got.slot) & (got.slot < got.deadline)).all()
+    assert got.groupby("slot").size().max() == 2 and got[got.mixed].slot.max() > 30_000
+    assert max(off_target(got, weights, 2).values()) < 2
+
+
 def test_small_sources_keep_weights_of_their_own(spark):
     weights = {f"s{i:02}": 1.0 + i % 4 for i in range(60)}
     df = spark.range(60 * 90).selectExpr("id AS doc_id", "format_string('s%02d', id % 60) AS source")

@@ -1,9 +1,10 @@
 """Personal data: patterns, and terms that disclose them by co-occurrence in the corpus.
 
-Patterns find the protected entities. A word near an entity discloses it when the corpus ties the
-two together: their pointwise mutual information, as a share of the entity's own information
-content, reaches a threshold, with enough independent contexts to tell it from chance. Such words
-are spans too, and sanitising generalises them along with the entities.
+Patterns find the protected entities. A word of a text that holds an entity discloses it when the
+corpus ties the two together: their pointwise mutual information, as a share of the entity's own
+information content, reaches a threshold, with enough different texts to tell it from chance. Such
+words are spans too, wherever they stand in the texts that hold the entity, and sanitising
+generalises them along with the entities.
 """
 
 from __future__ import annotations
@@ -20,11 +21,9 @@ from pyspark.sql import functions as F
 from headcount.llm.shared import by_size, cut, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that may disclose it.
-WINDOW = 8
 #: Share of an entity's information content that a word may disclose at most.
 THRESHOLD = 0.75
-#: Contexts with different neighbours, in which a word has to stand near an entity.
+#: Different texts that have to hold both a word and an entity.
 CONTEXTS = 3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -85,39 +84,26 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else ''.join(re.findall('[0-9.]' if kind == 'ip' else '[0-9]', value))}"
 
 
-def near_words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, str, int, int, str]]:
-    """(entity, word, start, end, its neighbours) of the words within WINDOW of each entity.
-
-    Words are runs of letters and digits outside every span; neighbours are the word before and the
-    one after.
-    """
+def free_words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) of the runs of letters and digits outside every span."""
     taken = sorted((a, b) for _, a, b in spans)
-    for kind, a, b in spans:
-        entity = _entity(kind, text[a:b])
-        before: list[tuple[int, int]] = []
-        reach = 64
-        while True:  # words to the left, from a slice that grows until it holds enough of them
-            low = max(0, a - reach)
-            before = [m.span() for m in _WORD.finditer(text, low, a)]
-            if low and before and before[0][0] == low:
-                before = before[1:]  # may be cut
-            if len(before) > WINDOW or not low:
-                break
-            reach *= 4
-        after = []
-        for m in _WORD.finditer(text, b):
-            after.append(m.span())
-            if len(after) > WINDOW:
-                break
-        before = before[-WINDOW - 1 :]
-        line = before + after
-        words = [text[x:y].lower() for x, y in line]
-        for i in range(max(0, len(before) - WINDOW), min(len(line), len(before) + WINDOW)):
-            x, y = line[i]
-            if any(s < y and x < e for s, e in taken):
-                continue
-            around = (words[i - 1] if i else "") + " " + (words[i + 1] if i + 1 < len(words) else "")
-            yield entity, words[i], x, y, around
+    at, end = 0, 0
+    for m in _WORD.finditer(text):
+        x, y = m.span()
+        while at < len(taken) and taken[at][0] < y:
+            end = max(end, taken[at][1])
+            at += 1
+        if x >= end:
+            yield m[0].lower(), x, y
+
+
+def near_words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, str, int, int, bytes]]:
+    """(entity, word, start, end, mark of the text) of each entity and each word outside every span."""
+    entities = sorted({_entity(kind, text[a:b]) for kind, a, b in spans})
+    words, mark = list(free_words(text, spans)) if entities else [], _mark(text)
+    for entity in entities:
+        for word, x, y in words:
+            yield entity, word, x, y, mark
 
 
 def _mark(text: str) -> bytes:
@@ -125,29 +111,56 @@ def _mark(text: str) -> bytes:
 
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("around", pa.int64())]))
+    """Entities of each text, and the text itself if it has any."""
     for batch in batches:
-        marks, spans, words = [], [], []
+        marks, spans, entities, held = [], [], [], []
         for text in batch.column(1).to_pylist():
-            found = base_spans(text or "")
-            marks.append(_mark(text or ""))
+            text = text or ""
+            found = base_spans(text)
+            marks.append(_mark(text))
             spans.append(joined(found))
-            words.append(
-                [
-                    {"entity": e, "term": w, "start": a, "end": b, "around": _short(around)}
-                    for e, w, a, b, around in near_words(text, found)
-                ]
-                if found
-                else []
-            )
+            entities.append(sorted({_entity(kind, text[a:b]) for kind, a, b in found}))
+            held.append(text if found else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(marks, pa.binary()), pa.array(spans, pa.string()), pa.array(words, near)],
-            names=["id", "mark", "base", "near"],
+            [batch.column(0), pa.array(marks, pa.binary()), pa.array(spans, pa.string()), pa.array(entities, pa.list_(pa.string())), pa.array(held, pa.string())],
+            names=["id", "mark", "base", "entities", "held"],
         )
 
 
-def _short(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different texts, and rows with them, that hold each entity and word, summed before they are shuffled."""
+
+    def flush():
+        pairs = list(sums)
+        for i in range(0, len(pairs), 50_000):
+            part = pairs[i : i + 50_000]
+            columns = [[e for e, _ in part], [w for _, w in part], [sums[p][0] for p in part], [sums[p][1] for p in part]]
+            types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["entity", "term", "texts", "n"])
+        sums.clear()
+
+    sums: dict[tuple[str, str], list[int]] = {}
+    for batch in batches:
+        for entities, text, copies in zip(*(c.to_pylist() for c in batch.columns)):
+            words = {w for w, _, _ in free_words(text, base_spans(text))}
+            for entity in entities:
+                for word in words:
+                    own = sums.setdefault((entity, word), [0, 0])
+                    own[0] += 1
+                    own[1] += copies
+                if len(sums) > 200_000:
+                    yield from flush()
+    yield from flush()
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of all occurrences of each row's disclosing words."""
+    for batch in batches:
+        out = []
+        for text, terms in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            terms = set(terms)
+            out.append(joined(("term", x, y) for w, x, y in free_words(text, base_spans(text)) if w in terms))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.string())], names=["term_id", "term_mark", "terms"])
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,24 +184,22 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush(counts)
 
 
-def disclosing(near: DataFrame, texts: DataFrame, threshold: float, contexts: int) -> DataFrame:
+def disclosing(holders: DataFrame, entities: DataFrame, texts: DataFrame, threshold: float, contexts: int) -> DataFrame:
     """``entity``, ``term`` pairs where the term discloses more than it may.
 
     With N texts, PMI = log(N n(t,e) / (n(t) n(e))) and the entity's content IC = log(N / n(e)), n
     counting texts; the pair is disclosing if PMI >= threshold * IC. The texts of all of the corpus
-    are counted, copies included, but contexts with the same neighbours count once.
+    are counted, copies included, but as support of a pair equal texts count once.
     """
     total = F.lit(texts.count())
-    own = near.groupBy("entity", "term", "around").agg(F.count_distinct("id", "mark").alias("n"))
-    pairs = cut(
-        own.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= contexts)
-    )
-    both = near.join(by_size(pairs), ["entity", "term"]).groupBy("entity", "term").agg(F.count_distinct("id", "mark").alias("n_both"))
-    entities = near.groupBy("entity").agg(F.count_distinct("id", "mark").alias("n_entity"))
+    different = holders.groupBy("mark").agg(F.first("entities").alias("entities"), F.first("held").alias("held"), F.count(F.lit(1)).alias("copies"))
+    both = different.select("entities", "held", "copies").mapInArrow(_together, "entity string, term string, texts long, n long")
+    both = both.groupBy("entity", "term").agg(F.sum("texts").alias("texts"), F.sum("n").alias("n_both"))
+    both = cut(both.where(F.col("texts") >= contexts))
     counts = texts.select("text").mapInArrow(_frequencies, "term string, n long")
-    wanted = cut(pairs.select("term").distinct())
+    wanted = cut(both.select("term").distinct())
     counts = counts.join(by_size(wanted), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
-    measured = cut(both).join(cut(entities), "entity").join(cut(counts), "term")
+    measured = both.join(by_size(entities), "entity").join(cut(counts), "term")
     shared = F.log(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     content = F.log(total / F.col("n_entity"))
     return measured.where((content > 0) & (shared >= threshold * content)).select("entity", "term")
@@ -204,20 +215,21 @@ def find(
     """
     texts = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
-    found = cut(
-        texts.mapInArrow(
-            _base,
-            f"id {id_type}, mark binary, base string, near array<struct<entity:string,term:string,start:int,end:int,around:bigint>>",
-        )
-    )
-    near = found.where("size(near) > 0").select("id", "mark", F.inline("near"))
-    pairs = cut(disclosing(near, texts, threshold, contexts))
-    terms = (
-        near.join(by_size(pairs), ["entity", "term"])
-        .groupBy(F.col("id").alias("term_id"), F.col("mark").alias("term_mark"))
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("at"))
-        .select("term_id", "term_mark", F.expr("array_join(transform(at, x -> concat('term:', x.start, ':', x.end)), ',')").alias("terms"))
-    )
+    found = cut(texts.mapInArrow(_base, f"id {id_type}, mark binary, base string, entities array<string>, held string"))
+    each = found.where("size(entities) > 0").select("id", "mark", F.explode("entities").alias("entity"))
+    # An entity in too few different texts cannot have a pair in enough of them.
+    rows = each.groupBy("entity").agg(F.count_distinct(F.struct("id", "mark")).alias("n_entity"), F.count_distinct("mark").alias("texts"))
+    entities = cut(rows.where(F.col("texts") >= contexts).select("entity", "n_entity"))
+    kept = each.join(by_size(entities.select("entity")), "entity").groupBy("id", "mark").agg(F.collect_set("entity").alias("entities"))
+    kept = kept.select(F.col("id").alias("kept_id"), F.col("mark").alias("kept_mark"), "entities")
+    held = found.where("held IS NOT NULL").select("id", "mark", "held").dropDuplicates(["id", "mark"])
+    of = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark"))
+    holders = cut(held.join(by_size(cut(kept)), of).select("id", "mark", "held", "entities"))
+    pairs = cut(disclosing(holders, entities, texts, threshold, contexts))
+    own = holders.select("id", "mark", F.explode("entities").alias("entity")).join(by_size(pairs), "entity")
+    own = own.groupBy(F.col("id").alias("kept_id"), F.col("mark").alias("kept_mark")).agg(F.collect_set("term").alias("own"))
+    terms = holders.join(by_size(cut(own)), of).select("id", "mark", "held", "own")
+    terms = terms.mapInArrow(_places, f"term_id {id_type}, term_mark binary, terms string")
     same = F.col("id").eqNullSafe(F.col("term_id")) & (F.col("mark") == F.col("term_mark"))
     return found.join(by_size(cut(terms)), same, "left").select("id", "mark", "base", F.coalesce("terms", F.lit("")).alias("terms"))
 

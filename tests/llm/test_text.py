@@ -295,6 +295,16 @@ def test_copies_are_one_context(spark):
     assert pii.find(empty(spark)).count() == 0 and pii.sanitise(empty(spark)).count() == 0
 
 
+def test_terms_far_from_the_entity_are_found_and_replaced(spark):
+    pick = random.Random(8)
+    filler = [f"c{i}" for i in range(30)]
+    texts = [" ".join(["Zorbax", *pick.choices(filler, k=20), "zed@mail.example", *pick.choices(filler, k=40), "zorbax"]) for _ in range(5)]
+    texts += [" ".join(pick.choices(filler, k=60)) for _ in range(55)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(rows(spark, texts)).collect()}
+    assert all("orbax" not in clean[i] and clean[i].count("[TERM]") == 2 for i in range(5))
+    assert clean[9] == texts[9]
+
+
 def test_overlapping_spans_are_replaced_once():
     text = "+1 (234) 4111111111111111 x"
     assert pii.replaced(text, [("card", 9, 25), ("phone", 0, 20)]) == "[PHONE] x"

@@ -305,6 +305,15 @@ def test_terms_far_from_the_entity_are_found_and_replaced(spark):
     assert clean[9] == texts[9]
 
 
+def test_a_signature_in_different_texts_discloses(spark):
+    pick = random.Random(9)
+    filler = [f"c{i}" for i in range(30)]
+    texts = [" ".join([*pick.choices(filler, k=20), "Kind regards Jane Doe jane@x.example"]) for _ in range(5)]
+    texts += [" ".join(pick.choices(filler, k=60)) for _ in range(55)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(rows(spark, texts)).collect()}
+    assert not any("Jane" in clean[i] for i in range(5)) and clean[9] == texts[9]
+
+
 def test_overlapping_spans_are_replaced_once():
     text = "+1 (234) 4111111111111111 x"
     assert pii.replaced(text, [("card", 9, 25), ("phone", 0, 20)]) == "[PHONE] x"

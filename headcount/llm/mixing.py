@@ -122,8 +122,8 @@ def timetable(entries: DataFrame, frame: int) -> DataFrame:
         reverse(aggregate(reverse(s), CAST(array() AS ARRAY<STRUCT<weight: DOUBLE, onward: DOUBLE>>), (a, x) -> concat(a, array(
           named_struct('weight', x.weight, 'onward', x.weight + coalesce(try_element_at(a, -1).onward, 0D))))))"""))
     packed = packed.withColumn("ids", F.expr("transform(s, x -> x.id)")).withColumn("blocks", F.expr("transform(s, x -> x.blocks)"))
-    # Rounding puts an entry off its share by (1 + ln of the entries) / 2 blocks at most.
-    last = f"aggregate(s, 0L, (a, x) -> greatest(a, CAST(ceil((x.blocks + 2 + ln(size(s))) * (weights[0].onward / x.weight) / {frame}) AS BIGINT)))"
+    # Rounding puts an entry off its share by half a block for each entry at most.
+    last = f"aggregate(s, 0L, (a, x) -> greatest(a, CAST(ceil((x.blocks + 2 + size(s)) * (weights[0].onward / x.weight) / {frame}) AS BIGINT)))"
     frames = packed.select("node", "ids", "weights", "blocks", F.explode(F.expr(f"sequence(0L, {last})")).alias("f"))
     frames = frames.repartition("node", "f")
     frames = frames.withColumn("base", F.expr(COUNTS.format(n=f"f * {frame}L")))

@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from headcount.llm import ann, bpe, embeddings, html_text, minhash, mixing, pii, quality, url_filter, warc
+from headcount.llm import (
+    align,
+    ann,
+    bpe,
+    embeddings,
+    html_text,
+    minhash,
+    mixing,
+    pii,
+    quality,
+    url_filter,
+    warc,
+    whitening,
+    word_bpe,
+)
 
 QUERIES = {
     "op1_embeddings": embeddings.op1_embeddings,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_mixing": mixing.op9_mixing,
     "op10_warc": warc.op10_warc,
+    "op11_alignment": align.op11_alignment,
+    "op12_word_bpe": word_bpe.op12_word_bpe,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE: dict[str, str] = {

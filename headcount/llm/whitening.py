@@ -8,6 +8,7 @@ orthogonal. Their norms give the eigenvalues, the columns themselves the compone
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -26,6 +27,8 @@ STEPS, OFFSET = 64, 1_000_000
 COMPONENTS = 16
 #: Largest whole number below which doubles add without rounding.
 EXACT = 1 << 53
+#: Tasks that add the sums of all others.
+FAN = 32
 #: Entries beyond it do not fit the grid.
 LARGEST = 1 << 53
 
@@ -102,10 +105,34 @@ def _gram(y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _added(rows: DataFrame, partial) -> list:
+    """Elementwise sum of partial(batches), a list of numbers for each task, or none.
+
+    A task sends one row. The rows are added by FAN tasks, so that the driver adds FAN lists at most.
+    """
+
+    def first(batches):
+        sums = partial(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(sums)] if sums else [], pa.string())], names=["v"])
+
+    def second(batches):
+        total = None
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                own = np.array(json.loads(v), object)
+                total = own if total is None else total + own
+        made = [] if total is None else [json.dumps(total.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["v"])
+
+    lists = rows.mapInArrow(first, "v string").repartition(FAN).mapInArrow(second, "v string").collect()
+    return sum((np.array(json.loads(r["v"]), object) for r in lists[1:]), np.array(json.loads(lists[0]["v"]), object)).tolist() if lists else []
+
+
 def _sums(rows: DataFrame, size: int, centre: list[int] | None) -> tuple[int, list[int], list[list[int]] | None]:
-    """Count, sums of (x - centre) and, with a centre, their products, summed over tasks as exact decimals."""
+    """Count, sums of (x - centre) and, with a centre, their products, exact over all tasks."""
+    upper = np.triu_indices(size)
 
-    def run(batches):
+    def partial(batches):
         n, total, square = 0, np.zeros(size, object), np.zeros((size, size), object)
         for batch in batches:
             x = _matrix(batch.column(0), size)
@@ -113,46 +140,33 @@ def _sums(rows: DataFrame, size: int, centre: list[int] | None) -> tuple[int, li
                 y = x[at : at + 4096]
                 y = y - np.array(centre, np.int64) if centre else y
                 n += len(y)
-                total += y.astype(object).sum(axis=0) if len(y) else 0
+                total += y.astype(object).sum(axis=0)
                 if centre:
                     square += _gram(y)
-        i, j, v = [0], [0], [n]
-        for k in range(size):
-            i.append(1)
-            j.append(k)
-            v.append(total[k])
-        if centre:
-            a, b = np.triu_indices(size)
-            i += (a + 2).tolist()
-            j += b.tolist()
-            v += square[a, b].tolist()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array([str(s) for s in v])], names=["i", "j", "v"]
-        )
-
-    part = rows.select("x").mapInArrow(run, "i int, j int, v string").withColumn("v", F.col("v").cast("decimal(38,0)"))
-    found = {(r["i"], r["j"]): int(r["v"]) for r in part.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()}
-    n = found.get((0, 0), 0)
-    total = [found.get((1, k), 0) for k in range(size)]
+        return [int(v) for v in (n, *total, *(square[upper] if centre else ()))] if n else None
+
+    n, *found = _added(rows.select("x"), partial) or [0] * (1 + size + len(upper[0]))
     square = None
     if centre:
-        square = [[found.get((min(a, b) + 2, max(a, b)), 0) for b in range(size)] for a in range(size)]
-    return n, total, square
+        half = np.zeros((size, size), object)
+        half[upper] = found[size:]
+        square = (half + np.triu(half, 1).T).tolist()
+    return n, found[:size], square
 
 
 def pivoted_cholesky(v: np.ndarray) -> np.ndarray:
     """L with v = L L', one column for each positive pivot; the largest pivot left goes first.
 
-    In the order of the pivots L is lower triangular; its rows are those of v. It ends where the pivot left is
-    lost in rounding, so a matrix of lower rank has a narrower factor.
+    In the order of the pivots L is lower triangular; its rows are those of v. A pivot that is lost in
+    the rounding of its own diagonal entry is none, so a matrix of lower rank has a narrower factor.
     """
     size = len(v)
     left, diagonal = v.astype(float).copy(), np.diag(v).astype(float).copy()
-    floor = size * np.finfo(float).eps * max(diagonal.max(initial=0), 0)
+    floor = size * np.finfo(float).eps * diagonal
     columns = []
     for _ in range(size):
-        p = int(diagonal.argmax())
-        if diagonal[p] <= floor:
+        p = int(np.where(diagonal > floor, diagonal, 0).argmax())
+        if diagonal[p] <= floor[p]:
             break
         column = left[:, p] / np.sqrt(diagonal[p])
         columns.append(column)
@@ -247,25 +261,16 @@ def identity_error(rows: DataFrame, model: Whitening, most: int) -> float | None
         return None
     size = len(model.centre)
 
-    def run(batches):
+    def partial(batches):
         n, total, square = 0, np.zeros(k), np.zeros((k, k))
         for batch in batches:
             z = _whitened(_matrix(batch.column(0), size), model, k)
             n, total, square = n + len(z), total + z.sum(0), square + z.T @ z
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([0] + [1] * k + np.repeat(np.arange(k) + 2, k).tolist(), pa.int32()),
-                pa.array([0] + list(range(k)) + np.tile(np.arange(k), k).tolist(), pa.int32()),
-                pa.array([float(n), *total, *square.ravel()], pa.float64()),
-            ],
-            names=["i", "j", "v"],
-        )
-
-    sums = rows.select("x").mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    found = {(r["i"], r["j"]): r["v"] for r in sums.collect()}
-    n = found[0, 0]
-    mean = np.array([found[1, j] for j in range(k)]) / n
-    second = np.array([[found[i + 2, j] for j in range(k)] for i in range(k)]) / n
+        return [n, *total.tolist(), *square.ravel().tolist()] if n else None
+
+    n, *found = _added(rows.select("x"), partial)
+    mean = np.array(found[:k], float) / n
+    second = np.array(found[k:], float).reshape(k, k) / n
     return float(np.abs(second - np.outer(mean, mean) - np.eye(k)).max())
 
 

@@ -47,7 +47,9 @@ class Merges:
         self.length = [len(s) for s in spelt]
         self.compatible: dict[tuple[int, int], bool] = {}
         # A token that the merges never make of its own spelling is not in the automaton.
-        made = [t < symbols or self._stay(*self.halves[t], t) for t in range(len(spelt))]
+        made = [True] * symbols
+        for t, (a, b) in enumerate(merges, symbols):
+            made.append(made[a] and made[b] and self._stay(a, b, t))
         number = {s: t for t, s in enumerate(spelt) if made[t]}
         self.automaton = ahocorasick.Automaton()
         for s, t in number.items():

@@ -23,9 +23,11 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +35,14 @@ from pyspark.sql import functions as F
 
 from headcount.llm.bpe import byte_letters
 from headcount.llm.shared import cut, table, with_field
+from headcount.llm.word_bpe import PLAIN
 
 #: Code points of text whose segments are aligned together; a longer text is a chunk by itself.
-CHUNK = 16_000_000
+CHUNK = 4_000_000
 #: Products are expanded in pieces of about this many entries.
-PIECE = 4_000_000
+PIECE = 1_000_000
+#: Segments given to the tokenizers at once.
+TOGETHER = 2_000
 #: A space behind something that is white space to nobody, with all up to the next one.
 SEGMENT = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
 
@@ -129,12 +134,38 @@ def incidence(ids: np.ndarray, group: np.ndarray, n_groups: int, width: int) ->
     return compressed(group, ids, np.ones(len(ids), np.int64), n_groups, width)
 
 
+class Table:
+    """The bytes of each token behind one another, and where they are."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.sizes = np.array([len(t) for t in tokens])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.joined = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def text(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of these tokens."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.joined[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def spells(self, ids: np.ndarray, n: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of segments with n tokens each and ``sizes`` bytes of raw, whether the tokens' bytes are those."""
+        made = np.diff(np.concatenate([[0], np.cumsum(self.sizes[ids])])[np.concatenate([[0], np.cumsum(n)])])
+        same = made == sizes
+        wrong = np.cumsum(np.concatenate([[0], self.text(ids[np.repeat(same, n)]) != raw[np.repeat(same, sizes)]]))
+        ends = np.cumsum(sizes[same])
+        same[same] = wrong[ends] == wrong[ends - sizes[same]]
+        return same
+
+
 class Tokenizers:
     """The two tokenizers, with the bytes of each token. One per worker and pair of files."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
+        import tiktoken
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -144,28 +175,41 @@ class Tokenizers:
         with open(path_a, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         byte = {ord(x): i for i, x in enumerate(byte_letters())}
-        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
-        for s, t in vocabulary.items():
-            self.bytes_a[t] = s.translate(byte).encode("latin-1")
+        ranks = {s.translate(byte).encode("latin-1"): t for s, t in vocabulary.items()}
+        # The same vocabulary in a faster library, for letters that both class alike.
+        self.plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        of = {t: s for s, t in ranks.items()}
+        self.table_a = Table([of.get(t, b"") for t in range(max(of) + 1)])
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_b = []
-        for t in range(self.b.get_piece_size()):
-            piece = self.b.id_to_piece(t)
-            self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(t) else piece.replace("▁", " ").encode())
+        pieces = [self.b.id_to_piece(t) for t in range(self.b.get_piece_size())]
+        self.table_b = Table(
+            [bytes([int(s[3:5], 16)]) if self.b.is_byte(t) else s.replace("▁", " ").encode() for t, s in enumerate(pieces)]
+        )
         self.space = self.b.piece_to_id("▁")
-        self.sizes_a, self.sizes_b = np.array([len(x) for x in self.bytes_a]), np.array([len(x) for x in self.bytes_b])
-
-    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of both for segments that start with a space, and whether the bytes of both are the segment's."""
-        a = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
-        # B adds the first space itself, but not to an empty text.
-        b = self.b.encode([s[1:] for s in segments], num_threads=1)
-        b = [ids or [self.space] for ids in b]
-        same = [
-            b"".join([self.bytes_a[t] for t in x]) == (raw := s.encode()) and b"".join([self.bytes_b[t] for t in y]) == raw
-            for s, x, y in zip(segments, a, b)
-        ]
-        return a, b, np.array(same, bool)
+        self.sizes_a, self.sizes_b = self.table_a.sizes, self.table_b.sizes
+
+    def _a(self, segments: list[str]) -> list[list[int]]:
+        plain = self.plain.encode_ordinary
+        return [plain(s) if max(s) < PLAIN else self.a.encode(s, add_special_tokens=False).ids for s in segments]
+
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and number of tokens of A, those of B, for segments that start with a space; whether both have its bytes."""
+        parts = [[np.zeros(0, np.int64)] for _ in range(5)]
+        for i in range(0, len(segments), TOGETHER):
+            some = segments[i : i + TOGETHER]
+            raw = [s.encode() for s in some]
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+            raw, same = np.frombuffer(b"".join(raw), np.uint8), True
+            # B adds the first space itself, but not to an empty text.
+            sides = self._a(some), [ids or [self.space] for ids in self.b.encode([s[1:] for s in some], num_threads=1)]
+            for k, (side, table) in enumerate(zip(sides, (self.table_a, self.table_b))):
+                n = np.fromiter(map(len, side), np.int64, len(side))
+                ids = np.fromiter(chain.from_iterable(side), np.int64, int(n.sum()))
+                same = same & table.spells(ids, n, raw, sizes)
+                parts[2 * k].append(ids)
+                parts[2 * k + 1].append(n)
+            parts[4].append(same)
+        return tuple(np.concatenate(x) for x in parts)
 
 
 @functools.cache
@@ -198,10 +242,10 @@ class Aligned:
 
 def align_segments(texts: list[str], own: Tokenizers) -> Aligned:
     """All segments as one block-diagonal product: a segment ends both a token of A and one of B."""
-    a, b, same = own.encode(texts)
-    a, b = ([x if ok else [] for x, ok in zip(side, same)] for side in (a, b))
-    start_a, start_b = (np.concatenate([[0], np.cumsum([len(x) for x in side])]).astype(np.int64) for side in (a, b))
-    ids_a, ids_b = (np.fromiter((t for x in side for t in x), np.int64) for side in (a, b))
+    ids_a, n_a, ids_b, n_b, same = own.encode(texts)
+    same = same.astype(bool)
+    ids_a, ids_b = ids_a[np.repeat(same, n_a)], ids_b[np.repeat(same, n_b)]
+    start_a, start_b = (np.concatenate([[0], np.cumsum(n * same)]) for n in (n_a, n_b))
     sizes_a, sizes_b = own.sizes_a[ids_a], own.sizes_b[ids_b]
     overlap = product(by_bytes(sizes_a), transposed(by_bytes(sizes_b)))
     if len(ids_a):
@@ -231,16 +275,20 @@ class _Numbers(dict):
         return n
 
 
-def _spelt(aligned: Aligned) -> list[str]:
+def _joined(strings: pa.Array, starts: np.ndarray, mark: str) -> pa.Array:
+    """Runs of strings, each run joined by a mark."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), strings), pa.scalar(mark, pa.large_string()))
+
+
+def _spelt(aligned: Aligned) -> pa.Array:
     """Each segment's groups as text: ids of A, a bar, ids of B; groups parted by semicolons."""
     n = int(aligned.start_group[-1])
     parts = []
     for ids, group in ((aligned.ids_a, aligned.group_a), (aligned.ids_b, aligned.group_b)):
-        names, at = list(map(str, ids.tolist())), np.searchsorted(group, np.arange(n + 1)).tolist()
-        parts.append([",".join(names[x:y]) for x, y in zip(at, at[1:])])
-    whole = [f"{x}|{y}" for x, y in zip(*parts)]
-    at = aligned.start_group.tolist()
-    return [";".join(whole[x:y]) for x, y in zip(at, at[1:])]
+        names = pa.array(ids).cast(pa.large_string())
+        parts.append(_joined(names, np.searchsorted(group, np.arange(n + 1)), ","))
+    whole = pc.binary_join_element_wise(*parts, pa.scalar("|", pa.large_string()))
+    return _joined(whole, aligned.start_group, ";")
 
 
 def _chunk(texts: list[str], own: Tokenizers) -> tuple[list[tuple], dict]:
@@ -272,8 +320,8 @@ def _chunk(texts: list[str], own: Tokenizers) -> tuple[list[tuple], dict]:
             figures.append((0, 0, 0, 0, ""))
             sizes.append(0)
             continue
-        line = ";".join([spelt[i] for i in found.tolist()])
-        figures.append((*(int(x[found].sum()) for x in (n_a, n_b, n_groups, n_links)), hashlib.sha256(line.encode()).hexdigest()))
+        line = _joined(spelt.take(pa.array(found)), np.array([0, len(found)]), ";")[0].as_buffer()
+        figures.append((*(int(x[found].sum()) for x in (n_a, n_b, n_groups, n_links)), hashlib.sha256(line).hexdigest()))
         different, n = np.unique(found, return_counts=True)
         used.append(different)
         times.append(n)

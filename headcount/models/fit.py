@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from headcount.functions.columns import name
 from headcount.functions.special import digamma, lgamma, nb_log_pmf, nb_zero, poisson_log_pmf, trigamma
-from headcount.models.table import ALL_ZERO, REFERENCE, Design, parameter, parameters
+from headcount.models.table import ALL_ZERO, REFERENCE, Design, _aliased, parameter, parameters
 
 # A theta that moves beyond this belongs to an outcome that is not over-dispersed.
 POISSON_THETA = 1e6
@@ -29,7 +29,11 @@ class NotConverged(RuntimeError):
 
 @dataclass
 class Fit:
-    """A fitted model. ``zero`` holds the zero-inflation coefficients of a ZINB model."""
+    """A fitted model. ``zero`` holds the zero-inflation coefficients of a ZINB model.
+
+    Those of ``zero_live`` are finite and relative to ``zero_reference``; levels in ``closed`` have no
+    structural zeros, the limit of their coefficient. All of them count as parameters.
+    """
 
     model: str
     design: Design
@@ -45,6 +49,9 @@ class Fit:
     iterations: int = 0
     converged: bool = True
     fixed_theta: bool = field(default=False)
+    closed: list[tuple[str, str]] = field(default_factory=list)
+    zero_live: list[int] = field(default_factory=list)
+    zero_reference: dict[str, str] = field(default_factory=dict)
 
     @property
     def n_parameters(self) -> int:
@@ -63,7 +70,7 @@ class Fit:
         """Probability of a structural zero of each pattern."""
         if self.zero is None:
             return "0D"
-        none = f"{self.design.set_aside()} OR {never_zero(self.design)}"
+        none = f"{self.design.set_aside()} OR {never_zero(self.design, self.closed)}"
         return f"CASE WHEN {none} THEN 0D ELSE {logistic(self.design.linear(self.zero))} END"
 
     def log_pmf(self, x: str) -> str:
@@ -75,15 +82,15 @@ class Fit:
         return "exp(-mu)" if self.theta is None else nb_zero("mu", "t")
 
 
-def never_zero(design: Design) -> str:
-    """Whether a pattern has a level without any zero, whose structural zeros are none at the limit."""
-    tests = []
-    for term, level in design.no_zeros:
-        own = design.terms.index((term, level)) if (term, level) in design.terms else None
-        if own is not None:
-            tests.append(f"{name(design.index[term])} = {own}")
-        elif not any(t == term for t, _ in design.aliased):
-            tests.append(f"{name(design.index[term])} = {REFERENCE}")
+def _has_level(design: Design, level: tuple[str, str]) -> str:
+    """Whether a pattern has a level, a reference included."""
+    own = design.terms.index(level) if level in design.terms else REFERENCE
+    return f"{name(design.index[level[0]])} = {own}"
+
+
+def never_zero(design: Design, closed: Sequence[tuple[str, str]]) -> str:
+    """Whether a pattern has a level whose structural zeros are none at the limit."""
+    tests = [_has_level(design, t) for t in closed]
     return f"({' OR '.join(tests)})" if tests else "false"
 
 
@@ -410,42 +417,81 @@ def fit_ols(design: Design) -> Fit:
 
 def _ascent(hessian: np.ndarray, gradient: np.ndarray) -> np.ndarray:
     """Newton direction with the curvature made negative definite, so that it always points uphill."""
+    if not len(gradient):
+        return np.zeros(0)
     values, vectors = np.linalg.eigh(-hessian)
     size = np.maximum(np.abs(values), 1e-8 * max(1.0, np.max(np.abs(values))))
     return vectors @ ((vectors.T @ gradient) / size)
 
 
+def _zero_part(design: Design, closed: Sequence[tuple[str, str]]) -> tuple[np.ndarray, dict[str, str]]:
+    """Coefficients of the zero part that can be told apart while ``closed`` levels have no structural zeros.
+
+    If a factor's reference is closed its first open level takes the place. Coefficients that the open
+    patterns do not tell apart are left out, as aliased levels are in the count part.
+    """
+    reference, dropped = dict(design.reference), set()
+    for term in design.index:
+        if (term, reference[term]) in closed:
+            left = [level for t, level in design.terms if t == term and (t, level) not in closed]
+            if not left:
+                return np.zeros(0, int), reference
+            reference[term] = left[0]
+            dropped.add(design.terms.index((term, left[0])))
+    open_rows = f"CASE WHEN {never_zero(design, closed)} THEN 0D ELSE n END"
+    gram = pair_sums(design, design.fitted, pair={"xx": open_rows})["xx"]
+    kept = np.array([i for i in range(design.p) if i not in dropped], int)
+    spanned = set(_aliased(gram[np.ix_(kept, kept)]))
+    return np.array([i for k, i in enumerate(kept) if k not in spanned], int), reference
+
+
+#: A level may close when it is expected to have fewer structural zeros than this.
+FEW = 1.0
+#: How often a level may close again after it was opened.
+MAX_OPENINGS = 2
+
+
 def fit_zinb(
-    design: Design, start: Fit | None = None, max_iter: int = 20, tol: float = 1e-12, allow_unconverged: bool = False
+    design: Design, start: Fit | None = None, max_iter: int = 60, tol: float = 1e-12, allow_unconverged: bool = False
 ) -> Fit:
     """Zero-inflated negative binomial, the same factors in the count and the zero part.
 
     Newton's method on the likelihood of the data as observed, over all coefficients and
     log(theta) together, from the plain negative binomial fit. Each pass is one aggregation that
-    brings the log-likelihood, its gradient and its curvature.
-
-    A level without any zero has no structural zeros: its zero part is at its limit, a probability
-    of 0, and takes no part in the fit. A fit that does not settle raises ``NotConverged``; one reason is
-    a level whose zeros the count part explains in full, whose zero part then has no finite
-    coefficient either.
+    brings the log-likelihood, its gradient and its curvature. Where no Newton step raises the
+    likelihood, a step of the EM kind does: the curvature of the complete data, which is always
+    definite. No step that lowers the likelihood is taken.
+
+    The zero part of a level has no maximum if the count part explains its zeros: the likelihood rises
+    for ever as the probability of a structural zero goes to 0. Such a level, a reference too, is
+    *closed* as soon as that raises the likelihood: its probability is 0 from then on. When the rest
+    has settled, the slope of the likelihood at that limit is tested, and a level that would gain from
+    structural zeros is opened again. Levels without any zero are closed from the start. With all
+    closed the model is the negative binomial, so its likelihood is never below that. Closed levels are
+    named in ``closed``. A fit that does not settle raises ``NotConverged``.
     """
     nb = start or fit_nb(design)
     if nb.theta is None:
         raise ValueError("the outcome is not over-dispersed, so there is no zero-inflated negative binomial fit")
     p = design.p
-    never = never_zero(design)
-    dead = [i for i, t in enumerate(design.terms) if t in design.no_zeros]
-    live = np.array([i for i in range(2 * p + 1) if i - p not in dead])
+    levels = [t for t in design.terms[1:]]
+    aliased = {t for t, _ in design.aliased}
+    levels += [(t, level) for t, level in design.reference.items() if t not in aliased]
+    closed = list(design.no_zeros)
+    opened: dict[tuple[str, str], int] = {}
 
-    def evaluate(x: np.ndarray) -> dict:
+    def evaluate(x: np.ndarray, closed: Sequence[tuple[str, str]], zero: np.ndarray) -> dict:
         beta, gamma, theta = x[:p], x[p : 2 * p], math.exp(x[2 * p])
         # A zero is a count zero with probability c = 1 - r; v is the variance of the split. e and g
         # are the derivatives of log f(0) in the linear predictor and in theta.
+        tests = [_has_level(design, t) for t in closed]
+        shut = " + ".join(f"CAST({t} AS INT)" for t in tests) or "0"
         rows = (
             _with_mean(design.fitted, design.linear(beta), theta)
-            .selectExpr("*", f"CASE WHEN {never} THEN 0D ELSE {logistic(design.linear(gamma))} END AS pi")
+            .selectExpr("*", f"{design.linear(gamma)} AS ez", f"{shut} AS shut")
+            .selectExpr("*", f"CASE WHEN shut > 0 THEN 0D ELSE {logistic('ez')} END AS pi")
             .selectExpr("*", f"{nb_zero('mu', 't')} AS f0", "n - n0 AS m", "-t * mu / d AS e", "ln(t / d) + mu / d AS g")
-            .selectExpr("*", "pi / (pi + (1D - pi) * f0) AS r")
+            .selectExpr("*", "CASE WHEN pi > 0 THEN pi / (pi + (1D - pi) * f0) ELSE 0D END AS r")
             .selectExpr("*", "1D - r AS c", "r * (1D - r) AS v")
         )
         sums = pair_sums(
@@ -455,10 +501,13 @@ def fit_zinb(
                 "cc": "n0 * (v * e * e - c * t * t * mu / (d * d)) - t * mu * (s + m * t) / (d * d)",
                 "cz": "-n0 * v * e",
                 "zz": "n0 * v - n * pi * (1D - pi)",
+                "whole_c": "t * mu * (s + (n0 * c + m) * t) / (d * d)",
+                "whole_z": "n * pi * (1D - pi)",
             },
             single={
                 "sc": "n0 * c * e + t * (s - m * mu) / d",
                 "sz": "n0 * r - n * pi",
+                "few": "n * pi",
                 "ct": "t * (n0 * (v * e * g - c * mu * mu / (d * d)) + (s - m * mu) * mu / (d * d))",
                 "zt": "-t * n0 * v * g",
             },
@@ -468,6 +517,9 @@ def fit_zinb(
                 "st": "t * (n0 * c * g + m * ln(t / d) + m - (s + m * t) / d)",
                 "tt": "n0 * (t * t * (v * g * g + c * mu * mu / (t * d * d)) + t * c * g)"
                 " + t * t * (m / t - 2D * m / d + (s + m * t) / (d * d)) + t * (m * ln(t / d) + m - (s + m * t) / d)",
+                # Slope of the likelihood in the odds of a structural zero, where one closed level alone keeps it at 0.
+                **{f"slope_{i}": f"CASE WHEN shut = 1 AND {t} THEN exp(ez) * (n0 / f0 - n) ELSE 0D END" for i, t in enumerate(tests)},
+                **{f"size_{i}": f"CASE WHEN shut = 1 AND {t} THEN exp(ez) * n ELSE 0D END" for i, t in enumerate(tests)},
             },
             values={k: VALUE_TERMS[k] for k in ("v_loglik", "v_score", "v_curvature")},
             theta=theta,
@@ -480,37 +532,122 @@ def fit_zinb(
         h[p : 2 * p, -1] = h[-1, p : 2 * p] = sums["zt"]
         h[-1, -1] = sums["tt"] + theta * theta * sums["v_curvature"] + theta * sums["v_score"]
         score = np.concatenate([sums["sc"], sums["sz"], [sums["st"] + theta * sums["v_score"]]])
-        return {"loglik": sums["loglik"] + sums["v_loglik"], "gradient": score[live], "hessian": h[np.ix_(live, live)]}
-
-    def spread(move: np.ndarray) -> np.ndarray:
+        live = np.concatenate([np.arange(p), p + zero, [2 * p]])
+        whole = np.zeros((q, q))
+        whole[:p, :p], whole[p : 2 * p, p : 2 * p] = sums["whole_c"], sums["whole_z"]
+        whole[-1, -1] = max(abs(h[-1, -1]), abs(score[-1]))
+        # What a level has: its own coefficient's sums, or for a reference those of no other level.
+        has = {}
+        for term, level in levels:
+            if (term, level) in design.terms:
+                k = design.terms.index((term, level))
+                has[term, level] = (sums["sz"][k], sums["few"][k])
+            else:
+                other = [k for k, (t, _) in enumerate(design.terms) if t == term]
+                has[term, level] = tuple(sums[m][0] - sums[m][other].sum() for m in ("sz", "few"))
+        return {
+            "loglik": sums["loglik"] + sums["v_loglik"], "gradient": score[live], "hessian": h[np.ix_(live, live)],
+            "whole": whole[np.ix_(live, live)], "live": live, "has": has,
+            "gain": {t: sums[f"slope_{i}"] / max(sums[f"size_{i}"], 1e-300) for i, t in enumerate(closed)},
+        }
+
+    def spread(move: np.ndarray, live: np.ndarray) -> np.ndarray:
         out = np.zeros(2 * p + 1)
         out[live] = move
         return out
 
+    def uphill(x: np.ndarray, at: dict, move: np.ndarray) -> tuple[np.ndarray, dict] | None:
+        move = move * min(1.0, 4.0 / max(np.max(np.abs(move)), 1e-300))
+        scale = 1.0
+        for _ in range(MAX_HALVINGS):
+            to = x + scale * spread(move, at["live"])
+            trial = evaluate(to, closed, zero)
+            if trial["loglik"] > at["loglik"]:
+                return to, trial
+            scale /= 2
+        return None
+
+    def without(x: np.ndarray, more: Sequence[tuple[str, str]]) -> tuple[list, np.ndarray, dict, np.ndarray]:
+        """The point with further levels closed, its coefficients moved to the references then in use."""
+        now = [*closed, *more]
+        zero, reference = _zero_part(design, now)
+        to = x.copy()
+        if not len(zero):
+            # Nothing is left to inflate: the model is the one without a zero part.
+            to[:p], to[p : 2 * p], to[2 * p] = nb.beta, 0.0, math.log(nb.theta)
+            return now, zero, reference, to
+        for term, level in reference.items():
+            if level != design.reference[term] and (base := x[p + design.terms.index((term, level))]):
+                own = [k for k, (t, _) in enumerate(design.terms) if t == term]
+                to[p] += base
+                for k in own:
+                    to[p + k] -= base
+        gone = np.setdiff1d(np.arange(p), zero)
+        to[p + gone] = 0.0
+        return now, zero, reference, to
+
     x = np.zeros(2 * p + 1)
     x[:p], x[2 * p] = nb.beta, math.log(nb.theta)
     x[p] = -3.0
-    at = evaluate(x)
+    zero, reference = _zero_part(design, closed)
+    at = evaluate(x, closed, zero)
     converged, iteration = False, 0
+    refused: set[tuple[str, str]] = set()
     for iteration in range(1, max_iter + 1):
+        leaving = [
+            t for t, (slope, few) in at["has"].items()
+            if t not in closed and t not in refused and opened.get(t, 0) < MAX_OPENINGS and slope < 0 and few < FEW
+        ]
+        if leaving:
+            now, fewer, base, to = without(x, leaving)
+            trial = evaluate(to, now, fewer)
+            if trial["loglik"] >= at["loglik"] - 1e-12 * abs(at["loglik"]):
+                closed, zero, reference, x, at = now, fewer, base, to, trial
+                continue
+            refused.update(leaving)  # the likelihood would fall here: try again from the next point
         move = _ascent(at["hessian"], at["gradient"])
-        move *= min(1.0, 4.0 / max(np.max(np.abs(move)), 1e-300))
         # Half the squared Newton decrement is the log-likelihood still to be gained.
         if 0.5 * float(move @ at["gradient"]) < tol:
-            converged = True
-            break
-        scale, trial = 1.0, None
-        for _ in range(MAX_HALVINGS):
-            trial = evaluate(x + scale * spread(move))
-            if trial["loglik"] > at["loglik"]:
+            back = [t for t, gain in at["gain"].items() if gain > 1e-6 and opened.get(t, 0) < MAX_OPENINGS]
+            if not back:
+                converged = True
                 break
-            scale /= 2
-        else:
+            # A level that would gain opens with odds small enough for the gain to show.
+            level = max(back, key=at["gain"].get)
+            opened[level] = opened.get(level, 0) + 1
+            kept = [t for t in closed if t != level]
+            wider, base = _zero_part(design, kept)
+            place = design.terms.index(level) if level in design.terms else None
+            found = None
+            for low in (-2.0, -4.0, -6.0, -8.0, -12.0):
+                to = x.copy()
+                if len(zero) == 0:
+                    to[p] = low
+                elif place is not None and base[level[0]] != level[1]:
+                    to[p + place] = low
+                else:
+                    # The level is the reference again: the others move relative to it.
+                    own = [k for k, (t, _) in enumerate(design.terms) if t == level[0] and k in wider]
+                    to[p] += low
+                    to[[p + k for k in own]] -= low
+                trial = evaluate(to, kept, wider)
+                if trial["loglik"] > at["loglik"]:
+                    found = to, trial
+                    break
+            if found is None:
+                converged = True  # the gain is lost in rounding
+                break
+            closed, zero, reference, (x, at) = kept, wider, base, found
+            refused.clear()
+            continue
+        step = uphill(x, at, move) or uphill(x, at, _ascent(-at["whole"], at["gradient"]))
+        if step is None:
             break
-        x, at = x + scale * spread(move), trial
+        x, at = step
+        refused.clear()
     information = -at["hessian"]
     vcov = np.zeros((2 * p + 1, 2 * p + 1))
-    vcov[np.ix_(live, live)] = np.linalg.pinv(information, hermitian=True)
+    vcov[np.ix_(at["live"], at["live"])] = np.linalg.pinv(information, hermitian=True)
     theta = math.exp(x[2 * p])
     variance = vcov[-1, -1]
     fit = Fit(
@@ -525,5 +662,8 @@ def fit_zinb(
         zero_vcov=vcov[p : 2 * p, p : 2 * p],
         iterations=iteration,
         converged=converged,
+        closed=sorted(closed, key=levels.index) if len(zero) else levels,
+        zero_live=[int(k) for k in zero],
+        zero_reference=reference,
     )
     return _settled(fit, allow_unconverged)

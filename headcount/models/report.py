@@ -57,9 +57,14 @@ def _parts(fit: Fit) -> list[tuple[str, np.ndarray, np.ndarray]]:
     return parts
 
 
-def _at_limit(fit: Fit, part: str, term: str, level: str) -> bool:
-    """Whether a level of the zero part has no zeros at all: its coefficient is minus infinity."""
-    return part == "zero" and (term, level) in fit.design.no_zeros
+def _at_limit(fit: Fit, part: str, i: int) -> bool:
+    """Whether a coefficient of the zero part is at its limit, minus infinity, or relative to such a one."""
+    return part == "zero" and i not in fit.zero_live
+
+
+def _base(fit: Fit, part: str) -> dict[str, str]:
+    """The level that a factor's coefficients are relative to: in the zero part the first with a finite one."""
+    return fit.zero_reference if part == "zero" else fit.design.reference
 
 
 def _se(vcov: np.ndarray, i: int) -> float | None:
@@ -68,12 +73,18 @@ def _se(vcov: np.ndarray, i: int) -> float | None:
 
 def coef_table(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
     """One row per coefficient. A level without a finite one is listed with NULL figures: its outcome
-    is always 0, or never 0 (zero part), or the terms before it span its indicator."""
+    is always 0, or the count part explains its zeros (zero part), or the terms before it span its
+    indicator. Where that is a reference of the zero part, the factor's first other level takes its place."""
     rows = []
     for fit in fits:
         for part, values, vcov in _parts(fit):
+            base = _base(fit, part)
+            moved = [(t, level) for t, level in fit.design.reference.items() if base[t] != level]
+            rows += [(fit.model, part, term, level, None, None, None, None) for term, level in moved]
             for i, (term, level) in enumerate(fit.design.terms):
-                if _at_limit(fit, part, term, level):
+                if base.get(term) == level:
+                    continue
+                if _at_limit(fit, part, i):
                     rows.append((fit.model, part, term, level, None, None, None, None))
                     continue
                 se = _se(vcov, i)
@@ -117,11 +128,17 @@ def rate_ratio_table(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
             float(fit.loglik),
         )
         for part, values, vcov in _parts(fit):
+            base = _base(fit, part)
             for term, level in fit.design.reference.items():
-                rows.append((fit.model, part, term, level, True, 1.0, None, None, None, None, *tail))
-            for i, (term, level) in enumerate(fit.design.terms):
-                if _at_limit(fit, part, term, level):
+                rows.append((fit.model, part, term, base[term], True, 1.0, None, None, None, None, *tail))
+                if base[term] != level:
                     rows.append((fit.model, part, term, level, False, 0.0, None, None, None, None, *tail))
+            for i, (term, level) in enumerate(fit.design.terms):
+                if base.get(term) == level:
+                    continue
+                if _at_limit(fit, part, i):
+                    ratio = 0.0 if i == 0 or (term, level) in fit.closed else None
+                    rows.append((fit.model, part, term, level, False, ratio, None, None, None, None, *tail))
                     continue
                 b, se = float(values[i]), _se(vcov, i)
                 low = high = p = None

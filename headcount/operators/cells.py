@@ -4,6 +4,10 @@ Answers are integers from a small domain, so grouping on the value itself shrink
 rows to at most (groups x distinct values) cells, with the work done by map-side combining in
 generated code. Means, deviations, exact quantiles, boxes and tables all follow from the cells. A
 group that holds a third of all rows is then no larger than any other.
+
+Measured columns (doubles, decimals) have about as many values as rows, so counting them first would
+shuffle the table. Their rows are cells of one row each: moments are combined on the map side, and
+quantiles are selected digit by digit of an order-keeping 64-bit form of the value.
 """
 
 from __future__ import annotations
@@ -32,8 +36,20 @@ def require_integer(df: DataFrame, cols: Sequence[str]) -> None:
             )
 
 
+def is_measured(df: DataFrame, col: str) -> bool:
+    """Whether a column holds measurements and not counts or codes; a column without an order as a number raises."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, _INTEGER):
+        return False
+    if isinstance(kind, T.FractionalType) and not (isinstance(kind, T.DecimalType) and kind.precision > 18):
+        return True
+    raise TypeError(f"column {col!r} is {kind.simpleString()}; summaries are for numbers of 18 digits at most")
+
+
 def value_cells(df: DataFrame, keys: Sequence, value: str) -> DataFrame:
-    """One row per (keys, value) with its row count ``n``."""
+    """One row per (keys, value) with its row count ``n``; of a measured column, one row per row of df."""
+    if is_measured(df, value):
+        return df.select(*keys, F.col(value).alias(VALUE), F.lit(1).cast("long").alias(N))
     return df.groupBy(*keys, F.col(value).alias(VALUE)).agg(F.count("*").alias(N))
 
 
@@ -70,9 +86,8 @@ STATISTICS = {
 }
 QUANTILES = {"q25": "_q0", "median": "_q1", "q75": "_q2", "iqr": "_q2 - _q0"}
 
-# Values that share all but their last 16 bits are one range: at most 65,536 cells in order, and a
-# row for each range that occurs.
-_RANGE = "shiftright(CAST({} AS BIGINT), 16)"
+#: Cells that one window may put in order, and values that share all but the last 16 bits.
+ORDERED = 65_536
 _POINTS = (0.25, 0.5, 0.75)
 
 
@@ -92,32 +107,38 @@ def _rest(df: DataFrame, keys: Sequence[str]) -> list[str]:
     return [name(c) for c in df.columns if c not in keys]
 
 
-def _ranges(cells: DataFrame, keys: Sequence[str], of: str, weight: str) -> DataFrame:
-    """(keys, _range, _n, _before, _total): the rows in each range of values and in those below it."""
-    part = cells.groupBy(*keys, F.expr(of).alias("_range")).agg(F.expr(f"sum({weight}) AS _n"))
-    group = f"PARTITION BY {', '.join(name(k) for k in keys)}"
-    below = f"{group} ORDER BY _range ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    return part.selectExpr(
-        "*", f"coalesce(sum(_n) OVER ({below}), 0) AS _before", f"sum(_n) OVER ({group}) AS _total"
-    )
+def order_key(kind: T.DataType, v: str = VALUE) -> str:
+    """SQL for a BIGINT that keeps the order of a number and tells its values apart.
 
+    Integers are their own key and decimals their unscaled number. Of a double it is what its 64 bits
+    say of the magnitude: with e its binary exponent, 2^52 (e + 1022) + |v| 2^(52 - e), with the sign.
+    The powers of two are exact, so is the key. Infinities and NaN come last, as Spark orders them.
+    """
+    if isinstance(kind, T.DecimalType):
+        return f"CAST({v} * {10 ** kind.scale}BD AS BIGINT)"
+    if not isinstance(kind, (T.DoubleType, T.FloatType)):
+        return f"CAST({v} AS BIGINT)"
+    size = f"abs(CAST({v} AS DOUBLE))"
+    # log2 may be off by one next to a power of two, which the size of the fraction tells.
+    e = f"CAST(greatest(-1022D, floor(log2({size}))) AS INT)"
+    # Two factors, as one power could overflow.
+    fraction = "({size} * pow(2D, CAST(26 - floor({e} / 2D) AS DOUBLE)) * pow(2D, CAST(26 - ({e} - floor({e} / 2D)) AS DOUBLE)))"
+    scaled = fraction.format(size=size, e="_e")
+    exact = f"CASE WHEN {scaled} >= 9007199254740992D THEN _e + 1 WHEN {scaled} < 4503599627370496D AND _e > -1022 THEN _e - 1 ELSE _e END"
+    key = f"4503599627370496L * (_f + 1022) + CAST({fraction.format(size=size, e='_f')} AS BIGINT)"
+    # Names for the steps: each is a one-element array that the next one maps.
+    finite = f"transform(transform(array({e}), _e -> {exact}), _f -> {key})[0]"
+    return (
+        f"CASE WHEN isnan({v}) THEN 9221120237041090560L WHEN {size} = 0D THEN 0L"
+        f" WHEN {size} > 1.7976931348623157E308D THEN CAST(sign({v}) AS BIGINT) * 9218868437227405312L"
+        f" ELSE CAST(sign({v}) AS BIGINT) * ({finite}) END"
+    )
 
-def quartiles(cells: DataFrame, keys: Sequence[str], drawn: Callable[[str], str] = "CAST({} AS DOUBLE)".format) -> DataFrame:
-    """(keys, _q0, _q1, _q2): exact quartiles of kept cells, interpolated between order statistics.
 
-    ``drawn`` is the scale on which they are interpolated; it has to keep the order. The values of a
-    key are never in one task: ranges of them are counted, and only the ranges that hold an order
-    statistic are put in order, each by itself. ``keys`` are at least one.
-    """
-    known = cells.filter("value IS NOT NULL").selectExpr(*[name(k) for k in keys], VALUE, N, f"{_RANGE.format(VALUE)} AS _range")
-    at = [f"{f}((_total - 1) * {p}D)" for p in _POINTS for f in ("floor", "ceil")]
-    hit = _ranges(known, keys, "_range", N).selectExpr("*", f"array({', '.join(at)}) AS _at")
-    hit = hit.filter("exists(_at, t -> t >= _before AND t < _before + _n)").drop("_n")
-    group = f"PARTITION BY {', '.join(name(k) for k in keys)}, _range ORDER BY {VALUE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    rows = same(known, hit, [*keys, "_range"]).selectExpr("*", f"_before + sum({N}) OVER ({group}) AS _to")
-    picked = [
-        f"max(CASE WHEN _at[{i}] < _to AND _at[{i}] >= _to - {N} THEN {drawn(VALUE)} END) AS _o{i}" for i in range(len(at))
-    ]
+def _interpolated(rows: DataFrame, keys: Sequence[str], drawn: Callable[[str], str]) -> DataFrame:
+    """(keys, _q0, _q1, _q2) from rows in order: ``_to`` rows lie up to the end of a cell, ``_at`` are wanted."""
+    at = range(2 * len(_POINTS))
+    picked = [f"max(CASE WHEN _at[{i}] < _to AND _at[{i}] >= _to - {N} THEN {drawn(VALUE)} END) AS _o{i}" for i in at]
     stats = rows.groupBy(*keys).agg(F.first("_total").alias("_total"), *[F.expr(x) for x in picked])
     between = [
         f"CASE WHEN _o{2 * i} = _o{2 * i + 1} THEN _o{2 * i} ELSE (ceil((_total - 1) * {p}D) - (_total - 1) * {p}D) * _o{2 * i}"
@@ -127,15 +148,68 @@ def quartiles(cells: DataFrame, keys: Sequence[str], drawn: Callable[[str], str]
     return stats.selectExpr(*[name(k) for k in keys], *between)
 
 
+def quartiles(
+    cells: DataFrame, keys: Sequence[str], drawn: Callable[[str], str] = "CAST({} AS DOUBLE)".format, ordered: int | None = None
+) -> DataFrame:
+    """(keys, _q0, _q1, _q2): exact quartiles of cells of any number, interpolated between order statistics.
+
+    ``drawn`` is the scale on which they are interpolated; it has to keep the order. ``keys`` are at
+    least one. Selection by digits: the values' 64-bit keys are counted by their leading 16 bits, then,
+    in the ranges that hold an order statistic, by the next 16, and so on; digits that all values share
+    are skipped. What is put in order is the cells of one last range at a time, and counts of at most
+    65,536 ranges within the range before. A table of few cells, or of small numbers, is one range.
+    Cells that are not counted yet are read once for the first digits and once for the ranges they leave.
+    """
+    ordered = ordered or ORDERED
+    own = [name(k) for k in keys]
+    known = cells.filter("value IS NOT NULL").selectExpr(*own, VALUE, N, f"{order_key(cells.schema[VALUE].dataType)} AS _key")
+    n, least, most = known.agg(F.count("*"), F.min("_key"), F.max("_key")).first()
+    at = ", ".join(f"{f}((_total - 1) * {p}D)" for p in _POINTS for f in ("floor", "ceil"))
+    group, frame = f"PARTITION BY {', '.join(own)}", "ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    shifts = [] if n <= ordered else [b for b in (48, 32, 16) if least >> b != most >> b]
+    if not shifts:
+        rows = known.selectExpr("*", f"sum({N}) OVER ({group} ORDER BY {VALUE} {frame} CURRENT ROW) AS _to", f"sum({N}) OVER ({group}) AS _total")
+        return _interpolated(rows.selectExpr("*", f"array({at}) AS _at"), keys, drawn)
+    left, before, total, parent = known, "0L", f"sum(_n) OVER ({group})", []
+    for i, bits in enumerate(shifts):
+        left = left.selectExpr(*[c for c in left.columns if c != "_range"], f"shiftright(_key, {bits}) AS _range")
+        counted = left.groupBy(*keys, *parent, "_range").agg(F.expr(f"sum({N}) AS _n"), *[F.first(c).alias(c) for c in ("_base", "_total") if i])
+        inside = f"PARTITION BY {', '.join([*own, *parent])} ORDER BY _range {frame} 1 PRECEDING"
+        counted = counted.selectExpr(
+            *own, "_range", "_n", f"{before} + coalesce(sum(_n) OVER ({inside}), 0L) AS _base", f"{total} AS _total"
+        )
+        hit = counted.selectExpr("*", f"array({at}) AS _at").filter("exists(_at, t -> t >= _base AND t < _base + _n)")
+        left = same(left.drop("_base", "_total", "_parent"), hit.drop("_n", "_at"), [*keys, "_range"])
+        left = left.withColumnRenamed("_range", "_parent")
+        if i == 0:
+            # From here on few rows are left, one for each value however often it occurs.
+            shared = [*keys, VALUE, "_key", "_parent", "_base", "_total"]
+            left = keep(left.groupBy(*shared).agg(F.sum(N).alias(N)))
+        before, total, parent = "_base", "_total", ["_parent"]
+    group = f"PARTITION BY {', '.join(own)}, _parent ORDER BY {VALUE} {frame} CURRENT ROW"
+    return _interpolated(left.selectExpr("*", f"_base + sum({N}) OVER ({group}) AS _to", f"array({at}) AS _at"), keys, drawn)
+
+
+def _moments(cells: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Statistics but quantiles; those of a measured column from its rows, combined on the map side."""
+    if isinstance(cells.schema[VALUE].dataType, _INTEGER):
+        return cells.groupBy(*keys).agg(F.sum(N).alias("_rows"), *statistics(names))
+    measured = {"mean": "avg(_v)", "sd": "stddev_samp(_v)", "variance": "var_samp(_v)", "min": "min(value)", "max": "max(value)", "total": "sum(value)", "n": "count(*)"}
+    rows = cells.selectExpr("*", "CAST(value AS DOUBLE) AS _v")
+    return rows.groupBy(*keys).agg(F.sum(N).alias("_rows"), *[F.expr(f"{measured[s]} AS {s}") for s in names])
+
+
 def summarise(cells: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """(keys, statistics) of a table of cells.
 
-    With quantiles the cells are kept first, so that the raw rows are read once for both parts.
+    With quantiles, cells that are counted are kept first, so that the raw rows are read once for both parts.
     """
-    if not set(names) & set(QUANTILES):
-        return cells.groupBy(*keys).agg(*statistics(names))
+    plain = [s for s in names if s not in QUANTILES]
+    if len(plain) == len(names):
+        return _moments(cells, keys, names).drop("_rows")
     own = [*keys, "_one"]
-    cells = keep(cells.selectExpr("*", "0 AS _one"))
-    plain = cells.groupBy(*own).agg(F.sum(N).alias("_rows"), *statistics([s for s in names if s not in QUANTILES]))
-    out = same(plain, quartiles(cells, own), own, "left")
+    cells = cells.selectExpr("*", "0 AS _one")
+    if isinstance(cells.schema[VALUE].dataType, _INTEGER):
+        cells = keep(cells)
+    out = same(_moments(cells, own, plain), quartiles(cells, own), own, "left")
     return out.selectExpr(*[name(k) for k in keys], *[f"{QUANTILES.get(s, s)} AS {s}" for s in names])

@@ -31,36 +31,53 @@ def prop_table(df: DataFrame, col: str, share: str = "share", weight: str | None
     return counts.withColumn(share, F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
-def _percentages(counts: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
-    """Percent columns over an already counted table.
+#: Counted values that one window may put in order.
+ORDERED = 65_536
+
 
-    Ranges of values are counted first, and each is put in order by itself, so a question with very
-    many values is not sorted in one task.
+def running(counts: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, out: str, ordered: int | None = None) -> DataFrame:
+    """A kept table with ``out``, the sum of ``weight`` over the rows of the same keys up to each row.
+
+    ``order`` are expressions of any type that has an order, NULL last; with the keys they have to
+    tell the rows apart. A prefix sum over sampled ranges: rows are dealt to partitions in order, each
+    partition is summed by itself, and the sums of those before are joined back. So no task holds more
+    than one range, whatever the keys and the type of the order. A table of few rows is one range.
     """
-    kind = counts.schema[order].dataType
-    if isinstance(kind, T.IntegralType):
-        of = f"shiftright(CAST({order} AS BIGINT), 16)"
-    else:
-        of = f"substring({order}, 1, 3)" if isinstance(kind, T.StringType) else "CAST(NULL AS INT)"
-    valid = f"CASE WHEN {value} IS NOT NULL THEN n END"
-    counts = keep(counts.selectExpr("*", f"{of} AS _range", f"{valid} AS _valid"))
-    group = f"PARTITION BY {', '.join(name(k) for k in keys)}"
-    totals = counts.groupBy(*keys, "_range").agg(F.sum("n").alias("_n"), F.sum("_valid").alias("_v"))
-    below = f"{group} ORDER BY _range ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    totals = totals.selectExpr(
-        *[name(k) for k in keys], "_range", f"coalesce(sum(_v) OVER ({below}), 0) AS _before",
-        f"sum(_n) OVER ({group}) AS _all", f"sum(_v) OVER ({group}) AS _known",
-    )
-    upto = (
-        f"{group}, _range ORDER BY {order} ASC NULLS LAST, {value} ASC NULLS LAST "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    )
-    kept = [name(c) for c in counts.columns if c not in ("_range", "_valid")]
-    return same(counts, totals, [*keys, "_range"]).selectExpr(
+    ordered = ordered or ORDERED
+    n = counts.count()
+    own = [name(k) for k in keys]
+    # Floating sums of zeros and their negatives aside, the order within a range is that of the ranges.
+    by = ", ".join(f"{x} ASC NULLS LAST" for x in order)
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND {}"
+    if n <= ordered:
+        group = f"PARTITION BY {', '.join(own)} " if own else ""
+        return counts.selectExpr("*", f"sum({weight}) OVER ({group}ORDER BY {by} {frame.format('CURRENT ROW')}) AS {out}")
+    columns = [F.expr(k).asc_nulls_last() for k in own] + [F.expr(x).asc_nulls_last() for x in order]
+    dealt = counts.repartitionByRange(-(-n // (ordered // 4)), *columns)
+    dealt = keep(dealt.selectExpr("*", "spark_partition_id() AS _part"))
+    parts = dealt.groupBy(*keys, "_part").agg(F.expr(f"sum({weight}) AS _sum"))
+    group = f"PARTITION BY {', '.join(own)} " if own else ""
+    before = f"sum(_sum) OVER ({group}ORDER BY _part {frame.format('1 PRECEDING')})"
+    parts = parts.selectExpr(*own, "_part", f"{before} AS _before")
+    inside = f"sum({weight}) OVER (PARTITION BY {', '.join([*own, '_part'])} ORDER BY {by} {frame.format('CURRENT ROW')})"
+    rows = same(dealt, parts, [*keys, "_part"])
+    kept = [name(c) for c in counts.columns]
+    # A sum over no known weight is unknown; what lies before may be known all the same.
+    total = f"CASE WHEN _before IS NULL THEN {inside} ELSE _before + coalesce({inside}, 0) END"
+    return rows.selectExpr(*kept, f"{total} AS {out}")
+
+
+def _percentages(counts: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
+    """Percent columns over an already counted table, whose values may be of any type that has an order."""
+    kept = [name(c) for c in counts.columns]
+    counts = keep(counts.selectExpr("*", f"CASE WHEN {value} IS NOT NULL THEN n END AS _valid"))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_all"), F.sum("_valid").alias("_known"))
+    rows = same(running(counts, keys, [order, value], "_valid", "_upto"), totals, keys)
+    return rows.selectExpr(
         *kept,
         "100 * n / _all AS raw_pct",
         "100 * _valid / _known AS valid_pct",
-        f"CASE WHEN {value} IS NOT NULL THEN 100 * (_before + sum(_valid) OVER ({upto})) / _known END AS cum_pct",
+        f"CASE WHEN {value} IS NOT NULL THEN 100 * _upto / _known END AS cum_pct",
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from headcount.functions.columns import log_scale, name
 from headcount.models.table import keep
-from headcount.operators.cells import N, VALUE, quartiles, require_integer, same, value_cells
+from headcount.operators.cells import N, VALUE, is_measured, quartiles, same, value_cells
 
 
 def histogram(df: DataFrame, col: str, width: int = 1, origin: int = 0, by: Sequence[str] = ()) -> DataFrame:
@@ -37,15 +37,16 @@ def box_stats(
     With ``log`` the values go to log10 first, as a log axis does: zeros drop out, and ``mean`` is
     the mean of the logs. ``plus_one`` shifts by one before the log.
 
-    The cells are kept, so the raw table is read once; quartiles come from ranges of values.
+    The cells of counts are kept, so the raw table is read once; quartiles of counts and of measured
+    columns come from ranges of values.
     """
-    require_integer(df, [value])
 
     def drawn(v: str) -> str:
         return log_scale(v, plus_one) if log else f"CAST({v} + {int(plus_one)} AS DOUBLE)"
 
     cells = value_cells(df.filter(F.col(value).isNotNull()), by, value)
-    cells = keep(cells.filter(f"{drawn(VALUE)} IS NOT NULL").selectExpr("*", "0 AS _one"))
+    cells = cells.filter(f"{drawn(VALUE)} IS NOT NULL").selectExpr("*", "0 AS _one")
+    cells = cells if is_measured(df, value) else keep(cells)
     keys = [*by, "_one"]
     fenced = (
         same(cells, quartiles(cells, keys, drawn), keys)

@@ -20,14 +20,14 @@ MEAN = ("mean", "n")
 def describe(
     df: DataFrame, cols: str | Sequence[str], by: str | Sequence[str] = (), stats: Sequence[str] = FULL
 ) -> DataFrame:
-    """Summary statistics of one or more integer columns, overall or by group.
+    """Summary statistics of one or more columns of numbers, overall or by group.
 
-    Several columns come back as one long table with a ``variable`` column, from one scan. ``n``
-    counts all rows of the group, the other statistics skip NULL.
+    Several columns come back as one long table with a ``variable`` column, from one scan; they are
+    integers. One column may be measured as well. ``n`` counts all rows of the group, the other
+    statistics skip NULL.
     """
     keys = [by] if isinstance(by, str) else list(by)
     if isinstance(cols, str):
-        require_integer(df, [cols])
         return summarise(value_cells(df, keys, cols), keys, stats)
     require_integer(df, cols)
     return summarise(question_cells(df, keys, cols), [*keys, "variable"], stats)
@@ -67,7 +67,6 @@ def share(
     if value is None:
         grouped = df.groupBy(*keys).agg(F.count("*").alias("n"))
     elif isinstance(value, str):
-        require_integer(df, [value])
         grouped = summarise(value_cells(df, keys, value), keys, names)
     else:
         require_integer(df, value)

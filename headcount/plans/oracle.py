@@ -53,6 +53,16 @@ def on_zeroed(sql: str, *tables) -> str:
     return f"{_with(_SURVEY, ('everyone', PEOPLE), ('people', _ZEROED), *tables)}\n{sql}"
 
 
+_RARE = (
+    "SELECT * REPLACE (CASE WHEN occupation2 = 'HCW' AND total_contacts = 0 AND respondent_id % 16 <> 0 THEN 1 "
+    "ELSE total_contacts END AS total_contacts) FROM everyone"
+)
+
+
+def on_rare(sql: str, *tables) -> str:
+    return f"{_with(_SURVEY, ('everyone', PEOPLE), ('people', _RARE), *tables)}\n{sql}"
+
+
 def r(x: str, digits: int = DIGITS) -> str:
     return f"ROUND(CAST({x} AS DOUBLE), {digits})"
 
@@ -319,6 +329,17 @@ UNION ALL SELECT 'NB', {r("SUM(n * POW(theta / (theta + mu), theta))", 5)} FROM
         *zinb,
         *om.zinb_terms(),
     )
+    limit = "CASE WHEN part = 'count' OR estimate > -10 THEN {} END"
+    q["mdl_zinb_limit"] = on_rare(
+        f"SELECT part, term, level, {r(limit.format('estimate'), 5)} AS estimate, {r(limit.format('se'), 5)} AS se FROM zest",
+        *zinb,
+        *om.zinb_terms(),
+    )
+    q["dist_zero_limit"] = on_rare(
+        f"""SELECT 'Observed' AS model, {r("SUM(n0)", 4)} AS zeros FROM pats
+UNION ALL SELECT 'ZINB', {r("SUM(n * (pi + (1 - pi) * POW(theta / (theta + mu), theta)))", 4)} FROM zfit""",
+        *zinb,
+    )
     q["mdl_irr_zinb"] = on_people(
         f"""SELECT part, term, level, reference, {r("EXP(estimate)")} AS ratio, {r(f"EXP(estimate - {Z95} * se)", 5)} AS conf_low,
   {r(f"EXP(estimate + {Z95} * se)", 5)} AS conf_high, {r("se")} AS se_log, CAST(n AS BIGINT) AS n,

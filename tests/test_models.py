@@ -342,6 +342,85 @@ def test_zinb_is_a_stationary_maximum(spark):
     assert probs == pytest.approx(1, abs=1e-9)
 
 
+def best_with_closed(x, y, shut, start):
+    """Highest likelihood with no structural zeros where ``shut``, by a plain quasi-Newton climb."""
+    p = x.shape[1]
+
+    def f(v):
+        mu, theta = np.exp(x @ v[:p]), math.exp(v[-1])
+        pi = np.where(shut, 0.0, 1 / (1 + np.exp(-(x @ v[p : 2 * p]))))
+        zero = theta * np.log(theta / (theta + mu))
+        pmf = np.array([math.lgamma(k + theta) - math.lgamma(theta) - math.lgamma(k + 1) for k in y]) + zero + y * np.log(mu / (theta + mu))
+        return np.sum(np.where(y == 0, np.log(pi + (1 - pi) * np.exp(zero)), np.log1p(-pi) + pmf))
+
+    v, h = start.copy(), np.eye(len(start)) * 1e-3
+    value, g = f(v), slope(f, start, 1e-5)
+    for _ in range(200):
+        move, scale = h @ g, 1.0
+        while f(v + scale * move) < value and scale > 1e-9:
+            scale /= 2
+        if scale <= 1e-9:
+            break
+        new = v + scale * move
+        g2 = slope(f, new, 1e-5)
+        s, d = new - v, g - g2
+        if s @ d > 1e-14:
+            rho, eye = 1 / (s @ d), np.eye(len(v))
+            h = (eye - rho * np.outer(s, d)) @ h @ (eye - rho * np.outer(d, s)) + rho * np.outer(s, s)
+        gain, v, value, g = f(new) - value, new, f(new), g2
+        if gain < 1e-9:
+            break
+    return value
+
+
+@pytest.mark.parametrize("level, code", [("z", 2), ("x", 0)])
+def test_zinb_names_a_level_whose_zeros_the_count_part_explains(spark, level, code):
+    """A level with fewer zeros than the count part expects, among others with many; a reference too."""
+    a, b, y = draw(seed=21, n=3000, theta=2.0, zero=0.3)
+    few = (a == code) & (y == 0)
+    y = np.where(few & (np.arange(len(y)) % 10 != 0), 1, y)
+    df = frame(spark, a, b, y)
+    d = build_design(model_table(df, "y", list(FACTORS)), FACTORS)
+    fit = fit_zinb(d)
+    assert fit.converged and fit.closed == [("a", level)] and d.no_zeros == []
+    x = matrix(a, b)
+    p = x.shape[1]
+    start = np.concatenate([fit.beta, fit.zero, [math.log(fit.theta)]])
+    shut = a == code
+    assert fit.loglik == pytest.approx(best_with_closed(x, y, shut, start), abs=1e-5)
+    assert fit.loglik > fit_nb(d).loglik
+    # No likelihood with structural zeros in that level is higher.
+    for low in (-4.0, -8.0):
+        open_ = start.copy()
+        if code:
+            open_[p + code] = low
+        else:
+            open_[p] += low
+            open_[p + 1 : p + 3] -= low
+        assert zinb_loglik(x, y, open_) < fit.loglik
+    table = {(r.part, r.term, r.level): r for r in report.coef_table(spark, [fit]).collect()}
+    assert table["zero", "a", level].estimate is None
+    ratios = {(r.term, r.level): r for r in report.rate_ratio_table(spark, [fit]).collect() if r.part == "zero"}
+    assert ratios["a", level].ratio == 0.0 and sum(r.reference for r in ratios.values()) == 2
+    assert ratios["a", "x" if code else "y"].reference
+    assert report.patterns(fit).filter("pi = 0").count() == 2
+    zeros = {r.model: r.zeros for r in report.zero_count_table([fit]).collect()}
+    assert zeros["Observed"] == np.sum(y == 0) < zeros["ZINB"]
+
+
+def test_zinb_without_any_inflation_is_the_negative_binomial(spark):
+    a, b, y = draw(seed=4, n=4000, theta=1.5, zero=0.0)
+    y = np.where((y == 0) & (np.arange(len(y)) % 5 != 0), 1, y)  # far fewer zeros than the model expects
+    d = build_design(model_table(frame(spark, a, b, y), "y", list(FACTORS)), FACTORS)
+    nb = fit_nb(d)
+    fit = fit_zinb(d, nb)
+    assert fit.converged and len(fit.closed) == 5 and fit.loglik == pytest.approx(nb.loglik, abs=1e-7)
+    assert np.allclose(fit.beta, nb.beta, atol=1e-6) and fit.theta == pytest.approx(nb.theta, rel=1e-6)
+    assert {r.estimate for r in report.coef_table(spark, [fit]).collect() if r.part == "zero"} == {None}
+    assert report.patterns(fit).agg(F.max("pi")).first()[0] == 0
+    assert np.allclose(np.sqrt(np.diag(fit.vcov)), np.sqrt(np.diag(nb.vcov)), rtol=0.2)
+
+
 def test_zinb_is_never_below_nb(nb, design):
     fit = fit_zinb(design, nb)
     assert fit.loglik >= nb.loglik - 1e-6

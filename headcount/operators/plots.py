@@ -9,25 +9,66 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from headcount.functions.columns import log_scale, name
+from headcount.functions.columns import literal, log_scale, name
 from headcount.models.table import keep
 from headcount.operators.cells import N, VALUE, is_measured, quartiles, same, value_cells
 
 
-def histogram(df: DataFrame, col: str, width: int = 1, origin: int = 0, by: Sequence[str] = ()) -> DataFrame:
+def histogram(
+    df: DataFrame,
+    col: str,
+    width: float = 1,
+    origin: float = 0,
+    by: Sequence[str] = (),
+    bins: int | None = None,
+    shared: bool = True,
+) -> DataFrame:
     """Rows per bin [lo, lo + width) with the bin's density within its ``by`` group.
 
     A date column is binned in days since 1970 and its bins come back as dates.
+
+    With ``bins``, the range of the data is cut into that many equal bins: of all rows, or with
+    ``shared`` off of each group. The result has ``bin`` (from 1), ``lo`` and ``hi`` then. The
+    largest value belongs to the last bin. Where all values are equal there is one bin without width
+    and without a density. NaN and infinite values are in no bin. Empty bins are not listed.
     """
+    if bins is not None:
+        return _equal_bins(df, col, list(by), bins, shared)
     is_date = isinstance(df.schema[col].dataType, T.DateType)
     v = f"unix_date({name(col)})" if is_date else name(col)
-    lo = f"{origin} + floor(({v} - {origin}) / {width}) * {width}"
+    # A width in whole numbers keeps whole bins whole.
+    number = str if float(width).is_integer() and float(origin).is_integer() else literal
+    width, origin = (int(x) if number is str else float(x) for x in (width, origin))
+    lo = f"{number(origin)} + floor(({v} - {number(origin)}) / {number(width)}) * {number(width)}"
     lo = f"date_from_unix_date(CAST({lo} AS INT))" if is_date else lo
     counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.expr(lo).alias("bin")).agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy(*by)) if by else counts.agg(F.sum("n")).scalar()
     return counts.withColumn("density", F.col("n") / (total * width))
 
 
+def _equal_bins(df: DataFrame, col: str, by: list[str], bins: int, shared: bool) -> DataFrame:
+    if bins < 1:
+        raise ValueError("a histogram has at least one bin")
+    v = f"unix_date({name(col)})" if isinstance(df.schema[col].dataType, T.DateType) else name(col)
+    own = [name(k) for k in by]
+    rows = df.selectExpr(*own, f"CAST({v} AS DOUBLE) AS _v").filter("abs(_v) <= 1.7976931348623157E308D")
+    if shared or not by:
+        ends = rows.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        rows = rows.withColumns({"_lo": ends.select("lo").scalar(), "_hi": ends.select("hi").scalar()})
+    else:
+        ends = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        rows = same(rows, ends, by)
+    place = f"CASE WHEN _hi > _lo THEN least(floor((_v - _lo) / ((_hi - _lo) / {bins}D)), {bins - 1}) ELSE 0 END"
+    rows = rows.selectExpr(*own, f"CAST({place} AS INT) AS _bin", "_lo", "_hi")
+    counts = rows.groupBy(*by, "_bin", "_lo", "_hi").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*by)) if by else counts.agg(F.sum("n")).scalar()
+    step = f"((_hi - _lo) / {bins}D)"
+    return counts.withColumn("_all", total).selectExpr(
+        *own, "_bin + 1 AS bin", f"_lo + _bin * {step} AS lo", f"_lo + (_bin + 1) * {step} AS hi", "n",
+        f"CASE WHEN _hi > _lo THEN n / (_all * {step}) END AS density",
+    )
+
+
 def box_stats(
     df: DataFrame, value: str, by: Sequence[str], log: bool = False, plus_one: bool = False
 ) -> DataFrame:

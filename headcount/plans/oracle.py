@@ -67,6 +67,9 @@ def r(x: str, digits: int = DIGITS) -> str:
     return f"ROUND(CAST({x} AS DOUBLE), {digits})"
 
 
+rounded = r
+
+
 def stats(v: str, names: str) -> str:
     """Select list of summary statistics of column ``v``."""
     known = {
@@ -95,6 +98,24 @@ def stack(table: str, cols: list[str], keys: str = "", name: str = "variable", v
     )
 
 
+def price_stats(v: str, digits: int) -> str:
+    """All statistics of a measured column."""
+    made = {"mean": "AVG({})", "median": "MEDIAN({})", "sd": "STDDEV_SAMP({})", "min": "MIN({})", "max": "MAX({})"}
+    made |= {"q25": "QUANTILE_CONT({}, 0.25)", "q75": "QUANTILE_CONT({}, 0.75)"}
+    return ", ".join(f"{r(sql.format(v), digits)} AS {s}" for s, sql in made.items()) + ", COUNT(*) AS n"
+
+
+def equal_bins(value: str, by: str, source: str, shared: bool) -> str:
+    """30 bins over the range of all rows or of each group."""
+    part = "" if shared else f"PARTITION BY {by}"
+    return f"""SELECT {by}, bin, {r("lo + (bin - 1) * step")} AS lo, {r("lo + bin * step")} AS hi, n,
+  {r(f"n / (SUM(n) OVER (PARTITION BY {by}) * step)")} AS density FROM (
+  SELECT {by}, CAST(LEAST(FLOOR((v - lo) / step), 29) + 1 AS INTEGER) AS bin, lo, step, COUNT(*) AS n FROM (
+    SELECT *, (hi - lo) / 30 AS step FROM (
+      SELECT {by}, {value}::DOUBLE AS v, MIN({value}::DOUBLE) OVER ({part}) AS lo, MAX({value}::DOUBLE) OVER ({part}) AS hi FROM {source}))
+  GROUP BY ALL)"""
+
+
 def level_place(col: str, factor: str) -> str:
     cases = " ".join(f"WHEN '{level}' THEN {i}" for i, level in enumerate(LEVELS[factor], start=1))
     return f"CAST(CASE {col} {cases} END AS INTEGER)"
@@ -389,8 +410,11 @@ UNION ALL SELECT 'ZINB', {r("SUM(n * (pi + (1 - pi) * POW(theta / (theta + mu),
     return q
 
 
-def box(value: str, keys: str) -> str:
-    return on_people(
+def box(value: str, keys: str, source: str = "", digits: int = DIGITS) -> str:
+    def r(x):
+        return rounded(x, digits)
+
+    return (on_people if not source else lambda sql, *tables: f"{_with(('people', source), *tables)}\n{sql}")(
         f"""SELECT {keys},
   {r("MIN(v) FILTER (v BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25))")} AS whisker_low,
   {r("ANY_VALUE(q25)")} AS q25, {r("ANY_VALUE(q50)")} AS median, {r("ANY_VALUE(q75)")} AS q75,
@@ -581,6 +605,13 @@ FROM (SELECT children_in_house, variable, {stats("v", "mean sd median n")} FROM
         ),
         long,
     )
+    q["agg_describe_price"] = f"""SELECT l_returnflag, {price_stats("l_extendedprice", 4)} FROM lineitem GROUP BY 1"""
+    q["agg_describe_sparse"] = f"""SELECT l_linestatus, {r("MEDIAN(v::DOUBLE)", 1)} AS median, {r("QUANTILE_CONT(v::DOUBLE, 0.25)", 1)} AS q25,
+  {r("QUANTILE_CONT(v::DOUBLE, 0.75)", 1)} AS q75, MIN(v) AS min, MAX(v) AS max, COUNT(*) AS n FROM (
+  SELECT l_linestatus, (l_orderkey * 8 + l_linenumber) * 2654435761 % 1000003 * 1000003 AS v FROM lineitem) GROUP BY 1"""
+    q["agg_freq_dates"] = frequency("SELECT o_orderpriority, o_orderdate::DATE AS value FROM orders", "o_orderpriority")
+    q["agg_freq_names"] = frequency("SELECT c_name AS value FROM orders LEFT JOIN customer ON o_custkey = c_custkey", "")
+    q["agg_freq_prices"] = frequency("SELECT l_extendedprice AS value FROM lineitem", "")
     q["agg_mean_by"] = on_people(f"SELECT age2, {stats('total_contacts', 'mean n')} FROM people GROUP BY 1")
     q["agg_share_within"] = on_people(
         f"""SELECT age3, N_0to17yo, n, {r("n / SUM(n) OVER (PARTITION BY age3)")} AS freq
@@ -641,6 +672,9 @@ FROM ({stack("survey WHERE age_years > 0 AND respondent_id <> 9142", contacts, n
     q["plot_hist_date"] = histogram("date_ymd", 1)
     q["plot_hist_by"] = histogram("CAST(FLOOR(age_years / 5) * 5 AS BIGINT)", 5, "sex2")
     q["plot_hist_density"] = histogram("CAST(FLOOR(total_contacts / 2) * 2 AS BIGINT)", 2)
+    q["plot_hist_bins"] = on_people(equal_bins("age_years", "sex2", "people", True))
+    q["plot_hist_price"] = equal_bins("o_totalprice", "o_orderpriority", "orders", False)
+    q["plot_box_price"] = box("o_totalprice", "o_orderpriority", "SELECT * FROM orders", 4)
     q["plot_box"] = box("total_contacts", "age3, children_in_house")
     q["plot_box_log"] = box("LOG10(total_contacts + 1)", "household_size")
     q["plot_overlap"] = on_people(
@@ -709,6 +743,15 @@ UNION ALL SELECT x, 'OLS', {r("COALESCE(l.p, 0)")} FROM observed o FULL JOIN ols
         OLS,
         ("xs", "SELECT x FROM observed UNION SELECT x FROM nb UNION SELECT x FROM ols"),
     )
+    tail = "SELECT x, prob FROM nb WHERE x <= {0} UNION ALL SELECT NULL, GREATEST(0, 1 - SUM(prob)) FROM nb WHERE x <= {0}"
+    q["dist_align_tail"] = on_people(
+        f"""SELECT x, {r("MAX(p)")} AS "Observed", {r("MAX(s)")} AS "Short", {r("MAX(l)")} AS "Long" FROM (
+  SELECT x, p, NULL::DOUBLE AS s, NULL::DOUBLE AS l FROM observed UNION ALL
+  SELECT x, NULL, prob, NULL FROM ({tail.format(9)}) UNION ALL SELECT x, NULL, NULL, prob FROM ({tail.format(14)})) GROUP BY x""",
+        *NULL_TABLES,
+        NB_NULL,
+        OBSERVED,
+    )
     q["dist_zero_null"] = on_people(
         f"""SELECT CAST((SELECT SUM(n) FROM obs WHERE y = 0) AS BIGINT) AS observed,
   {r("SUM(n * POW(theta / (theta + m), theta))", 5)} AS expected FROM lv, th""",

@@ -316,6 +316,46 @@ def agg_describe_by(spark, sf_dir):
     return _rounded(summary.describe(_people(spark, sf_dir), OUTCOME, by="age3"))
 
 
+def _table(spark, sf_dir, table) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+# Whole numbers far apart, as hashes are.
+SPARSE = "(l_orderkey * 8 + l_linenumber) * 2654435761 % 1000003 * 1000003"
+
+
+@query
+def agg_describe_price(spark, sf_dir):
+    """A measured column, by group."""
+    return _rounded(summary.describe(_table(spark, sf_dir, "lineitem"), "l_extendedprice", by="l_returnflag"), 4)
+
+
+@query
+def agg_describe_sparse(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_linestatus", f"{SPARSE} AS spread")
+    return _rounded(summary.describe(rows, "spread", by="l_linestatus", stats=("median", "q25", "q75", "min", "max", "n")), 1)
+
+
+@query
+def agg_freq_dates(spark, sf_dir):
+    """Running percentages over dates, one question, by group."""
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_orderpriority", "CAST(o_orderdate AS DATE) AS day")
+    return _rounded(frequency.freq_table(rows, "day", by=["o_orderpriority"]))
+
+
+@query
+def agg_freq_names(spark, sf_dir):
+    """Running percentages over names that all begin alike, each weighing its orders."""
+    names = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"), "left")
+    return _rounded(frequency.freq_table(names, "c_name"))
+
+
+@query
+def agg_freq_prices(spark, sf_dir):
+    """Running percentages over a measured column."""
+    return _rounded(frequency.freq_table(_table(spark, sf_dir, "lineitem"), "l_extendedprice"))
+
+
 @query
 def agg_describe_household(spark, sf_dir):
     return _rounded(summary.describe(_people(spark, sf_dir), TOTALS, by="household_size2"))
@@ -493,6 +533,23 @@ def plot_hist_density(spark, sf_dir):
     return _rounded(plots.histogram(_people(spark, sf_dir), OUTCOME, width=2))
 
 
+@query
+def plot_hist_bins(spark, sf_dir):
+    """A count in 30 bins over the range of all."""
+    return _rounded(plots.histogram(_people(spark, sf_dir), "age_years", by=["sex2"], bins=30))
+
+
+@query
+def plot_hist_price(spark, sf_dir):
+    """A measured column in 30 bins over the range of each group."""
+    return _rounded(plots.histogram(_table(spark, sf_dir, "orders"), "o_totalprice", by=["o_orderpriority"], bins=30, shared=False))
+
+
+@query
+def plot_box_price(spark, sf_dir):
+    return _rounded(plots.box_stats(_table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderpriority"]), 4)
+
+
 @query
 def plot_box(spark, sf_dir):
     return _rounded(plots.box_stats(_people(spark, sf_dir), OUTCOME, ["age3", "children_in_house"]))
@@ -621,6 +678,15 @@ def dist_compare(spark, sf_dir):
     return _rounded(_figure(_observed(cells), [ols, nb], total), 5)
 
 
+@query
+def dist_align_tail(spark, sf_dir):
+    """Observed and predicted side by side, the tails of two predictions in one row."""
+    cells = _counted(spark, sf_dir, ["age3"])
+    fit = oneway.fit_oneway(cells, "y", weight="n")
+    nb = [oneway.distribution(fit, top).select("x", F.col("prob").alias(label)) for top, label in ((9, "Short"), (14, "Long"))]
+    return _rounded(distributions.align_distributions(_observed(cells), *nb))
+
+
 @query
 def dist_zero_null(spark, sf_dir):
     return _rounded(oneway.zero_counts(_null(spark, sf_dir)).drop("term"), 5)

@@ -126,3 +126,32 @@ def test_ranges_of_a_million_strings_are_spread(spark):
     windows = [x for x in out._jdf.queryExecution().analyzed().toString().splitlines() if "Window" in x]
     # One runs over the rows of a range, the other over the ranges' sums.
     assert len(windows) == 2 and "_part" in windows[0] and "_sum" in windows[1]
+
+
+def test_equal_bins(spark):
+    df = spark.createDataFrame(
+        [("a", 0.0), ("a", 1.0), ("a", 2.5), ("a", 10.0), ("b", 5.0), ("b", None), ("b", math.nan), ("b", math.inf), (None, 7.0)], "g string, x double"
+    )
+    shared = {(r["g"], r["bin"]): r for r in plots.histogram(df, "x", by=["g"], bins=4).collect()}
+    assert {k: r["n"] for k, r in shared.items()} == {("a", 1): 2, ("a", 2): 1, ("a", 4): 1, ("b", 3): 1, (None, 3): 1}
+    assert (shared["a", 4]["lo"], shared["a", 4]["hi"]) == (7.5, 10.0)
+    assert shared["a", 1]["density"] == pytest.approx(2 / (4 * 2.5))
+    own = {(r["g"], r["bin"]): r for r in plots.histogram(df, "x", by=["g"], bins=4, shared=False).collect()}
+    assert own["b", 1]["lo"] == own["b", 1]["hi"] == 5.0 and own["b", 1]["density"] is None
+    assert plots.histogram(df.limit(0), "x", bins=3).count() == 0
+    with pytest.raises(ValueError):
+        plots.histogram(df, "x", bins=0)
+    widths = plots.histogram(df.filter("g = 'a'"), "x", width=0.5).orderBy("bin").collect()
+    assert [r["bin"] for r in widths] == [0.0, 1.0, 2.5, 10.0] and widths[0]["density"] == pytest.approx(1 / (4 * 0.5))
+
+
+def test_alignment_is_one_shuffle_and_tails_meet(spark):
+    from headcount.operators import distributions
+
+    tables = [spark.createDataFrame([(i, 0.1 * i), (None, 0.5)], f"x int, m{i} double") for i in range(5)]
+    out = distributions.align_distributions(*tables)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    rows = {r["x"]: r.asDict() for r in out.collect()}
+    assert len(rows) == 6 and all(rows[None][f"m{i}"] == 0.5 for i in range(5)) and rows[2]["m3"] is None
+    with pytest.raises(ValueError):
+        distributions.align_distributions(tables[0], tables[0])

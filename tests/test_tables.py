@@ -46,9 +46,11 @@ def test_describe_skips_null_but_counts_the_row(spark):
     assert (r.mean, r.n, r.min, r.max) == (2, 3, 1, 3)
 
 
-def test_describe_refuses_measured_columns(spark):
+def test_several_columns_at_once_are_integers(spark):
+    df = spark.createDataFrame([(1.5,)], "v double")
     with pytest.raises(TypeError):
-        summary.describe(spark.createDataFrame([(1.5,)], "v double"), "v")
+        summary.describe(df, ["v"])
+    assert summary.describe(df, "v").first().mean == 1.5
 
 
 def test_variance_does_not_cancel(spark):

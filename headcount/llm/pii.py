@@ -15,16 +15,19 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headcount.llm.shared import by_size, cut, table
+from headcount.llm.shared import by_size, cut, table, with_field
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information content that a word may disclose at most.
 THRESHOLD = 0.75
 #: Different texts that have to hold both a word and an entity.
 CONTEXTS = 3
+#: Code points of text in a chunk; a longer text is a chunk by itself.
+CHUNK = 2_000_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -62,7 +65,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind as listed, then start."""
     out = [("email", a, b) for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) < 4 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -97,15 +100,6 @@ def free_words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[s
             yield m[0].lower(), x, y
 
 
-def near_words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, str, int, int, bytes]]:
-    """(entity, word, start, end, mark of the text) of each entity and each word outside every span."""
-    entities = sorted({_entity(kind, text[a:b]) for kind, a, b in spans})
-    words, mark = list(free_words(text, spans)) if entities else [], _mark(text)
-    for entity in entities:
-        for word, x, y in words:
-            yield entity, word, x, y, mark
-
-
 def _mark(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
@@ -127,42 +121,6 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different texts, and rows with them, that hold each entity and word, summed before they are shuffled."""
-
-    def flush():
-        pairs = list(sums)
-        for i in range(0, len(pairs), 50_000):
-            part = pairs[i : i + 50_000]
-            columns = [[e for e, _ in part], [w for _, w in part], [sums[p][0] for p in part], [sums[p][1] for p in part]]
-            types = (pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["entity", "term", "texts", "n"])
-        sums.clear()
-
-    sums: dict[tuple[str, str], list[int]] = {}
-    for batch in batches:
-        for entities, text, copies in zip(*(c.to_pylist() for c in batch.columns)):
-            words = {w for w, _, _ in free_words(text, base_spans(text))}
-            for entity in entities:
-                for word in words:
-                    own = sums.setdefault((entity, word), [0, 0])
-                    own[0] += 1
-                    own[1] += copies
-                if len(sums) > 200_000:
-                    yield from flush()
-    yield from flush()
-
-
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The spans of all occurrences of each row's disclosing words."""
-    for batch in batches:
-        out = []
-        for text, terms in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            terms = set(terms)
-            out.append(joined(("term", x, y) for w, x, y in free_words(text, base_spans(text)) if w in terms))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.string())], names=["term_id", "term_mark", "terms"])
-
-
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts that hold each word, summed over a few hundred of them before they are shuffled."""
 
@@ -184,25 +142,136 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush(counts)
 
 
-def disclosing(holders: DataFrame, entities: DataFrame, texts: DataFrame, threshold: float, contexts: int) -> DataFrame:
-    """``entity``, ``term`` pairs where the term discloses more than it may.
+_TEXT = pa.struct(
+    [("mark", pa.binary()), ("held", pa.string()), ("copies", pa.int64()), ("entities", pa.list_(pa.struct([("entity", pa.string()), ("n", pa.int64())])))]
+)
+_CHUNK_SCHEMA = (
+    "chunk long, texts array<struct<mark: binary, held: string, copies: long, entities: array<struct<entity: string, n: long>>>>, words array<string>"
+)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of about CHUNK code points in one row, with the different words outside their spans."""
+
+    def flush():
+        nonlocal number, size
+        columns = [pa.array([number], pa.int64()), pa.array([texts], pa.list_(_TEXT)), pa.array([sorted(words)], pa.list_(pa.string()))]
+        number, size = number + 1, 0
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "texts", "words"])
+
+    number, size, texts, words = TaskContext.get().partitionId() << 32, 0, [], set()
+    for batch in batches:
+        for row in batch.to_pylist():
+            if texts and size + len(row["held"]) > CHUNK:
+                yield flush()
+                texts, words = [], set()
+            texts.append(row)
+            size += len(row["held"])
+            words.update(w for w, _, _ in free_words(row["held"], base_spans(row["held"])))
+    if texts:
+        yield flush()
+
+
+def _candidates(total: int, threshold: float):
+    """Pairs of an entity and a word of its texts that can disclose, summed over a chunk.
+
+    A word t discloses e if n(t,e) >= n(t) (n(e) / N)^(1 - threshold), and n(t,e) is n(e) at most: so
+    n(t) is n(e)^threshold N^(1 - threshold) at most, which is known before any pair is made.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for chunk, texts, known in zip(*(batch.column(c).to_pylist() for c in ("chunk", "texts", "known"))):
+                known = {k["term"]: k["n"] for k in known}
+                sums: dict[tuple[str, str], list[int]] = {}
+                for text in texts:
+                    words = {w for w, _, _ in free_words(text["held"], base_spans(text["held"])) if w in known}
+                    ranked = sorted((known[w], w) for w in words)
+                    for e in text["entities"]:
+                        most = e["n"] ** threshold * total ** (1 - threshold) * (1 + 1e-9)
+                        for n, w in ranked:
+                            if n > most:
+                                break
+                            own = sums.setdefault((e["entity"], w), [0, 0, e["n"], n])
+                            own[0] += 1
+                            own[1] += text["copies"]
+                pairs = list(sums)
+                for i in range(0, len(pairs), 50_000):
+                    part = pairs[i : i + 50_000]
+                    columns = [pa.array([chunk] * len(part), pa.int64()), *(pa.array(c, pa.string()) for c in zip(*part))]
+                    columns += [pa.array([sums[p][k] for p in part], pa.int64()) for k in range(4)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["chunk", "entity", "term", "texts", "n_both", "n_entity", "n_term"])
+
+    return run
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of all occurrences of each text's disclosing words."""
+    for batch in batches:
+        for texts, told in zip(*(batch.column(c).to_pylist() for c in ("texts", "told"))):
+            of: dict[str, set[str]] = {}
+            for pair in told:
+                of.setdefault(pair["entity"], set()).add(pair["term"])
+            marks, spans = [], []
+            for text in texts:
+                terms = set().union(*(of.get(e["entity"], ()) for e in text["entities"]))
+                if terms:
+                    held = text["held"]
+                    marks.append(text["mark"])
+                    spans.append(joined(("term", x, y) for w, x, y in free_words(held, base_spans(held)) if w in terms))
+            some = [m for m, t in zip(marks, spans) if t], [t for t in spans if t]
+            yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.binary()), pa.array(some[1], pa.string())], names=["term_mark", "terms"])
+
+
+def disclosing_terms(found: DataFrame, texts: DataFrame, threshold: float, contexts: int) -> DataFrame:
+    """``term_mark``, ``terms``: the spans of the disclosing words of each different text that has any.
 
     With N texts, PMI = log(N n(t,e) / (n(t) n(e))) and the entity's content IC = log(N / n(e)), n
     counting texts; the pair is disclosing if PMI >= threshold * IC. The texts of all of the corpus
     are counted, copies included, but as support of a pair equal texts count once.
+
+    The different texts that hold an entity with support are put in chunks. A chunk is told how
+    frequent its words are, sends sums over the pairs that can disclose, and is told which of them do.
+    So what is shuffled is sums, however many texts share an entity.
     """
-    total = F.lit(texts.count())
-    different = holders.groupBy("mark").agg(F.first("entities").alias("entities"), F.first("held").alias("held"), F.count(F.lit(1)).alias("copies"))
-    both = different.select("entities", "held", "copies").mapInArrow(_together, "entity string, term string, texts long, n long")
-    both = both.groupBy("entity", "term").agg(F.sum("texts").alias("texts"), F.sum("n").alias("n_both"))
-    both = cut(both.where(F.col("texts") >= contexts))
-    counts = texts.select("text").mapInArrow(_frequencies, "term string, n long")
-    wanted = cut(both.select("term").distinct())
-    counts = counts.join(by_size(wanted), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
-    measured = both.join(by_size(entities), "entity").join(cut(counts), "term")
-    shared = F.log(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    content = F.log(total / F.col("n_entity"))
-    return measured.where((content > 0) & (shared >= threshold * content)).select("entity", "term")
+    total = texts.count()
+    rows = found.where("size(entities) > 0").select("id", "mark", "entities").dropDuplicates(["id", "mark"])
+    marks = cut(rows.groupBy("mark").agg(F.first("entities").alias("entities"), F.count(F.lit(1)).alias("copies")))
+    each = marks.select("mark", "copies", F.explode("entities").alias("entity"))
+    # An entity in too few different texts cannot have a pair in enough of them; one in all texts discloses nothing.
+    counted = each.groupBy("entity").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("texts"))
+    entities = cut(counted.where((F.col("texts") >= contexts) & (F.col("n") < total)).select("entity", "n"))
+    kept = each.join(by_size(entities), "entity").groupBy(F.col("mark").alias("kept"))
+    kept = cut(kept.agg(F.first("copies").alias("copies"), F.collect_list(F.struct("entity", "n")).alias("entities")))
+    held = found.where("held IS NOT NULL").select("mark", "held")
+    held = held.join(by_size(kept), F.col("mark") == F.col("kept")).select("mark", "held", "copies", "entities").dropDuplicates(["mark"])
+    chunks = cut(held.mapInArrow(_chunks, _CHUNK_SCHEMA))
+
+    most = (entities.agg(F.max("n")).first()[0] or 0) ** threshold * total ** (1 - threshold) * (1 + 1e-9)
+    counts = texts.select("text").mapInArrow(_frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = counts.where((F.col("n") >= contexts) & (F.col("n") <= most))
+    known = chunks.select(F.col("chunk").alias("of"), F.explode("words").alias("term")).join(counts, "term")
+    known = known.groupBy("of").agg(F.collect_list(F.struct("term", "n")).alias("known"))
+    schema = "chunk long, entity string, term string, texts long, n_both long, n_entity long, n_term long"
+    pairs = chunks.select("chunk", "texts").join(known, F.col("chunk") == F.col("of")).drop("of")
+    pairs = cut(pairs.mapInArrow(_candidates(total, threshold), schema))
+
+    sums = [F.sum("texts").alias("texts"), F.sum("n_both").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term")]
+    both = pairs.groupBy("entity", "term").agg(*sums).where(F.col("texts") >= contexts)
+    shared = F.log(F.lit(total) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    content = F.log(F.lit(total) / F.col("n_entity"))
+    passing = both.where((content > 0) & (shared >= threshold * content)).select("entity", "term")
+    told = pairs.join(by_size(cut(passing)), ["entity", "term"], "left_semi").groupBy(F.col("chunk").alias("of"))
+    told = told.agg(F.collect_list(F.struct("entity", "term")).alias("told"))
+    out = chunks.select("chunk", "texts").join(told, F.col("chunk") == F.col("of")).drop("of")
+    return out.mapInArrow(_places, "term_mark binary, terms string")
+
+
+def _found(df: DataFrame, key: str, text: str, threshold: float, contexts: int) -> tuple[DataFrame, DataFrame]:
+    texts = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    id_type = texts.schema["id"].dataType.simpleString()
+    found = cut(texts.mapInArrow(_base, f"id {id_type}, mark binary, base string, entities array<string>, held string"))
+    return found, cut(disclosing_terms(found, texts, threshold, contexts))
 
 
 def find(
@@ -210,28 +279,12 @@ def find(
 ) -> DataFrame:
     """``id``, ``mark`` (digest of the text), ``base`` and ``terms`` (spans as kind:start:end) per row of df.
 
-    A null text is empty. Rows that repeat an id and text find the same spans. Columns of df other
-    than ``key`` and ``text`` play no part.
+    A null text is empty; an empty table finds nothing. Rows that repeat an id and text find the same
+    spans. Columns of df other than ``key`` and ``text`` play no part.
     """
-    texts = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    id_type = texts.schema["id"].dataType.simpleString()
-    found = cut(texts.mapInArrow(_base, f"id {id_type}, mark binary, base string, entities array<string>, held string"))
-    each = found.where("size(entities) > 0").select("id", "mark", F.explode("entities").alias("entity"))
-    # An entity in too few different texts cannot have a pair in enough of them.
-    rows = each.groupBy("entity").agg(F.count_distinct(F.struct("id", "mark")).alias("n_entity"), F.count_distinct("mark").alias("texts"))
-    entities = cut(rows.where(F.col("texts") >= contexts).select("entity", "n_entity"))
-    kept = each.join(by_size(entities.select("entity")), "entity").groupBy("id", "mark").agg(F.collect_set("entity").alias("entities"))
-    kept = kept.select(F.col("id").alias("kept_id"), F.col("mark").alias("kept_mark"), "entities")
-    held = found.where("held IS NOT NULL").select("id", "mark", "held").dropDuplicates(["id", "mark"])
-    of = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark"))
-    holders = cut(held.join(by_size(cut(kept)), of).select("id", "mark", "held", "entities"))
-    pairs = cut(disclosing(holders, entities, texts, threshold, contexts))
-    own = holders.select("id", "mark", F.explode("entities").alias("entity")).join(by_size(pairs), "entity")
-    own = own.groupBy(F.col("id").alias("kept_id"), F.col("mark").alias("kept_mark")).agg(F.collect_set("term").alias("own"))
-    terms = holders.join(by_size(cut(own)), of).select("id", "mark", "held", "own")
-    terms = terms.mapInArrow(_places, f"term_id {id_type}, term_mark binary, terms string")
-    same = F.col("id").eqNullSafe(F.col("term_id")) & (F.col("mark") == F.col("term_mark"))
-    return found.join(by_size(cut(terms)), same, "left").select("id", "mark", "base", F.coalesce("terms", F.lit("")).alias("terms"))
+    found, terms = _found(df, key, text, threshold, contexts)
+    found = found.join(by_size(terms), F.col("mark") == F.col("term_mark"), "left")
+    return found.select("id", "mark", "base", F.coalesce("terms", F.lit("")).alias("terms"))
 
 
 def sanitise(
@@ -239,30 +292,33 @@ def sanitise(
 ) -> DataFrame:
     """df with entities and disclosing terms replaced by their kind, as in [EMAIL]; other columns as they are.
 
-    Spans that overlap are replaced together, by the kind of the first. A null text stays null.
+    Spans that overlap are replaced together, by the kind of the first. A null text stays null. A row
+    is matched with its terms by the digest of its text, so null and repeated ids do no harm.
     """
-    spans = find(df, key, text, threshold, contexts).where("terms <> ''")
-    terms = cut(spans.groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.struct("mark", "terms")).alias("__terms")))
+    _, terms = _found(df, key, text, threshold, contexts)
     names = df.columns
 
+    def marked(batches):
+        for batch in batches:
+            marks = [None if t is None else _mark(t) for t in batch.column(names.index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], names=[*names, "__mark"])
+
     def run(batches):
         for batch in batches:
             out = []
-            for value, own in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
+            for value, own in zip(batch.column(names.index(text)).to_pylist(), batch.column(len(names)).to_pylist()):
                 if value is None:
                     out.append(None)
                     continue
-                found = base_spans(value)
-                for x in own or ():
-                    if x["mark"] == _mark(value):
-                        found += [(k, int(a), int(b)) for k, a, b in (t.split(":") for t in x["terms"].split(","))]
-                out.append(replaced(value, found))
+                spans = [(k, int(a), int(b)) for k, a, b in (t.split(":") for t in own.split(","))] if own else []
+                out.append(replaced(value, base_spans(value) + spans))
             columns = [*batch.columns[: len(names)]]
             columns[names.index(text)] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text"))
-    rows = rows.join(by_size(terms), F.col(f"`{key}`").eqNullSafe(F.col("__id")), "left").drop("__id")
+    rows = df.mapInArrow(marked, with_field(df, ("__mark", "binary")))
+    terms = by_size(terms.select(F.col("term_mark").alias("__of"), F.col("terms").alias("__terms")))
+    rows = rows.join(terms, F.col("__mark") == F.col("__of"), "left").drop("__mark", "__of")
     return rows.mapInArrow(run, df.schema)
 
 

@@ -231,10 +231,71 @@ def test_base_spans_equal_the_patterns():
 
 
 def test_long_runs_take_linear_time():
-    for text in ("a" * 300_000, "1" * 300_000, "1 " * 150_000, "+1" + "-" * 300_000, "a.b" * 100_000 + "@", "@" * 200_000):
+    for text in ("x " + "0" * 5000 + "1.2.3.4 " + "0" * 9000 + ".0.00.256", "a" * 300_000, "1" * 300_000, "1 " * 150_000, "+1" + "-" * 300_000, "a.b" * 100_000 + "@", "@" * 200_000):
         pii.base_spans(text)
 
 
+def test_zeros_before_an_address_are_no_matter():
+    assert pii.base_spans("x " + "0" * 5000 + "1.2.3.4 y") == [("ip", 2, 5009)]
+    assert pii.base_spans("1.2.3." + "0" * 5000 + "256 0.0.0.0") == [("ip", 5010, 5017)]
+
+
+def test_terms_of_the_table_equal_brute_force(spark, sf_dir):
+    """The disclosing spans of whole documents, against every pair of an entity and a word."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = brute_terms(texts, pii.THRESHOLD, pii.CONTEXTS)
+    for r in pii.op4_pii(spark, sf_dir).collect():
+        terms = [s for s in r["spans"].split(",") if s.startswith("term:")]
+        assert terms == [f"term:{a}:{b}" for a, b in want[r["doc_id"]]]
+
+
+def shared_address(spark, n):
+    """One address in a third of n texts, each with words of its own and of others."""
+    pick = random.Random(n)
+    texts = []
+    for i in range(n):
+        words = [f"own{i}x{k}" for k in range(20)] + pick.choices([f"c{k}" for k in range(200)], k=30)
+        texts.append(" ".join(words[:25] + (["desk", "sales@mail.example"] if i % 3 == 0 else []) + words[25:]))
+    return texts
+
+
+def test_work_on_a_shared_address_is_in_proportion(spark, monkeypatch):
+    rows_made = []
+    for n in (300, 1200):
+        seen = []
+        keep = pii.cut
+        monkeypatch.setattr(pii, "cut", lambda df: (out := keep(df), seen.append(out.count()))[0])
+        texts = shared_address(spark, n)
+        got = {r["id"]: r["terms"] for r in pii.find(rows(spark, texts)).collect()}
+        monkeypatch.setattr(pii, "cut", keep)
+        rows_made.append(sum(seen))
+        want = brute_terms(dict(enumerate(texts)), pii.THRESHOLD, pii.CONTEXTS)
+        assert {i: [tuple(map(int, x.split(":")[1:])) for x in t.split(",") if x] for i, t in got.items()} == want
+        assert any(want.values())
+    assert rows_made[1] < 5 * rows_made[0]
+
+
+def test_small_chunks_and_many_entities(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CHUNK", 200)
+    pick = random.Random(12)
+    mails = [f"m{i}@mail.example" for i in range(12)]
+    texts = {}
+    for i in range(90):
+        own = pick.sample(range(12), pick.randrange(0, 4))
+        texts[i] = " ".join([*(f"w{k % 5} {mails[k]} z{k}" for k in own), *pick.choices([f"c{k}" for k in range(25)], k=12)])
+    texts[90] = texts[91] = texts[0]
+    want = brute_terms(texts, pii.THRESHOLD, pii.CONTEXTS)
+    got = {r["id"]: r["terms"] for r in pii.find(rows(spark, texts.values()).repartition(4)).collect()}
+    assert {i: [tuple(map(int, x.split(":")[1:])) for x in t.split(",") if x] for i, t in got.items()} == want
+
+
+def test_null_and_repeated_ids_are_sanitised_by_their_text(spark):
+    texts = [f"desk{i} q@mail.example z{i % 2}" for i in range(6)] + ["plain"] * 30
+    df = spark.createDataFrame([(None if i % 2 else 7, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    clean = [r["text"] for r in pii.sanitise(df).collect()]
+    assert len(clean) == 36 and clean.count("plain") == 30 and all("@" not in t for t in clean)
+
+
 def test_pii_of_the_table(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in pii.op4_pii(spark, sf_dir).collect():
@@ -245,8 +306,15 @@ def test_pii_of_the_table(spark, sf_dir):
         assert [s for s in r["spans"].split(",") if s and not s.startswith("term:")] == [s for s in line.split(",") if s]
 
 
+def near_words(text):
+    """(entity, word, start, end, text) of each entity and each word outside every span."""
+    spans = pii.base_spans(text)
+    entities = {pii._entity(kind, text[a:b]) for kind, a, b in spans}
+    return [(e, w, x, y, text) for e in entities for w, x, y in pii.free_words(text, spans)]
+
+
 def brute_terms(texts, threshold, contexts):
-    near = {i: list(pii.near_words(t or "", pii.base_spans(t or ""))) for i, t in texts.items()}
+    near = {i: near_words(t or "") for i, t in texts.items()}
     n_term = Counter(w for t in texts.values() for w in set(re.findall(r"[^\W_]+", (t or "").lower())))
     around, both, entity = defaultdict(set), defaultdict(set), defaultdict(set)
     for i, found in near.items():

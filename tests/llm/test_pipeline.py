@@ -19,7 +19,7 @@ def test_result_equals_the_stages_by_hand(spark, sf_dir, documents, reference):
     good = {r["id"] for r in quality.judge(documents, labels).where("kept").collect()}
     assert len(good) < len(texts)
     texts = {i: t for i, t in texts.items() if i in good}
-    texts = {i: texts[i] for i, (_, first) in brute_components(texts).items() if first == i}
+    texts = {i: texts[i] for i, (_, first) in brute_components(texts, 80).items() if first == i}
     assert len(texts) < len(good)
     terms = brute_terms(texts, pii.THRESHOLD, pii.CONTEXTS)
     clean = {i: pii.replaced(t, brute_spans(t) + [("term", a, b) for a, b in terms[i]]) for i, t in texts.items()}

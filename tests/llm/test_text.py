@@ -117,9 +117,9 @@ def brute_components(texts, percent=85):
     return {i: (len(sets[i]), root(i)) for i in texts}
 
 
-def check_near(spark, df, texts):
-    got = {r["id"]: r for r in minhash.near_duplicates(df).collect()}
-    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items() if i is not None} == brute_components(texts)
+def check_near(spark, df, texts, percent=85):
+    got = {r["id"]: r for r in minhash.near_duplicates(df, percent=percent).collect()}
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items() if i is not None} == brute_components(texts, percent)
     assert all(r["kept"] == (i is None or r["component_id"] == i) for i, r in got.items())
 
 
@@ -169,16 +169,51 @@ def test_near_duplicates_of_odd_tables(spark):
     assert Counter(r["doc_id"] for r in kept.collect()) == {0: 2, 2: 2, None: 1}
 
 
-def test_pigeonhole_keys_meet_within_the_distance():
-    pick = np.random.default_rng(3)
+SIMILARITIES = (70, 80, 85, 95)
+
+
+@pytest.mark.parametrize("percent", SIMILARITIES)
+def test_pigeonhole_keys_meet_within_the_distance(percent):
+    pick, own = np.random.default_rng(3), minhash.scheme(percent)
     for _ in range(200):
-        a = pick.integers(0, 1 << 16, minhash.SYMBOLS).astype(np.uint16)
+        a = pick.integers(0, 1 << 16, own.symbols).astype(np.uint16)
         b = a.copy()
-        b[pick.choice(minhash.SYMBOLS, minhash.DISTANCE, replace=False)] += 1
-        keys = minhash.chunk_keys(np.stack([a, b]))
+        b[pick.choice(own.symbols, own.distance, replace=False)] += 1
+        keys = minhash.chunk_keys(np.stack([a, b]), own)
         assert np.intersect1d(keys[0], keys[1]).size
 
 
+@pytest.mark.parametrize("percent", SIMILARITIES)
+def test_few_pairs_are_missed_right_at_the_threshold(percent):
+    """Sets whose similarity is the threshold exactly: less than one in a thousand lies beyond the distance."""
+    pick, own = np.random.default_rng(percent), minhash.scheme(percent)
+    assert own.miss(percent) <= minhash.MISS and own.symbols <= minhash.SYMBOLS
+    pairs, missed = 6000, 0
+    for _ in range(pairs):
+        both = pick.integers(0, 1 << 63, 200, dtype=np.uint64) * np.uint64(2)
+        common, rest = both[: 2 * percent], both[2 * percent :]
+        half = len(rest) // 2
+        a, b = (minhash.signature(np.concatenate([common, x]), own.symbols) for x in (rest[:half], rest[half:]))
+        missed += (a != b).sum() > own.distance
+    assert missed < pairs / 1000
+
+
+def test_schemes():
+    assert (minhash.scheme(85).chunk, minhash.scheme(85).chunks, minhash.scheme(85).distance) == (6, 11, 21)
+    assert minhash.scheme(100).symbols < minhash.scheme(90).symbols < minhash.scheme(85).symbols
+    for percent in (0, 2, 101):
+        with pytest.raises(ValueError):
+            minhash.scheme(percent)
+
+
+@pytest.mark.parametrize("percent", [70, 80])
+def test_lower_similarities_equal_brute_force(spark, percent):
+    texts = near_copies(7, groups=10, members=10)
+    check_near(spark, rows(spark, texts.values()), texts, percent)
+    kept = {r["doc_id"] for r in minhash.keep_one(rows(spark, texts.values()), percent=percent).collect()}
+    assert kept == {i for i, (_, first) in brute_components(texts, percent).items() if i == first}
+
+
 def test_shingles_do_not_depend_on_their_neighbours():
     texts = ["a b c d e f a b c d e", None, " A  b\x0bc D e f ", "", "x" * 200_000, "one two", *near_copies(3).values()]
     alone = [next(minhash.shingle_sets([t])) for t in texts]

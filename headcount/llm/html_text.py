@@ -2,7 +2,8 @@
 
 Words score positive and tags negative. The weights are log-odds learned from labelled pages, which
 are those that mark their article themselves: how often a word, or a tag, of each kind lies inside
-the marked region. One linear scan finds the best contiguous run of words and tags.
+the marked region. One linear scan finds the best contiguous run of words and tags. Names that hint
+at other parts (class, id, role) and forms make words count less; they decide nothing alone.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ BLOCK = frozenset(
     "search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Parts that are not the article by their tag, wherever they stand.
-ASIDE = frozenset("nav header footer aside form menu dialog button fieldset search".split())
+ASIDE = frozenset("nav header footer aside menu dialog button search".split())
 #: Words in class, id or role that name such parts.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
@@ -37,6 +38,13 @@ HINTS = frozenset(
     "subscribe subscription signup login search comment comments disqus reply replies respond share sharing social related "
     "recommended toolbar pagination pager contentinfo complementary".split()
 )
+#: Of these, the names of parts that hold articles of their own.
+READERS = frozenset("comment comments disqus reply replies respond".split())
+#: Elements that are aside parts as a rule but may wrap a page.
+WRAPS = frozenset("form fieldset".split())
+#: What the score of words counts in a part that a whole name hints at, in one that is hinted at by a
+#: piece of a longer name or by its tag alone, and at least.
+NAMED, HINTED, LEAST = 0.02, 0.2, 1e-6
 #: Tags that mark an article's region.
 ARTICLE = frozenset(("article", "main"))
 #: A p element ends where one of these begins.
@@ -50,26 +58,70 @@ _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _NAME = re.compile(r"[a-z0-9]+")
 
 
-def _names(attributes: str) -> set[str]:
-    if "=" not in attributes:
-        return set()
-    return {w for m in _ATTRIBUTE.finditer(attributes) for w in _NAME.findall((m[2] or m[3] or m[4] or "").lower())}
+def _doubt(tag: str, attributes: str) -> tuple[float, bool]:
+    """How much the words of an element count by its names, and whether they are readers' words."""
+    most, readers = HINTED if tag in WRAPS else 1.0, False
+    if "=" in attributes:
+        for m in _ATTRIBUTE.finditer(attributes):
+            for name in (m[2] or m[3] or m[4] or "").lower().split():
+                pieces = _NAME.findall(name)
+                if not HINTS.isdisjoint(pieces):
+                    most = min(most, NAMED if len(pieces) == 1 else HINTED)
+                readers = readers or not READERS.isdisjoint(pieces)
+    return most, readers
 
 
-def pieces(page: str) -> Iterator[tuple[str, str, bool, str, bool]]:
-    """(kind, value, in an aside part, closest block tag, in a link) of a page in order; kind: tag or text.
+class _Open:
+    """The open elements of a page, with the places of each tag, so that an end tag without a start costs nothing."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, float, str, bool, int, bool]] = []  # tag, counts, block, link, articles, readers
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    @property
+    def top(self) -> tuple[str, float, str, bool, int, bool]:
+        return self.stack[-1] if self.stack else ("", 1.0, "body", False, 0, False)
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, element: tuple) -> None:
+        self.places.setdefault(element[0], []).append(len(self.stack))
+        if element[0] in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
+
+    def cut(self, at: int) -> None:
+        """Close all elements from a place on."""
+        while len(self.stack) > at:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def end(self, tag: str) -> None:
+        at = self.last(tag)
+        # A stray inline end tag closes no block.
+        if at >= 0 and (tag in BLOCK or not self.blocks or self.blocks[-1] < at):
+            self.cut(at)
+
+
+def pieces(page: str) -> Iterator[tuple[str, str, float, str, bool]]:
+    """(kind, value, what its words count, closest block tag, in a link) of a page in order; kind: tag or text.
 
     Text is decoded; hidden parts, comments and markup are left out. ``value`` of a tag is its name,
-    with a slash if it closes.
+    with a slash if it closes. Words count nothing in aside parts by their tag, less in those that
+    names hint at, and in full again in an outermost article or main that these wrap, unless it is
+    among readers' words. Time is linear in the page, however its tags are nested.
     """
-    stack: list[tuple[str, bool, str, bool]] = []  # tag, aside, closest block, link
-    top = ("", False, "body", False)
+    opened, unended = _Open(), set()
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         begin = m.start() if m else len(page)
         if begin > at and (text := page[at:begin]):
-            yield "text", html.unescape(text), *(stack[-1] if stack else top)[1:]
+            yield "text", html.unescape(text), *opened.top[1:4]
         if not m:
             return
         at = m.end()
@@ -77,68 +129,67 @@ def pieces(page: str) -> Iterator[tuple[str, str, bool, str, bool]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            yield "tag", "/" + tag, *(stack[-1] if stack else top)[1:]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break  # a stray inline end tag closes no block
+            yield "tag", "/" + tag, *opened.top[1:4]
+            opened.end(tag)
             continue
         if tag in RAW or tag in HIDDEN:
-            yield "tag", tag, True, tag, False
-            if not m[0].endswith("/>") and (end := re.compile(rf"</{tag}\s*>", re.I).search(page, at)):
+            yield "tag", tag, 0.0, tag, False
+            if m[0].endswith("/>"):
+                continue
+            # Once no end tag follows, none does further on.
+            if tag not in unended and (end := re.compile(rf"</{tag}\s*>", re.I).search(page, at)):
                 at = end.end()
-            elif tag in ("script", "style"):
+                continue
+            unended.add(tag)
+            if tag in ("script", "style"):
                 return
             continue
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-        if tag == "li":
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "li":
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("ul", "ol", "menu"):
-                    break
-        _, aside, block, link = stack[-1] if stack else top
-        names = _names(m[3])
-        whole = tag in ("html", "body") or tag in ARTICLE
-        aside = aside or tag in ASIDE or not whole and not HINTS.isdisjoint(names)
+        if tag in ENDS_P and opened.blocks and opened.blocks[-1] == opened.last("p"):
+            opened.cut(opened.blocks[-1])
+        if tag == "li" and opened.last("li") > opened.last("ul", "ol", "menu"):
+            opened.cut(opened.last("li"))
+        _, counts, block, link, articles, readers = opened.top
+        whole = tag in ("html", "body")
+        if tag in ARTICLE:
+            if not articles and counts and not readers:
+                counts = 1.0
+            articles += 1
+        elif tag in ASIDE:
+            counts = 0.0
+        elif not whole:
+            own, theirs = _doubt(tag, m[3])
+            counts = counts and max(counts * own, LEAST)
+            readers = readers or theirs
         block = tag if tag in BLOCK else block
         link = link or tag == "a"
-        yield "tag", tag, aside, block, link
+        yield "tag", tag, counts, block, link
         if tag not in VOID and not m[3].endswith("/"):
-            stack.append((tag, aside, block, link))
+            opened.push((tag, counts, block, link, articles, readers))
 
 
 def blocks(page: str) -> list[tuple[str, object]]:
-    """A page as ("text", (words, kind, aside)) and ("tag", (name, aside)) in order.
+    """A page as ("text", (words, kind, counts)) and ("tag", (name, counts)) in order.
 
     Text between two block tags is one block: inline markup and br leave it whole. A block's kind is
-    its tag, or ``link`` if all its words stand in links, or ``aside``.
+    its tag, or ``link`` if all its words stand in links. ``counts`` is what a word counts by the parts
+    around it: 1 in none that is aside.
     """
     out: list[tuple[str, object]] = []
     parts: list[str] = []
-    where, linked = (False, "body"), True
+    where, linked = (1.0, "body"), True
 
     def flush():
         words = "".join(parts).split()
         parts.clear()
         if words:
-            aside, block = where
-            out.append(("text", (words, "word aside" if aside else "word link" if linked else f"word {block}", aside)))
+            counts, block = where
+            out.append(("text", (words, "word link" if linked else f"word {block}", counts)))
 
-    for kind, value, aside, block, link in pieces(page):
+    for kind, value, counts, block, link in pieces(page):
         if kind == "text":
-            if (aside, block) != where and parts:
+            if (counts, block) != where and parts:
                 flush()
-            where = (aside, block)
+            where = (counts, block)
             linked = link if not parts else linked and (link or value.isspace())
             parts.append(value)
             continue
@@ -147,7 +198,7 @@ def blocks(page: str) -> list[tuple[str, object]]:
             flush()
         elif name == "br":
             parts.append(" ")
-        out.append(("tag", (value, aside)))
+        out.append(("tag", (value, counts)))
     flush()
     return out
 
@@ -160,14 +211,15 @@ def evidence(page: str) -> Counter[tuple[str, bool]]:
     for kind, value in blocks(page):
         if kind == "tag":
             name = value[0].lstrip("/")
-            if name in ARTICLE and not value[1]:
+            if name in ARTICLE and value[1] == 1:
                 depth = max(0, depth - 1) if value[0][0] == "/" else depth + 1
                 marked = True
             elif name in BLOCK or name in VOID:
                 found[f"tag {name}", depth > 0] += 1
         else:
-            words, word, aside = value
-            found[word, depth > 0 and not aside] += len(words)
+            words, word, counts = value
+            aside = counts < 1
+            found["word aside" if aside else word, depth > 0 and not aside] += len(words)
     return found if marked else Counter()
 
 
@@ -207,8 +259,8 @@ def weight(weights: dict[str, float], kind: str) -> float:
     return max(-0.5, min(-0.01, weights.get(kind, -0.5)))
 
 
-def scores(parts: list[tuple[str, object]], weights: dict[str, float]) -> list[float]:
-    """The score of each block of text and each tag.
+def scores(parts: list[tuple[str, object]], weights: dict[str, float], least: float = 1.0) -> list[float]:
+    """The score of each block of text and each tag, where parts whose words count less than ``least`` are aside.
 
     Words of an aside part count -3, five of a block at most, but nothing within a marked article,
     which goes on behind it; the edges of the outermost mark are walls of -30.
@@ -216,16 +268,16 @@ def scores(parts: list[tuple[str, object]], weights: dict[str, float]) -> list[f
     out, depth = [], 0
     for kind, value in parts:
         if kind == "text":
-            words, word, aside = value
-            out.append((0.0 if depth else -3.0 * min(len(words), 5)) if aside else len(words) * weight(weights, word))
+            words, word, counts = value
+            out.append((0.0 if depth else -3.0 * min(len(words), 5)) if counts < least else len(words) * weight(weights, word))
             continue
-        name, aside = value
-        if name.lstrip("/") in ARTICLE and not aside:
+        name, counts = value
+        if name.lstrip("/") in ARTICLE and counts >= least:
             closes = name[0] == "/"
             out.append(-30.0 if depth == closes else -0.01)
             depth = max(0, depth - 1) if closes else depth + 1
         else:
-            out.append(-0.01 if aside and depth else weight(weights, f"tag {name.lstrip('/')}"))
+            out.append(-0.01 if counts < least and depth else weight(weights, f"tag {name.lstrip('/')}"))
     return out
 
 
@@ -243,10 +295,22 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
-    """The blocks of the best region outside aside parts, joined by newlines."""
+    """The blocks of the best region outside aside parts, joined by newlines.
+
+    The best region is looked for without the parts that names hint at, and with those that are in
+    less doubt first; the score of a region counts as much as the least certain words it may hold. So
+    an article in a wrapper with an unlucky name wins where little stands outside.
+    """
     parts = blocks(page)
-    start, end = best_region(scores(parts, weights))
-    return "\n".join(" ".join(value[0]) for kind, value in parts[start:end] if kind == "text" and not value[2])
+    levels = sorted({value[2] for kind, value in parts if kind == "text" and value[2]} | {1.0}, reverse=True)
+    best, chosen = 0.0, (0, 0, 1.0)
+    for least in levels:
+        own = scores(parts, weights, least)
+        start, end = best_region(own)
+        if (total := least * sum(own[start:end])) > best:
+            best, chosen = total, (start, end, least)
+    start, end, least = chosen
+    return "\n".join(" ".join(value[0]) for kind, value in parts[start:end] if kind == "text" and value[2] >= least)
 
 
 def extract(df: DataFrame, column: str = "html", out: str = "text", weights: dict[str, float] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import html as markup
 import random
 import re
+import time
 import struct
 from pathlib import Path
 
@@ -186,6 +187,84 @@ def test_main_text_of_odd_pages():
     assert text("<" * 50_000 + "a" + "<!--" * 20_000)[-1:] != ">"
 
 
+ARTICLE = "<h1>A title here</h1>" + "".join(f"<p>Sentence {i} of the story with some more words.</p>" for i in range(12))
+PLAIN = "\n".join(["A title here", *(f"Sentence {i} of the story with some more words." for i in range(12))])
+AROUND = "<header><p>Site name</p></header><nav><a href='/'>Home</a></nav>{}<footer>All rights</footer>"
+
+
+@pytest.mark.parametrize("mark", ["{}", "<article>{}</article>", "<main>{}</main>", "<article class='post related-none'>{}</article>"])
+@pytest.mark.parametrize(
+    "wrapper",
+    ["<div class='layout has-sidebar'>{}</div>", "<form method=post>{}</form>", "<div id='search-app'>{}</div>",
+     "<section class='post related-none'>{}</section>", "<div class=menu>{}</div>", "<form><div class='page has-banner'>{}</div></form>"],
+)
+def test_wrappers_with_unlucky_names_hold_the_article(wrapper, mark):
+    page = AROUND.format(wrapper.format(mark.format(ARTICLE)))
+    assert html_text.main_text(page, WEIGHTS) == PLAIN
+
+
+@pytest.mark.parametrize("mark", ["{}", "<article>{}</article>"])
+def test_hinted_parts_beside_the_article_stay_out(mark):
+    aside = "".join(f"<p>Other words {i} of somebody else, quite a few of them.</p>" for i in range(25))
+    for part in ("<div class='sidebar'>{}</div>", "<section class='comments'><article>{}</article></section>", "<div id=comments>{}</div>",
+                 "<aside>{}</aside>", "<div class='cookie'>{}</div>", "<footer>{}</footer>"):
+        for page in (mark.format(ARTICLE) + part.format(aside), part.format(aside) + mark.format(ARTICLE)):
+            assert html_text.main_text(f"<body>{page}</body>", WEIGHTS) == PLAIN, (mark, part)
+    inside = f"<div class='layout has-sidebar'><div class='sidebar'>{aside}</div><article>{ARTICLE}<form>Sign up now</form></article></div>"
+    assert html_text.main_text(inside, WEIGHTS) == PLAIN
+
+
+def brute_tree(page):
+    """Closest block, and the open tags, of each text, walking the stack for each tag."""
+    stack, out = [], []
+    for m in re.finditer(r"<(/?)([a-z0-9]+)>|([^<]+)", page):
+        if m[3]:
+            out.append((m[3], next((t for t in reversed(stack) if t in html_text.BLOCK), "body")))
+            continue
+        tag = m[2]
+        if m[1]:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i] == tag:
+                    del stack[i:]
+                    break
+                if tag not in html_text.BLOCK and stack[i] in html_text.BLOCK:
+                    break
+            continue
+        if tag in html_text.ENDS_P:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i] == "p":
+                    del stack[i:]
+                    break
+                if stack[i] in html_text.BLOCK:
+                    break
+        if tag == "li":
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i] == "li":
+                    del stack[i:]
+                    break
+                if stack[i] in ("ul", "ol", "menu"):
+                    break
+        stack.append(tag)
+    return out
+
+
+def test_open_elements_equal_a_walk_of_the_stack():
+    pick = random.Random(2)
+    for _ in range(1500):
+        page = "".join(pick.choice([f"<{t}>", f"</{t}>", "w "]) for t in pick.choices("p div li ul ol i b a td table span section".split(), k=40))
+        page = re.sub(r"(w )+", "w ", page)
+        assert [(v, b) for k, v, _, b, _ in html_text.pieces(page) if k == "text"] == brute_tree(page), page
+
+
+def test_time_is_linear_in_unbalanced_markup():
+    pages = ["<i>" * 120_000 + "x</b>" * 120_000, "<div>" * 100_000 + "</p>" * 100_000, "<select>" * 100_000 + "x", "<svg>x" * 100_000]
+    pages += ["<div class=menu>" * 30_000 + "x" * 100, "<li><p>" * 100_000, "<p><i>" * 100_000, "<ul><li>" * 60_000 + "</li>" * 100_000]
+    for page in pages:
+        begin = time.time()
+        html_text.main_text(page, WEIGHTS)
+        assert time.time() - begin < 20 * len(page) / 1e6, page[:20]
+
+
 def test_extract_of_odd_tables(spark):
     schema = "page_id long, url string, html string"
     assert html_text.extract(spark.createDataFrame([], schema)).count() == 0

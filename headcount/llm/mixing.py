@@ -35,14 +35,17 @@ def shares(counts: DataFrame, targets: DataFrame | None, most: int, power: float
 
     Sources at the root have the last level. The one without a name takes rows without a source and,
     with ``targets`` (source, weight), those of sources that have none; it weighs as the least of the
-    others. Weights of targets have to be positive.
+    others. Targets that list a source twice, none by name, or a weight that is not positive raise.
     """
     ranked = counts.where("name IS NOT NULL")
     if targets is None:
         ranked = ranked.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(power)))
     else:
-        ranked = ranked.join(targets.select(F.col("source").alias("name"), F.col("weight").cast("double")), "name")
-        ranked = ranked.where("weight > 0")
+        wanted = cut(targets.select(F.col("source").cast("string").alias("name"), F.col("weight").cast("double").alias("weight")))
+        sound = F.coalesce((F.col("weight") > 0) & (F.col("weight") < float("inf")) & F.col("name").isNotNull(), F.lit(False))
+        if wanted.where(~sound).count() or wanted.groupBy("name").count().where("count > 1").count():
+            raise ValueError("targets need one positive weight for each source")
+        ranked = ranked.join(wanted, "name")
     named = cut(ranked)
     known = named.agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("n"), F.min("weight").alias("least")).first()
     left = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) - (known["n"] or 0)
@@ -218,6 +221,7 @@ def _placed(
     nameless = own.where("name IS NULL").first()
     own = cut(own.where("name IS NOT NULL").withColumnRenamed("name", "__own"))
     digest = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
+    rest = _rest(docs, names, key)
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{source}`").cast("string").alias("__name"), digest.alias("__md5"))
     rows = rows.join(by_size(own), F.col("__name") == F.col("__own"), "left")
     if nameless:

@@ -565,3 +565,12 @@ def test_small_sources_keep_weights_of_their_own(spark):
     assert max(off_target(got, weights, 1).values()) < 3
     equal = mixing.mix(df, block=1, most=4).toPandas()
     assert max(off_target(equal, dict.fromkeys(weights, 1.0), 1).values()) < 3
+
+
+def test_targets_are_one_positive_weight_for_each_source(spark):
+    docs = spark.range(40).selectExpr("id AS doc_id", "CAST(id % 2 AS STRING) AS source")
+    schema = "source string, weight double"
+    for bad in ([("0", 1.0), ("0", 1.0)], [("0", 0.0), ("1", 1.0)], [("0", -1.0)], [("0", None)], [(None, 1.0)], [("0", float("nan"))]):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, spark.createDataFrame(bad, schema))
+    assert mixing.mix(docs, spark.createDataFrame([("0", 1.0), ("9", 2.0)], schema), block=4).count() == 40

@@ -154,6 +154,8 @@ def build_design(
         .groupBy("term", "level")
         .agg(F.expr("sum(y * n) AS total"), F.expr("coalesce(sum(CASE WHEN y = 0 THEN n END), 0) AS zeros"))
         .collect()
+        if names
+        else []
     )
     totals = {(r["term"], r["level"]): r["total"] for r in margins}
     zeros = {(r["term"], r["level"]): r["zeros"] for r in margins}

@@ -344,6 +344,39 @@ UNION ALL SELECT 'NB', {r("SUM(n * POW(theta / (theta + mu), theta))", 5)} FROM
         *om.TERMS,
         *om.gram("n", "s", "pats"),
     )
+    # Occupation codes, numbered as the survey's arithmetic makes them, and sex. With one other
+    # coefficient the level's errors are closed forms of sums by level.
+    codes = om.Layout(
+        {"soc_code": [str(1111 + 20 * i) for i in range(397)], "sex2": LEVELS["sex2"]},
+        lambda f: "(soc_code - 1111) // 20 + 1" if f == "soc_code" else level_place(f, f),
+    )
+    both = "soc_code IS NOT NULL AND sex2 IS NOT NULL"
+    male, female = codes.offset["sex2"] + 1, codes.offset["sex2"] + 2
+    large = f"""SELECT 'sex2' AS term, 'Female' AS level, {r("gap")} AS estimate, {r("SQRT({scale} / schur)")} AS se FROM one
+UNION ALL SELECT 'soc_code', CAST(1111 + 20 * (idx - 1) AS VARCHAR), {{}}, {{}} FROM sums, one"""
+    by_level = "SELECT idx, SUM(n) AS n, SUM(s) AS s, SUM(w) AS d, COALESCE(SUM(w) FILTER (x), 0) AS b FROM weighed GROUP BY idx"
+    shown = "CASE WHEN s > 0 THEN {} END"
+    q["mdl_large_nb"] = on_people(
+        large.replace("{scale}", "1").format(
+            shown.format(r(f"(SELECT b[sums.idx] + b[{male}] FROM fin)")), shown.format(r("SQRT(1 / d + POW(sums.b / d, 2) / schur)"))
+        ),
+        *om.cells(codes, both),
+        *om.nb_fit(codes, 60),
+        ("weighed", f"SELECT ix[1] AS idx, ix[2] = {female} AS x, n, s, n * mu * theta / (mu + theta) AS w FROM (SELECT *, {om.ETA} AS mu FROM pats, fin)"),
+        ("sums", by_level),
+        ("one", f"SELECT SUM(CASE WHEN s > 0 THEN b - b * b / d END) AS schur, (SELECT b[{female}] - b[{male}] FROM fin) AS gap FROM sums"),
+    )
+    q["mdl_large_ols"] = on_people(
+        large.replace("{scale}", "sigma2").format(r("my - gap * b / d"), r("SQRT(sigma2 * (1 / d + POW(sums.b / d, 2) / schur))")),
+        ("pts", f"SELECT (soc_code - 1111) // 20 + 1 AS idx, (sex2 = 'Female')::INT AS x, total_contacts::DOUBLE AS y FROM people WHERE {both}"),
+        ("sums", "SELECT idx, COUNT(*)::DOUBLE AS d, SUM(x)::DOUBLE AS b, AVG(x) AS mx, AVG(y) AS my FROM pts GROUP BY idx"),
+        ("slope", "SELECT SUM((x - mx) * (y - my)) / SUM((x - mx) * (x - mx)) AS gap, SUM((x - mx) * (x - mx)) AS schur FROM pts JOIN sums USING (idx)"),
+        (
+            "one",
+            """SELECT ANY_VALUE(gap) AS gap, ANY_VALUE(schur) AS schur,
+    SUM(POW(y - my - gap * (x - mx), 2)) / (COUNT(*) - 1 - (SELECT COUNT(*) FROM sums)) AS sigma2 FROM pts JOIN sums USING (idx), slope""",
+        ),
+    )
     zinb = [*om.cells(_layout(), ALL_KNOWN), *om.zinb_fit(_layout(), 80)]
     q["mdl_zinb_coef"] = on_people(
         f"SELECT part, term, level, {r('estimate')} AS estimate, {r('se')} AS se, {r('estimate / se', 4)} AS z, TRUE AS converged FROM zest",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from headcount.functions import codes as K
 from headcount.functions.columns import is_in, log_scale, n_answered, name, row_max
-from headcount.models import linear, oneway, report
+from headcount.models import large, linear, oneway, report
 from headcount.models.fit import Fit, fit_nb, fit_ols, fit_zinb
 from headcount.models.table import build_design, keep, model_table
 from headcount.operators import derive, distributions, filters, frequency, mixing, plots, summary
@@ -812,6 +812,28 @@ def dist_zero_limit(spark, sf_dir):
     return _rounded(report.zero_count_table([_rare_zeros(spark, sf_dir)]), 4)
 
 
+# One factor of some 400 levels beside another: levels in a table, not on the driver.
+
+
+def _large(spark, sf_dir, set_aside_zero: bool):
+    return large.large_design(_people(spark, sf_dir), OUTCOME, {"sex2": K.MODEL_FACTORS["sex2"]}, "soc_code", set_aside_zero)
+
+
+def _large_figures(spark, fit) -> DataFrame:
+    levels = large.with_zero_levels(fit).selectExpr("'soc_code' AS term", "CAST(level AS STRING) AS level", "estimate", "se")
+    return _rounded(fit.coefficients(spark).unionByName(levels))
+
+
+@query
+def mdl_large_nb(spark, sf_dir):
+    return _large_figures(spark, large.fit_nb_large(_large(spark, sf_dir, True)))
+
+
+@query
+def mdl_large_ols(spark, sf_dir):
+    return _large_figures(spark, large.fit_ols_large(_large(spark, sf_dir, False)))
+
+
 @query
 def mdl_theta_ci_multi(spark, sf_dir):
     return _rounded(report.theta_interval_table(spark, [_nb(spark, sf_dir)]).drop("model"))

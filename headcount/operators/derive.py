@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from headcount.functions.columns import is_in, level_ord, n_answered, name, null_codes, row_total, with_exprs
 from headcount.functions.codes import SENTINELS
@@ -34,6 +35,21 @@ def add_levels(df: DataFrame, col: str, levels: Sequence[str]) -> DataFrame:
     return with_exprs(df, {col: known, f"{col}_ord": level_ord(c, levels)})
 
 
+def add_codebook_levels(df: DataFrame, col: str, codebook: DataFrame, question: str | None = None) -> DataFrame:
+    """``add_levels`` with the labels of a codebook table in its order (``ord``), so that no list stands in the plan.
+
+    ``question`` names the codebook's column if it is not ``col``. Labels of missing codes are unknown.
+    The join is left to Spark; NULL labels match nothing.
+    """
+    known = codebook.filter((F.col("column") == (question or col)) & F.col("label").isNotNull() & ~F.coalesce("is_missing", F.lit(False)))
+    # Places are counted over the labels of one question.
+    labels = known.groupBy(F.col("label").alias("_label")).agg(F.min("ord").alias("_ord"))
+    place = F.row_number().over(Window.orderBy(F.col("_ord").asc_nulls_last(), "_label"))
+    labels = labels.select("_label", place.alias("_place"))
+    joined = df.join(labels, F.col(name(col)) == F.col("_label"), "left")
+    return joined.withColumns({col: F.col("_label"), f"{col}_ord": F.col("_place")}).drop("_label", "_place")
+
+
 def add_week_index(df: DataFrame, date: str, index: str) -> DataFrame:
     """1-based number of the Monday-start week, counted from the week of the earliest date.
 

@@ -94,12 +94,14 @@ def freq_table(
     by: Sequence[str] = (),
     levels: Sequence[str] | None = None,
     codebook: DataFrame | None = None,
+    codebook_order: bool = False,
 ) -> DataFrame:
     """Value, n, raw %, valid % and cumulative % of valid, per question and per ``by`` group.
 
     Several columns are turned long before the count, so any number of questions costs one scan
     and one shuffle. ``levels`` gives the order in which labels accumulate; codes accumulate in
-    numeric order. With a codebook table each code gets its label.
+    numeric order. With a codebook table each code gets its label, and with ``codebook_order`` codes
+    accumulate in the codebook's order (``ord``), those it does not list behind.
     """
     single = isinstance(cols, str)
     cols = [cols] if single else list(cols)
@@ -114,9 +116,12 @@ def freq_table(
         labels = (
             codebook.filter(F.col("code").isNotNull())
             .groupBy(F.col("column").alias("_q"), F.col("code").cast(value_type).alias("_v"))
-            .agg(F.min("label").alias("label"))
+            .agg(F.min("label").alias("label"), F.min("ord").alias("_place"))
         )
         match = (F.col("question") == F.col("_q")) & (F.col("value") == F.col("_v"))
         counts = counts.join(labels, match, "left").drop("_q", "_v")
+        counts = (counts.withColumn("_ord", F.col("_place")) if codebook_order else counts).drop("_place")
+    elif codebook_order:
+        raise ValueError("there is no codebook to order by")
     out = _percentages(counts, keys, "value", "_ord").drop("_ord")
     return out.drop("question") if single else out

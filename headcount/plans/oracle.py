@@ -480,6 +480,12 @@ def _oracle() -> dict[str, str]:
     q["src_survey"] = on_survey("SELECT * FROM survey")
     q["src_lookup"] = f"{_with(_SOC)} SELECT * FROM soc"
 
+    q["src_rejects"] = on_survey(
+        """SELECT 'age_years' AS column, COUNT(*) AS n FROM survey WHERE respondent_id % 50 = 7 UNION ALL
+SELECT 'sex', COUNT(*) FROM survey WHERE respondent_id % 90 = 17 UNION ALL
+SELECT '(good)', COUNT(*) FROM survey WHERE respondent_id % 50 <> 7 AND respondent_id % 90 <> 17"""
+    )
+
     # filters
     case = "respondent_id, generation, age_years"
     q["flt_exclude_null"] = on_survey("SELECT respondent_id FROM survey WHERE respondent_id <> 9142")
@@ -630,6 +636,17 @@ FROM (SELECT children_in_house, variable, {stats("v", "mean sd median n")} FROM
     q["agg_freq_codebook"] = on_people(
         f"""SELECT *, CASE question WHEN 'sex' THEN {sex_label.replace("sex", "value")}
   ELSE {isolation_label.replace("isolation", "value")} END AS label FROM ({frequency(both, "question")})"""
+    )
+    place = "CASE value WHEN 3 THEN 1 WHEN 9 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 6 END"
+    q["agg_freq_codebook_order"] = on_people(
+        f"""SELECT *, CASE question WHEN 'sex' THEN {sex_label.replace("sex", "value")}
+  ELSE {isolation_label.replace("isolation", "value")} END AS label
+FROM ({frequency(both, "question", f"CASE WHEN question = 'isolation' OR value < 3 THEN {place} END NULLS LAST, value")})"""
+    )
+    shown = "CASE WHEN selfisolation_un <> 'UNK' THEN selfisolation_un END"
+    q["prj_levels_codebook"] = on_people(
+        f"""SELECT respondent_id, {shown} AS selfisolation_un, CAST(CASE selfisolation_un WHEN 'Yes, but have stopped' THEN 1
+  WHEN 'Prefer not to say' THEN 2 WHEN 'No' THEN 3 WHEN 'Yes, am now' THEN 4 END AS INTEGER) AS selfisolation_un_ord FROM people"""
     )
     brief = ["age3", "sex", "occupation", "generation"]
     q["agg_brief_by"] = on_people(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,16 @@ from headcount.models.fit import Fit, fit_nb, fit_ols, fit_zinb
 from headcount.models.table import build_design, keep, model_table
 from headcount.operators import derive, distributions, filters, frequency, mixing, plots, summary
 from headcount.plans.clean import CONTACT_TOTALS, CONTACTS, DATES, HOUSEHOLD, clean, derive_columns, select_cases
-from headcount.sources import CODEBOOK_SCHEMA, null_missing, soc_groups, soc_lookup, survey
+from headcount.sources import (
+    CODEBOOK_SCHEMA,
+    SURVEY_SCHEMA,
+    null_missing,
+    read_with_rejects,
+    reject_counts,
+    soc_groups,
+    soc_lookup,
+    survey,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +78,20 @@ def src_lookup(spark, sf_dir):
     return soc_lookup(spark, sf_dir)
 
 
+@query
+def src_rejects(spark, sf_dir):
+    """Rows by the column that does not parse, and the good ones, of a file with two kinds of bad cells."""
+    rows = survey(spark, sf_dir)
+    cells = [F.col(f.name).cast("string") if f.name in rows.columns else F.lit(None).cast("string") for f in SURVEY_SCHEMA]
+    text = rows.select(*[c.alias(n) for c, n in zip(cells, SURVEY_SCHEMA.names)])
+    text = text.withColumn("age_years", F.expr("CASE WHEN respondent_id % 50 = 7 THEN 'unknown' ELSE age_years END"))
+    text = text.withColumn("sex", F.expr("CASE WHEN respondent_id % 90 = 17 THEN '1.5' ELSE sex END"))
+    path = f"{spark.sparkContext.getCheckpointDir()}/rejects-{uuid.uuid4().hex}.csv"
+    text.write.option("header", True).csv(path)
+    good, rejects = read_with_rejects(spark, path, limit=0.05)
+    return reject_counts(rejects).unionByName(good.agg(F.lit("(good)").alias("column"), F.count("age_years").alias("n")))
+
+
 # -- filters ---------------------------------------------------------------------
 
 
@@ -435,6 +459,24 @@ def agg_freq_codebook(spark, sf_dir):
     return _rounded(frequency.freq_table(cases, ["sex", "isolation"], codebook=codebook))
 
 
+def _ordered_codebook(spark) -> DataFrame:
+    """The same codebook with another order of the answers, which the stored codes do not have."""
+    return _codebook(spark).withColumn("ord", F.expr("CASE code WHEN 3 THEN 1 WHEN 9 THEN 2 WHEN 1 THEN 3 ELSE 4 + code END").cast("int"))
+
+
+@query
+def agg_freq_codebook_order(spark, sf_dir):
+    cases = null_missing(_cases(spark, sf_dir), _codebook(spark))
+    table = frequency.freq_table(cases, ["sex", "isolation"], codebook=_ordered_codebook(spark), codebook_order=True)
+    return _rounded(table)
+
+
+@query
+def prj_levels_codebook(spark, sf_dir):
+    people = _people(spark, sf_dir).select("respondent_id", "selfisolation_un")
+    return derive.add_codebook_levels(people, "selfisolation_un", _ordered_codebook(spark), "isolation")
+
+
 @query
 def prj_recode_codebook(spark, sf_dir):
     codebook = _codebook(spark)

@@ -335,15 +335,16 @@ def fit_poisson(
 
 
 def drop_one_deviances(fit: Fit, factors: Sequence[str], max_iter: int = 50, tol: float = 1e-7) -> dict[str, float]:
-    """Deviance of the model without each factor, theta held at the full fit.
+    """Deviance of the model without each factor, theta held at the full fit; of a Poisson fit, that of Poisson models.
 
     All reduced models are fitted at once: the patterns are repeated per model, each pass is one
     aggregation, and a dropped factor is one whose coefficients stay at 0. Models that do not settle
     raise.
     """
-    if fit.theta is None:
-        raise ValueError(f"the test is for negative binomial fits, not for {fit.model}")
+    if fit.model not in ("NB", "Poisson"):
+        raise ValueError(f"the test is for count models without a zero part, not for {fit.model}")
     design, p, theta = fit.design, fit.design.p, fit.theta
+    poisson = theta is None
     kept = [design.kept_without(f) for f in factors]
     beta = np.zeros((len(factors), p))
     for m, k in enumerate(kept):
@@ -355,20 +356,20 @@ def drop_one_deviances(fit: Fit, factors: Sequence[str], max_iter: int = 50, tol
         patterns = patterns.filter(f"model = {own} OR {name(design.index[term])} <> {ALL_ZERO}")
     # The number of a coefficient in the flat array of all models; none for a reference level.
     places = [f"CASE WHEN {s} >= 0 THEN model * {p} + {s} END" for s in design.slots()]
-    alone = design.values.selectExpr("*", f"{parameter(theta)} AS t")
-    constant = alone.agg(F.expr(f"sum({VALUE_TERMS['v_deviance']}) AS v")).first()["v"] or 0.0
+    alone = design.values.selectExpr("*", f"{parameter(1.0 if poisson else theta)} AS t")
+    of_values = "2D * n * (y * ln(y) - y)" if poisson else VALUE_TERMS["v_deviance"]
+    constant = alone.agg(F.expr(f"sum({of_values}) AS v")).first()["v"] or 0.0
 
     def evaluate(beta: np.ndarray) -> list[dict]:
         flat = parameters(beta.ravel())
         eta = " + ".join(f"coalesce(get({flat}, {place}), 0D)" for place in places)
-        out = pair_sums(
-            design,
-            _with_mean(patterns, eta, theta),
-            pair={"observed": OBSERVED},
-            single={"score": SCORE},
-            whole={"deviance": DEVIANCE},
-            models=len(factors),
-        )
+        if poisson:
+            rows = patterns.selectExpr("*", f"{eta} AS eta").selectExpr("*", "exp(eta) AS mu")
+            terms = ("n * mu", "s - n * mu", "-2D * (s * eta - n * mu)")
+        else:
+            rows, terms = _with_mean(patterns, eta, theta), (OBSERVED, SCORE, DEVIANCE)
+        pair, single, whole = ({key: text} for key, text in zip(("observed", "score", "deviance"), terms))
+        out = pair_sums(design, rows, pair=pair, single=single, whole=whole, models=len(factors))
         for sums in out:
             sums["deviance"] += constant
         return out

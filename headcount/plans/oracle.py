@@ -314,6 +314,18 @@ FROM (SELECT term, level, FALSE AS reference, estimate, se FROM est UNION ALL
     )
     tested = lrt_tables()
     q["mdl_lrt"] = on_people(lrt(5), *tested)
+    # With one factor the means are those of its levels. Outcomes are 0 or 1, so y ln y is 0.
+    q["mdl_lrt_poisson"] = on_people(
+        f"""SELECT '<none>' AS term, NULL::INTEGER AS df, {r("-2 * SUM(s * LN(s / n))", 5)} AS deviance, NULL::DOUBLE AS statistic, TRUE AS converged,
+  'Poisson' AS model FROM lv
+UNION ALL SELECT 'age3', CAST(COUNT(*) - 1 AS INTEGER), {r("-2 * SUM(s) * LN(SUM(s) / SUM(n))", 5)},
+  {r("2 * SUM(s * LN(s / n)) - 2 * SUM(s) * LN(SUM(s) / SUM(n))", 5)}, TRUE, 'Poisson' FROM lv""",
+        (
+            "lv",
+            "SELECT age3, COUNT(*)::DOUBLE AS n, SUM(LEAST(total_contacts, 1))::DOUBLE AS s FROM people "
+            "WHERE age3 IS NOT NULL AND total_contacts IS NOT NULL GROUP BY 1",
+        ),
+    )
     q["mdl_lrt_allzero"] = on_zeroed(lrt(4), *tested)
     # The upper tail of chi-square by the series of the lower incomplete gamma function.
     q["mdl_lrt_pvalue"] = on_people(

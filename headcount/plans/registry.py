@@ -804,6 +804,15 @@ def mdl_lrt(spark, sf_dir):
     return _rounded(report.drop_one_lrt(spark, _nb(spark, sf_dir)).drop("p_value"), 5)
 
 
+@query
+def mdl_lrt_poisson(spark, sf_dir):
+    """The test where the outcome, any contact or none, is not over-dispersed."""
+    people = _people(spark, sf_dir).withColumn(OUTCOME, F.expr(f"least({OUTCOME}, 1)"))
+    factors = {"age3": K.MODEL_FACTORS["age3"]}
+    fit = fit_nb(build_design(model_table(people, OUTCOME, list(factors)), factors))
+    return _rounded(report.drop_one_lrt(spark, fit).drop("p_value").withColumn("model", F.lit(fit.model)), 5)
+
+
 @query
 def mdl_lrt_pvalue(spark, sf_dir):
     return _rounded(report.drop_one_lrt(spark, _nb(spark, sf_dir)).select("term", "df", "p_value"), 7)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headcount.llm.shared import by_size, cut, table, with_field
+from headcount.llm.shared import by_size, cut, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information content that a word may disclose at most.
@@ -101,12 +101,20 @@ def free_words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[s
 
 
 def _mark(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    """The digest that Spark's sha2 gives of the text."""
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that few texts are Python's at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entities of each text, and the text itself if it has any."""
-    for batch in batches:
+    for batch in _slices(batches, 1024):
         marks, spans, entities, held = [], [], [], []
         for text in batch.column(1).to_pylist():
             text = text or ""
@@ -133,7 +141,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
     counts: Counter[str] = Counter()
-    for batch in batches:
+    for batch in _slices(batches, 1024):
         for text in batch.column(0).to_pylist():
             counts.update(set(_WORD.findall((text or "").lower())))
             if len(counts) > 200_000:
@@ -160,7 +168,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(columns, names=["chunk", "texts", "words"])
 
     number, size, texts, words = TaskContext.get().partitionId() << 32, 0, [], set()
-    for batch in batches:
+    for batch in _slices(batches, 256):
         for row in batch.to_pylist():
             if texts and size + len(row["held"]) > CHUNK:
                 yield flush()
@@ -180,7 +188,7 @@ def _candidates(total: int, threshold: float):
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches, 1):
             for chunk, texts, known in zip(*(batch.column(c).to_pylist() for c in ("chunk", "texts", "known"))):
                 known = {k["term"]: k["n"] for k in known}
                 sums: dict[tuple[str, str], list[int]] = {}
@@ -207,7 +215,7 @@ def _candidates(total: int, threshold: float):
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The spans of all occurrences of each text's disclosing words."""
-    for batch in batches:
+    for batch in _slices(batches, 1):
         for texts, told in zip(*(batch.column(c).to_pylist() for c in ("texts", "told"))):
             of: dict[str, set[str]] = {}
             for pair in told:
@@ -298,13 +306,8 @@ def sanitise(
     _, terms = _found(df, key, text, threshold, contexts)
     names = df.columns
 
-    def marked(batches):
-        for batch in batches:
-            marks = [None if t is None else _mark(t) for t in batch.column(names.index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], names=[*names, "__mark"])
-
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches, 1024):
             out = []
             for value, own in zip(batch.column(names.index(text)).to_pylist(), batch.column(len(names)).to_pylist()):
                 if value is None:
@@ -316,9 +319,9 @@ def sanitise(
             columns[names.index(text)] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = df.mapInArrow(marked, with_field(df, ("__mark", "binary")))
     terms = by_size(terms.select(F.col("term_mark").alias("__of"), F.col("terms").alias("__terms")))
-    rows = rows.join(terms, F.col("__mark") == F.col("__of"), "left").drop("__mark", "__of")
+    same = F.unhex(F.sha2(F.col(f"`{text}`").cast("binary"), 256)) == F.col("__of")
+    rows = df.select(*[F.col(f"`{c}`") for c in names]).join(terms, same, "left").drop("__of")
     return rows.mapInArrow(run, df.schema)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headcount.functions.columns import literal, round_half_even
+from headcount.functions.special import lgamma
 from headcount.models.fit import Fit, drop_one_deviances
 from headcount.models.table import parameter
 
@@ -200,20 +201,62 @@ def largest_outcome(fit: Fit) -> int:
     return int(fit.design.values.agg(F.max("y")).first()[0] or 0)
 
 
+#: Log of the probability below which a tail is lost in the rounding of what comes before it.
+LOST = math.log(1e-18)
+
+
+def last_outcome(mu: float, theta: float | None, kmax: int) -> int:
+    """An x up to ``kmax`` beyond which P(Y > x) is lost in rounding, for this mean and all smaller ones."""
+
+    def log_tail(k: int) -> float:
+        if theta is None:
+            ratio = mu / (k + 1)
+            log_pmf = -mu + k * math.log(mu) - math.lgamma(k + 1)
+        else:
+            ratio = mu / (theta + mu) * (k + theta) / (k + 1)
+            log_pmf = math.lgamma(k + theta) - math.lgamma(theta) - math.lgamma(k + 1)
+            log_pmf += theta * math.log(theta / (theta + mu)) + k * math.log(mu / (theta + mu))
+        # From here on probabilities fall at least as fast as this ratio, if it is below 1.
+        return log_pmf - math.log1p(-ratio) if ratio < 1 else 0.0
+
+    if mu <= 0:
+        return 0
+    low, high = 0, 1
+    while high < kmax and log_tail(high) > LOST:
+        low, high = high, 2 * high
+    high = min(high, kmax)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if log_tail(middle) > LOST else (low, middle)
+    return high
+
+
 def predicted_distribution(fit: Fit, kmax: int, prob: str = "prob", tail: bool = True) -> DataFrame:
     """(x, probability): mean over respondents of P(Y = x), for x = 0..kmax.
 
-    The mass beyond is in a last row without x, unless ``tail`` is off. The work is patterns times
-    ``kmax``, so that is for the caller to choose.
+    The mass beyond is in a last row without x, unless ``tail`` is off. There is a row for each x from
+    the start, and each adds up the patterns: of log P(Y = x) = c(x) + a + x b, only a and b depend
+    on the pattern, so a pattern costs an exponential, and nothing is multiplied out. Where the
+    largest mean's tail is lost in rounding the rest is 0. The patterns are one array, which
+    the combinations of levels bound.
     """
-    pmf = f"(1D - pi) * coalesce(exp({fit.log_pmf('x')}), 0D) + CASE WHEN x = 0 THEN pi ELSE 0D END"
-    out = (
-        patterns(fit)
-        .selectExpr("*", f"explode(sequence(0, {kmax})) AS x")
-        .selectExpr("x", "n", f"n * ({pmf}) AS expected")
-        .groupBy("x")
-        .agg(F.expr(f"sum(expected) / sum(n) AS {prob}"))
-    )
+    # The array is read twice: for the sums here and within each row.
+    rows = patterns(fit)
+    theta = fit.theta
+    slope, level = ("ln(mu)", "-mu") if theta is None else ("ln(mu / (t + mu))", "t * ln(t / (t + mu))")
+    at_zero = "n * CASE WHEN mu > 0 THEN pi ELSE 1D END"
+    total, none, most = rows.agg(F.sum("n"), F.expr(f"sum({at_zero})"), F.max("mu")).first()
+    packed = rows.filter("mu > 0").selectExpr(f"named_struct('w', n * (1D - pi), 'a', {level}, 'b', {slope}) AS p")
+    packed = packed.agg(F.collect_list("p").alias("p"))
+    last = last_outcome(most or 0.0, theta, kmax)
+    xs = fit.design.patterns.sparkSession.range(kmax + 1)
+    xs = xs.selectExpr("CAST(id AS INT) AS x", "CAST(id AS DOUBLE) AS k", f"{'1D' if theta is None else repr(float(theta)) + 'D'} AS t")
+    xs = xs.selectExpr("*", "k + 1D AS k1", "k + t AS kt")
+    c = f"-{lgamma('k1')}" if theta is None else f"{lgamma('kt')} - {lgamma('t')} - {lgamma('k1')}"
+    xs = xs.selectExpr("x", "k", f"{c} AS c").withColumn("p", packed.scalar())
+    mass = "aggregate(p, 0D, (s, q) -> s + q.w * exp(c + q.a + k * q.b))"
+    zero = f"CASE WHEN x = 0 THEN {float(none or 0.0)!r}D ELSE 0D END"
+    out = xs.selectExpr("x", f"(CASE WHEN x <= {last} THEN {mass} ELSE 0D END + {zero}) / {float(total)!r}D AS {prob}")
     return with_tail(out, prob) if tail else out
 
 

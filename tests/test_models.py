@@ -469,6 +469,38 @@ def test_predicted_distribution_against_brute_force(spark, nb, sample):
         assert got[k] == pytest.approx(np.mean(np.exp(log_p)), rel=1e-9)
 
 
+def test_no_row_is_made_for_a_pattern_and_an_outcome(nb):
+    out = report.predicted_distribution(nb, 40)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
+def test_a_million_outcomes_cost_what_the_likely_ones_do(spark, nb):
+    out = report.predicted_distribution(nb, 1_000_000)
+    count, total, last = out.agg(F.count("*"), F.sum("prob"), F.max("x")).first()
+    assert (count, last) == (1_000_002, 1_000_000) and total == pytest.approx(1, abs=1e-12)
+    few = {r.x: r.prob for r in report.predicted_distribution(nb, 60).collect()}
+    many = {r.x: r.prob for r in out.filter("x <= 60").collect()}
+    assert all(many[x] == pytest.approx(p, rel=1e-12) for x, p in few.items() if x is not None)
+
+
+@pytest.mark.parametrize("mu, theta", [(0.5, None), (40.0, None), (3.0, 1.5), (200.0, 0.2), (5.0, 80.0), (0.0, 1.0)])
+def test_the_tail_beyond_the_last_outcome_is_lost_in_rounding(mu, theta):
+    last = report.last_outcome(mu, theta, 10**7)
+    assert report.last_outcome(mu, theta, 3) <= 3
+    if not mu:
+        assert last == 0
+        return
+
+    def log_pmf(k):
+        if theta is None:
+            return -mu + k * math.log(mu) - math.lgamma(k + 1)
+        return math.lgamma(k + theta) - math.lgamma(theta) - math.lgamma(k + 1) + theta * math.log(theta / (theta + mu)) + k * math.log(mu / (theta + mu))
+
+    rest = sum(math.exp(log_pmf(k)) for k in range(last + 1, last + 4000))
+    assert rest < 1e-17 and sum(math.exp(log_pmf(k)) for k in range(last + 1)) == pytest.approx(1, abs=1e-9)
+
+
 def test_null_distribution_sums_to_one(spark, sample):
     fit = oneway.fit_oneway(frame(spark, *sample), "y")
     assert oneway.distribution(fit, 500, tail=False).agg(F.sum("prob")).first()[0] == pytest.approx(1, abs=1e-9)

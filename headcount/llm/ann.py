@@ -21,6 +21,8 @@ from headcount.llm.vectors import matrix, vectors
 
 #: Rows of a tile, whose products take 8 bytes each, and tiles of a stripe.
 QUERIES, CANDIDATES, STRIPE = 512, 2048, 64
+#: Queries that a task holds. All candidates are sent once for each such group.
+GROUP = 16_384
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,10 +121,12 @@ def _tiles(k: int):
             if part.column("right")[0].as_py() < 0:
                 query, x = part.column("id").to_numpy(), matrix(part.column("vec"))
             elif len(query):
-                ids = part.column("id").to_numpy()
-                q, c, score = _tile(query, x, best.least(query), ids, matrix(part.column("vec")), k)
-                for row in zip(query[q].tolist(), score.tolist(), ids[c].tolist()):
-                    best.push(*row)
+                ids, y = part.column("id").to_numpy(), matrix(part.column("vec"))
+                for at in range(0, len(query), QUERIES):
+                    own = query[at : at + QUERIES]
+                    q, c, score = _tile(own, x[at : at + QUERIES], best.least(own), ids, y, k)
+                    for row in zip(own[q].tolist(), score.tolist(), ids[c].tolist()):
+                        best.push(*row)
         yield best.batch()
 
     return run
@@ -146,8 +150,8 @@ def nearest(df: DataFrame, queries: str, k: int = 20, key: str = "vec_id", vecto
 
     ``queries`` is a condition on ``id``; candidates are all rows but the query's own. The result is
     exact: no candidate is left out, ties go to the smaller id. Vectors of different lengths are not
-    compared; unusable ones (see ``vectors``) and null ids take no part; a repeated id is one row. A
-    query with fewer than k candidates returns them all, one without any returns nothing.
+    compared; unusable ones (see ``vectors``) and null ids take no part; a repeated id is one row.
+    Other columns play no part; an empty table finds nothing. A query with fewer than k candidates returns them all, one without any returns nothing.
     """
     rows = cut(
         vectors(df, key, vector).where("id IS NOT NULL AND vec IS NOT NULL").withColumn("size", F.length("vec"))
@@ -156,7 +160,7 @@ def nearest(df: DataFrame, queries: str, k: int = 20, key: str = "vec_id", vecto
     sizes = cut(
         rows.groupBy("size")
         .agg(
-            F.ceil(F.count_if(F.expr(queries)) / QUERIES).cast("int").alias("lefts"),
+            F.ceil(F.count_if(F.expr(queries)) / GROUP).cast("int").alias("lefts"),
             F.ceil(F.count(F.lit(1)) / CANDIDATES).cast("int").alias("rights"),
         )
         # Enough stripes to keep all partitions busy, and to bound what one task reads.

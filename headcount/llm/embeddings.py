@@ -229,13 +229,17 @@ def _keys_of(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, signs: np.ndarray
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9) -> DataFrame:
-    """``id``, ``n_links``, ``component_id``, ``kept`` per distinct id.
+    """``id``, ``n_links``, ``component_id``, ``kept`` per distinct id, and per row without an id.
 
     A link joins two vectors of equal length whose cosine, in double precision, is at least
     ``least``. Equal vectors are one class from the start and are counted, never paired. Unusable
-    vectors (see ``vectors``) link with nothing. A null id is one row without a component, kept.
+    vectors (see ``vectors``) link with nothing. A row with a null id has no component and is kept.
+    Other columns play no part; an empty table stays empty.
     """
-    rows = cut(vectors(df, key, vector).mapInArrow(_marks, "id long, vec binary, mark binary"))
+    nameless = df.where(F.col(f"`{key}`").isNull()).select(
+        F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")
+    )
+    rows = cut(vectors(df.where(F.col(f"`{key}`").isNotNull()), key, vector).mapInArrow(_marks, "id long, vec binary, mark binary"))
     usable = rows.where("id IS NOT NULL AND vec IS NOT NULL")
     classes = cut(
         usable.groupBy("mark").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
@@ -262,7 +266,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"),
-    )
+    ).unionByName(nameless)
 
 
 def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,15 +94,22 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = LABELLED) -> np.ndarray:
     """The classifier's coefficients from at most ``most`` labelled documents.
 
-    A document with several labels counts as good if their mean is at least one half; null labels do
+    Where more are labelled, those whose ids have the smallest hashes count, somewhat fewer than
+    ``most``. A document with several labels counts as good if their mean is at least one half; null labels do
     not count. With labels of one kind only, or none, all coefficients are zero but the intercept's,
     which is the smoothed log-odds.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("id"))
-    known = known.agg((F.avg("quality") >= 0.5).alias("good")).orderBy(F.xxhash64("id"), "id").limit(most)
-    known = cut(known)
+    known = cut(known.agg((F.avg("quality") >= 0.5).alias("good")))
+    labelled = known.count()
+    if labelled > most:
+        # A uniform sample by hash, a little smaller than allowed, so that no rows are sorted for it.
+        share = (most - 5 * math.sqrt(most)) / labelled
+        known = cut(known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < int(share * (1 << 31))).limit(most))
     own = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("id"))
-    sample = own.join(by_size(known), "id").select("text", F.col("good").cast("double").alias("good"))
+    # An id that repeats is one document, the first of its texts, so the bound is one of rows.
+    sample = own.join(by_size(known), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("good").alias("good"))
+    sample = sample.select("text", F.col("good").cast("double").alias("good"))
     rows = sample.mapInArrow(lambda b: _measured(b, 1), "good double, x array<double>").collect()
     y = np.array([r["good"] for r in rows])
     if not len(rows) or y.min() == y.max():

@@ -574,3 +574,15 @@ def test_targets_are_one_positive_weight_for_each_source(spark):
         with pytest.raises(ValueError):
             mixing.mix(docs, spark.createDataFrame(bad, schema))
     assert mixing.mix(docs, spark.createDataFrame([("0", 1.0), ("9", 2.0)], schema), block=4).count() == 40
+
+
+def test_the_fit_collects_one_row_for_each_labelled_document(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("id % 400 AS doc_id", "concat('word ', id, ' more words of it') AS text")
+    labels = spark.range(400).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS toxic")
+    sizes = []
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: (found := collect(df), sizes.append(len(found)))[0])
+    whole = quality.fit(docs, labels)
+    some = quality.fit(docs, labels, most=200)
+    assert sizes[0] == 400 and 80 < sizes[1] <= 200 and len(whole) == len(some)
+    assert (quality.fit(docs, labels, most=200) == some).all()

@@ -104,6 +104,12 @@ def test_vectors_of_odd_tables(spark):
     assert [tuple(r) for r in ann.nearest(vecs, "id = 0").collect()] == [(0, 1, 1, 1.0)]
 
 
+def test_each_row_without_an_id_stays(spark):
+    some = table(spark, [[1.0, 0.0], [0.0, 1.0], None]).withColumn("vec_id", F.expr("IF(vec_id = 0, 0, NULL)"))
+    got = sorted(map(tuple, embeddings.near_duplicates(some).collect()), key=str)
+    assert got == [(0, 0, 0, True), (None, 0, None, True), (None, 0, None, True)]
+
+
 # Nearest neighbours
 
 
@@ -118,6 +124,7 @@ def test_bounds_hold():
 @pytest.mark.parametrize("stripe", [64, 2])
 def test_nearest_equals_brute_force_with_ties(spark, monkeypatch, stripe):
     monkeypatch.setattr(ann, "QUERIES", 3)
+    monkeypatch.setattr(ann, "GROUP", 5 if stripe == 2 else 16_384)
     monkeypatch.setattr(ann, "CANDIDATES", 16)
     monkeypatch.setattr(ann, "STRIPE", stripe)
     r = np.random.default_rng(8)
@@ -277,6 +284,20 @@ def test_extract_of_odd_tables(spark):
 # Url rules
 
 
+def test_borders_come_from_a_bounded_sample(spark):
+    rows = spark.range(200_000).selectExpr("concat('h', lpad(CAST(id AS STRING), 9, '0')) AS __key", "xxhash64(id) AS __salt")
+    sizes = []
+    plain = type(rows).collect
+    type(rows).collect = lambda df: (found := plain(df), sizes.append((len(found), df._jdf.queryExecution().executedPlan().toString())))[0]
+    try:
+        borders = url_filter._borders(rows, 20)
+    finally:
+        type(rows).collect = plain
+    assert len(borders) == 19 and borders == sorted(borders)
+    assert abs(sizes[0][0] - 20 * url_filter.SAMPLE) < 5 * (20 * url_filter.SAMPLE) ** 0.5 and "TakeOrdered" not in sizes[0][1]
+    assert abs(int(borders[9][0][1:]) - 100_000) < 25_000
+
+
 def brute_rule(url, rules, default="allow"):
     m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")

@@ -431,6 +431,8 @@ def _zero_part(design: Design, closed: Sequence[tuple[str, str]]) -> tuple[np.nd
     If a factor's reference is closed its first open level takes the place. Coefficients that the open
     patterns do not tell apart are left out, as aliased levels are in the count part.
     """
+    if not closed:
+        return np.arange(design.p), dict(design.reference)
     reference, dropped = dict(design.reference), set()
     for term in design.index:
         if (term, reference[term]) in closed:
@@ -481,7 +483,7 @@ def fit_zinb(
     closed = list(design.no_zeros)
     opened: dict[tuple[str, str], int] = {}
 
-    def evaluate(x: np.ndarray, closed: Sequence[tuple[str, str]], zero: np.ndarray) -> dict:
+    def evaluate(x: np.ndarray, closed: Sequence[tuple[str, str]], zero: np.ndarray, whole: bool = False) -> dict:
         beta, gamma, theta = x[:p], x[p : 2 * p], math.exp(x[2 * p])
         # A zero is a count zero with probability c = 1 - r; v is the variance of the split. e and g
         # are the derivatives of log f(0) in the linear predictor and in theta.
@@ -502,8 +504,7 @@ def fit_zinb(
                 "cc": "n0 * (v * e * e - c * t * t * mu / (d * d)) - t * mu * (s + m * t) / (d * d)",
                 "cz": "-n0 * v * e",
                 "zz": "n0 * v - n * pi * (1D - pi)",
-                "whole_c": "t * mu * (s + (n0 * c + m) * t) / (d * d)",
-                "whole_z": "n * pi * (1D - pi)",
+                **({"whole_c": "t * mu * (s + (n0 * c + m) * t) / (d * d)", "whole_z": "n * pi * (1D - pi)"} if whole else {}),
             },
             single={
                 "sc": "n0 * c * e + t * (s - m * mu) / d",
@@ -534,9 +535,10 @@ def fit_zinb(
         h[-1, -1] = sums["tt"] + theta * theta * sums["v_curvature"] + theta * sums["v_score"]
         score = np.concatenate([sums["sc"], sums["sz"], [sums["st"] + theta * sums["v_score"]]])
         live = np.concatenate([np.arange(p), p + zero, [2 * p]])
-        whole = np.zeros((q, q))
-        whole[:p, :p], whole[p : 2 * p, p : 2 * p] = sums["whole_c"], sums["whole_z"]
-        whole[-1, -1] = max(abs(h[-1, -1]), abs(score[-1]))
+        if whole:
+            # The curvature of the complete data in place of the observed one.
+            h = np.zeros((q, q)) - np.diag([0.0] * (q - 1) + [max(abs(h[-1, -1]), abs(score[-1]))])
+            h[:p, :p], h[p : 2 * p, p : 2 * p] = -sums["whole_c"], -sums["whole_z"]
         # What a level has: its own coefficient's sums, or for a reference those of no other level.
         has = {}
         for term, level in levels:
@@ -548,7 +550,7 @@ def fit_zinb(
                 has[term, level] = tuple(sums[m][0] - sums[m][other].sum() for m in ("sz", "few"))
         return {
             "loglik": sums["loglik"] + sums["v_loglik"], "gradient": score[live], "hessian": h[np.ix_(live, live)],
-            "whole": whole[np.ix_(live, live)], "live": live, "has": has,
+            "live": live, "has": has,
             "gain": {t: sums[f"slope_{i}"] / max(sums[f"size_{i}"], 1e-300) for i, t in enumerate(closed)},
         }
 
@@ -641,7 +643,9 @@ def fit_zinb(
             closed, zero, reference, (x, at) = kept, wider, base, found
             refused.clear()
             continue
-        step = uphill(x, at, move) or uphill(x, at, _ascent(-at["whole"], at["gradient"]))
+        step = uphill(x, at, move)
+        if step is None:
+            step = uphill(x, at, _ascent(evaluate(x, closed, zero, True)["hessian"], at["gradient"]))
         if step is None:
             break
         x, at = step

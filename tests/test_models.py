@@ -407,6 +407,21 @@ def test_zinb_names_a_level_whose_zeros_the_count_part_explains(spark, level, co
     assert zeros["Observed"] == np.sum(y == 0) < zeros["ZINB"]
 
 
+def test_zinb_climbs_by_complete_data_where_newton_does_not(spark, monkeypatch):
+    """With Newton's directions turned downhill, only steps of the EM kind are left; none lowers the likelihood."""
+    from headcount.models import fit as module
+
+    a, b, y = draw(seed=11, n=3000, theta=2.0, zero=0.25)
+    d = build_design(model_table(frame(spark, a, b, y), "y", list(FACTORS)), FACTORS)
+    nb = fit_nb(d)
+    ascent, calls = module._ascent, []
+    monkeypatch.setattr(module, "MAX_HALVINGS", 3)
+    monkeypatch.setattr(module, "_ascent", lambda h, g: (calls.append(0), ascent(h, g) * (-1 if len(calls) % 2 else 1))[1])
+    first = fit_zinb(d, nb, max_iter=1, tol=-1e300, allow_unconverged=True)
+    second = fit_zinb(d, nb, max_iter=3, tol=-1e300, allow_unconverged=True)
+    assert nb.loglik < second.loglik and first.loglik < second.loglik
+
+
 def test_zinb_without_any_inflation_is_the_negative_binomial(spark):
     a, b, y = draw(seed=4, n=4000, theta=1.5, zero=0.0)
     y = np.where((y == 0) & (np.arange(len(y)) % 5 != 0), 1, y)  # far fewer zeros than the model expects

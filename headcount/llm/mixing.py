@@ -72,17 +72,25 @@ def shares(counts: DataFrame, targets: DataFrame | None, most: int, power: float
     return cut(first.unionByName(rest).withColumn("id", F.monotonically_increasing_id())), nodes
 
 
-#: Slot by slot: of the sources whose next block is released, the one due first; ties by place.
+#: Slot by slot: of the sources whose next block is released, the one due first; ties by place. An entry's next
+#: block k has a rank, deadline and place in one number, and a release; both are renewed for the entry that is picked.
 SCHEDULE = """
 aggregate(
   sequence(0L, frame - 1),
-  named_struct('next', transform(parts, x -> 0L), 'order', CAST(array() AS ARRAY<INT>)),
+  named_struct(
+    'k', transform(parts, x -> 0L),
+    'free', transform(parts, x -> 0L),
+    'rank', transform(parts, (x, i) -> ((frame + x - 1) DIV x) * size(parts) + i),
+    'order', CAST(array() AS ARRAY<INT>)),
   (a, t) -> transform(
-    array(array_min(filter(
-      transform(a.next, (j, i) -> named_struct(
-        'due', ((j + 1) * frame + parts[i] - 1) DIV parts[i], 'i', i, 'free', j * frame DIV parts[i] <= t)),
-      x -> x.free)).i),
-    p -> named_struct('next', transform(a.next, (j, i) -> j + IF(i = p, 1L, 0L)), 'order', concat(a.order, array(p)))
+    array(CAST(array_min(zip_with(a.rank, a.free, (r, f) -> IF(f <= t, r, NULL))) % size(parts) AS INT)),
+    p -> IF(p IS NULL,
+      named_struct('k', a.k, 'free', a.free, 'rank', a.rank, 'order', concat(a.order, array(p))),
+      named_struct(
+        'k', concat(slice(a.k, 1, p), array(a.k[p] + 1), slice(a.k, p + 2, size(parts))),
+        'free', concat(slice(a.free, 1, p), array((a.k[p] + 1) * frame DIV parts[p]), slice(a.free, p + 2, size(parts))),
+        'rank', concat(slice(a.rank, 1, p), array((((a.k[p] + 2) * frame + parts[p] - 1) DIV parts[p]) * size(parts) + p), slice(a.rank, p + 2, size(parts))),
+        'order', concat(a.order, array(p))))
   )[0],
   a -> a.order
 )

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from headcount.llm import bpe, minhash, mixing, pii, quality
 from headcount.llm.shared import by_size, cut, shared_folder, table
+from headcount.sources import remove
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,11 +76,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn, each written to a folder of its own in the shared one and read again."""
+    """The stages in turn, each written to a folder of its own in the shared one and read again.
+
+    A stage's folder goes when the next one is written; the last one holds the result.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = shared_folder(spark, f"pipeline-{uuid.uuid4().hex}")
+    done = None
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if done:
+            remove(spark, done)
+        done = path
     return docs

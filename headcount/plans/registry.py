@@ -21,6 +21,7 @@ from headcount.sources import (
     null_missing,
     read_with_rejects,
     reject_counts,
+    remove,
     soc_groups,
     soc_lookup,
     survey,
@@ -86,10 +87,15 @@ def src_rejects(spark, sf_dir):
     text = rows.select(*[c.alias(n) for c, n in zip(cells, SURVEY_SCHEMA.names)])
     text = text.withColumn("age_years", F.expr("CASE WHEN respondent_id % 50 = 7 THEN 'unknown' ELSE age_years END"))
     text = text.withColumn("sex", F.expr("CASE WHEN respondent_id % 90 = 17 THEN '1.5' ELSE sex END"))
+    # Kept first: without a shared folder that stops with a message, and rows are written as they are read.
+    text = keep(text)
     path = f"{spark.sparkContext.getCheckpointDir()}/rejects-{uuid.uuid4().hex}.csv"
     text.write.option("header", True).csv(path)
-    good, rejects = read_with_rejects(spark, path, limit=0.05)
-    return reject_counts(rejects).unionByName(good.agg(F.lit("(good)").alias("column"), F.count("age_years").alias("n")))
+    try:
+        good, rejects = read_with_rejects(spark, path, limit=0.05)
+        return keep(reject_counts(rejects).unionByName(good.agg(F.lit("(good)").alias("column"), F.count("age_years").alias("n"))))
+    finally:
+        remove(spark, path)
 
 
 # -- filters ---------------------------------------------------------------------

@@ -13,6 +13,7 @@ from headcount.sources.files import (
     read_table,
     read_with_rejects,
     reject_counts,
+    remove,
     write_result,
 )
 from headcount.sources.standin import soc_groups, soc_lookup, survey
@@ -30,6 +31,7 @@ __all__ = [
     "read_table",
     "read_with_rejects",
     "reject_counts",
+    "remove",
     "soc_groups",
     "soc_lookup",
     "survey",

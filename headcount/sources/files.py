@@ -183,6 +183,18 @@ def reject_counts(rejects: DataFrame) -> DataFrame:
     return rejects.selectExpr("explode(reasons) AS column").groupBy("column").agg(F.count("*").alias("n"))
 
 
+def _place(spark: SparkSession, path: str):
+    """A path as Hadoop names it, and its file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder that this job has written for itself."""
+    place, files = _place(spark, path)
+    files.delete(place, True)
+
+
 def write_result(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store a result table as Parquet.
 
@@ -194,12 +206,9 @@ def write_result(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     if mode != "overwrite":
         df.write.mode(mode).parquet(path)
         return
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    version = uuid.uuid4().hex
-    new, old = (jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{kind}-{version}") for kind in ("new", "old"))
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    target, files = _place(spark, path)
+    new, old = (_place(spark, f"{target.getParent().toString()}/.{target.getName()}.{kind}-{version}")[0] for kind in ("new", "old"))
     try:
         df.write.parquet(new.toString())
         there = files.exists(target)

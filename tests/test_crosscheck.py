@@ -12,11 +12,11 @@ ORACLE = {k: sql for k, sql in entry.oracle_sql().items() if k in registry.queri
 LARGER = "/root/testdata/sf0.01"
 
 # Fits on all factors need the larger table: at sf0.001 some levels hold no zeros at all.
-ALL_FACTORS = ("mdl_nb_coef", "mdl_lrt", "mdl_zinb_coef", "mdl_lrt_allzero", "dist_nb_allzero", "dist_zero_allzero")
+ALL_FACTORS = ("mdl_nb_coef", "mdl_lrt", "mdl_zinb_coef", "mdl_zinb_limit", "mdl_lrt_allzero", "dist_nb_allzero", "dist_zero_allzero")
 FITTED = {k for k in ORACLE if "multi" in k} | {
     "mdl_nb_coef", "mdl_nb_fit", "mdl_ols_coef", "mdl_lrt", "mdl_irr", "mdl_irr_zinb", "mdl_zinb_coef", "mdl_aic",
     "dist_nb", "dist_zinb", "dist_zero", "mdl_nb_uni", "mdl_lrt_pvalue", "mdl_lrt_allzero", "dist_nb_allzero",
-    "dist_zero_allzero",
+    "dist_zero_allzero", "mdl_zinb_limit", "dist_zero_limit",
 }
 # The seven one-factor models share their code; two of them stand for the rest.
 SAME_CODE = {f"mdl_{kind}_{f}" for kind in ("nb_uni", "irr", "lrt") for f in list(MODEL_FACTORS)[1:]} - {

@@ -422,6 +422,16 @@ def test_zinb_climbs_by_complete_data_where_newton_does_not(spark, monkeypatch):
     assert nb.loglik < second.loglik and first.loglik < second.loglik
 
 
+def test_zinb_of_the_small_survey_settles(spark, sf_dir):
+    from headcount.plans import registry
+
+    d = registry._design(spark, sf_dir)
+    nb = fit_nb(d)
+    fit = fit_zinb(d, nb)
+    assert fit.converged and fit.loglik > nb.loglik
+    assert set(fit.closed) == {("household_size2", "2"), ("selfisolation_un", "Yes, but have stopped")}
+
+
 def test_zinb_without_any_inflation_is_the_negative_binomial(spark):
     a, b, y = draw(seed=4, n=4000, theta=1.5, zero=0.0)
     y = np.where((y == 0) & (np.arange(len(y)) % 5 != 0), 1, y)  # far fewer zeros than the model expects

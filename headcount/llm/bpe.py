@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headcount.llm.shared import table, with_field
+from headcount.llm.shared import lean, slices, table, with_field
 
 #: Pre-tokens whose ids a worker remembers; beyond it the memory starts afresh.
 REMEMBERED = 200_000
@@ -97,7 +97,7 @@ class Codec:
         self.sizes = np.array([len(p) for p in self.pieces])
         self.joined = np.frombuffer(b"".join(self.pieces), np.uint8)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
         tokens = self.find(text)
@@ -111,8 +111,8 @@ class Codec:
             missing = list(missing)
             mapped = [t.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_letters) for t in missing]
             for t, ids in zip(missing, self.processor.encode(mapped, num_threads=1)):
-                known[t] = np.array(ids, np.int32)
-        out = np.concatenate([known[t] for t in tokens])
+                known[t] = np.array(ids, np.int32).tobytes()
+        out = np.frombuffer(b"".join([known[t] for t in tokens]), np.int32)
         for t in missing:
             if len(t) > REMEMBERED_LENGTH:
                 del known[t]
@@ -128,9 +128,9 @@ class Codec:
 
 
 def _columns(batches: Iterator[pa.RecordBatch], names: dict[str, pa.DataType], row) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [row(text or "") for text in batch.column(0).to_pylist()]
-        made = [pa.array(list(c), type=t) for c, t in zip(zip(*rows) if rows else [[] for _ in names], names.values())]
+        made = [pa.array(list(c), type=t) for c, t in zip(zip(*rows), names.values())]
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*batch.schema.names[1:], *names])
 
 
@@ -147,7 +147,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         codec = Codec(path, pattern)
         yield from _columns(batches, {ids: pa.list_(pa.int32())}, lambda t: (codec.encode(t),))
 
-    return df.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return df.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "data") -> DataFrame:
@@ -162,7 +162,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "data") -> Da
         pieces = read_ranks(path)
         yield from _columns(batches, {data: pa.binary()}, lambda x: (b"".join(pieces[i] for i in x or ()),))
 
-    return df.select(F.col(f"`{ids}`").alias("__ids"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return df.select(F.col(f"`{ids}`").alias("__ids"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(lean(run), schema)
 
 
 def digests(
@@ -188,7 +188,7 @@ def digests(
 
     made = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
     schema = with_field(df.select(key, *keep), *made)
-    out = df.select(F.col(f"`{text}`").alias("__text"), key, *keep).mapInArrow(run, schema)
+    out = df.select(F.col(f"`{text}`").alias("__text"), key, *keep).mapInArrow(lean(run), schema)
     return out.select(key, *[name for name, _ in made], *keep)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headcount.llm.components import components
-from headcount.llm.shared import Forest, by_size, cut, runs, stars, table, tiles, whole_runs
+from headcount.llm.shared import Forest, by_size, cut, lean, runs, slices, stars, table, tiles, whole_runs
 
 WORDS = 5
 #: Share of the pairs at the threshold that may be missed.
@@ -176,7 +176,7 @@ def _signatures(column, own: Scheme) -> np.ndarray:
 
 def _sketches(own: Scheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, marks, sigs = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist()):
                 sizes.append(len(s))
@@ -238,7 +238,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = list(shingle_sets(batch.column("text").to_pylist()))
         marks, data = [_mark(s) for s in sets], [s.tobytes() for s in sets]
         rest = [batch.column(c) for c in ("family", "n", "id")]
@@ -305,30 +305,30 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     own = scheme(percent)
     source = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     sketch = "id long, n long, mark binary, sig binary"
-    one = source.where("id IS NOT NULL").mapInArrow(_sketches(own), sketch)
+    one = source.where("id IS NOT NULL").mapInArrow(lean(_sketches(own)), sketch)
     one = cut(one.groupBy("id").agg(F.min(F.struct("mark", "n", "sig")).alias("s")).select("id", "s.*"))
     classes = one.where("mark IS NOT NULL").groupBy("mark").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
     classes = cut(classes)
 
     heads = classes.select("id", "sig")
-    keys = heads.mapInArrow(_keys(own), "key long, id long")
+    keys = heads.mapInArrow(lean(_keys(own)), "key long, id long")
     buckets = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = cut(keys.join(by_size(buckets), "key")).join(heads, "id")
-    near = cut(tiles(members, ["key"], "id", SIGNATURES).mapInArrow(_near(own), "a long, b long").distinct())
+    near = cut(tiles(members, ["key"], "id", SIGNATURES).mapInArrow(lean(_near(own)), "a long, b long").distinct())
 
     family = cut(components(near).select(F.col("node").alias("id"), F.col("component").alias("family")))
     sizes = cut(family.groupBy("family").agg(F.count(F.lit(1)).alias("n")))
     family = cut(family.join(by_size(sizes), "family"))
     texts = source.join(by_size(family, 200_000), "id").select("family", "n", "id", "text")
-    sets = texts.mapInArrow(_sets, "family long, n long, id long, mark binary, set binary")
-    links = tiles(sets, ["family"], "id", SETS).mapInArrow(_confirmed(percent), "a long, b long")
+    sets = texts.mapInArrow(lean(_sets), "family long, n long, id long, mark binary, set binary")
+    links = tiles(sets, ["family"], "id", SETS).mapInArrow(lean(_confirmed(percent)), "a long, b long")
     found = cut(components(cut(links.distinct())).withColumnRenamed("node", "id"))
 
     named = classes.join(found, "id", "left").select("mark", F.coalesce("component", "id").alias("component_id"))
     out = one.join(by_size(cut(named)), "mark", "left").select(
         "id", "n", F.coalesce("component_id", "id").alias("component_id")
     )
-    nameless = source.where("id IS NULL").mapInArrow(_sketches(own), sketch)
+    nameless = source.where("id IS NULL").mapInArrow(lean(_sketches(own)), sketch)
     return out.unionByName(nameless.select("id", "n", F.lit(None).cast("long").alias("component_id"))).select(
         "id",
         F.col("n").alias("n_shingles"),

@@ -215,9 +215,12 @@ def mix(
 
 def _placed(
     docs: DataFrame, targets: DataFrame | None = None, key: str = "doc_id", source: str = "source", block: int = BLOCK,
-    frame: int = FRAME, most: int = SOURCES, power: float = POWER,
+    frame: int = FRAME, most: int = SOURCES, power: float = POWER, ranges: int = 0,
 ) -> tuple[DataFrame, int]:
-    """docs with columns named ``__...`` for the block, its slot and the place in it; the first slot that lacks a full block."""
+    """docs with columns named ``__...`` for the block, its slot and the place in it; the first slot that lacks a full block.
+
+    With ``ranges``, ``__range`` numbers about as many ranges of slots with about as many rows each.
+    """
     names = docs.columns
     counts = cut(docs.groupBy(F.col(f"`{source}`").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n")))
     sources, nodes = shares(counts, targets, most, power)
@@ -225,6 +228,10 @@ def _placed(
     # The first slot that lacks a full block of some source.
     full = sources.select("id", F.expr(f"n DIV {block}").alias("block"))
     horizon = turns.join(full, ["id", "block"]).agg(F.min("slot").alias("h")).first()["h"]
+    told = ["block", "slot", "release", "deadline"]
+    if ranges:
+        turns = cut(turns.join(by_size(_ranges(turns, sources, block, ranges)), "slot"))
+        told.append("range")
     own = sources.select("name", F.col("id").alias("__i"), F.ceil(F.col("n") / F.greatest(F.lit(GROUP), F.sqrt("n"))).cast("long").alias("__groups"))
     nameless = own.where("name IS NULL").first()
     own = cut(own.where("name IS NOT NULL").withColumnRenamed("name", "__own"))
@@ -244,11 +251,18 @@ def _placed(
     ranked = rows.withColumn("__row", F.row_number().over(within) - 1).join(starts, ["__i", "__group"])
     ranked = ranked.withColumn("__rank", F.col("__start") + F.col("__row"))
     ranked = ranked.withColumn("__block", F.expr(f"__rank DIV {block}"))
-    slots = turns.select(F.col("id").alias("__i"), *[F.col(c).alias(f"__{c}") for c in ("block", "slot", "release", "deadline")])
+    slots = turns.select(F.col("id").alias("__i"), *[F.col(c).alias(f"__{c}") for c in told])
     placed = ranked.join(by_size(slots), ["__i", "__block"])
     return placed.withColumn("__place", F.expr(f"CAST(__rank % {block} AS INT)")), horizon or 0
 
 
+def _ranges(turns: DataFrame, sources: DataFrame, block: int, ranges: int) -> DataFrame:
+    """``slot``, ``range`` of the slots with rows. Their numbers are dealt out, one for each row, so that no text is read for it."""
+    rows = turns.join(by_size(sources.select("id", "n")), "id").select("slot", F.expr(f"least({block}, n - block * {block})").alias("n"))
+    each = rows.where("n > 0").select("slot", F.explode(F.expr("sequence(1L, n)"))).select("slot")
+    return cut(each.repartitionByRange(ranges, "slot").select("slot", F.spark_partition_id().alias("range")).distinct())
+
+
 def _rest(docs: DataFrame, names: list[str], key: str) -> list:
     """A digest of the other columns, which settles the order of rows that repeat an id."""
     plain = [F.col(f"`{c}`") for c in names if c != key and not docs.schema[c].dataType.simpleString().startswith(("map", "variant"))]
@@ -256,11 +270,15 @@ def _rest(docs: DataFrame, names: list[str], key: str) -> list:
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
-    """docs in the order of their slots and places: ranges of it go to partitions, each sorted."""
+    """docs in the order of their slots and places: ranges of it go to partitions, each sorted.
+
+    The ranges come from the turns, so the rows are ranked once and then sent to their ranges.
+    """
     order = ["__slot", "__place"]
-    placed, _ = _placed(docs, **options)
-    rows = placed.select(*[F.col(f"`{c}`") for c in docs.columns], *order)
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])
+    wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed, _ = _placed(docs, ranges=wide, **options)
+    rows = placed.select(*[F.col(f"`{c}`") for c in docs.columns], "__range", *order)
+    return rows.repartitionById(wide, "__range").sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

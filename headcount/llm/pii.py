@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headcount.llm.shared import by_size, cut, table
+from headcount.llm.shared import by_size, cut, lean, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information content that a word may disclose at most.
@@ -105,16 +105,9 @@ def _mark(text: str) -> bytes:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of a few rows, so that few texts are Python's at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entities of each text, and the text itself if it has any."""
-    for batch in _slices(batches, 1024):
+    for batch in slices(batches, 1024):
         marks, spans, entities, held = [], [], [], []
         for text in batch.column(1).to_pylist():
             text = text or ""
@@ -141,7 +134,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
     counts: Counter[str] = Counter()
-    for batch in _slices(batches, 1024):
+    for batch in slices(batches, 1024):
         for text in batch.column(0).to_pylist():
             counts.update(set(_WORD.findall((text or "").lower())))
             if len(counts) > 200_000:
@@ -168,7 +161,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(columns, names=["chunk", "texts", "words"])
 
     number, size, texts, words = TaskContext.get().partitionId() << 32, 0, [], set()
-    for batch in _slices(batches, 256):
+    for batch in slices(batches, 256):
         for row in batch.to_pylist():
             if texts and size + len(row["held"]) > CHUNK:
                 yield flush()
@@ -188,7 +181,7 @@ def _candidates(total: int, threshold: float):
     """
 
     def run(batches):
-        for batch in _slices(batches, 1):
+        for batch in slices(batches, 1):
             for chunk, texts, known in zip(*(batch.column(c).to_pylist() for c in ("chunk", "texts", "known"))):
                 known = {k["term"]: k["n"] for k in known}
                 sums: dict[tuple[str, str], list[int]] = {}
@@ -215,7 +208,7 @@ def _candidates(total: int, threshold: float):
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The spans of all occurrences of each text's disclosing words."""
-    for batch in _slices(batches, 1):
+    for batch in slices(batches, 1):
         for texts, told in zip(*(batch.column(c).to_pylist() for c in ("texts", "told"))):
             of: dict[str, set[str]] = {}
             for pair in told:
@@ -253,16 +246,16 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, threshold: float, conte
     kept = cut(kept.agg(F.first("copies").alias("copies"), F.collect_list(F.struct("entity", "n")).alias("entities")))
     held = found.where("held IS NOT NULL").select("mark", "held")
     held = held.join(by_size(kept), F.col("mark") == F.col("kept")).select("mark", "held", "copies", "entities").dropDuplicates(["mark"])
-    chunks = cut(held.mapInArrow(_chunks, _CHUNK_SCHEMA))
+    chunks = cut(held.mapInArrow(lean(_chunks), _CHUNK_SCHEMA))
 
     most = (entities.agg(F.max("n")).first()[0] or 0) ** threshold * total ** (1 - threshold) * (1 + 1e-9)
-    counts = texts.select("text").mapInArrow(_frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = texts.select("text").mapInArrow(lean(_frequencies), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     counts = counts.where((F.col("n") >= contexts) & (F.col("n") <= most))
     known = chunks.select(F.col("chunk").alias("of"), F.explode("words").alias("term")).join(counts, "term")
     known = known.groupBy("of").agg(F.collect_list(F.struct("term", "n")).alias("known"))
     schema = "chunk long, entity string, term string, texts long, n_both long, n_entity long, n_term long"
     pairs = chunks.select("chunk", "texts").join(known, F.col("chunk") == F.col("of")).drop("of")
-    pairs = cut(pairs.mapInArrow(_candidates(total, threshold), schema))
+    pairs = cut(pairs.mapInArrow(lean(_candidates(total, threshold)), schema))
 
     sums = [F.sum("texts").alias("texts"), F.sum("n_both").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term")]
     both = pairs.groupBy("entity", "term").agg(*sums).where(F.col("texts") >= contexts)
@@ -272,13 +265,13 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, threshold: float, conte
     told = pairs.join(by_size(cut(passing)), ["entity", "term"], "left_semi").groupBy(F.col("chunk").alias("of"))
     told = told.agg(F.collect_list(F.struct("entity", "term")).alias("told"))
     out = chunks.select("chunk", "texts").join(told, F.col("chunk") == F.col("of")).drop("of")
-    return out.mapInArrow(_places, "term_mark binary, terms string")
+    return out.mapInArrow(lean(_places), "term_mark binary, terms string")
 
 
 def _found(df: DataFrame, key: str, text: str, threshold: float, contexts: int) -> tuple[DataFrame, DataFrame]:
     texts = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
-    found = cut(texts.mapInArrow(_base, f"id {id_type}, mark binary, base string, entities array<string>, held string"))
+    found = cut(texts.mapInArrow(lean(_base), f"id {id_type}, mark binary, base string, entities array<string>, held string"))
     return found, cut(disclosing_terms(found, texts, threshold, contexts))
 
 
@@ -307,7 +300,7 @@ def sanitise(
     names = df.columns
 
     def run(batches):
-        for batch in _slices(batches, 1024):
+        for batch in slices(batches, 1024):
             out = []
             for value, own in zip(batch.column(names.index(text)).to_pylist(), batch.column(len(names)).to_pylist()):
                 if value is None:
@@ -322,7 +315,7 @@ def sanitise(
     terms = by_size(terms.select(F.col("term_mark").alias("__of"), F.col("terms").alias("__terms")))
     same = F.unhex(F.sha2(F.col(f"`{text}`").cast("binary"), 256)) == F.col("__of")
     rows = df.select(*[F.col(f"`{c}`") for c in names]).join(terms, same, "left").drop("__of")
-    return rows.mapInArrow(run, df.schema)
+    return rows.mapInArrow(lean(run), df.schema)
 
 
 def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headcount.llm.shared import by_size, cut, table, with_field
+from headcount.llm.shared import by_size, cut, lean, slices, table, with_field
 
 #: Labelled documents that the classifier is fitted on, at most: those whose ids hash smallest.
 LABELLED = 20_000
@@ -68,8 +68,8 @@ def features(text: str) -> np.ndarray:
 
 
 def _measured(batches: Iterator[pa.RecordBatch], rest: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = np.stack([features(t or "") for t in batch.column(0).to_pylist()]) if batch.num_rows else np.zeros((0, len(FEATURES)))
+    for batch in slices(batches):
+        x = np.stack([features(t or "") for t in batch.column(0).to_pylist()])
         flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([*batch.columns[1 : 1 + rest], flat], names=[*batch.schema.names[1 : 1 + rest], "x"])
 
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # An id that repeats is one document, the first of its texts, so the bound is one of rows.
     sample = own.join(by_size(known), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("good").alias("good"))
     sample = sample.select("text", F.col("good").cast("double").alias("good"))
-    rows = sample.mapInArrow(lambda b: _measured(b, 1), "good double, x array<double>").collect()
+    rows = sample.mapInArrow(lean(lambda b: _measured(b, 1)), "good double, x array<double>").collect()
     y = np.array([r["good"] for r in rows])
     if not len(rows) or y.min() == y.max():
         return np.append(np.zeros(len(FEATURES)), math.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
@@ -120,16 +120,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def scored(docs: DataFrame, beta: np.ndarray, text: str = "text") -> DataFrame:
     """docs with ``__odds``, the classifier's log-odds of the text, at most 12 either way."""
     names = docs.columns
+    at = names.index(text)
 
     def run(batches):
-        for batch in batches:
-            x = [features(t or "") for t in batch.column(0).to_pylist()]
+        for batch in slices(batches):
+            x = [features(t or "") for t in batch.column(at).to_pylist()]
             odds = np.clip(np.array(x).reshape(-1, len(FEATURES)) @ beta[:-1] + beta[-1], -12, 12)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(odds)], names=[*names, "__odds"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds)], names=[*names, "__odds"])
 
-    return docs.select(F.col(f"`{text}`").alias("__read"), *[F.col(f"`{c}`") for c in names]).mapInArrow(
-        run, with_field(docs, ("__odds", "double"))
-    )
+    return docs.mapInArrow(lean(run), with_field(docs, ("__odds", "double")))
 
 
 def _strength(rates: DataFrame) -> float:

@@ -1,8 +1,9 @@
-"""Small helpers of the training-data operators: lineage cuts, broadcasts by size, runs of sorted rows."""
+"""Small helpers of the training-data operators: lineage cuts, broadcasts by size, memory of Python tasks, runs of sorted rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,31 @@ def by_size(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that few texts are Python's at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, whose task gives the memory it has freed back to the system at its end.
+
+    Spark keeps a worker for later tasks, and the C library what the worker has freed: an executor's
+    idle workers would hold the most that any of their tasks took.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc only
+                trim(0)
+
+    return task
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole runs of equal keys, with the runs' starts and the table's end.
 
